@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is, on the driver and on every executor."""
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,8 +31,26 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).report()
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encoded_digests
+
+    return encoded_digests(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup, op5_quality_rules)}
+    return {f.__name__: f for f in (op2_packing, op4_exact_dedup, op5_quality_rules, op6_bpe, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
