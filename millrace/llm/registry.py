@@ -31,6 +31,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).report()
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, identified
+
+    docs = _table(spark, sf_dir, "documents")
+    return identified(docs, fit(docs))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
@@ -49,8 +56,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_groups
+
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op4_exact_dedup, op5_quality_rules, op6_bpe, op7_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op4_exact_dedup, op5_quality_rules, op6_bpe, op7_token_counts, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
