@@ -19,6 +19,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scanned
+
+    return scanned(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -56,6 +62,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extracted
+
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_groups
 
@@ -63,8 +81,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op4_exact_dedup, op5_quality_rules, op6_bpe, op7_token_counts, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_license_scan, op4_exact_dedup, op5_quality_rules, op6_bpe, op7_token_counts, op8_warc, op9_html_extraction, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": sql.EXACT_DEDUP, "op5_quality_rules": sql.quality_rules()}
+    return {"op3_license_scan": sql.licenses(), "op4_exact_dedup": sql.EXACT_DEDUP, "op5_quality_rules": sql.quality_rules(), "op8_warc": sql.WARC}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import KNOWN, SPELLINGS, STEPS
 from .quality_rules import DELTA, MOST_STRATA, RISK, RULES
 
 EXACT_DEDUP = """
@@ -56,3 +57,32 @@ verdicts AS (SELECT p.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_rep
 
 def quality_rules() -> str:
     return f"WITH {quality_verdicts()} SELECT * FROM verdicts"
+
+#: One record for each page; of equal payloads of at least 1000 bytes that with the largest id is the response.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
+g AS (SELECT body, max(page_id) AS best FROM p WHERE n >= 1000 GROUP BY body)
+SELECT p.page_id, n AS payload_bytes, sha1(p.body) AS payload_digest,
+    CASE WHEN g.best <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN g.best <> p.page_id THEN g.best END AS refers_to
+FROM p LEFT JOIN g ON p.body = g.body AND n >= 1000
+"""
+
+
+def _canonical(text: str) -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    out = f"lower(coalesce({text}, ''))"
+    for pattern, to in STEPS:
+        out = f"regexp_replace({out}, {quote(pattern)}, {quote(to)}, 'g')"
+    out = f"' ' || {out} || ' '"
+    for pattern, to in SPELLINGS:
+        out = f"regexp_replace({out}, {quote(pattern)}, {quote(to)}, 'g')"
+    return f"trim({out}, ' ')"
+
+
+def licenses() -> str:
+    values = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in item)) for item in KNOWN.items())
+    return f"""WITH known(license_id, body) AS (VALUES {values}),
+forms AS (SELECT {_canonical("body")} AS form, license_id FROM known),
+digests AS (SELECT sha256(form) AS digest, min(license_id) AS license_id FROM forms WHERE form <> '' GROUP BY form),
+d AS (SELECT doc_id, sha256({_canonical("text")}) AS canonical_sha256 FROM documents)
+SELECT doc_id, canonical_sha256, license_id FROM d LEFT JOIN digests ON canonical_sha256 = digest"""
