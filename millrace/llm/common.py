@@ -49,3 +49,14 @@ def keyed_summary(rows: DataFrame, keys: Sequence[str], salt: str, partial: dict
     parts = rows.groupBy(*keys, salt).agg(*(c.alias(n) for n, c in partial.items()))
     whole = parts.groupBy(*keys).agg(*(c.alias(n) for n, c in final.items()), F.collect_list(salt).alias("__salts"))
     return whole.select(*keys, *final, F.explode("__salts").alias(salt))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: a digest of id and text; null and empty differ."""
+    part = lambda c: F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit(""))
+    return F.unhex(F.sha2(F.concat_ws("/", part(id_col), part(text_col)), 256))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose row_key is in kept(__key), one of each key, with all their columns."""
+    return docs.withColumn("__key", row_key(id_col, text_col)).join(kept.select("__key"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_summary, salt_of, written
+from .common import keep_rows, keyed_summary, row_key, salt_of, written
 
 #: Least and greatest code points of a chunk that doesn't end the text.
 LEAST, MOST = 512, 2048
@@ -49,9 +49,21 @@ def with_recipes(docs: DataFrame, text_col: str, digest=F.xxhash64) -> DataFrame
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=F.xxhash64) -> DataFrame:
     """One row per row of docs: (id_col, keep_id, group_size, kept, text_sha256). digest: a column function to long, for tests."""
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__uid"))
-    keyed = with_recipes(rows, "__text", digest).select(
-        "__id", "__uid", "__recipe", F.sha2(F.coalesce("__text", F.lit("")), 256).alias("text_sha256"), salt_of(F.col("__uid")).alias("__salt")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    return _groups(rows, digest).select(F.col("__id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of each group that stays, with all its columns."""
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), row_key(id_col, text_col).alias("__key"))
+    return keep_rows(docs, _groups(rows).where("kept"), id_col, text_col)
+
+
+def _groups(rows: DataFrame, digest=F.xxhash64) -> DataFrame:
+    """rows(__id, __text, further columns that pass through)"""
+    further = [c for c in rows.columns if c not in ("__id", "__text")]
+    keyed = with_recipes(rows.withColumn("__uid", F.monotonically_increasing_id()), "__text", digest).select(
+        "__id", "__uid", "__recipe", *further, F.sha2(F.coalesce("__text", F.lit("")), 256).alias("text_sha256"), salt_of(F.col("__uid")).alias("__salt")
     )
     best = F.struct("__id", "__uid")
     groups = keyed_summary(
@@ -60,9 +72,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         {"best": F.max("best"), "n": F.sum("n")},
     )
     return keyed.join(groups, ["__recipe", "__salt"]).select(
-        F.col("__id").alias(id_col),
+        "__id", *further,
         F.col("best.__id").alias("keep_id"),
         F.col("n").cast("long").alias("group_size"),
         (F.col("__uid") == F.col("best.__uid")).alias("kept"),
         "text_sha256",
-    )
+    )

@@ -199,7 +199,7 @@ def identified(docs: DataFrame, network: Network | None, id_col: str = "doc_id",
     return rows.mapInArrow(run, f"id {id_type}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, network: Network | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, network: Network | None, text_col: str = "text", least: float = 0.4) -> DataFrame:
     """The rows of docs, with all their columns, whose text has a language and a score of at least so much."""
     types = docs.schema
 

@@ -60,13 +60,16 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     same = lambda x, i: x["h"] == F.get("__windows", i)["h"]
     out = out.withColumn("__again", F.array_sort(F.transform(F.filter("__windows", lambda x, i: F.coalesce(same(x, i - 1), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False))), lambda x: x["i"])))
     covered = F.aggregate("__again", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
-    return out.withColumns({
-        "n_words": F.size("__words").cast("long"),
-        "n_symbols": F.col("__n_symbols"),
-        "n_dup_lines": (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long"),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-        "__lines": F.size("__full").cast("long"),
-    }).drop("__words", "__full", "__windows", "__again", "__n_symbols")
+    found = F.struct(
+        F.size("__words").cast("long").alias("n_words"),
+        "word_chars",
+        F.col("__n_symbols").alias("n_symbols"),
+        (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.size("__full").cast("long").alias("__lines"),
+    )
+    # the generator keeps later filters above it: pushed below, they would have the arrays made again for every use
+    return out.withColumn("__found", F.explode(F.array(found))).select(*docs.columns, "__found.*")
 
 
 def base_failed() -> Column:

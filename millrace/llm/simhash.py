@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_summary, salt_of, written
+from .common import keep_rows, keyed_summary, row_key, salt_of, written
 
 #: Differing bits that still link.
 MOST = 4
@@ -53,16 +53,16 @@ def fingerprint(text: str, width: int = 4, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id_col, fp): the fingerprint of each row as a signed long."""
+def fingerprints(rows: DataFrame, width: int = 4) -> DataFrame:
+    """rows(__id, __key, __text) -> (__id, __key, fp): the fingerprint of each row as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(t.as_py() or "", width) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            found = np.array([fingerprint(t.as_py() or "", width) for t in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found.view(np.int64))], ["__id", "__key", "fp"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, fp long").withColumnRenamed("id", id_col)
+    id_type = rows.schema["__id"].dataType.simpleString()
+    return rows.select("__id", "__key", "__text").mapInArrow(run, f"__id {id_type}, __key binary, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -139,7 +139,19 @@ def fingerprint_components(counted: DataFrame, most: int = MOST, blocks: int = B
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = MOST, blocks: int = BLOCKS) -> DataFrame:
     """One row per row of docs: (id_col, fingerprint, component_id, kept). One row of each component is kept: of those with
     the smallest id, the first."""
-    found = fingerprints(docs, id_col, text_col, width).select(F.col(id_col).alias("__id"), "fp", F.monotonically_increasing_id().alias("__uid"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.lit(None).cast("binary").alias("__key"), F.col(text_col).alias("__text"))
+    return _groups(rows, width, most, blocks).select(F.col("__id").alias(id_col), "fingerprint", "component_id", "kept")
+
+
+def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = MOST, blocks: int = BLOCKS) -> DataFrame:
+    """The row of each component that is kept, with all its columns."""
+    rows = docs.select(F.col(id_col).alias("__id"), row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text"))
+    return keep_rows(docs, _groups(rows, width, most, blocks).where("kept"), id_col, text_col)
+
+
+def _groups(texts: DataFrame, width: int, most: int, blocks: int) -> DataFrame:
+    """texts(__id, __key, __text) -> (__id, __key, fingerprint, component_id, kept)"""
+    found = fingerprints(texts, width).withColumn("__uid", F.monotonically_increasing_id())
     rows = written(found.withColumn("__salt", salt_of(F.col("__uid"))), "fingerprints")
     best = F.struct("__id", "__uid")
     places = written(keyed_summary(rows, ["fp"], "__salt", {"best": F.min(best), "n": F.count(F.lit(1))}, {"best": F.min("best"), "n": F.sum("n")}), "places")
@@ -151,8 +163,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = linked.select("fp", "root").join(least, "root").select("fp", "__best")
     spread = places.select("fp", "__salt").join(whole, "fp")
     return rows.join(spread, ["fp", "__salt"]).select(
-        F.col("__id").alias(id_col),
+        "__id", "__key",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("__best.__id").alias("component_id"),
         (F.col("__uid") == F.col("__best.__uid")).alias("kept"),
-    )
+    )
