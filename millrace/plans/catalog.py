@@ -4,17 +4,668 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import labels as L
+from ..functions import text as T
+from ..operators import dedup, records, retrieval, selection, statistics, validation
+from ..streaming import ledger
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by language: the smoke query until retrieval stands."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 retrieval of benchmark items over all documents, measured."""
+    return bm25_metrics(spark, d)
+
+
+# SQL fragments
+
+
+def _words(c: str) -> str:
+    return rf"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+')"
+
+
+def _tokens(c: str) -> str:
+    return f"regexp_extract_all(lower({c}), '{T.ANALYSER_TOKEN}')"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _content(c: str) -> str:
+    return f"list_filter({_tokens(c)}, lambda t: NOT list_contains({_list(T.POLISH_STOPWORDS)}, t) AND length(t) > 1)"
+
+
+def _long_words(c: str) -> str:
+    return f"list_distinct(list_filter({_words(c)}, lambda t: length(t) > 1))"
+
+
+def _jaccard(a: str, b: str, empty: float) -> str:
+    return f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) ELSE {empty} END"
+
+
+def _starts(c: str, what) -> str:
+    return "(" + " OR ".join(f"starts_with({c}, '{w}')" for w in what) + ")"
+
+
+def _holds(c: str, what) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in what) + ")"
+
+
+_SQUEEZED = r"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+_FORM = "lower(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
+
+# text and labels
+
+
+@query(f"""SELECT doc_id, length(text)::BIGINT AS n_chars, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::BIGINT AS n_words, len({_words('text')})::BIGINT AS n_tokens FROM documents""")
+def text_lengths(spark, d):
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.length(text).cast("long").alias("n_chars"), F.size(F.array_remove(F.split(text, r"(?U)\s+"), "")).cast("long").alias("n_words"), F.size(T.words(text)).cast("long").alias("n_tokens"))
+
+
+@query(f"""SELECT doc_id, len({_tokens('text')})::BIGINT AS n_tokens, len({_content('text')})::BIGINT AS n_content, len(list_distinct({_content('text')}))::BIGINT AS n_terms,
+    len(list_filter({_tokens('text')}, lambda t: regexp_matches(t, '{T.NUMBER}')))::BIGINT AS n_numbers, len(list_filter({_tokens('text')}, lambda t: list_contains({_list(T.UNITS)}, t)))::BIGINT AS n_units FROM documents""")
+def simple_analysis(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", "t", T.content(F.col("t")).alias("c"))
+    size = lambda c: F.size(c).cast("long")
+    return rows.select("doc_id", size("t").alias("n_tokens"), size("c").alias("n_content"), size(F.array_distinct("c")).alias("n_terms"), size(T.numbers(F.col("t"))).alias("n_numbers"), size(T.units(F.col("t"))).alias("n_units"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_words('text')} AS t FROM documents)
+SELECT doc_id, CASE WHEN len(t) > 0 THEN len(list_filter(t, lambda x: list_contains({_list(T.POLISH_COMMON)}, x) OR regexp_matches(x, '[{T.POLISH_LETTERS}]')))::DOUBLE / len(t) ELSE 0 END AS confidence FROM w""")
+def language_confidence(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.language_share(T.words(F.col("text")), T.POLISH_COMMON, T.POLISH_LETTERS).alias("confidence"))
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, {_FORM.format(c='text')} AS t FROM conversations), n AS (SELECT *, len({_words('t')}) AS n, ends_with(t, '?') OR {_starts('t', L.OPENERS)} AS question FROM q)
+SELECT conv_id, turn, CASE WHEN n = 0 THEN 'unknown' WHEN question THEN 'full_question' WHEN n <= 6 THEN 'keyword_query' ELSE 'unknown' END AS form,
+    CASE WHEN n = 0 THEN 0.0 WHEN question THEN 0.95 WHEN n <= 6 THEN 0.9 ELSE 0.45 END::DOUBLE AS form_confidence,
+    CASE WHEN n = 0 THEN 'unknown' WHEN {_starts('t', L.DEFINITION)} THEN 'definition' WHEN {_starts('t', L.PROCEDURE)} THEN 'procedure' WHEN {_holds('t', L.COMPARISON)} THEN 'comparison' WHEN {_starts('t', L.ENTITY)} THEN 'entity_lookup' WHEN question OR n <= 6 THEN 'fact_lookup' ELSE 'unknown' END AS intent,
+    CASE WHEN n = 0 THEN 0.0 WHEN {_starts('t', L.DEFINITION)} THEN 0.98 WHEN {_starts('t', L.PROCEDURE)} THEN 0.94 WHEN {_holds('t', L.COMPARISON)} THEN 0.97 WHEN {_starts('t', L.ENTITY)} THEN 0.9 WHEN question OR n <= 6 THEN 0.7 ELSE 0.0 END::DOUBLE AS intent_confidence FROM n""")
+def query_labels(spark, d):
+    found = L.query_labels(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", *(c.alias(n) for n, c in found.items()))
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, trim(lower(text)) AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN {_starts('t', ('jak ', 'w jaki sposób'))} THEN 'how_to' WHEN {_starts('t', ('co to', 'czym jest', 'co oznacza'))} THEN 'definition' WHEN {_holds('t', (' czy ', ' a ', 'różnica', 'porówn'))} THEN 'comparison'
+    WHEN ends_with(t, '?') THEN 'full_question' WHEN len({_words('t')}) <= 5 THEN 'keyword_query' ELSE 'fact_lookup' END AS style FROM q""")
+def query_style(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", L.query_style(F.col("text")).alias("style"))
+
+
+_INTENTS = ("definition", "procedure", "comparison", "fact_lookup")
+
+
+@query(f"""SELECT doc_id, intent, CASE WHEN intent = 'fact_lookup' THEN true {' '.join(f"WHEN intent = '{i}' AND {_holds('lower(text)', m)} THEN true" for i, m in L.APPLICABLE.items())} END AS applicable
+FROM documents, unnest({_list(_INTENTS)}) AS i(intent)""")
+def intent_applicability(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "text", F.explode(F.array(*map(F.lit, _INTENTS))).alias("intent"))
+    return rows.select("doc_id", "intent", L.intent_applicable(F.col("intent"), F.col("text")).alias("applicable"))
+
+
+_FORMAT_SQL = rf"""q AS (SELECT conv_id, turn, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(12) || chr(13)) AS t FROM conversations),
+m AS (SELECT conv_id, turn, t = '' AS empty, regexp_matches(t, '{L.LIST_MARK}') OR contains(t, chr(10)) AS multiple_query, regexp_matches(lower(t), '{L.PREFIX}') AS has_prefix, regexp_matches(lower(t), '{L.META}') AS has_metacomment,
+    len({_tokens('t')})::BIGINT AS word_length, length(t)::BIGINT AS character_length, CASE WHEN len({_tokens('t')}) > 0 THEN len(list_filter({_tokens('t')}, lambda x: list_contains({_list(T.POLISH_STOPWORDS)}, x) OR regexp_matches(x, '[{T.POLISH_LETTERS}]')))::DOUBLE / len({_tokens('t')}) END AS language_confidence,
+    (length(t) - length(regexp_replace(t, '[\x00-\x08\x0b-\x1f\x7f-\x{{9f}}]', '', 'g')))::BIGINT AS invalid_character_count FROM q)"""
+
+
+@query(f"WITH {_FORMAT_SQL} SELECT *, NOT empty AND NOT multiple_query AND NOT has_prefix AND NOT has_metacomment AND invalid_character_count = 0 AS format_valid FROM m")
+def format_checks(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", *(c.alias(n) for n, c in L.format_metrics(F.col("text")).items()))
+
+
+_TRANSLATION_SQL = f"""t AS (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '{L.PLAIN_TOKEN.replace("'", "''")}') AS toks FROM conversations),
+f AS (SELECT conv_id, turn, list_has_any(toks, {_list(L.ENGLISH)}) AS english_residue, regexp_matches({_FORM.format(c='text')}, '{L.CALQUE}') AS calque_pattern,
+    regexp_matches(text, '{L.SPACING}') AS suspicious_punctuation_spacing, len(toks) >= 8 AND NOT regexp_matches(lower(text), '[{T.POLISH_LETTERS}]') AS ascii_only_long_query FROM t),
+r AS (SELECT *, least(1.0, 0.0 + {' + '.join(f"CASE WHEN {k} THEN {w}::DOUBLE ELSE 0 END" for k, w in L.WEIGHTS.items())})::DOUBLE AS risk_score FROM f)"""
+
+
+@query(f"WITH {_TRANSLATION_SQL} SELECT * FROM r")
+def translation_traces(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", *(c.alias(n) for n, c in L.translation_flags(F.col("text")).items()))
+
+
+@query(f"WITH {_TRANSLATION_SQL} SELECT count(*) AS n, avg(risk_score) AS mean_risk, {', '.join(f'avg({k}::INT) AS {k}_rate' for k in L.WEIGHTS)} FROM r")
+def translation_summary(spark, d):
+    return translation_traces(spark, d).agg(F.count(F.lit(1)).alias("n"), F.avg("risk_score").alias("mean_risk"), *(F.avg(F.col(k).cast("int")).alias(f"{k}_rate") for k in L.WEIGHTS))
+
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(12) || chr(13)"
+
+
+def _flags_sql(c: str) -> dict[str, str]:
+    return {
+        "empty_document": f"length(trim({c}, {_BLANK})) = 0", "short_text": f"length(trim({c}, {_BLANK})) < 10", "long_text": f"length(trim({c}, {_BLANK})) > 20000",
+        "control_characters": rf"regexp_matches({c}, '{validation.CONTROL}')", "html": f"regexp_matches(lower(regexp_replace({c}, '&lt;|&#60;', '<', 'g')), '{validation.HTML}')",
+        "boilerplate": f"regexp_matches(lower({c}), '{validation.BOILERPLATE}')", "possible_mojibake": _holds(c, validation.MOJIBAKE),
+    }
+
+
+@query("SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in _flags_sql("text").items()) + " FROM documents")
+def document_flags(spark, d):
+    return table(spark, d, "documents").select("doc_id", *(c.alias(n) for n, c in validation.text_flags(F.col("text")).items()))
+
+
+@query("SELECT page_id, " + ", ".join(f"{v} AS {k}" for k, v in _flags_sql("html").items()) + " FROM pages")
+def page_flags(spark, d):
+    return table(spark, d, "pages").select("page_id", *(c.alias(n) for n, c in validation.text_flags(F.col("html")).items()))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_words('text')} AS w FROM documents)
+SELECT doc_id, CASE WHEN len(w) >= 3 THEN len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')))) ELSE 1 END::BIGINT AS n_shingles FROM w""")
+def shingle_counts(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
+    return rows.select("doc_id", F.size(F.array_distinct(T.shingles(F.col("w"), 3))).cast("long").alias("n_shingles"))
+
+
+@query(f"SELECT t AS token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({_content('text')}) AS t FROM documents) GROUP BY t HAVING count(*) >= 20")
+def frequent_terms(spark, d):
+    each = table(spark, d, "documents").select("doc_id", F.explode(T.content(T.tokens(F.col("text")))).alias("token")).groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    return each.groupBy("token").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_docs")).where("n >= 20")
+
+
+# records
+
+
+_PAIRS_SQL = """turns AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+pairs AS (SELECT conv_id, turn, text AS query, answer FROM turns WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+def conversation_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(conv_id, turn, query, answer): user turns with the assistant turn that follows."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, d, "conversations").withColumns({"next_role": F.lead("role").over(w), "answer": F.lead("text").over(w)})
+    return turns.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("query"), "answer")
+
+
+_RECORDS_SQL = f"""{_PAIRS_SQL}, recs AS (SELECT conv_id::VARCHAR AS example_id, arg_min(query, turn) AS query, list({{'doc_id': conv_id::VARCHAR || ':' || turn::VARCHAR, 'text': answer}} ORDER BY turn) AS positives FROM pairs GROUP BY conv_id)"""
+
+
+def conversation_records(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical records: a conversation's first question, its answers as positives, no negatives."""
+    doc = F.struct(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), F.col("answer").alias("text"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", doc.alias("d")))), lambda x: x["d"])
+    rows = conversation_pairs(spark, d).groupBy("conv_id").agg(F.min_by("query", "turn").alias("query"), listed.alias("positives"))
+    return rows.select(F.col("conv_id").cast("string").alias("example_id"), "query", "positives", F.array().cast("array<struct<doc_id:string,text:string>>").alias("hard_negatives"), F.lit("pl").alias("language"))
+
+
+_EARLY = {"empty_query": _SQUEEZED.format(c="query") + " = ''"}
+_LATE = {
+    "too_few_negatives": "true",
+    "same_text_different_ids": f"len(list_distinct(list_transform(positives, lambda p: {_FORM.format(c='p.text')}))) < len(positives)",
+    "high_query_passage_overlap": f"len(list_filter(positives, lambda p: len({_long_words('query')}) > 0 AND len(list_intersect({_long_words('query')}, {_long_words('p.text')}))::DOUBLE / len({_long_words('query')}) >= 0.85)) > 0",
+    "likely_non_polish": f"len({_words('query')}) >= 5 AND len(list_filter({_words('query')}, lambda x: list_contains({_list(T.POLISH_COMMON)}, x) OR regexp_matches(x, '[{T.POLISH_LETTERS}]')))::DOUBLE / len({_words('query')}) < 0.05",
+}
+for _rule, _test in _flags_sql("p.text").items():
+    _LATE[_rule] = f"len(list_filter(positives, lambda p: {_test})) > 0" + ("" if _rule in ("empty_document", "short_text") else f" OR {_flags_sql('query')[_rule]}")
+_ISSUES_SQL = f"{_RECORDS_SQL}, issued AS (SELECT example_id, list_sort(list_filter([{', '.join(f'CASE WHEN {t} THEN {chr(39)}{r}{chr(39)} END' for r, t in (_EARLY | _LATE).items())}], lambda x: x IS NOT NULL)) AS issues FROM recs)"
+
+
+@query(f"WITH {_ISSUES_SQL} SELECT example_id, array_to_string(issues, ',') AS issues, CASE WHEN list_has_any(issues, {_list(validation.MODES)}) THEN 'rejected' ELSE 'accepted' END AS route FROM issued")
+def validation_routes(spark, d):
+    return validation.routed(conversation_records(spark, d)).select("example_id", F.array_join("issues", ",").alias("issues"), "route")
+
+
+@query(f"WITH {_ISSUES_SQL} SELECT r AS rule, count(*) AS n FROM (SELECT unnest(issues) AS r FROM issued) GROUP BY r")
+def validation_counts(spark, d):
+    return validation.rule_counts(validation.routed(conversation_records(spark, d)))
+
+
+@query(f"""WITH {_PAIRS_SQL} SELECT conv_id, turn, {_jaccard(_long_words('query'), _long_words('answer'), 0.0)} AS word_jaccard,
+    {_jaccard(f"list_distinct({_content('query')})", f"list_distinct({_content('answer')})", 0.0)} AS content_jaccard,
+    CASE WHEN len(list_distinct({_content('query')})) > 0 THEN len(list_intersect({_content('query')}, {_content('answer')}))::DOUBLE / len(list_distinct({_content('query')})) ELSE 0 END AS query_precision,
+    CASE WHEN len(list_distinct({_content('answer')})) > 0 THEN len(list_intersect({_content('query')}, {_content('answer')}))::DOUBLE / len(list_distinct({_content('answer')})) ELSE 0 END AS passage_recall FROM pairs""")
+def lexical_overlap(spark, d):
+    rows = conversation_pairs(spark, d).select("conv_id", "turn", T.long_words(F.col("query")).alias("wq"), T.long_words(F.col("answer")).alias("wa"), F.array_distinct(T.content(T.tokens(F.col("query")))).alias("q"), F.array_distinct(T.content(T.tokens(F.col("answer")))).alias("a"))
+    both = F.array_intersect("q", "a")
+    return rows.select("conv_id", "turn", T.jaccard(F.col("wq"), F.col("wa")).alias("word_jaccard"), T.jaccard(F.col("q"), F.col("a")).alias("content_jaccard"), T.share(both, F.col("q")).alias("query_precision"), T.share(both, F.col("a")).alias("passage_recall"))
+
+
+@query(f"""WITH {_RECORDS_SQL}, e AS (SELECT example_id, query, len(positives)::BIGINT AS positive_count, unnest(list_sort(positives)) AS p FROM recs),
+n AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY p.doc_id) - 1 AS positive_index FROM e)
+SELECT example_id, positive_index, positive_count, p.doc_id AS doc_id, length(query)::BIGINT AS query_chars, length(p.text)::BIGINT AS passage_chars, len({_words('query')})::BIGINT AS query_words, len({_words('p.text')})::BIGINT AS passage_words,
+    CASE WHEN len({_long_words('query')}) > 0 THEN {_jaccard(_long_words('query'), _long_words('p.text'), 0.0)} ELSE 0 END AS lexical_overlap FROM n""")
+def inverted_pairs(spark, d):
+    return records.inverted(conversation_records(spark, d))
+
+
+@query("""SELECT lang, count(*) AS n_pairs, min(doc_id) AS first_pair, count(DISTINCT source) > 1 AS drift FROM documents GROUP BY lang""")
+def consolidated_sources(spark, d):
+    return records.consolidated(table(spark, d, "documents"), "lang", "doc_id", "source")
+
+
+@query("SELECT source, count(DISTINCT lang) AS n_values FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1")
+def source_conflicts(spark, d):
+    return validation.conflicts(table(spark, d, "documents"), "source", "lang")
+
+
+@query("""SELECT 'missing' AS problem, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT 'orphan', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'duplicate_left', doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT 'duplicate_right', doc_id FROM labels GROUP BY doc_id HAVING count(*) > 1""")
+def label_coverage(spark, d):
+    return validation.coverage(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
+
+
+# duplicates and splits
+
+
+@query(f"""WITH g AS (SELECT doc_id, {_FORM.format(c='text')} AS k FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS canonical, count(*) OVER (PARTITION BY k) AS group_size FROM g""")
+def normal_form_groups(spark, d):
+    return dedup.exact_groups(table(spark, d, "documents").select("doc_id", "text"), F.sha2(T.normal_form(F.col("text")), 256), "doc_id").select("doc_id", "canonical", "group_size")
+
+
+@query()
+def near_clusters(spark, d):
+    return dedup.near_clusters(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -l_suppkey AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09), und AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, root) AS (SELECT DISTINCT a, a FROM und UNION SELECT und.b, r.root FROM r JOIN und ON und.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node""")
+def order_components(spark, d):
+    edges = table(spark, d, "lineitem").where("l_quantity >= 50 and l_discount >= 0.09").select(F.col("l_orderkey").alias("a"), (-F.col("l_suppkey")).alias("b"))
+    return dedup.components(edges)
+
+
+@query(f"""WITH a AS (SELECT doc_id, len(s) AS na, unnest(s) AS s FROM (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM (SELECT doc_id, {_words('text')} AS w FROM documents) WHERE len(w) >= 5)),
+b AS (SELECT item_id, len(s) AS nb, unnest(s) AS s FROM (SELECT item_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM (SELECT item_id, {_words('text')} AS w FROM benchmark) WHERE len(w) >= 5)),
+c AS (SELECT doc_id, item_id, na, nb, count(*) AS n FROM a JOIN b ON a.s = b.s GROUP BY ALL) SELECT doc_id, item_id, n::DOUBLE / (na + nb - n) AS similarity FROM c WHERE n::DOUBLE / (na + nb - n) >= 0.02""")
+def benchmark_overlap(spark, d):
+    runs = lambda df, i: df.select(i, T.words(F.col("text")).alias("w")).where(F.size("w") >= 5).select(i, F.array_distinct(T.shingles(F.col("w"), 5)).alias("shingles"))
+    return dedup.shingle_overlap(runs(table(spark, d, "documents"), "doc_id"), runs(table(spark, d, "benchmark"), "item_id"), "doc_id", "item_id", 0.02)
+
+
+_SPLIT = {"train": 0.8, "dev": 0.1, "test": 0.1}
+_PLACE = "(('0x' || substr(sha256({c}::VARCHAR), 1, 8))::BIGINT / 4294967296.0)"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_PLACE.format(c='doc_id')} < 0.8 THEN 'train' WHEN {_PLACE.format(c='doc_id')} < 0.9 THEN 'dev' ELSE 'test' END AS split FROM documents")
+def hash_splits(spark, d):
+    return table(spark, d, "documents").select("doc_id", dedup.hash_split(F.col("doc_id"), _SPLIT).alias("split"))
+
+
+@query(f"SELECT md5(text) AS content, count(DISTINCT CASE WHEN {_PLACE.format(c='doc_id')} < 0.8 THEN 'train' WHEN {_PLACE.format(c='doc_id')} < 0.9 THEN 'dev' ELSE 'test' END) AS n_splits FROM documents GROUP BY content HAVING n_splits > 1")
+def split_leaks(spark, d):
+    rows = table(spark, d, "documents").select(F.md5("text").alias("content"), dedup.hash_split(F.col("doc_id"), _SPLIT).alias("split"))
+    return dedup.leaks(rows, "content", "split")
+
+
+@query()
+def balanced_split(spark, d):
+    """Groups of equal texts go whole to one split, near the shares."""
+    groups = normal_form_groups(spark, d).groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
+    return dedup.greedy_split(groups, _SPLIT, "canonical", "n")
+
+
+# retrieval
+
+
+_BM25_SQL = f"""docs AS (SELECT doc_id AS doc, list_filter({_words('text')}, lambda t: length(t) > 1) AS w FROM documents), stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM docs),
+post AS (SELECT doc, t AS term, count(*) AS tf, any_value(len) AS len FROM (SELECT doc, len(w) AS len, unnest(w) AS t FROM docs) GROUP BY doc, t), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+q AS (SELECT DISTINCT item_id AS query, unnest(list_filter({_words('text')}, lambda t: length(t) > 1)) AS term FROM benchmark),
+scores AS (SELECT query, doc, sum(log10((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score FROM q JOIN df USING (term) JOIN post USING (term), stats GROUP BY query, doc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM scores)"""
+
+
+def bm25_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """(query, doc, score, rank) of all documents that share a term with a benchmark item. Scores are ranked to nine decimals,
+    so that sums in another order rank alike."""
+    docs, queries = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark")
+    terms = F.filter(T.words(F.col("text")), lambda w: F.length(w) > 1)
+    scores = retrieval.bm25_scores(retrieval.postings(docs, "doc_id", terms), retrieval.corpus_size(docs, terms), queries, "item_id", terms)
+    order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc")
+    return scores.withColumn("rank", F.row_number().over(order).cast("long"))
+
+
+@query(f"WITH {_BM25_SQL} SELECT query, doc, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
+def bm25_top10(spark, d):
+    return bm25_ranked(spark, d).where("rank <= 10").select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {_BM25_SQL} SELECT item_id AS query, count(*) FILTER (score >= 5) AS n_effective, count(*) FILTER (score >= 5) = 0 OR count(*) FILTER (score >= 5) >= 20 AS ambiguous FROM benchmark LEFT JOIN scores ON query = item_id GROUP BY item_id")
+def bm25_effective(spark, d):
+    hits = bm25_ranked(spark, d).where("score >= 5").groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query")).join(hits, "query", "left").select("query", n.alias("n_effective"), ((n == 0) | (n >= 20)).alias("ambiguous"))
+
+
+_RELEVANT_SQL = "rel AS (SELECT item_id AS query, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text)), found AS (SELECT rel.query, rel.doc, CASE WHEN rank <= 100 THEN rank END AS rank FROM rel LEFT JOIN ranked USING (query, doc))"
+
+
+def relevant(spark: SparkSession, d: str) -> DataFrame:
+    """(query, doc): documents that contain the item's text. Candidates hold the item's second to sixth word in a row; then the
+    text is looked for. Items of fewer words are compared by their whole text."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage"), T.words(F.col("text")).alias("w"))
+    keyed = items.where(F.size("w") >= 7).select("query", "passage", F.array_join(F.slice("w", 2, 5), " ").alias("run"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    runs = docs.select("doc", F.explode(F.array_distinct(T.shingles(T.words(F.col("text")), 5))).alias("run"))
+    likely = runs.join(keyed, "run").select("doc", "query", "passage")
+    found = docs.join(likely, "doc").where(F.contains("text", "passage")).select("query", "doc").distinct()
+    short = items.where(F.size("w") < 7).select("query", "passage")
+    if short.isEmpty():
+        return found
+    return found.unionByName(docs.join(short, F.contains("text", "passage")).select("query", "doc"))
+
+
+@query(f"""WITH {_BM25_SQL}, {_RELEVANT_SQL}, nth AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank NULLS LAST) AS i FROM found)
+SELECT query, count(*) AS n_positives, avg((coalesce(rank, 1e18) <= 1)::INT)::DOUBLE AS recall_at_1, avg((coalesce(rank, 1e18) <= 5)::INT)::DOUBLE AS recall_at_5, avg((coalesce(rank, 1e18) <= 10)::INT)::DOUBLE AS recall_at_10, avg((coalesce(rank, 1e18) <= 100)::INT)::DOUBLE AS recall_at_100,
+    max(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0 END)::DOUBLE AS mrr_at_10, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / sum(CASE WHEN i <= 10 THEN 1 / log2(i + 1) ELSE 0 END) AS ndcg_at_10, avg(coalesce(i::DOUBLE / rank, 0)) AS average_precision FROM nth GROUP BY query""")
+def bm25_metrics(spark, d):
+    ranked = bm25_ranked(spark, d).where("rank <= 100").select("query", "doc", "rank")
+    return retrieval.metrics_from_ranks(relevant(spark, d).join(ranked, ["query", "doc"], "left"), "query", "rank")
+
+
+_DOT = "list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS query, c.vec_id AS doc, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) SELECT query, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+def dense_top10(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return retrieval.dense_scores(vectors, vectors.where("vec_id % 20 = 0"), 10, "vec_id", "embedding").select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+_POOL_SQL = "pools AS (SELECT l_orderkey AS query, max(l_extendedprice / 1000) FILTER (l_linenumber = 1) AS positive, list(l_extendedprice / 1000 ORDER BY l_linenumber) FILTER (l_linenumber > 1) AS negatives FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)"
+
+
+def pools(spark: SparkSession, d: str) -> DataFrame:
+    """(query, positive, negatives): an order's first line against the others, by price."""
+    score, first = (F.col("l_extendedprice") / 1000).cast("double"), F.col("l_linenumber") == 1
+    negatives = F.transform(F.array_sort(F.collect_list(F.when(~first, F.struct("l_linenumber", score.alias("s"))))), lambda x: x["s"])
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("query")).agg(F.max(F.when(first, score)).alias("positive"), negatives.alias("negatives")).where(F.size("negatives") > 0)
+
+
+@query(f"""WITH {_POOL_SQL}, r AS (SELECT *, len(list_filter(negatives, lambda n: n >= positive)) + 1 AS k, len(negatives) + 1 AS c FROM pools WHERE positive IS NOT NULL AND negatives IS NOT NULL)
+SELECT query, k::BIGINT AS pool_rank, c::BIGINT AS pool_candidate_count, (positive - list_max(negatives))::DOUBLE AS pool_margin, 1.0::DOUBLE / k AS pool_mrr, CASE WHEN k <= 10 THEN 1 / log2(k + 1) ELSE 0 END AS pool_ndcg_at_10, (k <= 1)::INT::DOUBLE AS pool_recall_at_1,
+    CASE WHEN c >= 5 THEN (k <= 5)::INT::DOUBLE END AS pool_recall_at_5, positive - list_max(negatives) <= 0.1 AS near_zero, greatest(positive, list_max(negatives)) - least(positive, list_min(negatives)) <= 0.1 AS all_close FROM r""")
+def pool_metrics(spark, d):
+    rows = pools(spark, d).where("positive is not null")
+    return rows.select("query", *(c.alias(n) for n, c in retrieval.pool_metrics(F.col("positive"), F.col("negatives")).items()))
+
+
+_GRADED_SQL = "graded AS (SELECT l_suppkey AS query, l_quantity::DOUBLE + 10 * (l_returnflag = 'R')::INT AS score, l_returnflag = 'R' AS positive FROM lineitem)"
+
+
+@query(f"""WITH {_GRADED_SQL}, sizes AS (SELECT query, count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nn FROM graded GROUP BY query HAVING np > 0 AND nn > 0),
+w AS (SELECT score, sum(CASE WHEN positive THEN 1.0 / np ELSE 0 END) / (SELECT count(*) FROM sizes) AS p, sum(CASE WHEN positive THEN 0 ELSE 1.0 / nn END) / (SELECT count(*) FROM sizes) AS q FROM graded JOIN sizes USING (query) GROUP BY score),
+c AS (SELECT score, sum(p) OVER o AS tpr, sum(q) OVER o AS fpr FROM w WINDOW o AS (ORDER BY score DESC)) SELECT score AS threshold, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr, round(tpr - fpr, 9) AS j FROM c ORDER BY round(tpr - fpr, 12) DESC, score DESC LIMIT 1""")
+def youden_threshold(spark, d):
+    graded = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query"), (F.col("l_quantity").cast("double") + 10 * (F.col("l_returnflag") == "R").cast("int")).alias("score"), (F.col("l_returnflag") == "R").alias("positive"))
+    return retrieval.youden_threshold(graded).select("threshold", *(F.round(c, 9).alias(c) for c in ("tpr", "fpr", "j")))
+
+
+_MINERS_SQL = """price AS (SELECT o_custkey AS query, o_orderkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 3),
+recent AS (SELECT o_custkey AS query, o_orderkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 3)"""
+
+
+@query(f"""WITH {_MINERS_SQL}, u AS (SELECT query, doc, a.rank AS rank_a, b.rank AS rank_b, least(a.rank, b.rank) AS best FROM price a FULL JOIN recent b USING (query, doc)) SELECT *, row_number() OVER (PARTITION BY query ORDER BY best, doc) AS position FROM u""")
+def ranked_union(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("doc"), "o_totalprice", "o_orderdate")
+    miner = lambda c: retrieval.top_k(orders.select("query", "doc", F.col(c).alias("score")), 3).select("query", "doc", "rank")
+    return retrieval.ranked_union(miner("o_totalprice"), miner("o_orderdate"))
+
+
+@query("""SELECT o_orderkey, ('0x' || substr(sha256('probe:' || o_orderkey::VARCHAR), 1, 8))::BIGINT % 7 AS pick FROM orders""")
+def hash_picks(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", retrieval.hash_pick(F.col("o_orderkey"), F.lit(7), "probe").alias("pick"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity >= 40 AS flagged, CASE WHEN l_quantity >= 40 THEN 'demote' ELSE 'keep' END AS action FROM lineitem""")
+def false_negative_actions(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return retrieval.false_negative_actions(rows, "l_quantity", 40, "demote").drop("l_quantity")
+
+
+# statistics
+
+
+@query("SELECT o_orderpriority, count(o_totalprice) AS n, round(avg(o_totalprice::DOUBLE), 6) AS mean, round(min(o_totalprice::DOUBLE), 6) AS least, "
+    + ", ".join(f"round(quantile_cont(o_totalprice::DOUBLE, {p}), 6) AS {n}" for n, p in (("p05", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95)))
+    + ", round(max(o_totalprice::DOUBLE), 6) AS most FROM orders GROUP BY 1")
+def price_distribution(spark, d):
+    found = table(spark, d, "orders").withColumn("p", F.col("o_totalprice").cast("double")).groupBy("o_orderpriority").agg(*statistics.distribution("p"))
+    return found.select("o_orderpriority", "n", *(F.round(c, 6).alias(c) for c in found.columns[2:]))
+
+
+@query("""WITH h AS (SELECT length(text)::BIGINT AS chars, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT chars, sum(n) OVER (ORDER BY chars) AS run, sum(n) OVER () AS total FROM h) SELECT min(chars) AS chars FROM r WHERE run >= greatest(1, round_even(total * 0.9, 0))""")
+def length_p90(spark, d):
+    histogram = table(spark, d, "documents").groupBy(F.length("text").cast("long").alias("chars")).agg(F.count(F.lit(1)).alias("n"))
+    return statistics.nearest_rank(histogram, "chars", "n", 0.9)
+
+
+@query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), t AS (SELECT *, n / sum(n) OVER (PARTITION BY source) AS p FROM c) SELECT source, round(-sum(p * log2(p)), 9) AS entropy_bits FROM t GROUP BY source""")
+def language_entropy(spark, d):
+    counts = table(spark, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return statistics.entropy(counts, ["source"]).select("source", (F.round("entropy_bits", 9) + 0.0).alias("entropy_bits"))
+
+
+@query("""WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n) AS i FROM c) SELECT 2 * sum(i * n)::DOUBLE / (count(*) * sum(n)) - (count(*) + 1)::DOUBLE / count(*) AS gini FROM r""")
+def user_gini(spark, d):
+    return statistics.gini(table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("""WITH s AS (SELECT unnest([{'field': 'l_returnflag', 'value': coalesce(l_returnflag, 'unknown')}, {'field': 'l_linestatus', 'value': coalesce(l_linestatus, 'unknown')}, {'field': 'l_linenumber', 'value': coalesce(l_linenumber::VARCHAR, 'unknown')}]) AS s, l_quantity::DOUBLE AS m FROM lineitem) SELECT s.field AS field, s.value AS value, count(*) AS n, avg(m) AS mean FROM s GROUP BY ALL""")
+def slice_rollup(spark, d):
+    return statistics.slice_rollup(table(spark, d, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("double")), ["l_returnflag", "l_linestatus", "l_linenumber"], "l_quantity")
+
+
+@query("""SELECT l_returnflag, round(corr(l_quantity::DOUBLE, l_extendedprice::DOUBLE), 9) AS r FROM lineitem GROUP BY 1""")
+def price_correlation(spark, d):
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("a"), F.col("l_extendedprice").cast("double").alias("b"))
+    return rows.groupBy("l_returnflag").agg(F.round(statistics.pearson("a", "b"), 9).alias("r"))
+
+
+_RATED_SQL = "rated AS (SELECT l.doc_id, l.quality, 1 - l.toxic AS calm, CASE WHEN d.n_chars >= 1500 THEN 1 ELSE 0 END AS long FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+
+
+def rated(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return rows.select("doc_id", "quality", (1 - F.col("toxic")).alias("calm"), (F.col("n_chars") >= 1500).cast("int").alias("long"))
+
+
+@query(f"""WITH {_RATED_SQL}, l AS (SELECT unnest([0, 1]) AS label), c AS (SELECT label, count(*) FILTER (quality = label) AS support, count(*) FILTER (long = label) AS predicted_count, count(*) FILTER (quality = label AND long = label) AS hits FROM l, rated GROUP BY label)
+SELECT label, support, predicted_count, hits, hits::DOUBLE / nullif(predicted_count, 0) AS precision, hits::DOUBLE / nullif(support, 0) AS recall, 2.0::DOUBLE * hits / (support + predicted_count) AS f1 FROM c WHERE support + predicted_count > 0""")
+def rule_confusion(spark, d):
+    return statistics.confusion(rated(spark, d), "quality", "long")
+
+
+@query(f"""WITH {_RATED_SQL}, o AS (SELECT count(*) AS n, avg((quality = calm)::INT) AS observed, avg(quality) * avg(calm) + (1 - avg(quality)) * (1 - avg(calm)) AS expected FROM rated) SELECT n, observed, round(expected, 9) AS expected, round((observed - expected) / (1 - expected), 9) AS kappa FROM o""")
+def rater_kappa(spark, d):
+    return statistics.cohen_kappa(rated(spark, d), "quality", "calm").select("n", "observed", F.round("expected", 9).alias("expected"), F.round("kappa", 9).alias("kappa"))
+
+
+@query(f"""WITH {_RATED_SQL}, r AS (SELECT doc_id, unnest([quality, calm, long]) AS label FROM rated), e AS (SELECT doc_id, label, count(*) AS c FROM r GROUP BY ALL), a AS (SELECT count(*) AS items, avg(x) / 6 AS agreement FROM (SELECT doc_id, sum(c * (c - 1)) AS x FROM e GROUP BY doc_id)),
+x AS (SELECT sum((t / (items * 3.0)) ** 2) AS expected FROM (SELECT label, sum(c) AS t FROM e GROUP BY label), a) SELECT items, agreement, round(expected, 9) AS expected, round((agreement - expected) / (1 - expected), 9) AS kappa FROM a, x""")
+def raters_fleiss(spark, d):
+    each = rated(spark, d).select("doc_id", F.explode(F.array("quality", "calm", "long")).alias("label"))
+    return statistics.fleiss_kappa(each, "doc_id", "label", 3).select("items", "agreement", F.round("expected", 9).alias("expected"), F.round("kappa", 9).alias("kappa"))
+
+
+@query("""WITH c AS (SELECT median(o_totalprice::DOUBLE) AS m FROM orders), s AS (SELECT greatest(1.4826 * median(abs(o_totalprice::DOUBLE - m)), 1e-8) AS s FROM orders, c) SELECT o_orderkey, (o_totalprice::DOUBLE - m) / s AS z FROM orders, c, s""")
+def robust_z(spark, d):
+    return statistics.robust_z(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("v")), "v").select("o_orderkey", "z")
+
+
+@query("""WITH c AS (SELECT p_size AS v, count(*) AS n FROM part GROUP BY 1), b AS (SELECT v, n, coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l, sum(n) OVER () AS total FROM c) SELECT p_partkey, CASE WHEN total = 1 THEN 0.5 ELSE (2 * l + n - 1) / 2 / (total - 1) END::DOUBLE AS percentile FROM part JOIN b ON p_size = v""")
+def size_percentiles(spark, d):
+    return statistics.midrank(table(spark, d, "part").select("p_partkey", "p_size"), "p_size").select("p_partkey", "percentile")
+
+
+@query("""SELECT c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) - 1) * 4 // count(*) OVER (PARTITION BY c_nationkey) AS bucket FROM customer""")
+def balance_buckets(spark, d):
+    return statistics.rank_buckets(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_acctbal", "c_custkey", 4, ["c_nationkey"]).select("c_custkey", "bucket")
+
+
+@query(f"""WITH {_PAIRS_SQL}, t AS (SELECT {_words('query')}[1] AS w FROM pairs), c AS (SELECT w AS first_word, count(*) AS n FROM t WHERE w IS NOT NULL GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, first_word) AS i, sum(n) OVER () AS total FROM c)
+SELECT sum(n)::BIGINT AS queries, count(*) AS distinct_first_words, sum(n) FILTER (i <= 1)::DOUBLE / any_value(total) AS top_1, sum(n) FILTER (i <= 3)::DOUBLE / any_value(total) AS top_3, sum(n) FILTER (i <= 5)::DOUBLE / any_value(total) AS top_5, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 9) AS entropy_bits FROM r""")
+def first_word_monotony(spark, d):
+    first = conversation_pairs(spark, d).select(F.get(T.words(F.col("query")), 0).alias("first_word")).where("first_word is not null")
+    counts = first.groupBy("first_word").agg(F.count(F.lit(1)).alias("n"))
+    head = counts.orderBy(F.desc("n"), "first_word").limit(5).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "first_word", "n"))).alias("h"))
+    top = lambda k: F.aggregate(F.slice("h", 1, k), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    whole = counts.agg(F.sum("n").alias("queries"), F.count(F.lit(1)).alias("distinct_first_words"), F.round(F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n"), 9).alias("entropy_bits"))
+    return whole.join(F.broadcast(head)).select("queries", "distinct_first_words", *((top(k) / F.col("queries")).alias(f"top_{k}") for k in (1, 3, 5)), "entropy_bits")
+
+
+@query(f"""WITH t AS (SELECT conv_id AS g, turn AS i, {_tokens('text')} AS toks, list_distinct({_content('text')}) AS terms, {_FORM.format(c='text')} AS form FROM conversations WHERE role = 'user'),
+m AS (SELECT g, count(*) AS n, flatten(list(toks)) AS one, flatten(list(CASE WHEN len(toks) >= 2 THEN list_transform(range(1, len(toks)), lambda k: toks[k] || ' ' || toks[k + 1]) ELSE [] END)) AS two, 1 - count(DISTINCT form)::DOUBLE / count(*) AS duplicate_share FROM t GROUP BY g),
+p AS (SELECT a.g AS g, {_jaccard('a.terms', 'b.terms', 1.0)} AS j FROM t a JOIN t b ON a.g = b.g AND a.i < b.i), j AS (SELECT g, avg(j) AS mean_jaccard, max(j) AS max_jaccard FROM p GROUP BY g)
+SELECT m.g AS conv_id, n, len(list_distinct(one))::DOUBLE / nullif(len(one), 0) AS distinct_1, len(list_distinct(two))::DOUBLE / nullif(len(two), 0) AS distinct_2, mean_jaccard, max_jaccard, duplicate_share FROM m LEFT JOIN j ON m.g = j.g""")
+def question_diversity(spark, d):
+    return selection.group_diversity(table(spark, d, "conversations").where("role = 'user'"), "conv_id", "turn", "text")
+
+
+@query("""WITH a AS (SELECT s_suppkey AS arm, s_acctbal::DOUBLE AS up, (s_suppkey * 37 % 101)::DOUBLE AS down FROM supplier) SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.up >= a.up AND b.down <= a.down AND (b.up > a.up OR b.down < a.down))""")
+def pareto_arms(spark, d):
+    arms = table(spark, d, "supplier").select(F.col("s_suppkey").alias("arm"), F.col("s_acctbal").cast("double").alias("up"), (F.col("s_suppkey") * 37 % 101).cast("double").alias("down"))
+    return statistics.pareto_front(arms, "arm", ["up"], ["down"])
+
+
+@query("""WITH f AS (SELECT user_id, arg_min(event_type, event_id) AS before FROM events GROUP BY 1), l AS (SELECT user_id, arg_max(event_type, event_id) AS after FROM events GROUP BY 1), c AS (SELECT before, after, count(*) AS n FROM f JOIN l USING (user_id) GROUP BY ALL) SELECT *, n / sum(n) OVER (PARTITION BY before) AS share FROM c""")
+def event_transitions(spark, d):
+    events = table(spark, d, "events")
+    first, last = events.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("t")), events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("t"))
+    return statistics.transitions(first, last, "user_id", "t")
+
+
+@query("""WITH r AS (SELECT l_discount::DOUBLE * 10 AS c, l_returnflag = 'N' AS ok FROM lineitem) SELECT least(floor(c * 4), 3)::BIGINT AS bin, count(*) AS n, avg(c) AS mean_confidence, avg(ok::INT) AS accuracy FROM r GROUP BY 1""")
+def discount_reliability(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_discount").cast("double") * 10).alias("c"), (F.col("l_returnflag") == "N").alias("ok"))
+    return statistics.reliability(rows, "c", "ok", 4)
+
+
+@query()
+def tax_bootstrap(spark, d):
+    """Quantity of returned against other lines, by supplier, resampled over suppliers."""
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("double"))).alias("left"), F.avg(F.when(F.col("l_returnflag") != "R", F.col("l_quantity").cast("double"))).alias("right"))
+    return statistics.paired_bootstrap(rows.withColumn("metric", F.lit("quantity")), "metric", "left", "right", "l_suppkey", 500)
+
+
+# selection and pairs
+
+
+@query("""SELECT o_orderkey, sha256('panel:' || o_orderkey::VARCHAR) AS order_key FROM orders ORDER BY order_key, o_orderkey LIMIT 100""")
+def hash_panel(spark, d):
+    return selection.hash_sample(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 100, "panel")
+
+
+@query("""SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem QUALIFY rank <= 2""")
+def top_lines(spark, d):
+    return selection.top_per_group(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_orderkey"], "l_extendedprice", "l_linenumber", 2).select("l_orderkey", "l_linenumber", "rank")
+
+
+_QUOTA_SQL = """c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), x AS (SELECT lang, n, n::DOUBLE * 97 / sum(n) OVER () AS x FROM c), f AS (SELECT *, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, lang) AS i, 97 - sum(floor(x)) OVER () AS rest FROM x), quota AS (SELECT lang, n, (floor(x) + (i <= rest)::INT)::BIGINT AS quota FROM f)"""
+
+
+def _quotas(spark: SparkSession, d: str) -> DataFrame:
+    return selection.largest_remainder(table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang", "n", 97)
+
+
+@query(f"WITH {_QUOTA_SQL} SELECT * FROM quota")
+def language_quotas(spark, d):
+    return _quotas(spark, d)
+
+
+@query(f"""WITH {_QUOTA_SQL}, r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('strata:' || doc_id::VARCHAR), doc_id) AS i FROM documents) SELECT doc_id, r.lang AS lang FROM r JOIN quota ON r.lang = quota.lang WHERE i <= quota""")
+def stratified_sample(spark, d):
+    return selection.stratified_sample(table(spark, d, "documents").select("doc_id", "lang"), _quotas(spark, d), "lang", "doc_id", "strata").select("doc_id", "lang")
+
+
+@query("""WITH f AS (SELECT l_suppkey, l_returnflag, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY ALL HAVING n = 7) SELECT l_suppkey FROM f GROUP BY 1 HAVING count(*) = 3""")
+def complete_groups(spark, d):
+    return selection.common_groups(table(spark, d, "lineitem"), "l_suppkey", "l_returnflag", "l_linenumber", 7, 3)
+
+
+@query("""SELECT coalesce(o_orderstatus, 'all') AS status, coalesce(o_orderpriority, 'all') AS priority, count(*) AS n, avg(o_totalprice::DOUBLE) AS mean FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), (o_orderpriority), ())""")
+def difficulty_rollup(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_totalprice").cast("double").alias("p"))
+    return rows.cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean")).select(F.coalesce("o_orderstatus", F.lit("all")).alias("status"), F.coalesce("o_orderpriority", F.lit("all")).alias("priority"), "n", "mean")
+
+
+def question_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """(conv_id, turn, quality, terms) of user turns; quality by length."""
+    rows = table(spark, d, "conversations").where("role = 'user'")
+    return rows.select("conv_id", "turn", (F.length("text") / 100.0).alias("quality"), F.array_distinct(T.content(T.tokens(F.col("text")))).alias("terms"))
+
+
+@query()
+def covering_questions(spark, d):
+    return selection.greedy_cover(question_candidates(spark, d), "conv_id", "turn", 2, coverage=0.2, duplicate=1.0)
+
+
+_PREFERENCE_SQL = f"""c AS (SELECT lang AS split, source AS passage, doc_id AS candidate, text AS query, n_chars / 1000.0::DOUBLE AS score, n_chars < 20000 AS chosen_ok, n_chars >= 100 AS rejected_ok FROM documents),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split, passage ORDER BY score DESC, candidate) AS i FROM c WHERE chosen_ok) WHERE i = 1),
+p AS (SELECT b.split AS split, b.passage AS passage, b.candidate AS chosen, r.candidate AS rejected, b.score - r.score AS margin, row_number() OVER (PARTITION BY b.split, b.passage ORDER BY r.score DESC, r.candidate) AS rank FROM best b JOIN c r ON b.split = r.split AND b.passage = r.passage
+    WHERE r.rejected_ok AND r.candidate <> b.candidate AND b.score - r.score >= 0.5 AND {_jaccard(f"list_distinct({_words('b.query')})", f"list_distinct({_words('r.query')})", 1.0)} <= 0.5)"""
+
+
+def _preferences(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_chars")
+    c = table(spark, d, "documents").select(F.col("lang").alias("split"), F.col("source").alias("passage"), F.col("doc_id").alias("candidate"), F.col("text").alias("query"), (n / 1000.0).alias("score"), (n < 20000).alias("chosen_ok"), (n >= 100).alias("rejected_ok"))
+    return selection.preference_pairs(c, 0.5, 0.5, 2)
+
+
+@query(f"WITH {_PREFERENCE_SQL} SELECT split, passage, chosen, rejected, round(margin, 9) AS margin, rank FROM p WHERE rank <= 2")
+def preference_pairs(spark, d):
+    return _preferences(spark, d).withColumn("margin", F.round("margin", 9))
+
+
+@query(f"WITH {_PREFERENCE_SQL} SELECT split, passage, substr(sha256(chosen::VARCHAR || chr(0) || string_agg(rejected::VARCHAR, chr(0) ORDER BY rank)), 1, 24) AS set_id, chosen, count(*) AS n_rejected FROM p WHERE rank <= 2 GROUP BY split, passage, chosen")
+def preference_sets(spark, d):
+    return selection.pair_sets(_preferences(spark, d))
+
+
+@query(f"""WITH {_PAIRS_SQL}, h AS (SELECT *, conv_id::VARCHAR || ':' || turn::VARCHAR AS id FROM pairs), s AS (SELECT *, sha256('blind:' || id) AS dg FROM h), w AS (SELECT *, ('0x' || substr(dg, 1, 2))::INT >= 128 AS swapped FROM s)
+SELECT id, swapped, md5(CASE WHEN swapped THEN answer ELSE query END) AS a, md5(CASE WHEN swapped THEN query ELSE answer END) AS b, sha256(dg || ':' || CASE WHEN swapped THEN 'swapped' ELSE 'straight' END) AS commitment FROM w""")
+def blind_pairs(spark, d):
+    rows = conversation_pairs(spark, d).withColumn("id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return selection.blind_export(rows, "id", "query", "answer", "blind").select("id", "swapped", F.md5("shown_a").alias("a"), F.md5("shown_b").alias("b"), "commitment")
+
+
+# fingerprints and journals
+
+
+@query("""WITH h AS (SELECT sha256(doc_id::VARCHAR) AS h FROM documents), p AS (SELECT substr(h, 1, 2) AS b, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS d FROM h GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM p""")
+def ids_digest(spark, d):
+    return records.ids_digest(table(spark, d, "documents"), "doc_id")
+
+
+@query("""SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value, count(*) AS n_events FROM events GROUP BY 1""")
+def journal_state(spark, d):
+    return records.journal_state(table(spark, d, "events"), "user_id", "ts", "event_id", ["event_type", "value"])
+
+
+@query("""SELECT event_id, count(*) OVER w AS requests_in_window, round(sum(value) OVER w, 6) AS amount_in_window, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id))) / 1e6 AS gap_seconds FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)""")
+def rolling_budget(spark, d):
+    return records.rolling_budget(table(spark, d, "events"), "event_type", "ts", "event_id", "value").select("event_id", "requests_in_window", F.round("amount_in_window", 6).alias("amount_in_window"), "gap_seconds")
+
+
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS requests, round(sum(value), 6) AS amount FROM events GROUP BY 1, 2""")
+def hourly_usage(spark, d):
+    return ledger.usage(table(spark, d, "events"), "event_type", "ts", "value").withColumn("amount", F.round("amount", 6))
