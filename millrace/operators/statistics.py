@@ -143,7 +143,7 @@ def paired_bootstrap(pairs: DataFrame, metric: str, left: str, right: str, id_co
 
 def poisson_bootstrap(pairs: DataFrame, metric: str, left: str, right: str, id_col: str, samples: int = 200) -> DataFrame:
     """As paired_bootstrap, for any number of queries: each query counts Poisson(1) times in each sample, by a hash of both.
-    Sums combine before the shuffle, so that a metric makes `samples` rows."""
+    Sums combine before the shuffle, so that a metric makes `samples` rows. A sample in which no query counts is left out."""
     u = F.pmod(F.xxhash64(F.col(id_col), F.col("sample")), F.lit(1 << 52)) / float(1 << 52)
     weight, cut, term = F.lit(0), 0.0, 0.36787944117144233
     for k in range(1, 9):
@@ -151,5 +151,5 @@ def poisson_bootstrap(pairs: DataFrame, metric: str, left: str, right: str, id_c
         weight, term = F.when(u >= cut, k).otherwise(weight), term / k
     diff = F.col(right) - F.col(left)
     drawn = pairs.select(F.col(metric).alias("metric"), id_col, diff.alias("__d"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample")).where("__d is not null")
-    means = drawn.groupBy("metric", "sample").agg((F.sum(weight * F.col("__d")) / F.sum(weight)).alias("mean"))
+    means = drawn.groupBy("metric", "sample").agg(F.try_divide(F.sum(weight * F.col("__d")), F.sum(weight)).alias("mean")).where("mean is not null")
     return means.groupBy("metric").agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), F.avg((F.col("mean") > 0).cast("double")).alias("win_share"))
