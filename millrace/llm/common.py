@@ -58,5 +58,6 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose row_key is in kept(__key), one of each key, with all their columns."""
-    return docs.withColumn("__key", row_key(id_col, text_col)).join(kept.select("__key"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    """The rows of docs whose row_key is in kept(__key), one of each key, with all their columns, whatever these are called."""
+    rows = docs.select(row_key(id_col, text_col).alias("__key"), F.struct("*").alias("__row"))
+    return rows.join(kept.select("__key"), "__key", "left_semi").dropDuplicates(["__key"]).select("__row.*")

@@ -11,8 +11,8 @@ Features, strata and verdicts are columns of the row itself; only the labelled c
 (MOST_STRATA + 1) x rules x cutoffs rows.
 
 Nulls: a null text has no words (and fails the base rule), a null stratum is pooled with rare ones, null labels are left out.
-Repeated rows each get their verdict. Extra columns pass through with_features and with_verdicts; names that begin with
-two underscores are theirs."""
+Repeated rows each get their verdict. Extra columns pass through Verdicts.keep, whatever they are called. An empty table has no
+verdicts; without labels only the base rules reject."""
 
 from __future__ import annotations
 
@@ -160,8 +160,5 @@ class Verdicts:
 
     def keep(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """The rows of docs that are kept, with all their columns and no others."""
-        named = docs.select("*", F.col(text_col).alias("__text"), F.col(self.stratum_col).alias("__value"))
-        extra = [c for c in docs.columns if c in FEATURES]  # names that clash go aside meanwhile
-        renamed = named.withColumnsRenamed({c: f"__own_{c}" for c in extra})
-        back = [F.col(f"__own_{c}").alias(c) if c in extra else F.col(c) for c in docs.columns]
-        return with_features(renamed, "__text").where(self.kept("__value")).select(*back)
+        rows = docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text"), F.col(self.stratum_col).alias("__value"))
+        return with_features(rows, "__text").where(self.kept("__value")).select("__row.*")
