@@ -5,6 +5,9 @@ run of characters other than letters and numbers one space, equivalent spellings
 with the digests of the known licences. A document is a licence if the whole text is one, however it is spaced, cased,
 punctuated or spelled, and whoever holds the copyright.
 
+Notices and licences that stand inside longer texts are found by units: a text is cut at line breaks and after sentences, and
+the digest of every run of units that is as long as a known form is looked up as well.
+
 Nulls: a null text counts as empty; an empty form is no licence. Repeated rows each get their answer; of known licences with one
 form the first id counts. Extra columns don't matter."""
 
@@ -78,3 +81,70 @@ def scanned(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_
         digests = known_digests(known)
     rows = docs.select(F.col(id_col), F.sha2(canonical(F.col(text_col)), 256).alias("canonical_sha256"))
     return rows.join(digests, rows["canonical_sha256"] == digests["digest"], "left").select(id_col, "canonical_sha256", "license_id")
+
+
+#: Stands between units: neither a letter nor a number, in no known text.
+UNIT = "\ue000"
+#: Units that a run has at most; a hard-wrapped licence has one for each line.
+LONGEST_RUN = 500
+
+
+def _marked(text: Column) -> Column:
+    """The canonical form with UNIT as a word between units (lines, and what ends with . ! or ? before white space)."""
+    out = F.translate(F.lower(F.coalesce(text, F.lit(""))), UNIT, " ")
+    for pattern, to in LINES:
+        out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
+    out = F.regexp_replace(out, r"\n|[.!?][^\p{L}\p{N}\s]*\s", f" {UNIT} ")
+    out = F.concat(F.lit(" "), F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}{UNIT}]+", " "), F.lit(" "))
+    for pattern, to in SPELLINGS:
+        out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
+    return out
+
+
+def _unmarked(marked: Column) -> Column:
+    """canonical() of the text: without marks, and levelling the spellings of two words that a mark stood between."""
+    out = F.regexp_replace(F.concat(F.lit(" "), F.translate(marked, UNIT, ""), F.lit(" ")), " +", " ")
+    for pattern, to in SPELLINGS:
+        if " " in pattern.strip():
+            out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
+    return F.btrim(out)
+
+
+def scanned_within(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, canonical_sha256, license_id, within) of each row: scanned(), and the sorted ids of the known licences that the
+    text is or that stand in it as whole units; of one inside another the longer counts.
+
+    The known forms are gathered on the driver and go along as one map, so that no row of docs is shuffled."""
+    spark = docs.sparkSession
+    if known is None:
+        known = spark.createDataFrame(list(KNOWN.items()), "license_id string, text string")
+    forms = known.select(canonical(F.col("text")).alias("form"), "license_id").where("form <> ''").groupBy("form").agg(F.min("license_id").alias("license_id"))
+    table = forms.select(F.sha2("form", 256), "license_id", F.length("form"), F.split_part("form", F.lit(" "), F.lit(1))).collect()
+    rows = docs.select(F.col(id_col).alias("__id"), _marked(F.col(text_col)).alias("__marked"))
+    # the generator keeps the form evaluated once
+    rows = rows.withColumn("__found", F.explode(F.array(F.struct(_unmarked(F.col("__marked")).alias("form"), F.filter(F.transform(F.split("__marked", UNIT), lambda u: F.btrim(u)), lambda u: u != "").alias("units")))))
+    rows = rows.select("__id", F.sha2("__found.form", 256).alias("canonical_sha256"), F.col("__found.units").alias("__units"))
+    if not table:
+        none = F.lit(None).cast("string")
+        return rows.select(F.col("__id").alias(id_col), "canonical_sha256", none.alias("license_id"), F.array().cast("array<string>").alias("within"))
+    ids = F.create_map(*(F.lit(x) for digest, license_id, *_ in table for x in (digest, license_id)))
+    lengths, firsts = sorted({r[2] for r in table}), sorted({r[3] for r in table})
+    starts = F.filter(F.transform("__units", lambda u, i: F.when(F.split_part(u, F.lit(" "), F.lit(1)).isin(firsts), i)), lambda i: i.isNotNull())
+
+    def runs(start: Column) -> Column:
+        """(start, end, digest) of the runs from a unit that are as long as a known form."""
+        acc = F.struct(F.lit(-1).alias("chars"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends"))
+        ends = F.aggregate(
+            F.slice("__units", start + 1, F.lit(LONGEST_RUN)),
+            acc,
+            lambda a, u: F.struct((a["chars"] + F.length(u) + 1).alias("chars"), (a["n"] + 1).alias("n"), F.when((a["chars"] + F.length(u) + 1).isin(lengths), F.concat(a["ends"], F.array(a["n"] + 1))).otherwise(a["ends"]).alias("ends")),
+            lambda a: a["ends"],
+        )
+        return F.transform(ends, lambda n: F.struct(start.alias("start"), (start + n).alias("end"), ids[F.sha2(_unmarked(F.array_join(F.slice("__units", start + 1, n), " ")), 256)].alias("id")))
+
+    rows = rows.withColumn("__hits", F.filter(F.flatten(F.transform(starts, runs)), lambda h: h["id"].isNotNull()))
+    inside = lambda h, g: (g["start"] <= h["start"]) & (g["end"] >= h["end"]) & (g["end"] - g["start"] > h["end"] - h["start"])
+    widest = F.filter("__hits", lambda h: ~F.exists("__hits", lambda g: inside(h, g)))
+    rows = rows.withColumn("license_id", ids[F.col("canonical_sha256")])
+    within = F.array_union(F.transform(widest, lambda h: h["id"]), F.when(F.col("license_id").isNull(), F.array().cast("array<string>")).otherwise(F.array("license_id")))
+    return rows.select(F.col("__id").alias(id_col), "canonical_sha256", "license_id", F.array_sort(within).alias("within"))

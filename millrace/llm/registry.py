@@ -25,6 +25,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scanned_within
+
+    return scanned_within(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -81,7 +87,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_license_scan, op4_exact_dedup, op5_quality_rules, op6_bpe, op7_token_counts, op8_warc, op9_html_extraction, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_license_scan, op3_license_notices, op4_exact_dedup, op5_quality_rules, op6_bpe, op7_token_counts, op8_warc, op9_html_extraction, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
