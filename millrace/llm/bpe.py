@@ -29,6 +29,8 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 #: Entries of a memo's generation; a worker holds two generations of each memo.
 MEMO = 350_000
+#: Longer words are encoded each time.
+LONGEST = 256
 #: Stands for the word-end suffix inside words; byte-level characters never include it.
 END = "\0"
 #: Control characters that str.split() takes for white space and the tokenizers' patterns don't.
@@ -38,6 +40,7 @@ _SPACES = regex.compile(r"\p{White_Space}+")
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
+_NFC = normalizers.NFC()
 #: Below this character regex and the tokenizers library agree about letters, numbers and case.
 _KNOWN = "\u0250"
 
@@ -78,6 +81,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -211,9 +216,10 @@ class Codec:
     def normalized(self, text: str) -> str:
         """NFC and lower case, letter by letter as the library; white space is left to the split."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if max(text) >= _KNOWN:
-                text = text.translate(self.cases)
+            if max(text) < _KNOWN:
+                text = unicodedata.normalize("NFC", text)
+            else:  # the library orders and joins marks by its own Unicode version
+                text = _NFC.normalize_str(text).replace("Σ", "σ").translate(self.cases)
         return text.lower()
 
     def split(self, text: str) -> list[str]:

@@ -14,10 +14,12 @@ SALTS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset (tests on one machine) a fresh local one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one machine gets a fresh local one, a cluster an error."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         context.setCheckpointDir(found)
     return found.rstrip("/")

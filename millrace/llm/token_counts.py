@@ -1,9 +1,10 @@
 """Token counts through a digest cache.
 
 The cache is a table of (tokenizer, content, n_tokens): the digest of the tokenizer's file, the digest of the normalised
-content, and the count. Texts are digested where they are read. The distinct digests that the cache lacks are joined with one
-text each, encoded, and appended; counts then come from the cache. Only digests move for texts that the cache knows, and of
-those that it lacks only one copy is encoded.
+content, and the count. Texts are digested where they are read; the digests are written with the rows' ids. The distinct
+digests that the cache lacks are the misses. One text of each is encoded and its count appended; all counts then come from
+the cache. Where the misses are few (at most FEW), their digests go to the texts and no other text moves; where they are many,
+texts are brought together by digest, one for each task and digest.
 
 Nulls: a null text counts as empty, a null id is kept. Repeated rows share a digest. Extra columns don't matter."""
 
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from .bpe import byte_characters
-from .common import fresh_path, keyed_summary, salt_of
+from .common import fresh_path, keyed_summary, salt_of, written
 
 SCHEMA = "tokenizer string, content binary, n_tokens long"
+#: Misses that are broadcast: 32 bytes each.
+FEW = 100_000
 #: The split of byte-level files that bring no pattern of their own (fixed: part of the format).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -59,7 +62,16 @@ def counter(path: str) -> Callable[[str], int]:
         return slow
     quick = tiktoken.Encoding("counts", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
     late = "ɐ"  # beyond, the two libraries may class letters by different Unicode versions
-    return lambda t: len(quick.encode(t, allowed_special="all")) if t.isascii() or max(t) < late else slow(t)
+
+    def count(t: str) -> int:
+        if not t.isascii() and max(t) >= late:
+            return slow(t)
+        try:
+            return len(quick.encode(t, allowed_special="all"))
+        except ValueError:  # its pattern gives up on very long runs of white space
+            return slow(t)
+
+    return count
 
 
 _counters: dict[str, Callable[[str], int]] = {}
@@ -94,14 +106,20 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
     spark = docs.sparkSession
     cache, version = cache or fresh_path(spark, "token-counts"), tokenizer_digest(path)
     text = F.coalesce(normalise(F.col(text_col)), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), F.monotonically_increasing_id().alias("__uid"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
-    digested = rows.select("__id", "__uid", "n_bytes", "__text", F.unhex(F.sha2("__text", 256)).alias("content"))
-    known = cached(spark, cache).where(F.col("tokenizer") == version)
-    misses = digested.groupBy("content").agg(F.min("__uid").alias("__uid")).join(known.select("content"), "content", "left_anti")
-    texts = digested.select("__uid", "__text").join(misses, "__uid").select("content", "__text")
-    encode_counts(texts, path).select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
-    counts = spark.read.schema(SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    keyed = digested.select("__id", "n_bytes", "content", salt_of(F.col("__uid")).alias("__salt"))
-    places = keyed_summary(keyed, ["content"], "__salt", {"n": F.count(F.lit(1))}, {"n": F.sum("n")})
+    content = F.unhex(F.sha2("__text", 256)).alias("content")
+    texts = docs.select(F.col(id_col).alias("__id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"), text.alias("__text"))
+    rows = written(texts.select("__id", "n_bytes", content).withColumn("__salt", salt_of(F.monotonically_increasing_id())), "token-digests")
+    known = cached(spark, cache).where(F.col("tokenizer") == version).select("content")
+    misses = written(rows.select("content").distinct().join(known, "content", "left_anti"), "token-misses")
+    n = misses.count()
+    if n:
+        wanted = texts.select(content, "__text")
+        if n <= FEW:
+            wanted = wanted.join(F.broadcast(misses), "content", "left_semi").groupBy("content").agg(F.first("__text").alias("__text"))
+        else:
+            wanted = wanted.groupBy("content").agg(F.first("__text").alias("__text")).join(misses, "content", "left_semi")
+        encode_counts(wanted, path).select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
+    counts = cached(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    places = keyed_summary(rows, ["content"], "__salt", {"n": F.count(F.lit(1))}, {"n": F.sum("n")})
     counted = places.join(counts, "content").select("content", "__salt", "n_tokens")
-    return keyed.join(counted, ["content", "__salt"]).select(F.col("__id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return rows.join(counted, ["content", "__salt"]).select(F.col("__id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -70,3 +70,24 @@ def test_queries(spark, odd, library):
     assert sorted((str(r[0]), *r[1:]) for r in encoded_digests(odd, path).collect()) == want
     assert [len(r["ids"]) for r in encoded(odd.where("doc_id = 2"), path).collect()] == [0]
     assert encoded_digests(odd.limit(0), path).count() == 0
+
+
+#: Marks that this Python's tables class otherwise than the library's.
+LATER = [chr(c) for c in (0x7FD, 0x898, 0x8D3, 0x9FE, 0xC3C, 0xD3B, 0xEBA, 0x1715, 0x1734, 0x1ABF, 0x1DF6, 0xA8C5, 0x10D24, 0x11A34)]
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_marks_of_later_versions(library, file):
+    quick = Codec(tokenizer(FILES[0]), library=True)
+    for m in LATER:
+        for t in ("x́" + m, f"a{m}̣́b", m + "̀", f"é{m} Ab{m}"):
+            same(library, file, t)
+            assert quick.encode(t).tolist() == library[FILES[0]].encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "a", "-", "　", "é"])
+def test_long_runs(library, run):
+    t = run * 200_000
+    for file in FILES:
+        assert codec(tokenizer(file)).encode("x" + t).tolist() == library[file].encode("x" + t, add_special_tokens=False).ids
+    assert not any(len(k) > 1000 for k in codec(tokenizer(FILES[0])).words)

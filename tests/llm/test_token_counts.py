@@ -55,3 +55,19 @@ def test_cache_is_read_and_appended(spark, docs, tmp_path):
         got = token_counts(docs.where("doc_id = 1"), PATH, at).first()["n_tokens"]
         assert (got == 77) == want and got != 5
     assert SCHEMA.startswith("tokenizer")
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "a", "\u3000"])
+def test_runs_of_a_million(run):
+    t = "x" + run * 1_200_000
+    assert COUNT(t) == len(LIBRARY.encode(t, add_special_tokens=False).ids)
+
+
+def test_few_and_many_misses_give_the_same(docs, odd, monkeypatch):
+    from millrace.llm import token_counts as T
+
+    for df in (docs, odd):
+        want = sorted(map(str, token_counts(df, PATH).collect()))
+        monkeypatch.setattr(T, "FEW", 0)
+        assert sorted(map(str, token_counts(df, PATH).collect())) == want
+        monkeypatch.undo()
