@@ -16,7 +16,7 @@ from millrace.llm.simhash import keep_near
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that neither the base rules nor the certified cutoffs reject."""
-    return Verdicts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).keep(docs)
+    return Verdicts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True).keep()
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Exact deduplication by content-defined chunk recipes.
 
 A text is cut at places that its content sets, with a least and a greatest length, so that equal texts have equal chunks and
-texts that share a passage share most of its chunks: a cut may stand after a word whose last three characters have code
-points 0, 1 and 2 modulo 3, which about one word in 27 has. (Characters beyond Latin-1 set no cuts: there lengths do.) A chunk's candidate identifier is its 64-bit digest. One shuffle brings the chunks together by
+texts that share a passage share most of its chunks. A cut may stand, in whatever script, after two characters in a row that
+each equal the one two places before; where an ideograph, kana or Hangul syllable follows, of which there are too many to repeat
+so, after one; and after a word whose last three characters are of Latin-1 with code points 0, 1 and 2 modulo 3. A chunk's candidate identifier is its 64-bit digest. One shuffle brings the chunks together by
 digest, combined before it, and verifies that a digest stands for one content; a second content of the same digest gets an
 ordinal of its own, and (digest, ordinal) is the verified identifier. A text's recipe is the ordered list of its chunks'
-identifiers. Texts are equal if and only if their recipes are. From there on only recipes move: a long text travels once.
+identifiers. Texts are equal if and only if their recipes are. Recipes are written with the rows' ids and digests; from there on
+only these move: a long text travels once.
 
 Nulls: a null text counts as empty, a null id orders below any other. Empty texts form one group. Repeated rows (the same
 id and text) are rows of their group; of ties for the largest id exactly one row stays. Extra columns don't matter."""
@@ -28,7 +30,8 @@ def _residue(r: int) -> str:
 
 def chunks(text: Column) -> Column:
     """The chunks of a text, in order; joined they are the text. An empty text has none."""
-    pattern = rf"(?s).{{{LEAST},{MOST}}}?(?<={''.join(map(_residue, range(3)))}\s)|.{{1,{MOST}}}"
+    cut = r"(?:(.).\1[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]|(.)(.)\2\3|" + "".join(map(_residue, range(3))) + r"\s)"
+    pattern = rf"(?s).{{{LEAST - 4},{MOST - 4}}}?{cut}|.{{1,{MOST}}}"
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
@@ -38,19 +41,26 @@ def digest_clashes(pieces: DataFrame) -> DataFrame:
     return contents.select("h", F.posexplode("contents").alias("ordinal", "chunk")).where("ordinal > 0").select("h", "chunk", "ordinal")
 
 
-def with_recipes(docs: DataFrame, text_col: str, digest=F.xxhash64) -> DataFrame:
-    """docs(__uid, text_col, ...) with __recipe: the text's ordered verified chunk identifiers."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    pieces = docs.select(F.explode(chunks(text)).alias("chunk")).select(digest("chunk").alias("h"), "chunk")
+def with_recipes(rows: DataFrame, digest=F.xxhash64) -> DataFrame:
+    """rows(__id, __text, further columns) -> a written table of __uid, __id, the further columns, text_sha256 and __recipe:
+    the text's ordered verified chunk identifiers."""
+    text = F.coalesce(F.col("__text"), F.lit(""))
+    further = [c for c in rows.columns if c != "__text"]
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.select("__uid", *further, F.sha2(text, 256).alias("text_sha256"), F.transform(chunks(text), lambda c: digest(c)).alias("__recipe"))
+
+    pieces = rows.select(F.explode(chunks(text)).alias("chunk")).select(digest("chunk").alias("h"), "chunk")
     clashes = written(digest_clashes(pieces), "chunk-clashes")
-    plain = docs.withColumn("__recipe", F.transform(chunks(text), lambda c: digest(c)))
+    numbered = rows.withColumn("__uid", F.monotonically_increasing_id())
     if clashes.isEmpty():  # every digest is verified to stand for one content
-        return plain
-    placed = docs.select("__uid", F.posexplode(chunks(text)).alias("at", "chunk")).withColumn("h", digest("chunk"))
+        return written(plain(numbered), "recipes")
+    numbered = written(numbered, "numbered-texts")
+    placed = numbered.select("__uid", F.posexplode(chunks(text)).alias("at", "chunk")).withColumn("h", digest("chunk"))
     odd = placed.join(clashes, ["h", "chunk"]).groupBy("__uid").agg(F.sort_array(F.collect_list(F.struct("at", "ordinal"))).alias("__odd"))
     ordinals = F.flatten(F.transform(F.coalesce("__odd", F.array().cast("array<struct<at:int,ordinal:int>>")), lambda x: F.array(x["at"].cast("long"), x["ordinal"].cast("long"))))
     # the list of digests, a mark, then place and ordinal of each chunk that isn't its digest's first content
-    return plain.join(odd, "__uid", "left").withColumn("__recipe", F.concat("__recipe", F.array(F.lit(-1).cast("long")), ordinals)).drop("__odd")
+    return written(plain(numbered).join(odd, "__uid", "left").withColumn("__recipe", F.concat("__recipe", F.array(F.lit(-1).cast("long")), ordinals)).drop("__odd"), "recipes")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=F.xxhash64) -> DataFrame:
@@ -68,9 +78,7 @@ def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _groups(rows: DataFrame, digest=F.xxhash64) -> DataFrame:
     """rows(__id, __text, further columns that pass through)"""
     further = [c for c in rows.columns if c not in ("__id", "__text")]
-    keyed = with_recipes(rows.withColumn("__uid", F.monotonically_increasing_id()), "__text", digest).select(
-        "__id", "__uid", "__recipe", *further, F.sha2(F.coalesce("__text", F.lit("")), 256).alias("text_sha256"), salt_of(F.col("__uid")).alias("__salt")
-    )
+    keyed = with_recipes(rows, digest).withColumn("__salt", salt_of(F.col("__uid")))
     best = F.struct("__id", "__uid")
     groups = keyed_summary(
         keyed, ["__recipe"], "__salt",

@@ -3,7 +3,8 @@
 A text's lower-cased UTF-8 bytes are cut into windows of WINDOW bytes, the last one padded with zero. Each window goes through a
 byte embedding, filters of several widths, a rectifier, the maximum over places, and a softmax over languages. A text's
 probabilities are the mean of its windows', weighted by their bytes; all windows of the whole text count. The network is
-trained in numpy on a bounded sample of labelled rows. For use, embedding and filters are multiplied out into one table for
+trained in numpy on a bounded sample of labelled rows; every language with a label is learned, and each epoch draws anew from
+all windows of a row's whole text. For use, embedding and filters are multiplied out into one table for
 each width and place, so that a window costs look-ups and sums.
 
 Nulls: a null text or one without a letter is `und` with score 0; rows whose label is null or whose id is null aren't learned
@@ -12,6 +13,8 @@ from. Ties go to the language first in order. Repeated rows each get the same an
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 16, 12
-#: Bounds of the sample: labelled rows of a language, rows in all, windows of a row, languages (those with most rows).
-PER_LANGUAGE, IN_ALL, PER_TEXT, MOST_LANGUAGES = 1500, 40_000, 4, 512
+#: Bounds of the sample of labelled rows: of a language, and in all (but one row of each language at least).
+PER_LANGUAGE, IN_ALL = 1500, 20_000
+#: Windows that an epoch learns from for each row of the sample, drawn from all windows of its whole text.
+PER_EPOCH = 4
 EPOCHS, BATCH, RATE, SEED = 12, 128, 0.004, 1
 UNKNOWN = "und"
 
@@ -99,19 +104,22 @@ class Network:
         return grads
 
     def train(self, cut: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> None:
-        """Adam, with a rate that falls to zero; classes weigh the same by drawing each equally often."""
+        """cut: rows x draws x WINDOW bytes; an epoch uses its own share of the draws. Adam, with a rate that falls to zero;
+        classes weigh the same by drawing each equally often."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         of_class = [np.flatnonzero(labels == c) for c in range(len(self.languages))]
-        each = max(map(len, of_class))
+        draws = cut.shape[1]
+        each = max(map(len, of_class)) * min(draws, PER_EPOCH)
         steps, step = epochs * -(-each * len(of_class) // BATCH), 0
-        for _ in range(epochs):
-            order = rng.permutation(np.concatenate([rng.choice(x, each, replace=len(x) < each) for x in of_class]))
-            for k in range(0, len(order), BATCH):
+        for epoch in range(epochs):
+            rows = rng.permutation(np.concatenate([np.resize(rng.permutation(x), each) for x in of_class]))
+            draw = (epoch * PER_EPOCH + rng.integers(PER_EPOCH, size=len(rows))) % draws
+            for k in range(0, len(rows), BATCH):
                 step += 1
                 rate = RATE * (1 - step / (steps + 1))
-                for name, g in self.gradients(cut[order[k : k + BATCH]], labels[order[k : k + BATCH]]).items():
+                for name, g in self.gradients(cut[rows[k : k + BATCH], draw[k : k + BATCH]], labels[rows[k : k + BATCH]]).items():
                     first[name] += 0.1 * (g - first[name])
                     second[name] += 0.001 * (g * g - second[name])
                     self.weights[name] -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
@@ -124,37 +132,35 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", epochs: int = EPOCHS) -> Network | None:
-    """A network learned from at most PER_LANGUAGE rows of each language, chosen by a digest of their ids."""
+    """A network learned from about PER_LANGUAGE rows of each language at most, chosen by a digest of their ids."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null").where(~held_out("id"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # as many rows as the network has outputs
     if not counts:
         return None
-    counts = sorted((r["lang"], r["count"]) for r in counts)
-    each = min(PER_LANGUAGE, IN_ALL // len(counts))
+    each = max(1, min(PER_LANGUAGE, IN_ALL // len(counts)))
+    share = F.from_json(F.lit(json.dumps({x: min(1.0, each / n) for x, n in counts.items()})), "map<string,double>")
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
-    for lang, n in counts:
-        chosen = chosen | ((F.col("lang") == lang) & (place < min(1.0, each / n)))  # about each rows of a language, evenly spread
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, langs, cuts = [], [], []
             for i, t, lang in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 found, _ = windows(t.as_py() or "")
-                for k in np.unique(np.linspace(0, len(found) - 1, PER_TEXT).astype(int)) if len(found) else ():
+                if len(found):
+                    draw = np.random.default_rng([SEED, zlib.crc32(i.encode())]).permutation(len(found))
                     ids.append(i)
                     langs.append(lang)
-                    cuts.append(found[k].tobytes())
+                    cuts.append(found[np.resize(draw, epochs * PER_EPOCH)].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(langs, pa.string()), pa.array(cuts, pa.binary())], ["id", "lang", "bytes"])
 
-    sample = known.where(chosen).select(F.col("id").cast("string").alias("id"), "text", "lang").mapInArrow(cut, "id string, lang string, bytes binary")
-    rows = sorted((r["id"], r["bytes"], r["lang"]) for r in sample.limit(2 * IN_ALL * PER_TEXT).collect())  # the expected number is at most half of this
+    sample = known.where(place < F.element_at(share, F.col("lang"))).select(F.col("id").cast("string").alias("id"), "text", "lang").mapInArrow(cut, "id string, lang string, bytes binary")
+    rows = sorted((r["id"], bytes(r["bytes"]), r["lang"]) for r in sample.toLocalIterator())
     languages = sorted({r[2] for r in rows})
     if not languages:
         return None
     number = {x: k for k, x in enumerate(languages)}
     network = Network(languages)
-    network.train(np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.uint8).reshape(-1, WINDOW), np.array([number[r[2]] for r in rows]), epochs)
+    network.train(np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1, WINDOW), np.array([number[r[2]] for r in rows]), epochs)
     return network
 
 

@@ -1,18 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule rejects texts on one side of a cutoff. Which cutoff holds in a stratum (a language) is learned from labelled
-holdouts: of the labelled good texts of the stratum that the base rules let through, n in all, a cutoff would falsely
-reject k. The exact binomial tail P(X <= k | n, RISK) tests that the true false rejection rate exceeds RISK; a cutoff is
-certified if the tail is at most DELTA divided by the number of tests in all (Bonferroni over strata, rules and cutoffs). So
-with probability 1 - DELTA no certified cutoff in any stratum rejects more than RISK of its good texts. Of a rule's certified
-cutoffs that with the most rejections of labelled bad texts holds, the mildest of equals; a rule without one rejects nothing.
+holdouts: of the different labelled good texts of the stratum that the base rules let through, n in all, a cutoff would falsely
+reject k. The exact binomial tail P(X <= k | n, risk) tests that the true false rejection rate exceeds the rule's risk; a cutoff
+is certified if the tail is at most DELTA divided by the number of tests in all (Bonferroni over strata, rules and cutoffs). So
+with probability 1 - DELTA no certified cutoff in any stratum rejects more than the rule's risk of its good texts, and as the
+rules share RISK evenly, all together reject at most RISK of them. Of a rule's certified cutoffs that with the most rejections
+of labelled bad texts holds, the mildest of equals; a rule without one rejects nothing.
 
-Features, strata and verdicts are columns of the row itself; only the labelled counts are gathered, at most
-(MOST_STRATA + 1) x rules x cutoffs rows.
+Every value of the stratum column is a stratum, null too; a stratum without certificates has only the base rules. Features and
+verdicts are columns of the row itself; the labelled counts are gathered, and the cutoffs that hold, at most one for each
+labelled stratum and rule.
 
-Nulls: a null text has no words (and fails the base rule), a null stratum is pooled with rare ones, null labels are left out.
-Repeated rows each get their verdict. Extra columns pass through Verdicts.keep, whatever they are called. An empty table has no
-verdicts; without labels only the base rules reject."""
+Nulls: a null text has no words (and fails the base rule), null labels are left out. A text that is labelled several times,
+under one id or in copies, is one trial, good if any of its labels says so. Repeated rows each get their verdict. Extra columns
+pass through Verdicts.keep, whatever they are called. An empty table has no verdicts; without labels only the base rules reject."""
 
 from __future__ import annotations
 
@@ -23,10 +25,8 @@ from .common import written
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Risk of a false rejection by one rule, and the chance that any certified cutoff exceeds it.
-RISK, DELTA = 0.0125, 0.05
-#: Strata of their own; rarer ones are pooled.
-MOST_STRATA = 64
+#: Risk of a false rejection by all rules together, and the chance that any certified cutoff exceeds its share.
+RISK, DELTA = 0.05, 0.05
 #: Rule -> (side on which it rejects, cutoffs from mild to strict).
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "symbol_ratio": (">", (1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1, 0.05)),
@@ -41,24 +41,30 @@ def _length_without(text: Column, drop: str) -> Column:
     return F.length(F.translate(text, drop, ""))
 
 
-def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def with_features(docs: DataFrame, text_col: str = "text", digest=F.xxhash64) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and __lines, lines that hold a word.
 
     n_repeat_words: words within a three-word window that the text holds twice or more. The windows' 64-bit digests are
-    sorted with their places, so that a text of n words takes n log n steps; a clash of two windows of one text has a
-    chance of about n * n / 2**65."""
+    sorted with their places, so that a text of n words takes n log n steps; equal digests are verified by the words, and
+    a text in which two different windows have one digest is sorted by the windows themselves."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.btrim(text, F.lit(SPACE))
     words = F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
     lines = F.filter(F.split(text, "\n"), lambda x: _length_without(x, SPACE) > 0)
     out = docs.withColumns({"__words": words, "__full": lines, "__n_symbols": (F.length(text) - _length_without(text, SYMBOLS)).cast("long"), "word_chars": _length_without(text, SPACE).cast("long")})
-    out = out.withColumn("__windows", F.when(
-        F.size("__words") >= 4,
-        F.array_sort(F.transform(F.sequence(F.lit(0), F.size("__words") - 3), lambda i: F.struct(
-            F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)).alias("h"), i.alias("i")))),
-    ))
-    same = lambda x, i: x["h"] == F.get("__windows", i)["h"]
-    out = out.withColumn("__again", F.array_sort(F.transform(F.filter("__windows", lambda x, i: F.coalesce(same(x, i - 1), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False))), lambda x: x["i"])))
+    places = F.sequence(F.lit(0), F.size("__words") - 3)
+    window = lambda i: [F.get("__words", i + k) for k in range(3)]
+    out = out.withColumn("__windows", F.when(F.size("__words") >= 4, F.array_sort(F.transform(places, lambda i: F.struct(digest(*window(i)).alias("h"), i.alias("i"))))))
+    at = lambda i: F.get("__windows", i)
+    differ = lambda a, b: F.concat_ws(" ", *window(a["i"])) != F.concat_ws(" ", *window(b["i"]))
+    clash = F.exists(F.sequence(F.lit(1), F.size("__windows") - 1), lambda i: (at(i)["h"] == at(i - 1)["h"]) & differ(at(i), at(i - 1)))
+
+    def again(windows: Column) -> Column:
+        same = lambda x, i: F.coalesce(x["h"] == F.get(windows, i)["h"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(windows, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
+
+    out = out.withColumn("__spelled", F.when((F.size("__windows") >= 2) & clash, F.array_sort(F.transform(places, lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("h"), i.alias("i"))))))
+    out = out.withColumn("__again", F.when(F.col("__spelled").isNull(), again(F.col("__windows"))).otherwise(again(F.col("__spelled"))))
     covered = F.aggregate("__again", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     found = F.struct(
         F.size("__words").cast("long").alias("n_words"),
@@ -107,8 +113,10 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(top) * falling))
 
 
-def fit_cutoffs(labelled: DataFrame, strata: int, rules=RULES, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """labelled(__stratum, good boolean, features...), strata in all -> (__stratum, rule, cutoff): the cutoffs that hold."""
+def fit_cutoffs(labelled: DataFrame, rules=RULES, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """labelled(__stratum, good boolean, features...), a row for each different text -> (__stratum, rule, cutoff): the cutoffs
+    that hold. risk: of all rules together; delta: over all strata that have labels."""
+    strata, risk = labelled.select("__stratum").distinct().count(), risk / len(rules)
     passed = labelled.where(~base_failed()).select("__stratum", "good", *(c.alias(m) for m, c in measures().items()))
     tests = [(rule, side, i, t) for rule, (side, cutoffs) in rules.items() for i, t in enumerate(cutoffs)]
     count = lambda hit: F.coalesce(F.sum(hit.cast("long")), F.lit(0))
@@ -118,7 +126,7 @@ def fit_cutoffs(labelled: DataFrame, strata: int, rules=RULES, risk: float = RIS
     ]
     counts = passed.groupBy("__stratum").agg(count(F.col("good")).alias("n"), F.array(*each).alias("tests"))
     long = counts.select("__stratum", "n", F.explode("tests").alias("t")).select("__stratum", "n", "t.*")
-    certified = long.where((F.col("bad") > 0) & (F.col("n") > 0) & (binomial_tail(F.col("k"), F.col("n"), risk) <= delta / (strata * len(tests))))
+    certified = long.where((F.col("bad") > 0) & (F.col("n") > 0) & (binomial_tail(F.col("k"), F.col("n"), risk) <= delta / (max(1, strata) * len(tests))))
     return certified.groupBy("__stratum", "rule").agg(F.max_by("cutoff", F.struct("bad", -F.col("strictness"))).alias("cutoff"))
 
 
@@ -129,36 +137,31 @@ def _beyond(value: Column, side: str, cutoff: float) -> Column:
 class Verdicts:
     """Cutoffs learned from docs(id_col, text_col, stratum_col) and labels(id_col, quality_col 0 or 1).
 
-    measured: a written table of all rows, (__id, __value the stratum's value, features). An id that is labelled several
-    times counts once for each label; rows that share an id each count."""
+    measured: a written table of all rows, (__id, __value the stratum's value, __row where carry is set, features)."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", quality_col: str = "quality", rules=RULES, risk: float = RISK, delta: float = DELTA) -> None:
-        self.rules, self.stratum_col = rules, stratum_col
-        rows = docs.select(F.col(id_col).alias("__id"), F.col(stratum_col).alias("__value"), F.col(text_col).alias("__text"))
-        self.measured = written(with_features(rows, "__text").select("__id", "__value", *FEATURES, "__lines"), "quality-features")
-        good = labels.where(F.col(quality_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(quality_col) == 1).alias("good"))
-        labelled = self.measured.join(good, "__id")
-        top = labelled.where("good and __value is not null").groupBy("__value").count().orderBy(F.desc("count"), "__value").limit(MOST_STRATA)
-        self.own = sorted(r[0] for r in top.collect())
-        fitted = fit_cutoffs(labelled.withColumn("__stratum", self.stratum("__value")), len(self.own) + 1, rules, risk, delta).collect()  # at most strata x rules
-        self.cutoffs = sorted((r["rule"], r["__stratum"], r["cutoff"]) for r in fitted)
-
-    def stratum(self, value_col: str) -> Column:
-        """The value if it has a stratum of its own, else '' (null and rare values together)."""
-        return F.when(F.col(value_col).isin(self.own), F.col(value_col)).otherwise(F.lit("")) if self.own else F.lit("")
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", quality_col: str = "quality", rules=RULES, risk: float = RISK, delta: float = DELTA, carry: bool = False) -> None:
+        """carry: docs' rows are written with their features, for keep() without a second pass over the texts."""
+        self.rules, self.id_col = rules, id_col
+        rows = docs.select(F.col(id_col).alias("__id"), F.col(stratum_col).alias("__value"), F.col(text_col).alias("__text"), *([F.struct("*").alias("__row")] if carry else []))
+        found = with_features(rows, "__text").withColumn("__content", F.xxhash64("__text", F.octet_length("__text")))
+        self.measured = written(found.drop("__text"), "quality-features")
+        good = labels.where(F.col(quality_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(quality_col) == 1).alias("good"))
+        labelled = self.measured.drop("__row").join(good, "__id").withColumn("__stratum", F.struct("__value"))
+        texts = labelled.groupBy("__stratum", "__content", *FEATURES, "__lines").agg(F.max("good").alias("good"))
+        fitted = fit_cutoffs(texts, rules, risk, delta).collect()  # at most labelled strata x rules
+        self.cutoffs = sorted(((r["rule"], r["__stratum"][0], r["cutoff"]) for r in fitted), key=str)
 
     def kept(self, value_col: str) -> Column:
         """Of rows with features: neither the base rules nor a cutoff of the row's stratum reject it."""
         values, rejected = measures(), base_failed()
-        for rule, stratum, cutoff in self.cutoffs:
-            rejected = rejected | ((self.stratum(value_col) == stratum) & _beyond(values[rule], self.rules[rule][0], cutoff))
+        for rule, value, cutoff in self.cutoffs:
+            rejected = rejected | (F.col(value_col).eqNullSafe(F.lit(value)) & _beyond(values[rule], self.rules[rule][0], cutoff))
         return ~rejected
 
-    def report(self, id_col: str = "doc_id") -> DataFrame:
+    def report(self) -> DataFrame:
         """One row per row of docs: (id_col, features, base_failed, kept)."""
-        return self.measured.select(F.col("__id").alias(id_col), *FEATURES, base_failed().alias("base_failed"), self.kept("__value").alias("kept"))
+        return self.measured.select(F.col("__id").alias(self.id_col), *FEATURES, base_failed().alias("base_failed"), self.kept("__value").alias("kept"))
 
-    def keep(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """The rows of docs that are kept, with all their columns and no others."""
-        rows = docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text"), F.col(self.stratum_col).alias("__value"))
-        return with_features(rows, "__text").where(self.kept("__value")).select("__row.*")
+    def keep(self) -> DataFrame:
+        """The rows of docs that are kept, with all their columns and no others; docs must be carried."""
+        return self.measured.where(self.kept("__value")).select("__row.*")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .licenses import KNOWN, SPELLINGS, STEPS
-from .quality_rules import DELTA, MOST_STRATA, RISK, RULES
+from .quality_rules import DELTA, RISK, RULES
 
 EXACT_DEDUP = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
@@ -14,7 +14,7 @@ FROM d JOIN g ON d.body = g.body
 
 
 def quality_features(table: str = "documents") -> str:
-    """CTEs, the last of which is f(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines)."""
+    """CTEs, the last of which is f(doc_id, lang, body, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines)."""
     space = r"\x20\x09-\x0D"
     return f"""
 base AS (SELECT doc_id, lang, coalesce(text, '') AS body FROM {table}),
@@ -23,7 +23,7 @@ split AS (SELECT doc_id, lang, body, regexp_extract_all(body, '[^{space}]+') AS
 wins AS (SELECT doc_id, i, words[i:i+2] AS win FROM split, unnest(range(1, len(words) - 1)) AS r(i)),
 again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM wins),
 covered AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM again, unnest([0, 1, 2]) AS s(o) WHERE c > 1 GROUP BY doc_id),
-f AS (SELECT s.doc_id, s.lang, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+f AS (SELECT s.doc_id, s.lang, s.body, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
     (length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
     FROM split s LEFT JOIN covered c ON s.doc_id = c.doc_id)"""
@@ -33,24 +33,25 @@ def quality_verdicts(table: str = "documents") -> str:
     """CTEs after quality_features(), the last of which is verdicts(doc_id, features, base_failed, kept)."""
     tests = [(rule, side, i, t) for rule, (side, cutoffs) in RULES.items() for i, t in enumerate(cutoffs)]
     grid = ", ".join(f"('{rule}', {i}, {t}::DOUBLE)" for rule, _, i, t in tests)
+    risk = RISK / len(RULES)
     values = " ".join(f"WHEN '{rule}' THEN {rule}" for rule in RULES)
     return f"""{quality_features(table)},
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_ratio, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_ratio,
     CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS word_length FROM f),
-labelled AS (SELECT m.*, l.quality = 1 AS good FROM m JOIN labels l ON m.doc_id = l.doc_id WHERE l.quality IS NOT NULL),
-own AS (SELECT lang FROM labelled WHERE good AND lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {MOST_STRATA}),
+votes AS (SELECT doc_id, max(quality) = 1 AS good FROM (SELECT doc_id, (quality = 1)::INT AS quality FROM labels WHERE quality IS NOT NULL) GROUP BY doc_id),
+labelled AS (SELECT coalesce('=' || m.lang, '') AS stratum, base_failed, symbol_ratio, repeat_ratio, dup_line_ratio, word_length, bool_or(good) AS good
+    FROM m JOIN votes v ON m.doc_id = v.doc_id GROUP BY m.lang, body, base_failed, symbol_ratio, repeat_ratio, dup_line_ratio, word_length),
 grid(rule, strictness, cutoff) AS (VALUES {grid}),
-passed AS (SELECT *, CASE WHEN lang IN (SELECT lang FROM own) THEN lang ELSE '' END AS stratum FROM labelled WHERE NOT base_failed),
 counted AS (SELECT stratum, rule, strictness, cutoff, count(*) FILTER (good) AS n,
     count(*) FILTER (good AND CASE rule {values} END > cutoff) AS k, count(*) FILTER (NOT good AND CASE rule {values} END > cutoff) AS bad
-    FROM passed, grid GROUP BY ALL),
-tails AS (SELECT *, CASE WHEN k > n * {RISK} THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda i:
-    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) END AS tail
+    FROM labelled, grid WHERE NOT base_failed GROUP BY ALL),
+tails AS (SELECT *, CASE WHEN k > n * {risk} THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) END AS tail
     FROM counted WHERE bad > 0 AND n > 0),
 held AS (SELECT stratum, rule, arg_max(cutoff, (bad, -strictness)) AS cutoff FROM tails
-    WHERE tail <= {DELTA} / ((SELECT count(*) + 1 FROM own) * {len(tests)}) GROUP BY stratum, rule),
-placed AS (SELECT *, CASE WHEN lang IN (SELECT lang FROM own) THEN lang ELSE '' END AS stratum FROM m),
+    WHERE tail <= {DELTA} / ((SELECT count(DISTINCT stratum) FROM labelled) * {len(tests)}) GROUP BY stratum, rule),
+placed AS (SELECT *, coalesce('=' || lang, '') AS stratum FROM m),
 verdicts AS (SELECT p.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND NOT EXISTS (SELECT 1 FROM held h WHERE h.stratum = p.stratum AND CASE h.rule {values} END > h.cutoff) AS kept FROM placed p)"""
 

@@ -48,3 +48,15 @@ def test_keep(odd):
     assert kept.columns == odd.columns
     assert sorted(key(r["doc_id"]) for r in kept.collect()) == sorted(key(i) for i in [None, 2, 3, 4, 6, 7, 8])
     assert keep_exact(odd.limit(0)).count() == 0 == exact_groups(odd.limit(0)).count()
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "".join(map(chr, range(0x4E00, 0x4E00 + 400))), "".join(map(chr, range(0xAC00, 0xAC00 + 300)))], ids=["latin", "cyrillic", "greek", "arabic", "han", "hangul"])
+def test_cuts_follow_the_content_in_every_script(spark, letters):
+    """One more letter in front leaves most chunks of a long text as they are."""
+    import random
+
+    rng = random.Random(3)
+    weights = [1 / (1 + k) for k in range(len(letters))]
+    text = " ".join("".join(rng.choices(letters, weights, k=rng.randint(2, 9))) for _ in range(20_000))
+    a, b = (set(r[0]) for r in spark.createDataFrame([(text,), (letters[3] + text,)], "t string").select(chunks(F.col("t"))).collect())
+    assert len(a & b) > 0.5 * len(a)
