@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import textwrap
 from collections.abc import Callable
 
 import public_tokenizers
@@ -31,6 +33,29 @@ def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned_within(_table(spark, sf_dir, "documents"))
 
 
+def variants() -> list[tuple[int, str, str]]:
+    """(negative id, licence, text): the known licences wrapped anew, in capitals, respelled, and under someone's copyright."""
+    from .licenses import KNOWN, forms
+
+    out = []
+    for license_id, text in dict(reversed(forms())).items():
+        license_id = min(i for i, t in KNOWN.items() if t == text) if text in KNOWN.values() else license_id
+        wrapped = ["\n".join(textwrap.fill(line, n) if not line.lower().lstrip().startswith("copyright") else line for line in text.split("\n")) for n in (61, 80)]
+        swapped = re.sub(r"\bLicense\b", "Licence", text).replace("permission", "Permission").replace("recognize", "recognise").replace('"', "''")
+        held = f"Copyright (c) 1999-2020 Some Body <some@example.org>\nAll rights reserved.\n\n{text}"
+        out += [(license_id, t) for t in (*wrapped, text.upper(), swapped, held)]
+    return [(-k - 1, *x) for k, x in enumerate(out)]
+
+
+def op3_license_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-text scans over documents and variants of the known licences: every variant is found, as nothing else."""
+    from .licenses import scanned
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").where("length(text) > 0")
+    more = spark.createDataFrame([(i, text) for i, _, text in variants()], "doc_id long, text string")
+    return scanned(docs.union(more)).select("doc_id", "license_id")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -90,8 +115,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_license_scan, op3_license_notices, op4_exact_dedup, op5_quality_rules, op6_bpe, op7_token_counts, op8_warc, op9_html_extraction, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_license_scan, op3_license_notices, op3_license_variants, op4_exact_dedup, op5_quality_rules, op6_bpe, op7_token_counts, op8_warc, op9_html_extraction, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": sql.licenses(), "op4_exact_dedup": sql.EXACT_DEDUP, "op5_quality_rules": sql.quality_rules(), "op8_warc": sql.WARC}
+    return {"op3_license_scan": sql.licenses(), "op3_license_variants": sql.license_variants(), "op4_exact_dedup": sql.EXACT_DEDUP, "op5_quality_rules": sql.quality_rules(), "op8_warc": sql.WARC}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import KNOWN, SPELLINGS, STEPS
+from .licenses import SPELLINGS, STEPS, forms
 from .quality_rules import DELTA, RISK, RULES
 
 EXACT_DEDUP = """
@@ -81,9 +81,17 @@ def _canonical(text: str) -> str:
 
 
 def licenses() -> str:
-    values = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in item)) for item in KNOWN.items())
+    values = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in item)) for item in forms())
     return f"""WITH known(license_id, body) AS (VALUES {values}),
 forms AS (SELECT {_canonical("body")} AS form, license_id FROM known),
 digests AS (SELECT sha256(form) AS digest, min(license_id) AS license_id FROM forms WHERE form <> '' GROUP BY form),
 d AS (SELECT doc_id, sha256({_canonical("text")}) AS canonical_sha256 FROM documents)
 SELECT doc_id, canonical_sha256, license_id FROM d LEFT JOIN digests ON canonical_sha256 = digest"""
+
+
+def license_variants() -> str:
+    """What the variants of the known licences must be found as: themselves. Independent of how the operator normalises."""
+    from .registry import variants
+
+    rows = ", ".join(f"({i}, '{license_id}')" for i, license_id, _ in variants())
+    return f"SELECT doc_id::BIGINT AS doc_id, license_id FROM (VALUES {rows}) AS v(doc_id, license_id) UNION ALL SELECT doc_id, NULL FROM documents WHERE length(text) > 0"

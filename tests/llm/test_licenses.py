@@ -31,3 +31,31 @@ def test_given_documents(spark):
     assert {r["doc_id"]: r["within"] for r in found} == want and sum(map(bool, want.values())) == 39
     whole = registry.queries()["op3_license_scan"](spark, sf).collect()
     assert sorted((r["doc_id"], r["canonical_sha256"], str(r["license_id"])) for r in found) == sorted((r["doc_id"], r["canonical_sha256"], str(r["license_id"])) for r in whole)
+
+
+def test_forms_wrapped_anew(spark):
+    """Every known form, wrapped at 60 to 100 columns, by a plain rule of its own: words in order, without stated copyrights."""
+    stated = re.compile(r"\W*(copyright\W*(\(c\)|©|\d{4}|yyyy|<year|19yy)|(\(c\)|©)\W*(copyright|\d{4})|all rights reserved\W*$)", re.I)
+    rows, want = [], []
+    for license_id, text in licenses.forms():
+        for n in range(60, 101, 4 if len(text) > 8000 else 1):
+            out = []
+            for line in text.split("\n"):
+                out += [line] if stated.match(line) or not line.strip() else re.findall(rf"\S(?:.{{0,{n}}}\S)?(?=\s|$)", line.strip())
+            rows.append((len(rows), "\r\n".join(f"  // {x}" for x in out)))
+            want.append((license_id, text))
+    known = {}
+    for i, t in licenses.forms():
+        key = tuple(re.findall(r"[a-z0-9]+", " ".join(x for x in t.lower().split("\n") if not stated.match(x))))
+        known[key] = min(known.get(key, "~"), i)
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (i, t) in enumerate(want):
+        key = tuple(re.findall(r"[a-z0-9]+", " ".join(x for x in t.lower().split("\n") if not stated.match(x))))
+        assert got[k] == known[key], (i, k)
+
+
+def test_lines_of_a_licence_stay(spark):
+    """Lines that a wrap begins with the word or the sign are no statements."""
+    one = lambda t: spark.createDataFrame([(1, t)], "i int, t string").select(licenses.canonical(licenses.F.col("t"))).first()[0]
+    assert one("a\nCOPYRIGHT HOLDERS BE LIABLE\n(c) You must retain\ncopyright notice\nall rights reserved by x") == "a copyright holders be liable c you must retain copyright notice all rights reserved by x"
+    assert one("© 2020 X\nCopyright (C) Y\n* copyright 1999 Z\n(c) Copyright W\nAll Rights Reserved.\nb") == "b"
