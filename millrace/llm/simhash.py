@@ -2,8 +2,8 @@
 
 Fingerprints of 64 bits link at MOST or fewer differing bits. Copies share a fingerprint, so links are sought among distinct
 fingerprints. A fingerprint maps to the bit counts of its 32 segments of two bits, a point whose Manhattan distance to
-another is at most their Hamming distance. The 32 axes form BLOCKS groups. Of two points at distance MOST or less at least
-BLOCKS - MOST groups are at distance 0, so the points share a grid cell: the counts on one choice of BLOCKS - MOST groups.
+another is at most their Hamming distance. The 32 axes form B groups. Of two points at distance MOST or less at least
+B - MOST groups are at distance 0, so the points share a grid cell: the counts on one choice of B - MOST groups.
 Each point stands in every choice's cell, rows that meet in a cell are compared by Manhattan distance, then by differing bits.
 
 Within a cell not all pairs are made. First each row is compared with a few hubs: the cell's least and most frequent
@@ -30,8 +30,9 @@ from .common import keep_rows, keyed_summary, row_key, salt_of, written
 
 #: Differing bits that still link.
 MOST = 4
-#: Groups of axes. More groups make smaller cells and more rows a fingerprint: C(8, 4) = 70.
-BLOCKS = 8
+#: Groups of axes, and up to how many fingerprints: as cells have about 48 (1 - MOST / groups) bits. More groups make smaller cells
+#: and more rows a fingerprint, C(groups, MOST): 70, 210, 495, 1820. The components are exact whatever the number.
+BLOCKS = ((8, 1 << 24), (10, 1 << 28), (12, 1 << 32), (16, 1 << 62))
 SEED = 42
 _LOW = 0x5555555555555555
 
@@ -77,7 +78,12 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(other.bitwiseAND(low)) + 2 * F.bit_count(F.shiftrightunsigned(other, 1).bitwiseAND(low).bitwiseAND(F.bitwise_not(other)))
 
 
-def masks(blocks: int = BLOCKS, most: int = MOST) -> list[int]:
+def linked(a: str, b: str, most: int) -> Column:
+    """The lower bound first, then the differing bits."""
+    return (manhattan(embedding(F.col(a)), embedding(F.col(b))) <= most) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most)
+
+
+def masks(blocks: int, most: int = MOST) -> list[int]:
     """For each choice of groups the bits of its axes, as signed longs."""
     group = [sum(3 << (2 * axis) for axis in range(32) if axis * blocks // 32 == g) for g in range(blocks)]
     found = [sum(chosen) for chosen in itertools.combinations(group, blocks - most)]
@@ -90,7 +96,7 @@ def links_by_hubs(cells: DataFrame, most: int) -> DataFrame:
     by_value, turned = cell.orderBy("fp"), cell.orderBy(F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32)))
     near = cells.withColumns({"first": F.min("fp").over(cell), "hub": F.max_by("fp", F.struct("n", "fp")).over(cell), "before": F.lag("fp").over(by_value), "aside": F.lag("fp").over(turned)})
     pairs = near.select(F.col("fp").alias("a"), F.explode(F.array("first", "hub", "before", "aside")).alias("b"))
-    return pairs.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)).distinct()
+    return pairs.where((F.col("a") != F.col("b")) & linked("a", "b", most)).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -115,8 +121,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def fingerprint_components(counted: DataFrame, most: int = MOST, blocks: int = BLOCKS) -> DataFrame:
-    """counted(fp, n), fp distinct -> (fp, root) of the fingerprints that link with another."""
+def fingerprint_components(counted: DataFrame, most: int = MOST, blocks: int | None = None) -> DataFrame:
+    """counted(fp, n), fp distinct -> (fp, root) of the fingerprints that link with another. blocks: by their number if not given."""
+    blocks = blocks or next(b for n in [counted.count()] for b, up_to in BLOCKS if n <= up_to)
     choice = F.explode(F.array(*(F.struct(F.lit(k).cast("short").alias("choice"), F.col("e").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks(blocks, most)))))
     placed = counted.withColumn("e", embedding(F.col("fp"))).select("fp", "n", choice.alias("p")).select("p.choice", "p.cell", "fp", "n")
     cell = Window.partitionBy("choice", "cell")
@@ -131,25 +138,24 @@ def fingerprint_components(counted: DataFrame, most: int = MOST, blocks: int = B
     left = mixed.where("minor").select("choice", "cell", F.col("fp").alias("a"), F.col("root").alias("ra"))
     right = mixed.select("choice", "cell", F.col("fp").alias("b"), F.col("root").alias("rb"))
     meets = (left["choice"] == right["choice"]) & (left["cell"] == right["cell"]) & (F.col("ra") != F.col("rb"))
-    close = (manhattan(embedding(F.col("a")), embedding(F.col("b"))) <= most) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
-    rest = left.join(right, meets & close).select("a", "b").distinct()
+    rest = left.join(right, meets & linked("a", "b", most)).select("a", "b").distinct()
     return connected_components(first.union(rest)).withColumnRenamed("node", "fp")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = MOST, blocks: int = BLOCKS) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = MOST, blocks: int | None = None) -> DataFrame:
     """One row per row of docs: (id_col, fingerprint, component_id, kept). One row of each component is kept: of those with
     the smallest id, the first."""
     rows = docs.select(F.col(id_col).alias("__id"), F.lit(None).cast("binary").alias("__key"), F.col(text_col).alias("__text"))
     return _groups(rows, width, most, blocks).select(F.col("__id").alias(id_col), "fingerprint", "component_id", "kept")
 
 
-def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = MOST, blocks: int = BLOCKS) -> DataFrame:
+def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = MOST, blocks: int | None = None) -> DataFrame:
     """The row of each component that is kept, with all its columns."""
     rows = docs.select(F.col(id_col).alias("__id"), row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text"))
     return keep_rows(docs, _groups(rows, width, most, blocks).where("kept"), id_col, text_col)
 
 
-def _groups(texts: DataFrame, width: int, most: int, blocks: int) -> DataFrame:
+def _groups(texts: DataFrame, width: int, most: int, blocks: int | None) -> DataFrame:
     """texts(__id, __key, __text) -> (__id, __key, fingerprint, component_id, kept)"""
     found = fingerprints(texts, width).withColumn("__uid", F.monotonically_increasing_id())
     rows = written(found.withColumn("__salt", salt_of(F.col("__uid"))), "fingerprints")
@@ -159,8 +165,9 @@ def _groups(texts: DataFrame, width: int, most: int, blocks: int) -> DataFrame:
     roots = fingerprint_components(counted.select("fp", "n"), most, blocks)
     rooted = counted.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "best")
     linked = written(rooted, "rooted")
-    least = linked.groupBy("root").agg(F.min("best").alias("__best"))
-    whole = linked.select("fp", "root").join(least, "root").select("fp", "__best")
+    parts = linked.withColumn("__part", salt_of(F.col("fp")))
+    least = keyed_summary(parts, ["root"], "__part", {"__best": F.min("best")}, {"__best": F.min("__best")})
+    whole = parts.select("fp", "root", "__part").join(least, ["root", "__part"]).select("fp", "__best")
     spread = places.select("fp", "__salt").join(whole, "fp")
     return rows.join(spread, ["fp", "__salt"]).select(
         "__id", "__key",

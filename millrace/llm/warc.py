@@ -3,17 +3,18 @@
 Writing. Pages with equal payloads of at least LEAST bytes get one response, the page with the largest id; the others become
 revisits of it. Each task writes gzip files, a member for each record, and reports each record's place (the capture). A file's
 name is unique to the attempt that wrote it, and only captures that a successful task reported count, so that a lost executor
-leaves at worst a file that nothing points to.
+leaves at worst a file that nothing points to. A record's id is unique; that of a large payload's response is its page and digest,
+so that revisits can name it.
 
 Index. Captures are sorted by the reversed-host key of their URL into compressed blocks of BLOCK lines; a directory holds each
-block's first and last key. A look-up finds the blocks of a key by binary search in the directory, the lines by binary search
-in the block, and then reads just the record's byte range. Reading everything goes block by block, ranges in file order.
+block's first and last key. A look-up finds the blocks of its keys by binary search in the directory, the lines by binary search
+in the block, and then reads the records' byte ranges, in tasks of about TASK_BYTES, by file and place, neighbours in one read.
 
 Files are written and read through pyarrow's file systems, so that the folder may be in any store that it knows; the folder
 must be shared by all executors.
 
 Nulls: a null payload is empty, a null URL is written as about:blank, null ids order below any other. Repeated rows are records
-of their own; of ties for the largest id the last row is the response. Extra columns don't matter."""
+of their own; of ties for the largest id one row is the response. Extra columns don't matter."""
 
 from __future__ import annotations
 
@@ -26,15 +27,19 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, keyed_summary, salt_of, written
 
 #: Least bytes of a payload that others may revisit; lines of an index block; bytes after which a new file begins.
 LEAST, BLOCK, FILE_BYTES = 1000, 2000, 64 << 20
+#: Compressed bytes of records that a task reads; a gap and a length up to which neighbouring ranges are read together.
+TASK_BYTES, GAP, READ = 32 << 20, 64 << 10, 8 << 20
 #: Entries of the directory that a look-up broadcasts.
 COARSE = 100_000
 DATE = "1970-01-01T00:00:00Z"
@@ -61,18 +66,20 @@ def _header_value(text: str) -> str:
     return "".join(c if " " < c and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in text)
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to, date: str = DATE, revisit: bool = False) -> bytes:
-    """One WARC record, not compressed."""
+def record(page_id, url: str | None, payload: bytes, refers_to, date: str = DATE, revisit: bool = False, named: bool = False) -> bytes:
+    """One WARC record, not compressed. named: its id is that by which revisits refer to it."""
+    sha1 = hashlib.sha1(payload).hexdigest()
+    urn = lambda page, unique: f"<urn:{'no-page' if page is None else f'page:{page}'}:{unique}>"
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(page_id, sha1 if named else uuid.uuid4().hex)}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {_header_value(url) if url else 'about:blank'}", f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to, sha1)}"]
     return "\r\n".join([*lines, "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -92,11 +99,17 @@ def parse(raw: bytes) -> dict:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> DataFrame:
     """Writes WARC files into folder; returns the captures, a written table with CAPTURES' columns."""
     rows = pages.select(
-        F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("order"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("uid")
-    ).withColumns({"content": F.unhex(F.sha2("payload", 256)), "large": F.octet_length("payload") >= least, "salt": salt_of(F.col("uid"))})
-    best = F.struct("order", "uid", "id")
-    groups = keyed_summary(rows.where("large"), ["content"], "salt", {"best": F.max(best)}, {"best": F.max("best")})
-    dealt = rows.join(groups, ["content", "salt"], "left").select("id", "url", "payload", (F.col("large") & (F.col("uid") != F.col("best.uid"))).alias("revisit"), F.col("best.id").alias("refers_to"))
+        F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("order"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")
+    ).withColumns({"content": F.unhex(F.sha2("payload", 256)), "large": F.octet_length("payload") >= least, "salt": salt_of(F.col("order"))})
+    best = F.struct("order", "id")
+    largest = rows.where("large").groupBy("content", "order").agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("salt").alias("salt"))
+    groups = written(keyed_summary(largest, ["content"], "salt", {"best": F.max(best), "n": F.max_by("n", best)}, {"best": F.max("best"), "n": F.max_by("n", "best")}), "payloads")
+    dealt = rows.join(groups, ["content", "salt"], "left").withColumn("first", F.col("order").eqNullSafe(F.col("best.order")))
+    if not groups.where("n > 1").isEmpty():  # rows that repeat the largest id: one is the response
+        tied = F.col("large") & F.col("first") & (F.col("n") > 1)
+        numbered = dealt.where(tied).withColumn("nth", F.row_number().over(Window.partitionBy("content").orderBy("url")))
+        dealt = dealt.where(~tied).unionByName(numbered.withColumn("first", F.col("nth") == 1).drop("nth"))
+    dealt = dealt.select("id", "url", "payload", (F.col("large") & ~F.col("first")).alias("revisit"), F.col("best.id").alias("refers_to"), "large")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
@@ -104,14 +117,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         out, name, at = None, "", 0
         for b in batches:
             found = []
-            for page, url, payload, revisit, refers in zip(*(b.column(k) for k in range(5))):
+            for page, url, payload, revisit, refers, large in zip(*(b.column(k) for k in range(6))):
                 if out is None or at >= FILE_BYTES:
                     if out is not None:
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(f"{path}/{name}", compression=None)
                 url, revisit = url.as_py(), bool(revisit.as_py())
-                raw = gzip.compress(record(page.as_py(), url, payload.as_py().encode(), refers.as_py(), revisit=revisit), 6, mtime=0)
+                raw = gzip.compress(record(page.as_py(), url, payload.as_py().encode(), refers.as_py(), revisit=revisit, named=bool(large.as_py()) and not revisit), 6, mtime=0)
                 out.write(raw)
                 found.append((reversed_host_key(url), url, DATE, "revisit" if revisit else "response", name, at, len(raw)))
                 at += len(raw)
@@ -124,13 +137,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def build_index(captures: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The index blocks, a written table (block, first_key, last_key, lines, data): sorted within and between blocks."""
+    """The index blocks, a written table (block, first_key, last_key, lines, bytes, data): sorted within and between blocks.
+    bytes: of the records that the block's lines point to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(rows: list[tuple]) -> pa.RecordBatch:
             keys, entries = [r[0] for r in rows], ["\t".join(map(str, r[1:])) for r in rows]
             data = zlib.compress("\n".join(x.replace("\n", "%0A").replace("\t", "%09") for x in keys).encode() + b"\0" + "\n".join(entries).encode(), 6)
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([keys[0]]), pa.array([keys[-1]]), pa.array([len(rows)], pa.int64()), pa.array([data], pa.binary())], ["block", "first_key", "last_key", "lines", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([keys[0]]), pa.array([keys[-1]]), pa.array([len(rows)], pa.int64()), pa.array([sum(r[5] for r in rows)], pa.int64()), pa.array([data], pa.binary())], ["block", "first_key", "last_key", "lines", "bytes", "data"])
 
         held: list[tuple] = []
         for b in batches:
@@ -142,8 +156,9 @@ def build_index(captures: DataFrame, block: int = BLOCK) -> DataFrame:
             yield pack(held)
 
     ordered = captures.select("key", "date", "kind", "file", "offset", "length")
-    parts = max(1, -(-captures.count() // (4 * block)))
-    return written(ordered.repartitionByRange(parts, "key", "file", "offset").sortWithinPartitions("key", "file", "offset").mapInArrow(run, "block string, first_key string, last_key string, lines long, data binary"), "index")
+    n, shuffles = captures.count(), int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(-(-n // (4 * block)), max(shuffles, n // 1_000_000)))
+    return written(ordered.repartitionByRange(parts, "key", "file", "offset").sortWithinPartitions("key", "file", "offset").mapInArrow(run, "block string, first_key string, last_key string, lines long, bytes long, data binary"), "index")
 
 
 def block_lines(data: bytes) -> tuple[list[str], list[list[str]]]:
@@ -152,19 +167,22 @@ def block_lines(data: bytes) -> tuple[list[str], list[list[str]]]:
     return keys.split("\n"), [x.split("\t") for x in entries.split("\n")]
 
 
-def _read_ranges(folder: str, entries: list[list[str]]) -> Iterator[tuple[int, dict]]:
-    """The records of index entries, by file and place; (entry's number, record)."""
+ENTRIES = "url string, file string, offset long, length long"
+
+
+def read_ranges(folder: str, places: list[tuple[str, int, int]]) -> Iterator[dict]:
+    """The records at (file, offset, length), which are in order; ranges close to each other are read together."""
     store, path = fs.FileSystem.from_uri(folder)
-    order = sorted(range(len(entries)), key=lambda k: (entries[k][2], int(entries[k][3])))
-    name, stream = None, None
-    for k in order:
-        if entries[k][2] != name:
-            if stream:
-                stream.close()
-            name, stream = entries[k][2], store.open_input_file(f"{path}/{entries[k][2]}")
-        yield k, parse(gzip.decompress(stream.read_at(int(entries[k][4]), int(entries[k][3]))))
-    if stream:
-        stream.close()
+    k = 0
+    while k < len(places):
+        name, first, last = places[k][0], places[k][1], k + 1
+        while last < len(places) and places[last][0] == name and places[last][1] - (places[last - 1][1] + places[last - 1][2]) <= GAP and places[last][1] + places[last][2] - first <= READ:
+            last += 1
+        with store.open_input_file(f"{path}/{name}") as f:
+            raw = memoryview(f.read_at(places[last - 1][1] + places[last - 1][2] - first, first))
+        for _, offset, length in places[k:last]:
+            yield parse(gzip.decompress(raw[offset - first : offset - first + length]))
+        k = last
 
 
 def described(found: dict) -> tuple:
@@ -173,55 +191,100 @@ def described(found: dict) -> tuple:
     digest = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     if found["payload"] is not None and hashlib.sha1(found["payload"]).hexdigest() != digest:
         raise ValueError(f"payload of {headers['WARC-Record-ID']} doesn't match its digest")
-    bare = lambda x: None if x is None or x == "<urn:page:None>" else x.removeprefix("<urn:page:").removesuffix(">")
+    bare = lambda x: x[len("<urn:page:") :].rsplit(":", 1)[0] if x and x.startswith("<urn:page:") else None
     return bare(headers["WARC-Record-ID"]), int(found["http"]["Content-Length"]), digest, headers["WARC-Type"], bare(headers.get("WARC-Refers-To"))
 
 
-def read_archives(index: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
-    """Every record that the index points to: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
+def find(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys(url, key) -> the captures of each key (ENTRIES), a written table: binary search in the directory, then in the blocks.
+
+    A sample of at most about COARSE directory entries goes along with the search; what lies between two of it is joined. The
+    keys that a block is searched for come in groups of a few times the block's lines."""
+    directory = index.select("block", "first_key", "last_key")
+    n = directory.count()
+    step = max(1, -(-n // COARSE))
+    firsts = np.array(sorted(r[0] for r in directory.where(F.pmod(F.xxhash64("block"), F.lit(step)) == 0).select("first_key").collect()), object)
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(firsts, key.to_numpy(object), side="right"))
+
+    wanted = keys.select("url", "key").distinct().withColumn("part", place("key"))
+    spans = directory.withColumns({"low": place("first_key") - 1, "high": place("last_key")}).withColumn("part", F.explode(F.sequence(F.greatest("low", F.lit(0)), "high"))).drop("low", "high")
+    hits = wanted.join(spans, "part").where("key >= first_key and key <= last_key").select("block", "url", "key")
+    hits = written(hits.distinct(), "block-hits")
+    groups = max(1, hits.count() // max(1, 4 * BLOCK * n))
+    asked = hits.groupBy("block", F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("key", "url")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0):
-                rows = [described(r) for _, r in _read_ranges(folder, block_lines(data.as_py())[1])]
-                ids, sizes, digests, kinds, refers = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(kinds), pa.array(refers, pa.string())], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            out = []
+            for data, pairs in zip(b.column(0), b.column(1)):
+                keys, entries = block_lines(data.as_py())
+                for pair in pairs.as_py():
+                    key = pair["key"].replace("\n", "%0A").replace("\t", "%09")
+                    for _, _, file, offset, length in entries[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
+                        out.append((pair["url"], file, int(offset), int(length)))
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 2 else pa.int64()) for k, c in enumerate(columns)], ["url", "file", "offset", "length"])
 
-    spread = index.select("data").repartition(max(1, index.count()))
-    found = spread.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
-    return found.select(F.col("page_id").cast(id_type), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type))
+    return written(asked.join(index.select("block", "data"), "block").select("data", "wanted").mapInArrow(run, ENTRIES), "entries")
 
 
-def look_up(index: DataFrame, folder: str, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """urls(url_col) -> (url, page_id, record_type, payload) of every capture of each URL; revisits have no payload.
-
-    A sample of at most COARSE directory entries is broadcast and searched; the entries between two of the sample are joined."""
-    directory = index.select("block", "first_key", "last_key")
-    n = directory.count()
-    step = max(1, -(-n // COARSE))
-    firsts = sorted(r[0] for r in directory.where(F.pmod(F.xxhash64("block"), F.lit(step)) == 0).select("first_key").limit(2 * COARSE).collect())
+def read_records(entries: DataFrame, folder: str, describe, schema: str) -> DataFrame:
+    """describe(url, record) -> a row of schema, for each entry (ENTRIES); in tasks of about TASK_BYTES, by file and place."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    place = F.udf(lambda key: bisect.bisect_right(firsts, key), "int")
-    key_of = F.udf(reversed_host_key, "string")
-    wanted = urls.select(F.col(url_col).alias("url")).where("url is not null").distinct().withColumn("key", key_of("url")).withColumn("part", place("key"))
-    spans = directory.withColumn("part", F.explode(F.sequence(F.greatest(place("first_key") - 1, F.lit(0)), place("last_key"))))
-    hits = spans.join(wanted, (spans["part"] == wanted["part"]) & (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key"))).select("block", "url", "key").distinct()
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    parts = max(1, -(-(entries.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES), min(entries.sparkSession.sparkContext.defaultParallelism, entries.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for url, key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                keys, entries = block_lines(data.as_py())
-                key = key.replace("\n", "%0A").replace("\t", "%09")
-                mine = entries[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
-                for _, r in _read_ranges(folder, mine):
-                    page, _, _, kind, _ = described(r)
-                    yield pa.RecordBatch.from_arrays([pa.array([url]), pa.array([page], pa.string()), pa.array([kind]), pa.array([r["payload"]], pa.binary())], ["url", "page_id", "record_type", "payload"])
+            urls, places, out, size = b.column(0).to_pylist(), list(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))), [], 0
+            for url, place, found in zip(urls, places, read_ranges(folder, places)):
+                out.append(describe(url, found))
+                size += place[2]
+                if size >= READ:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], arrow.names)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], arrow.names)
+
+    return entries.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
+
+
+RECORDS = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+
+
+def read_archives(entries: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
+    """The records of entries: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
+    found = read_records(entries, folder, lambda _, r: described(r), RECORDS)
+    return found.select(F.col("page_id").cast(id_type), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type))
+
+
+def url_keys(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """The different URLs with their keys; a null URL has the empty key."""
+    key_of = F.pandas_udf(lambda s: s.map(reversed_host_key), "string")
+    return urls.select(F.col(url_col).alias("url")).distinct().withColumn("key", F.coalesce(key_of("url"), F.lit("")))
+
+
+def look_up(index: DataFrame, folder: str, urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """urls(url_col) -> (url, page_id, record_type, payload) of every capture of each URL; revisits have no payload. Null URLs
+    are not looked up."""
+    entries = find(index, url_keys(urls.where(F.col(url_col).isNotNull()), url_col))
+
+    def describe(url: str, found: dict) -> tuple:
+        page, _, _, kind, _ = described(found)
+        return url, page, kind, found["payload"]
 
-    return hits.join(index.select("block", "data"), "block").select("url", "key", "data").mapInArrow(run, "url string, page_id string, record_type string, payload binary")
+    return read_records(entries, folder, describe, "url string, page_id string, record_type string, payload binary")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Writes pages to a folder of their own in the shared one, indexes the archives, and reads them back through the index."""
+    """Writes pages to a folder of their own in the shared one, indexes the archives, and looks every key of the pages' URLs up
+    there: each record has one key, so that all come back once."""
     folder = fresh_path(pages.sparkSession, "warc")
     index = build_index(write_archives(pages, folder, id_col, url_col, payload_col))
-    return read_archives(index, folder, pages.schema[id_col].dataType.simpleString())
+    keys = url_keys(pages, url_col).select("key").distinct().withColumn("url", F.lit(None).cast("string"))
+    return read_archives(find(index, keys), folder, pages.schema[id_col].dataType.simpleString())

@@ -42,7 +42,9 @@ def test_round_trip_and_look_up(spark, sf):
     index = W.build_index(W.write_archives(twice, folder), block=16)
     rows = twice.collect()
     want, kinds = brute([(r["page_id"], r["html"]) for r in rows])
-    got = W.read_archives(index, folder).collect()
+    assert index.agg(F.sum("lines"), F.count("*")).first()[0] == len(rows) and index.count() > 5
+    keys = W.url_keys(twice)
+    got = W.read_archives(W.find(index, keys.select("key").distinct().withColumn("url", F.lit("u"))), folder).collect()
     assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got) == want
     assert {r["page_id"]: (r["record_type"], r["refers_to"]) for r in got} == kinds and len(got) == len(rows)
     urls = twice.select("url").distinct().union(spark.createDataFrame([("http://nowhere.example/x",), (None,)], "url string"))
@@ -56,6 +58,29 @@ def test_round_trip_and_look_up(spark, sf):
     assert all((r["payload"] is None) == (r["record_type"] == "revisit") and (r["payload"] is None or bytes(r["payload"]).decode() == html[r["page_id"]]) for r in found)
 
 
+def test_record_ids_are_unique(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    twice = pages.union(pages).union(pages.select((F.col("page_id") + 100_000).alias("page_id"), "url", "html"))
+    folder = fresh_path(spark, "warc-ids")
+    entries = W.find(W.build_index(W.write_archives(twice, folder)), W.url_keys(twice).select("key").distinct().withColumn("url", F.lit("u")))
+    got = W.read_records(entries, folder, lambda _, r: (r["headers"]["WARC-Record-ID"], r["headers"].get("WARC-Refers-To"), r["headers"]["WARC-Type"]), "i string, refers string, kind string").collect()
+    ids = {r["i"] for r in got}
+    assert len(ids) == len(got) == twice.count()
+    kinds = {r["i"]: r["kind"] for r in got}
+    assert all(kinds[r["refers"]] == "response" for r in got if r["kind"] == "revisit") and sum(r["kind"] == "revisit" for r in got) > pages.count()
+
+
+def test_absent_and_hot_keys(spark):
+    """One key over many blocks; many keys that aren't there."""
+    rows = [(k, "http://hot.example/", f"<p>{k}") for k in range(300)] + [(1000 + k, f"http://a{k}.example/", "x") for k in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = fresh_path(spark, "warc-hot")
+    index = W.build_index(W.write_archives(pages, folder), block=16)
+    urls = spark.range(3000).select(F.format_string("http://b%s.example/", "id").alias("url")).union(spark.createDataFrame([("http://hot.example",), ("http://a7.example/",)], "url string"))
+    got = sorted((r["url"], int(r["page_id"])) for r in W.look_up(index, folder, urls).collect())
+    assert got == [("http://a7.example/", 1007)] + [("http://hot.example", k) for k in range(300)]
+
+
 def test_odd_rows(spark):
     big = "<p>" + "é" * 60_000
     rows = [(None, None, None), (1, None, ""), (2, "http://a.example/\t\n", "x"), (3, "http://a.example/", big), (3, "http://a.example/", big), (4, "", big), (None, "http://b.example", big), (5, "::", "<|>")]
