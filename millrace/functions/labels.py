@@ -80,7 +80,7 @@ def format_metrics(query: Column) -> dict[str, Column]:
     low, toks = F.lower(text), T.tokens(text)
     multiple = text.rlike(LIST_MARK) | text.contains("\n")
     prefix, meta = low.rlike(PREFIX), low.rlike(META)
-    invalid = F.length(text) - F.length(F.regexp_replace(text, r"[\x00-\x08\x0b-\x1f\x7f-\x9f]", ""))
+    invalid = T.invalid_characters(text)
     return {
         "empty": text == "", "multiple_query": multiple, "has_prefix": prefix, "has_metacomment": meta, "word_length": F.size(toks).cast("long"), "character_length": F.length(text).cast("long"),
         "language_confidence": T.language_share(toks, T.POLISH_STOPWORDS, T.POLISH_LETTERS, None), "invalid_character_count": invalid.cast("long"),
@@ -113,7 +113,72 @@ def position_bucket(index: Column, count: Column) -> Column:
 
 
 def overlap_band_reward(value: Column, low: float, high: float) -> Column:
-    """1 within the band, falling linearly to 0 at 0 and 1."""
-    if not 0 < low < high < 1:
-        raise ValueError("the band must satisfy 0 < low < high < 1")
-    return F.when(value.between(low, high), 1.0).when(value < low, F.greatest(F.lit(0.0), value / low)).otherwise(F.greatest(F.lit(0.0), (1 - value) / (1 - high)))
+    """1 between low and high; outside, what is left on the line down to 0 at 0 and at 1."""
+    if low <= 0 or high >= 1 or low >= high:
+        raise ValueError(f"no band inside (0, 1): {low} to {high}")
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value / low, (1 - value) / (1 - high)))
+
+
+def third(index: Column, count: Column) -> Column:
+    """By the middle of the sentence: which third of the passage it is in."""
+    place = (index + 0.5) / count
+    return F.when(place <= 1 / 3, "beginning").when(place <= 2 / 3, "middle").otherwise("end")
+
+
+def lexical_focus(query: Column, passage: Column, least: float = 0.2, cut=T.sentences) -> Column:
+    """(sentence, bucket, confidence): the one sentence that holds most of the query's content terms; sentence and bucket are
+    null where several do, or none holds the share `least`."""
+    terms = F.array_distinct(T.content(T.tokens(query)))
+
+    def of(t: Column) -> Column:
+        scores = lambda s: F.transform(s, lambda x: T.share(F.array_intersect(t, T.content(T.tokens(x))), t))
+        nothing = (F.size(t) == 0) | (F.size(cut(passage)) == 0)
+        best = lambda s: F.array_max(s)
+        clear = lambda s: (best(s) >= least) & (F.size(F.filter(s, lambda x: x == best(s))) == 1) & ~nothing
+        place = lambda s: (F.array_position(s, best(s)) - 1).cast("int")
+        return T.bound(scores(cut(passage)), lambda s: F.struct(
+            F.when(clear(s), place(s)).alias("sentence"),
+            F.when(clear(s), position_bucket(place(s), F.size(s))).alias("bucket"),
+            F.when(nothing, 0.0).otherwise(best(s)).alias("confidence"),
+        ))
+
+    return T.bound(terms, of)
+
+
+def judge_focus(scores: Column, ambiguous: float = 0.1) -> Column:
+    """Of an array of sentence scores: (sentence, score, margin to the next best, bucket, ambiguous, sentences); ties go to the
+    first, the margin of a single sentence is infinite, no sentence gives null."""
+
+    def of(s: Column) -> Column:
+        ranked = F.array_sort(F.transform(s, lambda x, i: F.struct((-x).alias("down"), i.alias("i"))))
+        margin = F.when(F.size(s) > 1, F.get(ranked, 1)["down"] - F.get(ranked, 0)["down"]).otherwise(F.lit(float("inf")))
+        at = F.get(ranked, 0)["i"]
+        return F.when(F.size(s) > 0, F.struct(at.alias("sentence"), F.array_max(s).alias("score"), margin.alias("margin"), third(at, F.size(s)).alias("bucket"), (margin < ambiguous).alias("ambiguous"), F.size(s).alias("sentences")))
+
+    return T.bound(scores, of)
+
+
+def binned(value: Column, bounds: tuple[float, ...]) -> Column:
+    """`lo-hi` by upper bounds, the last bin `>hi`."""
+    out, low = F, "0"
+    for b in bounds:
+        out = out.when(value <= b, f"{low}-{b}")
+        low = str(b)
+    return out.otherwise(f">{low}")
+
+
+def concepts(token_array: Column, entities: Column, most: int = 24) -> Column:
+    """What a text is about: entities, numbers and units as they come, then content terms by falling count and by name; each
+    once, `most` at most."""
+
+    def of(t: Column) -> Column:
+        terms = T.content(t)
+        counted = F.array_sort(F.transform(F.array_distinct(terms), lambda x: F.struct((-F.size(F.filter(terms, lambda y: y == x))).alias("k"), x.alias("t"))))
+        return F.slice(F.array_distinct(F.concat(entities, T.numbers(t), T.units(t), F.transform(counted, lambda c: c["t"]))), 1, most)
+
+    return T.bound(token_array, of)
+
+
+def covered(concept_terms: Column, query_terms: Column) -> Column:
+    """Which concepts (arrays of terms) have all their terms among those of the queries."""
+    return F.transform(concept_terms, lambda c: F.size(F.array_except(c, query_terms)) == 0)

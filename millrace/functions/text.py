@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -56,8 +57,7 @@ def tokens(text: Column) -> Column:
 
 def content(token_array: Column) -> Column:
     """Tokens of two characters or more that aren't stop words."""
-    stop = F.array(*map(F.lit, POLISH_STOPWORDS))
-    return F.filter(token_array, lambda t: ~F.array_contains(stop, t) & (F.length(t) > 1))
+    return F.filter(token_array, lambda t: ~t.isin(POLISH_STOPWORDS) & (F.length(t) > 1))
 
 
 def numbers(token_array: Column) -> Column:
@@ -91,3 +91,154 @@ def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
 def language_share(token_array: Column, common: list[str], letters: str, empty: float | None = 0.0) -> Column:
     """The share of tokens that are common words of a language or hold one of its letters."""
     return share(F.filter(token_array, lambda t: t.isin(common) | t.rlike(f"[{letters}]")), token_array, empty)
+
+
+# keys and repairs
+
+
+@F.pandas_udf(StringType())
+def query_key(text: pd.Series) -> pd.Series:
+    """Words in folded case without marks, with ł as l, joined by spaces: what makes two queries the same."""
+
+    def key(t: str | None) -> str | None:
+        if t is None:
+            return None
+        folded = unicodedata.normalize("NFKD", t.casefold().replace("ł", "l"))
+        return " ".join("".join(c for c in folded if not unicodedata.combining(c)).split())
+
+    return text.map(key)
+
+
+@F.pandas_udf(StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """Unicode case folding: as lower case, but for ß, final sigma and the like."""
+    return text.map(lambda t: None if t is None else t.lower() if t.isascii() else t.casefold())
+
+
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """All character references of HTML decoded."""
+    return text.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
+
+
+def single_line(text: Column) -> Column:
+    """A completion on one line with white space squeezed; null where it has several lines or nothing."""
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.when((bare != "") & ~bare.rlike(r"[\n\r]"), squeezed(bare))
+
+
+def first_line(text: Column) -> Column:
+    """The first line that holds anything, squeezed; null where none does."""
+    return F.get(F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), squeezed), lambda x: x != ""), 0)
+
+
+def first_words(text: Column, n: int = 12) -> Column:
+    """The first n words of the first sentence: a query that only copies."""
+    return F.array_join(F.slice(F.split(squeezed(F.get(sentences(text), 0)), " "), 1, n), " ")
+
+
+#: What opens a completion that isn't bare; what looks like a proper name; damage by wrong decoding.
+LEAD_IN = r"(?iU)^ot(?:o|óż)\b"
+PROPER_NAME = r"\p{Lu}[\p{L}]+(?:[ -]\p{Lu}[\p{L}]+)+"
+MOJIBAKE = ("Ã", "Å", "Ä", "�")
+FENCE = r"(?is)^\s*```(?:json)?\s*(.*?)\s*```\s*$"
+
+
+def has_lead_in(text: Column) -> Column:
+    return squeezed(text).rlike(LEAD_IN)
+
+
+def has_proper_name(text: Column) -> Column:
+    return text.rlike(PROPER_NAME)
+
+
+def invalid_characters(text: Column) -> Column:
+    """How many characters of the Unicode categories C*, but line feeds and tabs."""
+    return F.length(text) - F.length(F.regexp_replace(text, r"[\p{C}&&[^\n\t]]", ""))
+
+
+def occurrences(text: Column, what: str) -> Column:
+    return ((F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))) / len(what)).cast("long")
+
+
+def surface_risk(query: Column, passage: Column) -> dict[str, Column]:
+    """Signs of damage in query and passage, and a risk that orders rows for reading; no ground for dropping any."""
+    both = F.concat_ws("\n", query, passage)
+    marks = sum((occurrences(both, m) for m in MOJIBAKE[:3]), F.lit(0).cast("long"))
+    control = F.length(both) - F.length(F.regexp_replace(both, r"[\p{Cc}\p{Cf}&&[^\n\t]]", ""))
+    sure = lambda c: language_share(words(c), POLISH_COMMON, POLISH_LETTERS)
+    n = lambda c: F.size(F.array_remove(F.split(c, r"(?U)\s+"), ""))
+    out = {
+        "mojibake_markers": marks, "replacements": occurrences(both, MOJIBAKE[3]), "controls": control.cast("long"),
+        "non_ascii_share": (F.length(both) - F.length(F.regexp_replace(both, r"[^\x00-\x7f]", ""))) / F.greatest(F.length(both), F.lit(1)),
+    }
+    short = F.when(n(query) <= 1, 0.5).otherwise(0.0) + F.when(n(passage) <= 3, 0.5).otherwise(0.0)
+    return out | {"risk": 4.0 * out["mojibake_markers"] + 4.0 * out["replacements"] + 2.0 * out["controls"] + (1 - sure(query)) + (1 - sure(passage)) + short}
+
+
+# sentences
+
+
+def sentences(text: Column) -> Column:
+    """Cut after . ! or ? before white space; none is empty."""
+    return F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), squeezed_ends), lambda x: x != "")
+
+
+def squeezed_ends(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def judge_sentences(text: Column) -> Column:
+    """As sentences(), but only where a capital or a digit follows."""
+    return F.filter(F.transform(F.split(text, rf"(?U)(?<=[.!?])\s+(?=[A-Z{POLISH_LETTERS.upper()}0-9])"), squeezed_ends), lambda x: x != "")
+
+
+#: Abbreviations whose full stop ends no sentence.
+ABBREVIATIONS = (
+    "np tzw tzn tj m.in ok ur zm św płk gen dr prof hab mgr inż ul al os nr ks art ust pkt poz godz im łac ang niem fr ros gr wł hiszp p.n.e n.e tys mln mld proc jw cd ww zob por red wyd przyp ryc rys tab "
+    "mr mrs ms st no vs inc co ltd jr sr e.g i.e a.m p.m u.s u.k"
+).split()
+
+
+def careful_sentences(text: Column) -> Column:
+    """As sentences(), but a cut is undone after an abbreviation, a single letter or a number of up to three digits with a full
+    stop and before a lower-case letter; what holds no letter joins the sentence before, at the front the one after."""
+    spaced = lambda a, b: F.concat_ws(" ", a, b)
+    last = lambda c: F.element_at(c, -1)
+    token = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_extract(c, r"(?U)(\S+)$", 1), r"\.+$", ""), "^[(\\[\"'„”]+", "")
+    stops = lambda c: c.endswith(".") & (F.lower(token(c)).isin(ABBREVIATIONS) | token(c).rlike(r"^(?:(?U)\w|\d{1,3})$"))
+    joins = lambda a, x: (F.size(a) > 0) & (stops(last(a)) | x.rlike(r"^\p{Ll}"))
+    replaced = lambda a, x: F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(spaced(last(a), x)))
+    none = F.array().cast("array<string>")
+    joined = F.aggregate(sentences(text), none, lambda a, x: F.when(joins(a, x), replaced(a, x)).otherwise(F.concat(a, F.array(x))))
+    # a front without letters waits as a first element until a sentence with letters comes
+    lettered = lambda x: x.rlike(r"\p{L}")
+    return F.aggregate(joined, none, lambda a, x: F.when((F.size(a) > 0) & (~lettered(x) | ~lettered(last(a))), replaced(a, x)).otherwise(F.concat(a, F.array(x))))
+
+
+# model output
+
+
+def parsed_queries(text: Column, least: int = 1) -> dict[str, Column]:
+    """Of a completion that should be {"queries": [{text, form, intent, focus_sentence_id}]}: queries, valid, repaired.
+
+    A code fence around it and a comma before its last brace are repaired. Valid: it parses, holds `least` queries or more, and
+    none is blank."""
+    bare = squeezed_ends(text)
+    inner = F.when(bare.rlike(FENCE), F.regexp_extract(bare, FENCE, 1)).otherwise(bare)
+    whole = F.when(inner.endswith(",}"), F.concat(F.left(inner, F.length(inner) - 2), F.lit("}"))).otherwise(inner)
+    found = F.from_json(whole, "queries array<struct<text:string,form:string,intent:string,focus_sentence_id:int>>")["queries"]
+    valid = F.coalesce((F.size(found) >= least) & F.forall(found, lambda q: F.coalesce(F.trim(q["text"]) != "", F.lit(False))), F.lit(False))
+    return {"queries": F.when(valid, found), "valid": valid, "repaired": whole != bare}
+
+
+def parsed_verdict(text: Column, allowed: tuple[str, ...] = ("yes", "no", "uncertain")) -> Column:
+    """The verdict in a judge's JSON, in lower case; null where there is none that is allowed."""
+    found = F.lower(F.btrim(F.get_json_object(text, "$.verdict")))
+    return F.when(found.isin(*allowed), found)
+
+
+def ngrams(token_array: Column, most: int = 4) -> Column:
+    """The set of runs of 1 to `most` tokens."""
+    runs = lambda w, k: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(F.array().cast("array<string>"))
+    return bound(token_array, lambda w: F.array_distinct(F.concat(*(runs(w, k) for k in range(1, most + 1)))))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,28 +11,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from .tables import written
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, or through checkpoint() where only that is set."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.getCheckpointDir():
-            import tempfile
 
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-        return df.checkpoint()
-    path = f"{folder.rstrip('/')}/millrace/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Parts into which the rows of one key are dealt.
+SALTS = 64
 
 
 def exact_groups(rows: DataFrame, key: Column, id_col: str) -> DataFrame:
-    """rows with `canonical` (the least id of the key) and `group_size`. Keys are summed up first and joined back, so that AQE
-    can split a hot one."""
-    keyed = rows.withColumn("__key", key)
-    groups = keyed.groupBy("__key").agg(F.min(id_col).alias("canonical"), F.count(F.lit(1)).alias("group_size"))
-    return keyed.join(groups, "__key").drop("__key")
+    """rows with `canonical` (the least id of the key) and `group_size`; null is a key as any other.
+
+    Keys are summed up by salt first, and rows come back by key and salt, so that no key fills a task."""
+    salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
+    keyed = rows.withColumns({"__key": F.struct(F.coalesce(key.cast("string"), F.lit("")).alias("k"), key.isNull().alias("none")), "__salt": salt})
+    parts = keyed.groupBy("__key", "__salt").agg(F.min(id_col).alias("m"), F.count(F.lit(1)).alias("n"))
+    groups = parts.groupBy("__key").agg(F.min("m").alias("canonical"), F.sum("n").alias("group_size"), F.collect_list("__salt").alias("s"))
+    return keyed.join(groups.select("__key", "canonical", "group_size", F.explode("s").alias("__salt")), ["__key", "__salt"]).drop("__key", "__salt")
 
 
 def simhash64(text: str) -> int:
@@ -64,6 +57,7 @@ def near_pairs(fps: DataFrame, bands: int = 4, most: int = 3) -> DataFrame:
         raise ValueError("bands must divide 64 and exceed the distance")
     placed = fps.select("id", "fp", F.posexplode(band_keys(F.col("fp"), bands)).alias("band", "key"))
     left, right = placed.select("band", "key", F.col("id").alias("a"), F.col("fp").alias("fa")), placed.select("band", "key", F.col("id").alias("b"), F.col("fp").alias("fb"))
+    # AQE splits a band that many fingerprints share; more bands than differing bits keep it complete
     hit = (left["band"] == right["band"]) & (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= most)
     return left.join(right, hit).select("a", "b").distinct()
 
@@ -89,15 +83,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_clusters(docs: DataFrame, id_col: str, text_col: str, bands: int = 4, most: int = 3) -> DataFrame:
     """(id, canonical, match, similarity) of each row: its cluster's least id, whether it is that row, an exact or a near copy."""
-    rows = written(docs.select(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("hash"), simhash(F.col(text_col)).alias("fp")))
+    rows = written(docs.select(F.col(id_col).alias("id"), F.coalesce(F.sha2(text_col, 256), F.lit("null")).alias("hash"), simhash(F.col(text_col)).alias("fp")))
     least = rows.groupBy("fp").agg(F.min("id").alias("least"))
     pairs = near_pairs(least.select(F.col("least").alias("id"), "fp"), bands, most)
     roots = components(pairs)
     linked = least.join(roots.withColumnRenamed("node", "least"), "least", "left").select("fp", F.coalesce("root", "least").alias("canonical"))
-    placed = rows.join(linked, "fp")
-    heads = rows.select(F.col("id").alias("canonical"), F.col("hash").alias("head_hash"), F.col("fp").alias("head_fp"))
+    heads = least.select(F.col("least").alias("canonical"), F.col("fp").alias("head_fp"))
+    linked = linked.join(heads, "canonical")  # of fingerprints, not of rows: copies share one
+    head_hash = rows.join(linked.select("canonical").distinct(), F.col("id") == F.col("canonical"), "left_semi").groupBy(F.col("id").alias("canonical")).agg(F.min("hash").alias("head_hash"))
+    placed = rows.join(written(linked.join(head_hash, "canonical")), "fp")
     bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp")))
-    return placed.join(heads, "canonical").select(
+    return placed.select(
         F.col("id").alias(id_col), "canonical",
         F.when(F.col("id") == F.col("canonical"), "canonical").when(F.col("hash") == F.col("head_hash"), "exact").otherwise("near").alias("match"),
         F.when(F.col("hash") == F.col("head_hash"), 1.0).otherwise(1 - bits / 64).alias("similarity"),
@@ -158,6 +154,9 @@ def greedy_split(sizes: DataFrame, shares: dict[str, float], component: str = "r
         start[n] = start.get(n, 0) + take
     spark = sizes.sparkSession
     bounds = spark.createDataFrame(ranges or [(0, "", 0, 0)], f"{size} long, split string, lo long, hi long")
-    nth = F.row_number().over(Window.partitionBy(size).orderBy(component)) - 1
-    placed = sizes.withColumn("__nth", nth)
+    # components of a size are numbered within parts by their digests; a part's numbers begin after those of the parts before
+    dealt = written(sizes.withColumn("__part", F.pmod(F.xxhash64(component), F.lit(4 * SALTS)).cast("int")))
+    before = dealt.groupBy(size, "__part").agg(F.count(F.lit(1)).alias("c")).withColumn("__from", F.coalesce(F.sum("c").over(Window.partitionBy(size).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
+    nth = F.row_number().over(Window.partitionBy(size, "__part").orderBy(component)) - 1
+    placed = dealt.withColumn("__in", nth).join(before, [size, "__part"]).withColumn("__nth", F.col("__in") + F.col("__from")).drop("__in", "__from", "__part")
     return placed.join(F.broadcast(bounds), [size]).where((F.col("__nth") >= F.col("lo")) & (F.col("__nth") < F.col("hi"))).select(component, "split")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .statistics import running_sums
+from .tables import written
+
 K1, B = 1.2, 0.75
-#: Query vectors that a dense search holds in a task at once; beyond, queries go in blocks.
-QUERY_BLOCK = 4096
+#: Vectors of a block of queries and of a part of the corpus that meet in one task.
+QUERY_BLOCK, CORPUS_PART = 2048, 50_000
 
 
 def postings(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
@@ -47,36 +50,169 @@ def top_k(scores: DataFrame, k: int, by: str = "query") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def dense_scores(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
+class Index:
+    """An inverted index of documents, written once: postings (doc, term, tf, length) in ranges of terms, and their size."""
+
+    def __init__(self, docs: DataFrame, id_col: str, terms: Column) -> None:
+        """Documents without terms count for the size; a null text has none, a null id is a document of its own."""
+        listed = docs.select(F.col(id_col).alias("doc"), terms.alias("__terms"))
+        each = listed.select("doc", F.size(F.coalesce("__terms", F.array().cast("array<string>"))).alias("length"), F.explode_outer("__terms").alias("term"))
+        counted = each.groupBy("doc", "length", "term").agg(F.count("term").cast("int").alias("tf")).select("doc", "term", "tf", "length")
+        rows = written(counted, "postings")
+        self.docs = written(rows.select("doc", "length").distinct(), "lengths")
+        self.postings = rows.where("term is not null")
+        found = self.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl")).first()
+        self.n, self.avgdl = found["n"], found["avgdl"] or 0.0
+
+    def hits(self, queries: DataFrame, query_col: str, terms: Column) -> tuple[DataFrame, DataFrame]:
+        """(query, term) of the queries, and the postings of these terms, written."""
+        wanted = queries.select(F.col(query_col).alias("query"), F.explode(F.array_distinct(terms)).alias("term"))
+        return wanted, written(self.postings.join(wanted.select("term").distinct(), "term", "left_semi"), "hits")
+
+    def scores(self, queries: DataFrame, query_col: str, terms: Column, k1: float = K1, b: float = B) -> DataFrame:
+        """(query, doc, score), a written table of the documents that share a term with the query; log10 idf, each query term
+        counts once. What moves grows with the queries' postings, not with the corpus."""
+        wanted, hits = self.hits(queries, query_col, terms)
+        df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        tf, n = F.col("tf"), float(self.n)
+        part = F.log10((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / max(self.avgdl, 1e-12)))
+        return written(wanted.join(df, "term").join(hits, "term").groupBy("query", "doc").agg(F.sum(part).alias("score")), "scores")
+
+
+def with_backfill(ranked: DataFrame, queries: DataFrame, query_col: str, docs: DataFrame, k: int) -> DataFrame:
+    """ranked(query, doc, score, rank <= k) filled up to k for every query with documents (doc) of score 0 in order of their id.
+
+    Of the corpus only the first 2 k ids are looked at: at most k of them are ranked already, so that k or all are left."""
+    first = docs.select("doc").orderBy("doc").limit(2 * k)
+    want = queries.select(F.col(query_col).alias("query")).distinct().join(ranked.groupBy("query").agg(F.count(F.lit(1)).alias("have")), "query", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < k)
+    ids = F.broadcast(first.agg(F.array_sort(F.collect_list("doc")).alias("ids")))  # one row of 2 k ids
+    taken = ranked.groupBy("query").agg(F.collect_list("doc").alias("taken"))
+    left = want.join(ids).join(taken, "query", "left").select("query", "have", F.array_except("ids", F.coalesce("taken", F.slice("ids", 1, 0))).alias("left"))
+    more = left.select("query", "have", F.posexplode("left").alias("i", "doc")).where(F.col("i") + F.col("have") < k).select("query", "doc", F.lit(0.0).alias("score"), (F.col("i") + F.col("have") + 1).cast("long").alias("rank"))
+    return ranked.select("query", "doc", "score", "rank").unionByName(more)
+
+
+def scores_of(scores: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """wanted(query, doc) with their scores, 0 where no term is shared; a document that isn't in docs(doc) is an error."""
+    known = docs.select("doc", F.lit(True).alias("__known"))
+    out = wanted.join(known, "doc", "left").join(scores.select("query", "doc", "score"), ["query", "doc"], "left")
+    return out.select("query", "doc", F.when(F.col("__known"), F.coalesce("score", F.lit(0.0))).otherwise(F.raise_error(F.concat(F.lit("unknown document "), F.col("doc").cast("string")))).alias("score"))
+
+
+def round_trip(ranked: DataFrame, positives: DataFrame, cutoffs: Sequence[int] = (1, 5, 20, 100)) -> DataFrame:
+    """ranked(query, doc, score, rank), positives(query, doc) -> (query, hit_at_k..., best_positive, best_other, margin): whether a
+    positive is among the first k, the best scores of both sides, and by how much the positive leads; null where a side is
+    missing. Queries without positives don't show."""
+    known = positives.select("query", "doc", F.lit(True).alias("__p")).distinct()
+    sides = ranked.join(positives.select("query").distinct(), "query", "left_semi").join(known, ["query", "doc"], "left").withColumn("__p", F.coalesce("__p", F.lit(False)))
+    found = sides.groupBy("query").agg(F.min(F.when(F.col("__p"), F.col("rank"))).alias("__r"), F.max(F.when(F.col("__p"), F.col("score"))).alias("best_positive"), F.max(F.when(~F.col("__p"), F.col("score"))).alias("best_other"))
+    out = positives.select("query").distinct().join(found, "query", "left")
+    return out.select("query", *((F.coalesce(F.col("__r") <= k, F.lit(False))).alias(f"hit_at_{k}") for k in cutoffs), "best_positive", "best_other", (F.col("best_positive") - F.col("best_other")).alias("margin"))
+
+
+def checked_cutoffs(cutoffs: Sequence[int], pool: int) -> tuple[int, ...]:
+    """A cutoff beyond the pool is an error, never cut."""
+    if not cutoffs or min(cutoffs) < 1 or max(cutoffs) > pool:
+        raise ValueError(f"cutoffs {tuple(cutoffs)} don't fit a pool of {pool}")
+    return tuple(cutoffs)
+
+
+def mined_negatives(ranked: DataFrame, positives: DataFrame, k: int) -> DataFrame:
+    """(query, doc, score, position): the k best that aren't positives. ranked(query, doc, score, rank) must hold the k best and
+    as many more as a query has positives."""
+    left = ranked.join(positives.select("query", "doc").distinct(), ["query", "doc"], "left_anti")
+    order = Window.partitionBy("query").orderBy("rank")
+    return left.withColumn("position", F.row_number().over(order).cast("long")).where(F.col("position") <= k).select("query", "doc", "score", "position")
+
+
+def pool_backfill(pools: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """pools(query, positives array, negatives array) with `filled`: negatives up to `least` from docs(doc) in order of their id,
+    neither positive nor there already, and `added`, how many of them. Only as many first ids are looked at as the largest
+    pool could hold back."""
+    most = pools.agg(F.max(F.size("positives") + F.size("negatives"))).first()[0] or 0
+    first = F.broadcast(docs.select("doc").orderBy("doc").limit(least + most).agg(F.array_sort(F.collect_list("doc")).alias("__ids")))
+    need = F.greatest(F.lit(least) - F.size("negatives"), F.lit(0))
+    more = F.slice(F.array_except(F.array_except("__ids", "positives"), F.col("negatives")), F.lit(1), need)
+    return pools.join(first).withColumn("__more", more).select(*pools.columns, F.concat("negatives", "__more").alias("filled"), F.size("__more").alias("added"))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """wanted(id_col) with their texts; a missing document is an error."""
+    known = docs.select(id_col, F.col(text_col).alias("__t"), F.lit(True).alias("__known"))
+    return wanted.select(id_col).distinct().join(known, id_col, "left").select(id_col, F.when(F.col("__known"), F.col("__t")).otherwise(F.raise_error(F.concat(F.lit("missing document "), F.col(id_col).cast("string")))).alias(text_col))
+
+
+def _meetings(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str, run, schema: str, more: Sequence[str] = ()) -> DataFrame:
+    """run(part of the corpus, block of queries) for every part and block of vectors of one length, as a grouped function.
+
+    Both sides are dealt by digest into blocks of bounded size; a query meets each vector of its own length once."""
+    present = lambda df, *cols: df.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"), *cols)
+    n, m = corpus.count(), queries.count()
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    parts, blocks = max(1, -(-n // CORPUS_PART), min(cores, n // 250)), max(1, -(-m // QUERY_BLOCK))
+    deal = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = present(corpus).withColumns({"part": deal(parts), "size": F.size("v")}).withColumn("block", each(blocks))
+    right = present(queries, *more).withColumns({"block": deal(blocks), "size": F.size("v")}).withColumn("part", each(parts))
+    keys = ["part", "block", "size"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+
+
+def _products(corpus: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
+    stack = lambda v: np.stack(v.to_numpy()).astype(np.float64)
+    return stack(queries["v"]) @ stack(corpus["v"]).T
+
+
+def dense_scores(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, allowed: DataFrame | None = None) -> DataFrame:
     """(query, doc, score, rank): the exact k best by dot product for each query, ties by document.
 
-    Queries travel in blocks to every part of the corpus; a part reports its k best, so that k rows a query and part are
-    shuffled. Vectors of unequal length or null count as absent."""
-    blocks = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("string").alias("q"), F.col(vector_col).alias("v"))
-    n = blocks.count()
-    parts = []
-    for lo in range(0, max(1, -(-n // QUERY_BLOCK))):
-        block = blocks.where(F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n // QUERY_BLOCK)))) == lo).toPandas()
-        if not len(block):
-            continue
-        names, matrix = block["q"].to_numpy(), np.stack(block["v"].map(np.asarray)).astype(np.float64)
-
-        def best(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                pdf = pdf[pdf["v"].map(lambda v: v is not None and len(v) == matrix.shape[1])]
-                if not len(pdf):
-                    continue
-                docs, products = pdf["d"].to_numpy(), matrix @ np.stack(pdf["v"].map(np.asarray)).astype(np.float64).T
-                for q, row in zip(names, products):
-                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                    order = sorted(near, key=lambda i: (-row[i], docs[i]))[:k]
-                    yield pd.DataFrame({"query": q, "doc": docs[order], "score": row[order]})
-
-        parts.append(corpus.select(F.col(id_col).alias("d"), F.col(vector_col).alias("v")).mapInPandas(best, f"query string, doc {corpus.schema[id_col].dataType.simpleString()}, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return top_k(found.withColumn("query", F.col("query").cast(queries.schema[id_col].dataType)), k)
+    Blocks of queries meet parts of the corpus in tasks of bounded size; a meeting reports its k best, so that k rows a query and
+    part are shuffled. Null and empty vectors are absent; a query meets only vectors of its own length. allowed: (id_col) of the
+    documents that may be found."""
+    corpus = corpus.join(allowed.select(id_col).distinct(), id_col, "left_semi") if allowed is not None else corpus
+    q_type, d_type = queries.schema[id_col].dataType.simpleString(), corpus.schema[id_col].dataType.simpleString()
+
+    def best(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(c) or not len(q):
+            return pd.DataFrame({"query": q["id"][:0], "doc": c["id"][:0], "score": np.zeros(0)})
+        c = c.sort_values("id", kind="stable")
+        products = _products(c, q)
+        order = np.argsort(-products, axis=1, kind="stable")[:, :k]  # columns are in order of the id, so that ties are as well
+        docs = c["id"].to_numpy()
+        return pd.DataFrame({"query": np.repeat(q["id"].to_numpy(), order.shape[1]), "doc": docs[order.ravel()], "score": np.take_along_axis(products, order, axis=1).ravel()})
+
+    return top_k(_meetings(corpus, queries, id_col, vector_col, best, f"query {q_type}, doc {d_type}, score double"), k)
+
+
+def dense_ranks(corpus: DataFrame, queries: DataFrame, positives: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """positives(query, doc) with their exact rank among all vectors of the corpus: one more than the vectors that score higher,
+    or the same with a smaller id. Nothing is sorted: meetings count, counts are summed up."""
+    vectors = corpus.select(F.col(id_col).alias("doc"), F.col(vector_col).alias("__d"))
+    own = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("__q")).join(positives, "query").join(vectors, "doc")
+    asked = own.groupBy("query").agg(F.collect_list(F.struct("doc", F.col("__d").cast("array<float>").alias("v"))).alias("own"))
+    with_own = queries.join(asked, queries[id_col] == asked["query"]).drop("query")
+    q_type, d_type = queries.schema[id_col].dataType.simpleString(), corpus.schema[id_col].dataType.simpleString()
+
+    def count(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(c) and len(q):
+            docs, held = c["id"].to_numpy(), np.stack(c["v"].to_numpy()).astype(np.float64)
+            product = lambda m, v: (m * np.asarray(v, np.float64)).sum(axis=1)  # noqa: E731  one order of summing, wherever a vector is
+            for query, v, own in zip(q["id"], q["v"], q["own"]):
+                row = product(held, v)
+                for p in own:
+                    mine = product(np.asarray(p["v"], np.float64)[None], v)[0] if len(p["v"]) == len(v) else np.inf
+                    rows.append((query, p["doc"], int((row > mine).sum() + ((row == mine) & (docs < p["doc"])).sum())))
+        return pd.DataFrame(rows, columns=["query", "doc", "above"])
+
+    found = _meetings(corpus, with_own, id_col, vector_col, count, f"query {q_type}, doc {d_type}, above long", ("own",))
+    return found.groupBy("query", "doc").agg((F.sum("above") + 1).alias("rank"))
+
+
+def win_rate(positives: Column, negatives: Column) -> Column:
+    """The share of pairs of a positive and a negative score in which the positive is greater; null without pairs."""
+    wins = F.aggregate(positives, F.lit(0), lambda a, p: a + F.size(F.filter(negatives, lambda n: n < p)))
+    return F.when((F.size(positives) > 0) & (F.size(negatives) > 0), wins / (F.size(positives) * F.size(negatives)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -123,9 +259,10 @@ def youden_threshold(scored: DataFrame, group: str = "query") -> DataFrame:
     Scores are summed up first, so that the running sums go over distinct scores."""
     sizes = scored.groupBy(group).agg(F.sum(F.col("positive").cast("long")).alias("np"), F.sum((~F.col("positive")).cast("long")).alias("nn")).where("np > 0 and nn > 0")
     n = F.broadcast(sizes.agg(F.count(F.lit(1)).alias("n")))
-    weighed = scored.join(sizes, group).groupBy("score").agg(F.sum(F.when(F.col("positive"), 1 / F.col("np")).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("positive"), 0.0).otherwise(1 / F.col("nn"))).alias("q")).join(n)
-    running = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = weighed.select("score", (F.sum("p").over(running) / F.col("n")).alias("tpr"), (F.sum("q").over(running) / F.col("n")).alias("fpr")).withColumn("j", F.col("tpr") - F.col("fpr"))
+    weighed = scored.join(sizes, group).groupBy("score").agg(F.sum(F.when(F.col("positive"), 1 / F.col("np")).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("positive"), 0.0).otherwise(1 / F.col("nn"))).alias("q"))
+    down = written(weighed.withColumn("__down", -F.col("score")), "curve")
+    sums = running_sums(down.select("__down", "p"), "__down", "p", "__p").join(running_sums(down.select("__down", "q"), "__down", "q", "__q"), "__down")
+    curve = sums.join(n).select((-F.col("__down")).alias("score"), (F.col("__p") / F.col("n")).alias("tpr"), (F.col("__q") / F.col("n")).alias("fpr")).withColumn("j", F.col("tpr") - F.col("fpr"))
     return curve.agg(F.max_by(F.struct("score", "tpr", "fpr", "j"), F.struct(F.round("j", 12), F.col("score"))).alias("x")).select(F.col("x.score").alias("threshold"), "x.tpr", "x.fpr", "x.j")
 
 
@@ -139,3 +276,62 @@ def false_negative_actions(candidates: DataFrame, score: str, threshold: float,
     flagged = F.coalesce(F.col(score) >= threshold, F.lit(False))
     act = {"drop": "drop", "demote": "demote", "keep": "keep_logged"}[policy]
     return candidates.withColumn("flagged", flagged).withColumn("action", F.when(flagged, act).otherwise("keep"))
+
+
+def judge_agreement(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """a, b(key, rank, margin) -> one row (shared, same_rank, same_winner, margin_r, disagreed): on shared keys how often both
+    judges give one rank, and agree that the positive wins; how their margins correlate; the keys on which the winner differs."""
+    both = a.select(key, F.col("rank").alias("ra"), F.col("margin").alias("ma")).join(b.select(key, F.col("rank").alias("rb"), F.col("margin").alias("mb")), key)
+    same = (F.col("ra") == 1) == (F.col("rb") == 1)
+    return both.agg(F.count(F.lit(1)).alias("shared"), F.avg((F.col("ra") == F.col("rb")).cast("double")).alias("same_rank"), F.avg(same.cast("double")).alias("same_winner"), F.corr("ma", "mb").alias("margin_r"), F.sum((~same).cast("long")).alias("disagreed"))
+
+
+def micro_and_macro(rows: DataFrame, query: str, metric: str) -> DataFrame:
+    """One row (pairs, queries, micro, macro): the mean over pairs, and over queries' means."""
+    each = rows.where(F.col(metric).isNotNull()).groupBy(query).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(metric).cast("double")).alias("s"))
+    return each.agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("queries"), (F.sum("s") / F.sum("n")).alias("micro"), F.avg(F.col("s") / F.col("n")).alias("macro"))
+
+
+def negatives_by_recipe(candidates: DataFrame, query: str, doc: str, score: str, position: str, recipe: str, threshold: float, k: int, salt: str = "recipe") -> DataFrame:
+    """candidates with `chosen_position` of the k that a recipe takes for each query: `hash` any in order of a digest; `hash_unflagged` those
+    whose score is below the threshold, in that order; `miner_unflagged` those in the miner's order. Unscored ones count as unflagged."""
+    flagged = F.coalesce(F.col(score) >= threshold, F.lit(False))
+    rows = candidates if recipe == "hash" else candidates.where(~flagged)
+    digest = F.sha2(F.concat_ws(":", F.lit(salt), F.col(query).cast("string"), F.col(doc).cast("string")), 256)
+    order = {"hash": digest, "hash_unflagged": digest, "miner_unflagged": F.col(position)}[recipe]
+    out = rows.withColumn("chosen_position", F.row_number().over(Window.partitionBy(query).orderBy(order, doc)).cast("long"))
+    return out.where(F.col("chosen_position") <= k)
+
+
+def flag_audit(actions: DataFrame, score: str) -> DataFrame:
+    """actions(score, flagged, action) -> one row (n, scored, flagged, flag_rate over scored ones, kept, changed)."""
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    scored, flagged = count(F.col(score).isNotNull()), count(F.col("flagged"))
+    return actions.agg(F.count(F.lit(1)).alias("n"), scored.alias("scored"), flagged.alias("flagged"), F.try_divide(flagged, scored).alias("flag_rate"), count(F.col("action") == "keep").alias("kept"), count(F.col("action") != "keep").alias("changed"))
+
+
+def positive_aware(negative: Column, positive: Column, threshold: float) -> Column:
+    """Whether a negative may stay: below the threshold and below the positive."""
+    return (negative < threshold) & (negative < positive)
+
+
+def youden_by_query(scored: DataFrame, threshold: float, group: str = "query") -> DataFrame:
+    """scored(group, score, positive) -> (group, j) at the threshold; groups with both sides only."""
+    hit = F.avg(F.when(F.col("positive"), (F.col("score") >= threshold).cast("double")))
+    false = F.avg(F.when(~F.col("positive"), (F.col("score") >= threshold).cast("double")))
+    return scored.groupBy(group).agg((hit - false).alias("j")).where("j is not null")
+
+
+def hardest_negative(scored: DataFrame, query: str, doc: str, score: str, positive: str) -> DataFrame:
+    """(query, positive doc, hardest doc, margin): each positive against the query's best negative, the first of equals."""
+    best = scored.where(~F.col(positive)).groupBy(query).agg(F.max_by(F.struct(F.col(doc).alias("d"), F.col(score).alias("s")), F.struct(F.col(score), -F.col(doc))).alias("b"))
+    return scored.where(F.col(positive)).join(best, query).select(query, F.col(doc).alias("positive"), F.col("b.d").alias("hardest"), (F.col(score) - F.col("b.s")).alias("margin"))
+
+
+def probe_pairs(generated: DataFrame, candidates: DataFrame, actions: DataFrame, n: int, seed: str) -> DataFrame:
+    """generated(query, text), candidates(query, doc, rank), actions(query, doc, action) -> (query, text, doc): of each query the best
+    candidate that isn't dropped; of these the n first in order of a digest."""
+    left = candidates.join(actions.where("action = 'drop'").select("query", "doc"), ["query", "doc"], "left_anti")
+    first = left.groupBy("query").agg(F.min_by("doc", F.struct("rank", "doc")).alias("doc"))
+    rows = generated.join(first, "query").withColumn("__o", F.sha2(F.concat_ws(":", F.lit(seed), F.col("query").cast("string")), 256))
+    return rows.orderBy("__o", "query").limit(n).drop("__o")

@@ -5,11 +5,13 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .tables import written
 
 
 def hash_order(id_: Column, seed: str) -> Column:
@@ -40,7 +42,7 @@ def largest_remainder(counts: DataFrame, stratum: str, n: str, total: int) -> Da
 def stratified_sample(rows: DataFrame, quotas: DataFrame, stratum: str, id_col: str, seed: str) -> DataFrame:
     """Of each stratum its quota of rows, first in hash order."""
     order = Window.partitionBy(stratum).orderBy(hash_order(F.col(id_col), seed), id_col)
-    return rows.join(F.broadcast(quotas.select(stratum, "quota")), stratum).withColumn("__i", F.row_number().over(order)).where(F.col("__i") <= F.col("quota")).drop("__i", "quota")
+    return rows.join(quotas.select(stratum, "quota"), stratum).withColumn("__i", F.row_number().over(order)).where(F.col("__i") <= F.col("quota")).drop("__i", "quota")
 
 
 def common_groups(rows: DataFrame, group: str, arm: str, item: str, k: int, arms: int) -> DataFrame:
@@ -49,26 +51,48 @@ def common_groups(rows: DataFrame, group: str, arm: str, item: str, k: int, arms
     return full.groupBy(group).agg(F.count(F.lit(1)).alias("arms")).where(F.col("arms") == arms).select(group)
 
 
-def greedy_cover(candidates: DataFrame, group: str, id_col: str, n: int, diversity: float = 0.25, coverage: float = 0.0, duplicate: float = 0.0) -> DataFrame:
-    """candidates(group, id, quality, terms) -> (group, id, position): one after another the candidate with the greatest
-    quality - diversity * likeness to the chosen + coverage * new terms - duplicate if its terms are chosen already.
+#: What a new term, focus, form and length bucket are worth, and what repeating a candidate costs.
+GAINS = {"diversity": 0.25, "terms": 0.0, "focus": 0.0, "form": 0.0, "bucket": 0.0, "duplicate": 0.0}
 
-    Each step needs the group's earlier ones: a group, some candidates of one passage, is one task's call."""
+
+def greedy_cover(candidates: DataFrame, group: str, id_col: str, n: int, **gains: float) -> DataFrame:
+    """candidates(group, id, quality, terms, and optionally focus, form, bucket) -> (group, id, position), one after another the
+    candidate with the greatest score: quality, less the greatest likeness of its terms to a chosen one, more for each term, focus,
+    form and bucket that no chosen one has, less if its terms are all those of a chosen one; weights: GAINS. Ties go to the
+    greater quality, then the greater id. With only diversity this is maximal marginal relevance.
+
+    A group is some candidates of one passage and is one call. Scores are arrays, updated by what the last choice changed."""
+    weight = GAINS | gains
+    labels = [c for c in ("focus", "form", "bucket") if c in candidates.columns]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = sorted(zip(pdf[id_col], pdf["quality"], map(set, pdf["terms"])), key=lambda c: c[0], reverse=True)
-        chosen: list = []
-        like = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
-        while left and len(chosen) < n:
-            seen = set().union(*(c[2] for c in chosen)) if chosen else set()
-            gain = lambda c: c[1] - diversity * max((like(c[2], o[2]) for o in chosen), default=0.0) + coverage * len(c[2] - seen) - duplicate * any(c[2] == o[2] for o in chosen)  # noqa: E731, B023
-            best = max(left, key=lambda c: (gain(c), c[1], c[0]))
-            chosen.append(best)
-            left.remove(best)
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(chosen), id_col: [c[0] for c in chosen], "position": range(1, len(chosen) + 1)})
+        pdf = pdf.sort_values([id_col]).reset_index(drop=True)
+        terms = sorted({t for ts in pdf["terms"] for t in ts})
+        column = {t: k for k, t in enumerate(terms)}
+        has = np.zeros((len(pdf), max(1, len(terms))), bool)
+        for row, ts in enumerate(pdf["terms"]):
+            has[row, [column[t] for t in ts]] = True
+        sizes, score = has.sum(1), pdf["quality"].to_numpy(np.float64)
+        likest, twin = np.zeros(len(pdf)), np.zeros(len(pdf), bool)
+        seen, known = np.zeros(has.shape[1], bool), {c: set() for c in labels}
+        codes, free, order = {c: pdf[c].to_numpy() for c in labels}, np.ones(len(pdf), bool), []
+        while len(order) < min(n, len(pdf)):
+            new = sum((weight[c] * np.array([x is not None and x not in known[c] for x in codes[c]]) for c in labels), np.zeros(len(pdf)))
+            total = score - weight["diversity"] * likest + weight["terms"] * (has & ~seen).sum(1) + new - weight["duplicate"] * twin
+            best = np.lexsort((np.arange(len(pdf)), score, np.where(free, total, -np.inf)))[-1]
+            order.append(best)
+            free[best] = False
+            common = (has & has[best]).sum(1)
+            union = sizes + sizes[best] - common
+            likest = np.maximum(likest, np.where(union > 0, common / np.maximum(union, 1), 1.0))
+            twin |= (common == sizes) & (common == sizes[best])
+            seen |= has[best]
+            for c in labels:
+                known[c].add(codes[c][best])
+        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(order), id_col: pdf[id_col].iloc[order], "position": range(1, len(order) + 1)})
 
     schema = f"{group} {candidates.schema[group].dataType.simpleString()}, {id_col} {candidates.schema[id_col].dataType.simpleString()}, position long"
-    return candidates.select(group, id_col, "quality", "terms").groupBy(group).applyInPandas(run, schema)
+    return candidates.select(group, id_col, "quality", "terms", *labels).groupBy(group).applyInPandas(run, schema)
 
 
 def group_diversity(rows: DataFrame, group: str, id_col: str, text_col: str) -> DataFrame:
@@ -88,24 +112,6 @@ def group_diversity(rows: DataFrame, group: str, id_col: str, text_col: str) ->
     return grams.join(likeness, "g", "left").select(F.col("g").alias(group), "n", ratio("one").alias("distinct_1"), ratio("two").alias("distinct_2"), "mean_jaccard", "max_jaccard", "duplicate_share")
 
 
-def self_bleu(texts: Sequence[Sequence[str]]) -> float | None:
-    """Of token lists: mean over texts of the smoothed geometric mean of 1- to 4-gram set precision against the others."""
-    import math
-
-    if len(texts) < 2:
-        return None
-    grams = [[{tuple(t[i : i + n]) for i in range(len(t) - n + 1)} for n in (1, 2, 3, 4)] for t in texts]
-    total = 0.0
-    for k, t in enumerate(texts):
-        logs = 0.0
-        for n in range(4):
-            others = set().union(*(g[n] for j, g in enumerate(grams) if j != k))
-            logs += math.log((len(grams[k][n] & others) + 1) / (len(grams[k][n]) + 1)) / 4
-        longest = max(len(x) for j, x in enumerate(texts) if j != k)
-        total += min(1.0, math.exp(1 - longest / max(1, len(t)))) * math.exp(logs)
-    return total / len(texts)
-
-
 def preference_pairs(candidates: DataFrame, margin: float, likeness: float, most: int = 1, near_miss: bool = True) -> DataFrame:
     """candidates(split, passage, candidate, query, score, chosen_ok, rejected_ok) -> (split, passage, chosen, rejected,
     margin, rank): the best candidate that may be chosen against at most `most` worse and different enough ones."""
@@ -134,15 +140,149 @@ def blind_export(pairs: DataFrame, pair_id: str, left: str, right: str, secret:
     return pairs.select("*", swapped.alias("swapped"), side(left, right).alias("shown_a"), side(right, left).alias("shown_b"), F.sha2(F.concat_ws(":", digest, F.when(swapped, "swapped").otherwise("straight")), 256).alias("commitment"))
 
 
-def best_subset(candidates: DataFrame, group: str, id_col: str, score: str, k: int) -> DataFrame:
-    """(group, ids, total): the first best of all subsets of k of a group's candidates, by total score; of a few candidates."""
+def best_subset(candidates: DataFrame, group: str, id_col: str, score: str, k: int, terms: str | None = None, weights: tuple[float, float] = (1.0, 0.0), anchor: DataFrame | None = None) -> DataFrame:
+    """(group, ids, total): of all subsets of k of a group's candidates the first best by weighted mean score and, where terms are
+    given, mean number of different terms; of a few candidates. anchor(group, least): subsets whose mean score is below it don't count."""
+    cols = candidates.select(group, id_col, F.col(score).cast("double").alias("__s"), (F.col(terms) if terms else F.array().cast("array<string>")).alias("__t"))
+    cols = cols.join(anchor.select(group, F.col("least").cast("double").alias("__least")), group, "left") if anchor is not None else cols.withColumn("__least", F.lit(None).cast("double"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
-        rows = list(zip(pdf[id_col], pdf[score]))
-        if len(rows) < k:
-            return pd.DataFrame({group: [], "ids": [], "total": []})
-        best = max(itertools.combinations(rows, k), key=lambda c: sum(s for _, s in c))
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "ids": [[i for i, _ in best]], "total": [sum(s for _, s in best)]})
-
-    return candidates.groupBy(group).applyInPandas(run, f"{group} {candidates.schema[group].dataType.simpleString()}, ids array<{candidates.schema[id_col].dataType.simpleString()}>, total double")
+        rows, least = list(zip(pdf[id_col], pdf["__s"], pdf["__t"])), pdf["__least"].iloc[0]
+        found = []
+        for c in itertools.combinations(rows, k):
+            mean = sum(s for _, s, _ in c) / k
+            if pd.isna(least) or mean >= least:
+                found.append((weights[0] * mean + weights[1] * len({t for _, _, ts in c for t in ts}) / k, [i for i, _, _ in c]))
+        best = max(found, key=lambda x: x[0], default=None)
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "ids": [best[1]], "total": [best[0]]} if best else {group: [], "ids": [], "total": []})
+
+    return cols.groupBy(group).applyInPandas(run, f"{group} {candidates.schema[group].dataType.simpleString()}, ids array<{candidates.schema[id_col].dataType.simpleString()}>, total double")
+
+
+def unique_cohort(rows: DataFrame, first: str, second: str, id_col: str, n: int, seed: str, rounds: int = 50) -> DataFrame:
+    """The n first rows in hash order of which no two share the value of `first` or of `second`, taking a row if no earlier taken one
+    shares either: as one pass over the order would. Values that are null are shared with none.
+
+    In rounds: a row that is first of both its values among those still open is taken, and rows that share a value with it are
+    closed. A round ends chains that wait for one another, so that there are few; rows that remain after `rounds` are an error."""
+    order = F.struct(hash_order(F.col(id_col), seed).alias("h"), F.col(id_col).cast("string").alias("i"))
+    keyed = written(rows.select(F.struct("*").alias("__row"), order.alias("__o"), *(F.coalesce(F.col(c).cast("string"), F.concat(F.lit("\0"), F.col(id_col).cast("string"))).alias(k) for c, k in ((first, "__a"), (second, "__b")))), "cohort")
+    open_, taken = keyed, None
+    for _ in range(rounds):
+        firsts = [open_.groupBy(k).agg(F.min("__o").alias(f"{k}_first")) for k in ("__a", "__b")]
+        marked = open_.join(firsts[0], "__a").join(firsts[1], "__b")
+        mine = written(marked.where((F.col("__o") == F.col("__a_first")) & (F.col("__o") == F.col("__b_first"))).select(*open_.columns), "cohort")
+        taken = mine if taken is None else taken.unionByName(mine)
+        open_ = written(open_.join(mine.select("__a"), "__a", "left_anti").join(mine.select("__b"), "__b", "left_anti"), "cohort")
+        if open_.isEmpty():
+            return taken.orderBy("__o").limit(n).select("__row.*")
+    raise ValueError(f"rows are still open after {rounds} rounds")
+
+
+def audit_strata(rows: DataFrame, id_col: str, score: str, margin: str, flagged: str, n: int, seed: str) -> DataFrame:
+    """(id_col, stratum): four disjoint samples of n in hash order, each from what the ones before left: low_score (the lowest
+    decile of score), low_margin (of margin), flagged, control. A decile ends at place ceil(n / 10) of the sorted values."""
+    from .statistics import index_quantile
+
+    whole = rows.withColumn("__all", F.lit(1))
+    limits = [index_quantile(whole, ["__all"], c, 0.1, ceil=True).first() for c in (score, margin)]
+    low = [F.coalesce(F.col(c) <= (x["quantile"] if x else None), F.lit(False)) for c, x in zip((score, margin), limits)]
+    left, out = rows, None
+    for name, test in (("low_score", low[0]), ("low_margin", low[1]), ("flagged", F.coalesce(F.col(flagged), F.lit(False))), ("control", F.lit(True))):
+        mine = hash_sample(left.where(test), id_col, n, f"{seed}-{name}").select(id_col, F.lit(name).alias("stratum"))
+        out = mine if out is None else out.unionByName(mine)
+        left = rows.join(out.select(id_col), id_col, "left_anti")
+    return out
+
+
+def axis_quotas(supply: dict[str, int], quotas: dict[str, int]) -> dict[str, int]:
+    """What each axis gives: its quota or its supply; what is short goes to the axes with supply left, the largest rest first."""
+    given = {a: min(quotas[a], supply.get(a, 0)) for a in quotas}
+    short = sum(quotas.values()) - sum(given.values())
+    for a in sorted(quotas, key=lambda a: (given[a] - supply.get(a, 0), a)):
+        more = min(short, supply.get(a, 0) - given[a])
+        given[a], short = given[a] + more, short - more
+    return given
+
+
+def sample_by_axis(pairs: DataFrame, axis: str, id_col: str, quotas: dict[str, int], seed: str) -> DataFrame:
+    """Pairs by axis_quotas of what is there, in hash order; axes are few."""
+    supply = {r[axis]: r["count"] for r in pairs.groupBy(axis).count().collect()}
+    given = axis_quotas(supply, quotas)
+    parts = [hash_sample(pairs.where(F.col(axis) == a), id_col, n, seed).drop("order_key") for a, n in given.items()]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def exemplars(rows: DataFrame, label: str, confidence: str, id_col: str, counts: dict[str, int], taken: DataFrame, seed: str, least: float = 0.9) -> DataFrame:
+    """Of each label so many rows, in hash order, that are sure enough and not taken yet."""
+    free = rows.where((F.col(confidence) >= least) & F.col(label).isin(*counts)).join(taken.select(id_col), id_col, "left_anti")
+    want = F.create_map(*(F.lit(x) for kv in counts.items() for x in kv))
+    ordered = free.withColumn("__i", F.row_number().over(Window.partitionBy(label).orderBy(hash_order(F.col(id_col), seed), id_col)))
+    return ordered.where(F.col("__i") <= want[F.col(label)]).drop("__i")
+
+
+def control_matrix(passages: DataFrame, id_col: str, axes: dict[str, Sequence[str]], k: int) -> DataFrame:
+    """(id_col, slot, one column an axis): k fixed controls for every passage; axes advance side by side, each round its own length."""
+    slots = passages.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"))
+    return slots.select(id_col, "slot", *(F.element_at(F.array(*map(F.lit, values)), F.col("slot") % len(values) + 1).alias(a) for a, values in axes.items()))
+
+
+def request_plan(supply: DataFrame, axes: Sequence[str], n: int) -> DataFrame:
+    """supply(id, axes..., one row a possible request) -> the n that cover the axes' values most evenly: requests are ranked within each
+    value of each axis by hash, and the sum of their ranks decides, ties by hash. No step waits for another."""
+    ranked = supply
+    digest = F.sha2(F.concat_ws(":", F.lit("plan"), *(F.col(c).cast("string") for c in supply.columns)), 256)
+    ranked = ranked.withColumn("__h", digest)
+    for a in axes:
+        ranked = ranked.withColumn(f"__r_{a}", F.row_number().over(Window.partitionBy(a).orderBy("__h")))
+    total = sum((F.col(f"__r_{a}") for a in axes[1:]), F.col(f"__r_{axes[0]}"))
+    return ranked.orderBy(total, "__h").limit(n).select(*supply.columns)
+
+
+def measured_ranking(rows: DataFrame, id_col: str, by: Sequence[str]) -> DataFrame:
+    """The rows that have all measures, with `rank` by them, greatest first, ties by id. For tables of variants."""
+    full = rows.dropna(subset=list(by))
+    return full.withColumn("rank", F.row_number().over(Window.orderBy(*(F.desc(c) for c in by), id_col)).cast("long"))
+
+
+def rule_search(rows: DataFrame, gold: str, features: Sequence[str], precision: float = 0.88, recall: float = 0.5, cuts: int = 9) -> DataFrame:
+    """The best rule of one or two tests `feature >= cut` or `feature <= cut`, cuts at deciles: (rule, precision, recall), one row or
+    none. Best: the greatest recall among rules that are precise enough and reach the least recall, then precision, then name.
+
+    Rows are reduced to the set of tests that they meet, as a number, before pairs of tests are counted."""
+    ps = [k / (cuts + 1) for k in range(1, cuts + 1)]
+    limits = rows.agg(*(F.percentile(f, F.array(*map(F.lit, ps))).alias(f) for f in features)).first()
+    atoms = sorted({(f, side, c) for f in features for c in (limits[f] or []) for side in (">=", "<=")})
+    tests = [F.coalesce(F.col(f) >= c if side == ">=" else F.col(f) <= c, F.lit(False)) for f, side, c in atoms]
+    met = rows.select(F.col(gold).cast("boolean").alias("g"), F.array_compact(F.array(*(F.when(t, k) for k, t in enumerate(tests)))).alias("m")).groupBy("g", "m").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    hits = met.select("g", "n", F.explode(pairs).alias("p")).groupBy("p").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("g"), F.col("n")).otherwise(0)).alias("hit"))
+    total = F.broadcast(rows.agg(F.sum(F.col(gold).cast("boolean").cast("long")).alias("__gold")))
+    names = F.array(*(F.lit(f"{f} {side} {c!r}") for f, side, c in atoms))
+    name = lambda i: F.get(names, i)
+    rule = F.when(F.col("p.a") == F.col("p.b"), name(F.col("p.a"))).otherwise(F.concat_ws(" and ", name(F.col("p.a")), name(F.col("p.b"))))
+    scored = hits.join(total).select(rule.alias("rule"), (F.col("hit") / F.col("all")).alias("precision"), (F.col("hit") / F.col("__gold")).alias("recall"))
+    return scored.where((F.col("precision") >= precision) & (F.col("recall") >= recall)).orderBy(F.desc("recall"), F.desc("precision"), "rule").limit(1)
+
+
+def oversampled(rows: DataFrame, label: str, id_col: str, seed: str) -> DataFrame:
+    """rows repeated so that labels weigh alike: each row ceil or floor of its weight times, by a digest, with its `copy`."""
+    from .statistics import hashed_uniform
+
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    most = F.broadcast(counts.agg(F.max("__n").alias("__most")))  # one row
+    weighed = rows.join(counts, label).join(most).withColumn("__w", F.col("__most") / F.col("__n"))
+    times = F.floor("__w") + (hashed_uniform(F.lit(seed), F.col(id_col)) < F.col("__w") - F.floor("__w")).cast("long")
+    return weighed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("__n", "__most", "__w")
+
+
+def prospective_cohort(rows: DataFrame, excluded: Sequence[DataFrame], id_col: str, seed: str, offset: int, n: int) -> DataFrame:
+    """The rows of places offset to offset + n - 1 in hash order among those that no excluded table has."""
+    left = rows
+    for x in excluded:
+        left = left.join(x.select(id_col), id_col, "left_anti")
+    return left.withColumn("order_key", hash_order(F.col(id_col), seed)).orderBy("order_key", id_col).offset(offset).limit(n)

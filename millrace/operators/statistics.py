@@ -4,11 +4,28 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
+
+def running_sums(rows: DataFrame, key: str, n: str, out: str, parts: int | None = None) -> DataFrame:
+    """rows(key distinct, n) with `out`, the sum of n over keys up to the row's.
+
+    Rows are dealt into ranges of keys; each range sums up for itself, and the ranges' totals, as many rows as ranges, are
+    carried from one to the next."""
+    ranged = rows.repartitionByRange(parts, key) if parts else rows.repartitionByRange(key)
+    ranged = written(ranged.withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    carried = ranged.groupBy("__part").agg(F.sum(n).alias("__sum")).withColumn("__from", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+    local = Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn("__local", F.sum(n).over(local)).join(F.broadcast(carried.select("__part", "__from")), "__part").withColumn(out, F.col("__local") + F.col("__from")).drop("__part", "__local", "__from")
+
 
 def distribution(value: str) -> list[Column]:
     """count, mean, least, quantiles by linear interpolation, greatest; null where there are no values."""
@@ -18,7 +35,7 @@ def distribution(value: str) -> list[Column]:
 
 def nearest_rank(histogram: DataFrame, value: str, n: str, p: float) -> DataFrame:
     """histogram(value, n) -> one row: the value whose running count reaches round(p * all), at least 1."""
-    running = histogram.select(value, F.sum(n).over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("__run"))
+    running = running_sums(histogram.select(value, n), value, n, "__run")
     target = F.broadcast(histogram.agg(F.greatest(F.lit(1), F.bround(F.sum(n) * p)).alias("__goal")))
     return running.join(target).where(F.col("__run") >= F.col("__goal")).agg(F.min(value).alias(value))
 
@@ -31,8 +48,11 @@ def entropy(counts: DataFrame, by: Sequence[str], n: str = "n") -> DataFrame:
 
 def gini(counts: DataFrame, n: str = "n") -> DataFrame:
     """One row (gini) of counts."""
-    ranked = counts.select(F.col(n), F.row_number().over(Window.orderBy(n)).alias("__i"))
-    return ranked.agg((2 * F.sum(F.col("__i") * F.col(n)) / (F.count(F.lit(1)) * F.sum(n)) - (F.count(F.lit(1)) + 1) / F.count(F.lit(1))).alias("gini"))
+    same = counts.where(F.col(n).isNotNull()).groupBy(n).agg(F.count(F.lit(1)).alias("__many"))
+    upto = running_sums(same, n, "__many", "__upto")
+    # counts of one value take the ranks upto - many + 1 to upto
+    ranks, all_ = F.sum((2 * F.col("__upto") - F.col("__many") + 1) * F.col("__many") * F.col(n)), F.sum("__many")
+    return upto.agg((ranks / (all_ * F.sum(F.col("__many") * F.col(n))) - (all_ + 1) / all_).alias("gini"))
 
 
 def slice_rollup(rows: DataFrame, slices: Sequence[str], metric: str) -> DataFrame:
@@ -86,13 +106,13 @@ def robust_z(rows: DataFrame, value: str) -> DataFrame:
 
 
 def midrank(rows: DataFrame, value: str) -> DataFrame:
-    """rows with `percentile`: mid-rank among the rows' own values, 0 to 1; 0.5 for a single row. Ranks go over distinct values."""
-    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("__all")))
-    place = counts.withColumn("__left", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(total)
+    """rows with `percentile`: mid-rank among the rows' own values, 0 to 1; 0.5 for a single row, null for null. Ranks go over
+    distinct values."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    total = F.broadcast(rows.agg(F.count(value).alias("__all")))
+    place = running_sums(counts, value, "__n", "__upto").withColumn("__left", F.col("__upto") - F.col("__n")).join(total)
     pct = F.when(F.col("__all") == 1, 0.5).otherwise((2 * F.col("__left") + F.col("__n") - 1) / 2 / (F.col("__all") - 1))
-    return rows.join(place.select(value, pct.alias("percentile")), value)
+    return rows.join(place.select(value, pct.alias("percentile")), value, "left")
 
 
 def rank_buckets(rows: DataFrame, value: str, tie: str, k: int, by: Sequence[str] = ()) -> DataFrame:
@@ -125,31 +145,167 @@ def pareto_front(rows: DataFrame, id_col: str, up: Sequence[str], down: Sequence
     return rows.join(other, as_good & better, "left_anti")
 
 
-def paired_bootstrap(pairs: DataFrame, metric: str, left: str, right: str, id_col: str, samples: int = 2000, seed: int = 42) -> DataFrame:
-    """pairs(metric, id, left, right) -> (metric, n, difference, low, high, win_share) of right minus left.
+def paired_bootstrap(pairs: DataFrame, metric: str, left: str, right: str, id_col: str, samples: int = 2000, seed: int = 42, generator: str = "mt19937", levels: Sequence[float] = (0.95,)) -> DataFrame:
+    """pairs(metric, id, left, right) -> (metric, n, difference, win_share, and low_L, high_L for each level L in thousandths) of
+    right minus left, ids in order, by one of two fixed streams of random numbers.
 
-    Resampling needs a metric's differences together: a metric is one task, of as many numbers as there are queries."""
+    A metric is one task, of as many numbers as there are queries in an evaluation set; for tables use poisson_bootstrap."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__id")
-        d = (pdf["__r"] - pdf["__l"]).tolist()
-        rng, n = random.Random(seed), len(d)
-        means = pd.Series([sum(d[rng.randrange(n)] for _ in d) / n for _ in range(samples)])
-        return pd.DataFrame({"metric": [pdf["metric"].iloc[0]], "n": [n], "difference": [sum(d) / n], "low": [means.quantile(0.025)], "high": [means.quantile(0.975)], "win_share": [float((means > 0).mean())]})
+        d = (pdf.sort_values("__id")["__r"] - pdf.sort_values("__id")["__l"]).to_numpy()
+        n = len(d)
+        if generator == "pcg64":
+            rng = np.random.default_rng(seed)
+            means = np.concatenate([d[rng.integers(0, n, size=(min(256, samples - k), n))].mean(axis=1) for k in range(0, samples, 256)])
+        else:
+            draw = random.Random(seed)
+            means = np.array([d[[draw.randrange(n) for _ in range(n)]].mean() for _ in range(samples)])
+        ends = {f"{side}_{round(1000 * level)}": [np.quantile(means, (1 + sign * level) / 2)] for level in levels for side, sign in (("low", -1), ("high", 1))}
+        return pd.DataFrame({"metric": [pdf["metric"].iloc[0]], "n": [n], "difference": [d.mean()], "win_share": [float((means > 0).mean())], **ends})
 
     rows = pairs.select(F.col(metric).alias("metric"), F.col(id_col).alias("__id"), F.col(left).cast("double").alias("__l"), F.col(right).cast("double").alias("__r")).where("__l is not null and __r is not null")
-    return rows.groupBy("metric").applyInPandas(run, "metric string, n long, difference double, low double, high double, win_share double")
+    ends = ", ".join(f"low_{round(1000 * x)} double, high_{round(1000 * x)} double" for x in levels)
+    return rows.groupBy("metric").applyInPandas(run, f"metric string, n long, difference double, win_share double, {ends}")
 
 
-def poisson_bootstrap(pairs: DataFrame, metric: str, left: str, right: str, id_col: str, samples: int = 200) -> DataFrame:
-    """As paired_bootstrap, for any number of queries: each query counts Poisson(1) times in each sample, by a hash of both.
-    Sums combine before the shuffle, so that a metric makes `samples` rows. A sample in which no query counts is left out."""
-    u = F.pmod(F.xxhash64(F.col(id_col), F.col("sample")), F.lit(1 << 52)) / float(1 << 52)
-    weight, cut, term = F.lit(0), 0.0, 0.36787944117144233
+def hashed_uniform(*parts: Column | str) -> Column:
+    """A number in [0, 1) that depends on the parts alone: the first 13 digits of their digest."""
+    text = F.concat_ws(":", *((F.col(p) if isinstance(p, str) else p).cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def poisson_bootstrap(pairs: DataFrame, metric: str, left: str, right: str, id_col: str, samples: int = 200, level: float = 0.95) -> DataFrame:
+    """(metric, n, difference, low, high, win_share) of right minus left, for any number of queries: each query counts Poisson(1)
+    times in each sample, by a digest of both. Sums combine before the shuffle, so that a metric makes `samples` rows. A sample
+    in which no query counts is left out, and so is a pair with a null."""
+    u, steps, cut, term = F.col("__u"), [], 0.0, 0.36787944117144233
     for k in range(1, 9):
         cut += term
-        weight, term = F.when(u >= cut, k).otherwise(weight), term / k
-    diff = F.col(right) - F.col(left)
-    drawn = pairs.select(F.col(metric).alias("metric"), id_col, diff.alias("__d"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample")).where("__d is not null")
+        steps.append((cut, k))
+        term /= k
+    weight = F.lit(0)
+    for cut, k in steps:
+        weight = F.when(u >= cut, k).otherwise(weight)
+    diffs = pairs.select(F.col(metric).alias("metric"), F.col(id_col).alias("__id"), (F.col(right).cast("double") - F.col(left).cast("double")).alias("__d")).where("__d is not null")
+    drawn = diffs.select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample")).withColumn("__u", hashed_uniform("__id", "sample"))
     means = drawn.groupBy("metric", "sample").agg(F.try_divide(F.sum(weight * F.col("__d")), F.sum(weight)).alias("mean")).where("mean is not null")
-    return means.groupBy("metric").agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), F.avg((F.col("mean") > 0).cast("double")).alias("win_share"))
+    ends = means.groupBy("metric").agg(F.percentile("mean", (1 - level) / 2).alias("low"), F.percentile("mean", (1 + level) / 2).alias("high"), F.avg((F.col("mean") > 0).cast("double")).alias("win_share"))
+    whole = diffs.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("__d").alias("difference"))
+    return whole.join(ends, "metric", "left")
+
+
+def sign_flip(pairs: DataFrame, metric: str, left: str, right: str, id_col: str, most: int = 20) -> DataFrame:
+    """(metric, n, difference, p): exact one-sided test that right minus left is positive: the share of all 2^n choices of signs
+    whose sum is at least the one seen. n is the number of paired runs, `most` at most: more are an error."""
+    d = pairs.select(F.col(metric).alias("metric"), F.col(id_col).alias("__id"), (F.col(right).cast("double") - F.col(left).cast("double")).alias("__d")).where("__d is not null")
+    held = d.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("__id", "__d"))).alias("x"))
+    held = held.select("metric", F.when(F.size("x") <= most, F.transform("x", lambda v: v["__d"])).otherwise(F.raise_error(F.lit("too many pairs for an exact test"))).alias("d"))
+    signed = lambda m: F.aggregate(F.transform("d", lambda v, i: F.when(F.getbit(m, i) == 1, -v).otherwise(v)), F.lit(0.0), lambda a, v: a + v)
+    flips = held.select("metric", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.size("d")) - 1)).alias("m"))
+    seen = F.aggregate("d", F.lit(0.0), lambda a, v: a + v)
+    return flips.groupBy("metric").agg(F.first(F.size("d")).cast("long").alias("n"), F.first(seen / F.size("d")).alias("difference"), F.avg((signed(F.col("m")) >= seen - 1e-12).cast("double")).alias("p"))
+
+
+def sign_test(wins: Column, losses: Column) -> Column:
+    """Exact two-sided p of wins against losses; ties are left out before; 1 without any."""
+    n, k = (wins + losses).cast("double"), F.least(wins, losses).cast("int")
+    start = F.struct((-n * float(np.log(2.0))).alias("log"), F.exp(-n * float(np.log(2.0))).alias("sum"))
+    step = lambda a, i: F.struct((a["log"] + F.log((n - i + 1) / i)).alias("log"), (a["sum"] + F.exp(a["log"] + F.log((n - i + 1) / i))).alias("sum"))
+    upto = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+    return F.least(F.lit(1.0), 2 * F.aggregate(upto, start, step, lambda a: a["sum"]))
+
+
+def detectable(sd: Column, n: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+    """The least true difference that a two-sided paired test of n queries finds with such power."""
+    z = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
+    return F.when(n > 0, z * sd / F.sqrt(n))
+
+
+def spread(value: str) -> list[Column]:
+    """n, mean, sample deviation (0 for one value), range."""
+    return [F.count(value).alias("n"), F.avg(value).alias("mean"), F.when(F.count(value) > 1, F.stddev_samp(value)).when(F.count(value) == 1, 0.0).alias("sd"), (F.max(value) - F.min(value)).alias("range")]
+
+
+def index_quantile(rows: DataFrame, by: Sequence[str], value: str, p: float, ceil: bool = False) -> DataFrame:
+    """(by..., quantile): the value at place floor(p (n - 1)), or with ceil at place ceil(p n) - 1, of the sorted values of each
+    group. Equal values are counted together, so that a group's task holds distinct values."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    whole, running = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    n = F.sum("__n").over(whole)
+    at = F.greatest(F.ceil(n * p) - 1, F.lit(0)) if ceil else F.floor((n - 1) * p)
+    return counts.withColumns({"__upto": F.sum("__n").over(running), "__at": at}).where(F.col("__upto") > F.col("__at")).groupBy(*by).agg(F.min(value).alias("quantile"))
+
+
+def rule_quality(gold: Column, predicted: Column) -> dict[str, Column]:
+    """Of boolean columns: n, precision, recall, specificity, balanced_accuracy; null where undefined."""
+    n = lambda c: F.sum(c.cast("long"))
+    recall, specificity = F.try_divide(n(gold & predicted), n(gold)), F.try_divide(n(~gold & ~predicted), n(~gold))
+    return {"n": F.count(F.lit(1)), "precision": F.try_divide(n(gold & predicted), n(predicted)), "recall": recall, "specificity": specificity, "balanced_accuracy": (recall + specificity) / 2}
+
+
+def best_of_group(left: DataFrame, right: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """One row (groups, left_wins, right_wins, ties): each side's best score of a group that both have."""
+    best = lambda df, n: df.groupBy(*keys).agg(F.max(score).alias(n))
+    both = best(left, "a").join(best(right, "b"), list(keys)).where("a is not null and b is not null")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return both.agg(F.count(F.lit(1)).alias("groups"), count(F.col("a") > F.col("b")).alias("left_wins"), count(F.col("a") < F.col("b")).alias("right_wins"), count(F.col("a") == F.col("b")).alias("ties"))
+
+
+def convergence(runs: DataFrame, arm: str, value: str, chance: float, times: float = 4.0, share: float = 0.5) -> DataFrame:
+    """runs with `floor`, the greater of `times` chance and `share` of the arm's median, and `converged`: not below it."""
+    floors = runs.groupBy(arm).agg(F.greatest(F.lit(times * chance), share * F.median(value)).alias("floor"))
+    return runs.join(floors, arm).withColumn("converged", F.col(value) >= F.col("floor"))
+
+
+def decision(low: Column, effect: float, margins: dict[str, tuple[Column, float]]) -> Column:
+    """eligible: the effect's lower bound reaches it and no guarded lower bound falls below minus its margin; rejected: one
+    does; non_inferior_only: the effect isn't shown; incomplete: a bound is null."""
+    missing, worse = low.isNull(), F.lit(False)
+    for bound, margin in margins.values():
+        missing, worse = missing | bound.isNull(), worse | (bound < -margin)
+    return F.when(missing, "incomplete").when(worse, "rejected").when(low >= effect, "eligible").otherwise("non_inferior_only")
+
+
+def gates(rules: dict[str, tuple[Column, str, float]]) -> dict[str, Column]:
+    """rule -> (value, 'higher' or 'lower', limit) as booleans, and `passed`: all hold; null values don't."""
+    out = {k: F.coalesce(v >= t if kind == "higher" else v <= t, F.lit(False)) for k, (v, kind, t) in rules.items()}
+    whole = F.lit(True)
+    for c in out.values():
+        whole = whole & c
+    return out | {"passed": whole}
+
+
+def contract_differences(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(key, differs): sorted names of the fields in which two sides differ, null-safe; keys on one side differ by `key`."""
+    a = left.select(F.col(key).alias("__a"), *(F.col(f).alias(f"a_{f}") for f in fields))
+    b = right.select(F.col(key).alias("__b"), *(F.col(f).alias(f"b_{f}") for f in fields))
+    both = a.join(b, F.col("__a") == F.col("__b"), "full")
+    names = F.array_compact(F.array(F.when(F.col("__a").isNull() | F.col("__b").isNull(), key), *(F.when(F.col("__a").isNotNull() & F.col("__b").isNotNull() & ~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")), f) for f in sorted(fields))))
+    return both.select(F.coalesce("__a", "__b").alias(key), names.alias("differs")).where("size(differs) > 0")
+
+
+def evidence(runs: DataFrame, arm: str, seed: str, metric: str, value: str, metrics: Sequence[str], seeds: int) -> DataFrame:
+    """(arm, metric, n_seeds, mean, complete): means over seeds of every required metric; complete: all seeds have it."""
+    arms = runs.select(arm).distinct().select(arm, F.explode(F.array(*map(F.lit, metrics))).alias(metric))
+    found = runs.where(F.col(value).isNotNull()).groupBy(arm, metric).agg(F.count_distinct(seed).alias("n_seeds"), F.avg(value).alias("mean"))
+    return arms.join(found, [arm, metric], "left").select(arm, metric, F.coalesce("n_seeds", F.lit(0)).alias("n_seeds"), "mean", (F.coalesce("n_seeds", F.lit(0)) >= seeds).alias("complete"))
+
+
+def kappa_by_raters(ratings: DataFrame, item: str, rater: str, label: str) -> DataFrame:
+    """One row (raters, items, observed, kappa): Cohen's for two raters, Fleiss' for more, over items that all have rated."""
+    raters = [r[0] for r in ratings.select(rater).where(F.col(rater).isNotNull()).distinct().orderBy(rater).collect()]  # people: few
+    full = ratings.where(F.col(label).isNotNull()).groupBy(item).agg(F.count_distinct(rater).alias("__n")).where(F.col("__n") == len(raters)).select(item)
+    complete = ratings.join(full, item, "left_semi")
+    if len(raters) == 2:
+        pick = lambda r: F.max(F.when(F.col(rater) == r, F.col(label)))
+        return cohen_kappa(complete.groupBy(item).agg(pick(raters[0]).alias("a"), pick(raters[1]).alias("b")), "a", "b").select(F.lit(2).cast("long").alias("raters"), F.col("n").alias("items"), "observed", "kappa")
+    return fleiss_kappa(complete, item, label, max(2, len(raters))).select(F.lit(len(raters)).cast("long").alias("raters"), "items", F.col("agreement").alias("observed"), "kappa")
+
+
+def compare_arms(left: DataFrame, right: DataFrame, id_col: str, metrics: Sequence[str], samples: int = 200) -> DataFrame:
+    """poisson_bootstrap of each metric over ids that both arms have, with `verdict`: better, worse or open, as the interval lies.
+    Several rows of an id (candidates of a query) are averaged first."""
+    mean = lambda df: df.groupBy(id_col).agg(*(F.avg(m).alias(m) for m in metrics))
+    long = lambda df, n: mean(df).select(id_col, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(n)) for m in metrics))).alias("x")).select(id_col, "x.*")
+    found = poisson_bootstrap(long(left, "l").join(long(right, "r"), [id_col, "metric"]), "metric", "l", "r", id_col, samples)
+    return found.withColumn("verdict", F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("open"))

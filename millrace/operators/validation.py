@@ -12,17 +12,19 @@ from ..functions import text as T
 #: Patterns of the text rules.
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 HTML = r"<[ \t\n\r\f]*(?:html|body|div|p|script|style|br|table|a)(?:[^\p{L}\p{N}_]|$)"
+LESS, GREATER = "&(?:lt|LT|#0*60|#[xX]0*3[cC]);?", "&(?:gt|GT|#0*62|#[xX]0*3[eE]);?"
 BOILERPLATE = r"(?:cookie|polityka prywatności|wszelkie prawa zastrzeżone)"
 MOJIBAKE = ("Ã", "Â", "Ë", "�")
+#: Thresholds.
 DEFAULTS = {"min_negatives": 10, "min_chars": 10, "max_chars": 20000, "high_overlap": 0.85, "least_language": 0.05}
-#: Rules that aren't a mere warning by default.
+#: Rules that aren't a mere warning by default.
 MODES = {"missing_id": "drop", "empty_query": "drop", "invalid_documents": "drop", "too_few_positives": "drop", "too_few_negatives": "drop", "duplicate_doc_id": "drop", "positive_negative_overlap": "drop", "empty_document": "drop", "duplicate_example_id": "drop", "malformed_json": "drop"}
 
 
 def text_flags(text: Column, low: int = DEFAULTS["min_chars"], high: int = DEFAULTS["max_chars"]) -> dict[str, Column]:
-    """The rules of one text. Entities of the four characters that make tags are decoded before the HTML rule."""
+    """The rules of one text. References to < and >, by name or number, are decoded before the HTML rule; those to letters aren't."""
     n = F.length(F.btrim(text, F.lit(" \t\n\r\f")))
-    plain = F.lower(F.regexp_replace(text, "&lt;|&#60;", "<"))
+    plain = F.lower(F.regexp_replace(F.regexp_replace(text, LESS, "<"), GREATER, ">"))
     return {
         "empty_document": n == 0, "short_text": n < low, "long_text": n > high, "control_characters": text.rlike(CONTROL), "html": plain.rlike(HTML),
         "boilerplate": F.lower(text).rlike(BOILERPLATE), "possible_mojibake": text.contains(MOJIBAKE[0]) | text.contains(MOJIBAKE[1]) | text.contains(MOJIBAKE[2]) | text.contains(MOJIBAKE[3]),
@@ -77,6 +79,19 @@ def rule_counts(routed_records: DataFrame) -> DataFrame:
     return routed_records.select(F.explode("issues").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+def mode_counts(routed_records: DataFrame, modes: dict[str, str] | None = None) -> DataFrame:
+    """(mode, records, issues): of each mode the records that break a rule of it, and how often."""
+    modes = MODES | (modes or {})
+    mode = F.coalesce(F.create_map(*(F.lit(x) for kv in modes.items() for x in kv))[F.col("rule")], F.lit("warn"))
+    each = routed_records.select("example_id", F.explode("issues").alias("rule")).select("example_id", mode.alias("mode"))
+    return each.groupBy("mode").agg(F.count_distinct("example_id").alias("records"), F.count(F.lit(1)).alias("issues"))
+
+
+def first_examples(routed_records: DataFrame, order: str, n: int = 100) -> DataFrame:
+    """The first n records with an issue, by the order column."""
+    return routed_records.where(F.size("issues") > 0).orderBy(order).limit(n)
+
+
 def conflicts(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n_values): keys under which different values stand."""
     return rows.groupBy(key).agg(F.count_distinct(value).alias("n_values")).where("n_values > 1")

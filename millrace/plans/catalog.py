@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -93,7 +93,7 @@ def text_lengths(spark, d):
 @query(f"""SELECT doc_id, len({_tokens('text')})::BIGINT AS n_tokens, len({_content('text')})::BIGINT AS n_content, len(list_distinct({_content('text')}))::BIGINT AS n_terms,
     len(list_filter({_tokens('text')}, lambda t: regexp_matches(t, '{T.NUMBER}')))::BIGINT AS n_numbers, len(list_filter({_tokens('text')}, lambda t: list_contains({_list(T.UNITS)}, t)))::BIGINT AS n_units FROM documents""")
 def simple_analysis(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", "t", T.content(F.col("t")).alias("c"))
+    rows = table(spark, d, "documents").select("doc_id", T.nfkc("text").alias("text")).select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", "t", T.content(F.col("t")).alias("c"))
     size = lambda c: F.size(c).cast("long")
     return rows.select("doc_id", size("t").alias("n_tokens"), size("c").alias("n_content"), size(F.array_distinct("c")).alias("n_terms"), size(T.numbers(F.col("t"))).alias("n_numbers"), size(T.units(F.col("t"))).alias("n_units"))
 
@@ -134,7 +134,7 @@ def intent_applicability(spark, d):
 _FORMAT_SQL = rf"""q AS (SELECT conv_id, turn, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(12) || chr(13)) AS t FROM conversations),
 m AS (SELECT conv_id, turn, t = '' AS empty, regexp_matches(t, '{L.LIST_MARK}') OR contains(t, chr(10)) AS multiple_query, regexp_matches(lower(t), '{L.PREFIX}') AS has_prefix, regexp_matches(lower(t), '{L.META}') AS has_metacomment,
     len({_tokens('t')})::BIGINT AS word_length, length(t)::BIGINT AS character_length, CASE WHEN len({_tokens('t')}) > 0 THEN len(list_filter({_tokens('t')}, lambda x: list_contains({_list(T.POLISH_STOPWORDS)}, x) OR regexp_matches(x, '[{T.POLISH_LETTERS}]')))::DOUBLE / len({_tokens('t')}) END AS language_confidence,
-    (length(t) - length(regexp_replace(t, '[\x00-\x08\x0b-\x1f\x7f-\x{{9f}}]', '', 'g')))::BIGINT AS invalid_character_count FROM q)"""
+    (length(t) - length(regexp_replace(replace(replace(t, chr(10), 'x'), chr(9), 'x'), '\p{{C}}', '', 'g')))::BIGINT AS invalid_character_count FROM q)"""
 
 
 @query(f"WITH {_FORMAT_SQL} SELECT *, NOT empty AND NOT multiple_query AND NOT has_prefix AND NOT has_metacomment AND invalid_character_count = 0 AS format_valid FROM m")
@@ -164,7 +164,7 @@ _BLANK = "' ' || chr(9) || chr(10) || chr(12) || chr(13)"
 def _flags_sql(c: str) -> dict[str, str]:
     return {
         "empty_document": f"length(trim({c}, {_BLANK})) = 0", "short_text": f"length(trim({c}, {_BLANK})) < 10", "long_text": f"length(trim({c}, {_BLANK})) > 20000",
-        "control_characters": rf"regexp_matches({c}, '{validation.CONTROL}')", "html": f"regexp_matches(lower(regexp_replace({c}, '&lt;|&#60;', '<', 'g')), '{validation.HTML}')",
+        "control_characters": rf"regexp_matches({c}, '{validation.CONTROL}')", "html": f"regexp_matches(lower(regexp_replace(regexp_replace({c}, '{validation.LESS}', '<', 'g'), '{validation.GREATER}', '>', 'g')), '{validation.HTML}')",
         "boilerplate": f"regexp_matches(lower({c}), '{validation.BOILERPLATE}')", "possible_mojibake": _holds(c, validation.MOJIBAKE),
     }
 
@@ -278,7 +278,7 @@ def label_coverage(spark, d):
 
 @query(f"""WITH g AS (SELECT doc_id, {_FORM.format(c='text')} AS k FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS canonical, count(*) OVER (PARTITION BY k) AS group_size FROM g""")
 def normal_form_groups(spark, d):
-    return dedup.exact_groups(table(spark, d, "documents").select("doc_id", "text"), F.sha2(T.normal_form(F.col("text")), 256), "doc_id").select("doc_id", "canonical", "group_size")
+    return dedup.exact_groups(table(spark, d, "documents").select("doc_id", "text"), F.sha2(T.normal_form(F.col("text"), compose=True), 256), "doc_id").select("doc_id", "canonical", "group_size")
 
 
 @query()
@@ -286,11 +286,10 @@ def near_clusters(spark, d):
     return dedup.near_clusters(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -l_suppkey AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09), und AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS a, -o_custkey AS b FROM orders), und AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, root) AS (SELECT DISTINCT a, a FROM und UNION SELECT und.b, r.root FROM r JOIN und ON und.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node""")
 def order_components(spark, d):
-    edges = table(spark, d, "lineitem").where("l_quantity >= 50 and l_discount >= 0.09").select(F.col("l_orderkey").alias("a"), (-F.col("l_suppkey")).alias("b"))
-    return dedup.components(edges)
+    return dedup.components(table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), (-F.col("o_custkey")).alias("b")))
 
 
 @query(f"""WITH a AS (SELECT doc_id, len(s) AS na, unnest(s) AS s FROM (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM (SELECT doc_id, {_words('text')} AS w FROM documents) WHERE len(w) >= 5)),
@@ -333,24 +332,52 @@ scores AS (SELECT query, doc, sum(log10((n - df + 0.5) / (df + 0.5) + 1) * tf *
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM scores)"""
 
 
+_BM25_FILLED_SQL = f"""{_BM25_SQL}, few AS (SELECT doc_id AS doc FROM documents ORDER BY doc_id LIMIT 20),
+padded AS (SELECT query, doc, score FROM scores UNION ALL SELECT item_id, doc, 0 FROM benchmark, few WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.query = item_id AND s.doc = few.doc)),
+filled AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM padded)"""
+
+
+def _terms() -> Column:
+    return F.filter(T.words(F.col("text")), lambda w: F.length(w) > 1)
+
+
+#: The index of a table and the scores of its queries, written once for an application.
+_kept: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, d: str, name: str, make):
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def bm25_index(spark: SparkSession, d: str) -> retrieval.Index:
+    return kept(spark, d, "index", lambda: retrieval.Index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", _terms()))
+
+
+def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(query, doc, score) of benchmark items over all documents."""
+    return kept(spark, d, "scores", lambda: bm25_index(spark, d).scores(table(spark, d, "benchmark"), "item_id", _terms()))
+
+
 def bm25_ranked(spark: SparkSession, d: str) -> DataFrame:
     """(query, doc, score, rank) of all documents that share a term with a benchmark item. Scores are ranked to nine decimals,
     so that sums in another order rank alike."""
-    docs, queries = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark")
-    terms = F.filter(T.words(F.col("text")), lambda w: F.length(w) > 1)
-    scores = retrieval.bm25_scores(retrieval.postings(docs, "doc_id", terms), retrieval.corpus_size(docs, terms), queries, "item_id", terms)
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc")
-    return scores.withColumn("rank", F.row_number().over(order).cast("long"))
+    return bm25_scores(spark, d).withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-@query(f"WITH {_BM25_SQL} SELECT query, doc, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
+@query(f"WITH {_BM25_FILLED_SQL} SELECT query, doc, round(score, 6) AS score, rank FROM filled WHERE rank <= 10")
 def bm25_top10(spark, d):
-    return bm25_ranked(spark, d).where("rank <= 10").select("query", "doc", F.round("score", 6).alias("score"), "rank")
+    top = bm25_ranked(spark, d).where("rank <= 10").select("query", "doc", "score", "rank")
+    filled = retrieval.with_backfill(top, table(spark, d, "benchmark"), "item_id", bm25_index(spark, d).docs, 10)
+    return filled.select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {_BM25_SQL} SELECT item_id AS query, count(*) FILTER (score >= 5) AS n_effective, count(*) FILTER (score >= 5) = 0 OR count(*) FILTER (score >= 5) >= 20 AS ambiguous FROM benchmark LEFT JOIN scores ON query = item_id GROUP BY item_id")
 def bm25_effective(spark, d):
-    hits = bm25_ranked(spark, d).where("score >= 5").groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    hits = bm25_scores(spark, d).where("score >= 5").groupBy("query").agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query")).join(hits, "query", "left").select("query", n.alias("n_effective"), ((n == 0) | (n >= 20)).alias("ambiguous"))
 
@@ -358,15 +385,23 @@ def bm25_effective(spark, d):
 _RELEVANT_SQL = "rel AS (SELECT item_id AS query, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text)), found AS (SELECT rel.query, rel.doc, CASE WHEN rank <= 100 THEN rank END AS rank FROM rel LEFT JOIN ranked USING (query, doc))"
 
 
+#: Items whose runs go along with the scan of the documents.
+_MOST_ITEMS = 50_000
+
+
 def relevant(spark: SparkSession, d: str) -> DataFrame:
     """(query, doc): documents that contain the item's text. Candidates hold the item's second to sixth word in a row; then the
-    text is looked for. Items of fewer words are compared by their whole text."""
+    text is looked for. Digests of these runs are compared inside the row where there are few items, so that only documents that
+    hold one leave the scan. Items of fewer words are compared by their whole text."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage"), T.words(F.col("text")).alias("w"))
-    keyed = items.where(F.size("w") >= 7).select("query", "passage", F.array_join(F.slice("w", 2, 5), " ").alias("run"))
+    run = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(5)))
+    keyed = items.where(F.size("w") >= 7).select("query", "passage", run(F.col("w"), F.lit(1)).alias("run"))
+    wanted = [r["run"] for r in keyed.select("run").distinct().limit(_MOST_ITEMS + 1).collect()]
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
-    runs = docs.select("doc", F.explode(F.array_distinct(T.shingles(T.words(F.col("text")), 5))).alias("run"))
-    likely = runs.join(keyed, "run").select("doc", "query", "passage")
-    found = docs.join(likely, "doc").where(F.contains("text", "passage")).select("query", "doc").distinct()
+    runs = T.bound(T.words(F.col("text")), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda i: run(w, i)))
+    if len(wanted) <= _MOST_ITEMS:
+        runs = F.filter(runs, lambda h: h.isin(wanted) if wanted else F.lit(False))
+    found = docs.select("doc", "text", F.explode(F.array_distinct(runs)).alias("run")).join(keyed, "run").where(F.contains("text", "passage")).select("query", "doc").distinct()
     short = items.where(F.size("w") < 7).select("query", "passage")
     if short.isEmpty():
         return found
@@ -560,11 +595,33 @@ def discount_reliability(spark, d):
     return statistics.reliability(rows, "c", "ok", 4)
 
 
-@query()
+_POISSON = []
+_cut, _term = 0.0, 0.36787944117144233
+for _k in range(1, 9):
+    _cut += _term
+    _POISSON.append((_cut, _k))
+    _term /= _k
+_WEIGHT = "CASE " + " ".join(f"WHEN u >= {c!r}::DOUBLE THEN {k}" for c, k in reversed(_POISSON)) + " ELSE 0 END"
+
+
+def poisson_sql(diffs: str, samples: int) -> str:
+    """diffs: a query of (metric, id, d)."""
+    return f"""diffs AS (SELECT metric, id, d FROM ({diffs}) WHERE d IS NOT NULL),
+drawn AS (SELECT metric, d, sample, ('0x' || substr(md5(id::VARCHAR || ':' || sample::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM diffs, unnest(range(1, {samples + 1})) AS s(sample)),
+means AS (SELECT metric, sample, sum({_WEIGHT} * d) / nullif(sum({_WEIGHT}), 0) AS m FROM drawn GROUP BY ALL),
+ends AS (SELECT metric, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, avg((m > 0)::INT) AS win_share FROM means WHERE m IS NOT NULL GROUP BY metric)
+SELECT w.metric AS metric, n, round(difference, 9) AS difference, round(low, 9) AS low, round(high, 9) AS high, win_share FROM (SELECT metric, count(*) AS n, avg(d) AS difference FROM diffs GROUP BY metric) w JOIN ends e ON w.metric = e.metric"""
+
+
+def rounded_interval(df: DataFrame) -> DataFrame:
+    return df.select("metric", "n", *(F.round(c, 9).alias(c) for c in ("difference", "low", "high")), "win_share")
+
+
+@query("WITH " + poisson_sql("SELECT 'quantity' AS metric, l_suppkey AS id, avg(l_quantity::DOUBLE) FILTER (l_returnflag <> 'R') - avg(l_quantity::DOUBLE) FILTER (l_returnflag = 'R') AS d FROM lineitem GROUP BY l_suppkey", 200))
 def tax_bootstrap(spark, d):
     """Quantity of returned against other lines, by supplier, resampled over suppliers."""
     rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("double"))).alias("left"), F.avg(F.when(F.col("l_returnflag") != "R", F.col("l_quantity").cast("double"))).alias("right"))
-    return statistics.paired_bootstrap(rows.withColumn("metric", F.lit("quantity")), "metric", "left", "right", "l_suppkey", 500)
+    return rounded_interval(statistics.poisson_bootstrap(rows.withColumn("metric", F.lit("quantity")), "metric", "left", "right", "l_suppkey", 200))
 
 
 # selection and pairs
@@ -616,7 +673,7 @@ def question_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def covering_questions(spark, d):
-    return selection.greedy_cover(question_candidates(spark, d), "conv_id", "turn", 2, coverage=0.2, duplicate=1.0)
+    return selection.greedy_cover(question_candidates(spark, d), "conv_id", "turn", 2, terms=0.2, duplicate=1.0)
 
 
 _PREFERENCE_SQL = f"""c AS (SELECT lang AS split, source AS passage, doc_id AS candidate, text AS query, n_chars / 1000.0::DOUBLE AS score, n_chars < 20000 AS chosen_ok, n_chars >= 100 AS rejected_ok FROM documents),

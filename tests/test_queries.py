@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import catalog
+from millrace.plans import everything as catalog
 
 
 def rounded(v):
