@@ -21,12 +21,15 @@ def self_bleu(token_lists: Column) -> Column:
     the others, with the brevity penalty against the longest other; null for fewer than two. Groups of a few candidates."""
     grams = lambda t, k: F.array_distinct(F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.array_join(F.slice(t, i, k), " "))).otherwise(F.array().cast("array<string>")))
 
+    def of_size(k: int):
+        return lambda t: grams(t, k)
+
     def of(lists: Column) -> Column:
         def one(t: Column, at: Column) -> Column:
             others = F.filter(lists, lambda _, i: i != at)
             logs = F.lit(0.0)
             for k in (1, 2, 3, 4):
-                theirs = F.flatten(F.transform(others, lambda o, k=k: grams(o, k)))
+                theirs = F.flatten(F.transform(others, of_size(k)))
                 logs = logs + F.log((F.size(F.array_intersect(grams(t, k), theirs)) + 1) / (F.size(grams(t, k)) + 1)) / 4
             longest = F.array_max(F.transform(others, F.size))
             return F.least(F.lit(1.0), F.exp(1 - longest / F.greatest(F.size(t), F.lit(1)))) * F.exp(logs)

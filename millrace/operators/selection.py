@@ -155,7 +155,7 @@ def best_subset(candidates: DataFrame, group: str, id_col: str, score: str, k: i
             if pd.isna(least) or mean >= least:
                 found.append((weights[0] * mean + weights[1] * len({t for _, _, ts in c for t in ts}) / k, [i for i, _, _ in c]))
         best = max(found, key=lambda x: x[0], default=None)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "ids": [best[1]], "total": [best[0]]} if best else {group: [], "ids": [], "total": []})
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "ids": [best[1]], "total": [best[0]]} if best else {group: pdf[group][:0], "ids": pd.Series([], dtype=object), "total": np.zeros(0)})
 
     return cols.groupBy(group).applyInPandas(run, f"{group} {candidates.schema[group].dataType.simpleString()}, ids array<{candidates.schema[id_col].dataType.simpleString()}>, total double")
 

@@ -51,7 +51,7 @@ def exact_overlap(a: DataFrame, b: DataFrame, key: Column) -> DataFrame:
     """One row (left, right, shared): distinct keys of each side and of both."""
     keys = lambda df, n: df.select(F.sha2(key, 256).alias("k")).where("k is not null").distinct().withColumn(n, F.lit(1))
     both = keys(a, "l").join(keys(b, "r"), "k", "full")
-    return both.agg(F.count("l").alias("left"), F.count("r").alias("right"), F.sum((F.col("l") + F.col("r") == 2).cast("long")).alias("shared"))
+    return both.agg(F.count("l").alias("left"), F.count("r").alias("right"), F.coalesce(F.sum((F.col("l") + F.col("r") == 2).cast("long")), F.lit(0)).alias("shared"))
 
 
 def presence(rows: DataFrame, reference: DataFrame, id_col: str, ref_col: str, least: float) -> DataFrame:
@@ -110,11 +110,11 @@ def group_clusters(rows: DataFrame, group: str, position: str, text_col: str, le
                 for _ in ids:  # a path has at most as many links as the group members
                     root = {i: min(root[j] for j in mine) for i, mine in zip(ids, links)}
                 out += [(g, i, root[i]) for i in ids]
-            yield pd.DataFrame(out, columns=["g", "i", "cluster"])
+            yield pd.DataFrame(out, columns=["__g", "__i", "cluster"])
 
     types = {c: rows.schema[c].dataType.simpleString() for c in (group, position)}
-    roots = found.mapInPandas(close, f"g {types[group]}, i {types[position]}, cluster {types[position]}")
-    return rows.join(roots, (rows[group] == roots["g"]) & (rows[position] == roots["i"]), "left").drop("g", "i")
+    roots = found.mapInPandas(close, f"__g {types[group]}, __i {types[position]}, cluster {types[position]}")
+    return rows.join(roots, rows[group].eqNullSafe(roots["__g"]) & rows[position].eqNullSafe(roots["__i"]), "left").drop("__g", "__i")
 
 
 def semantic_clusters(rows: DataFrame, group: str, vector_col: str, least: float = 0.85) -> DataFrame:

@@ -201,7 +201,7 @@ def sign_flip(pairs: DataFrame, metric: str, left: str, right: str, id_col: str,
     held = d.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("__id", "__d"))).alias("x"))
     held = held.select("metric", F.when(F.size("x") <= most, F.transform("x", lambda v: v["__d"])).otherwise(F.raise_error(F.lit("too many pairs for an exact test"))).alias("d"))
     signed = lambda m: F.aggregate(F.transform("d", lambda v, i: F.when(F.getbit(m, i) == 1, -v).otherwise(v)), F.lit(0.0), lambda a, v: a + v)
-    flips = held.select("metric", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.size("d")) - 1)).alias("m"))
+    flips = held.select("metric", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.size("d")).cast("long") - 1)).alias("m"))
     seen = F.aggregate("d", F.lit(0.0), lambda a, v: a + v)
     return flips.groupBy("metric").agg(F.first(F.size("d")).cast("long").alias("n"), F.first(seen / F.size("d")).alias("difference"), F.avg((signed(F.col("m")) >= seen - 1e-12).cast("double")).alias("p"))
 

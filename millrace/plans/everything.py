@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import retrieval_queries, text_queries  # noqa: F401  each module registers its queries
+from . import pair_queries, retrieval_queries, split_queries, statistics_queries, text_queries  # noqa: F401  each module registers its queries
 from .catalog import flagship, oracle_sql, queries  # noqa: F401

@@ -43,7 +43,7 @@ def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
     lines = read_lines(spark, path, schema)
     last = lines.groupBy("file").agg(F.max("offset").alias("__last"))
     kept = lines.join(last, "file").where(F.col("valid") | (F.col("offset") != F.col("__last")))
-    return kept.select(F.when(F.col("valid"), F.col("record")).otherwise(F.raise_error(F.concat(F.lit("broken line in "), F.col("file")))).alias("r")).select("r.*")
+    return kept.select(F.when(F.col("valid"), F.col("record")).otherwise(F.raise_error(F.concat(F.lit("malformed line in "), F.col("file")))).alias("r")).select("r.*")
 
 
 def read_table_checked(spark: SparkSession, path: str, columns: list[str], tests: dict[str, Column], sep: str = "\t") -> DataFrame:

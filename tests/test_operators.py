@@ -119,11 +119,6 @@ def test_preference_pairs_respect_margin(spark):
     assert got == [(0, 3)]
 
 
-def test_self_bleu_extremes():
-    assert selection.self_bleu([["a", "b"]]) is None
-    assert abs(selection.self_bleu([list("abcde"), list("abcde")]) - 1) < 1e-12
-
-
 def test_ids_digest_ignores_order(spark):
     a = records.ids_digest(spark.range(50).repartition(7), "id").first()
     b = records.ids_digest(spark.range(50).orderBy(F.desc("id")), "id").first()
@@ -135,3 +130,237 @@ def test_aligned_lists(spark):
     docs = records.aligned("ids", "texts", "scores")
     assert len(df.select(records.score_filter(docs, 23.5).alias("d")).first()["d"]) == 1
     assert df.select(records.score_filter(docs, 23.5, strict=True).alias("d")).first()["d"] == []
+
+
+# against plain Python
+
+
+def test_common_runs_match_the_textbook(spark):
+    from millrace.functions import lexical
+
+    rng = random.Random(2)
+    rows = [(i, [rng.choice("abcd") for _ in range(rng.randint(0, 9))], [rng.choice("abcd") for _ in range(rng.randint(0, 14))]) for i in range(80)] + [(80, None, ["a"])]
+
+    def want(q, p):
+        run = [[0] * (len(p) + 1) for _ in range(len(q) + 1)]
+        lcs = [[0] * (len(p) + 1) for _ in range(len(q) + 1)]
+        for i, x in enumerate(q):
+            for j, y in enumerate(p):
+                run[i + 1][j + 1] = run[i][j] + 1 if x == y else 0
+                lcs[i + 1][j + 1] = lcs[i][j] + 1 if x == y else max(lcs[i][j + 1], lcs[i + 1][j])
+        return max(map(max, run)), lcs[-1][-1]
+
+    df = spark.createDataFrame(rows, "i int, q array<string>, p array<string>")
+    for r in df.select("q", "p", lexical.common_runs("q", "p").alias("c")).collect():
+        assert (r["c"]["longest"], r["c"]["lcs"]) == want(r["q"] or [], r["p"] or [])
+
+
+def test_careful_sentences(spark):
+    from millrace.functions import text as T
+
+    cases = {
+        "Urodził się w r. 1920. Zmarł np. we Lwowie. Koniec!": ["Urodził się w r. 1920.", "Zmarł np. we Lwowie.", "Koniec!"], "A. Nowak przyszedł. potem wyszedł. Tak?": ["A. Nowak przyszedł. potem wyszedł.", "Tak?"],
+        "1. Wstęp. 26. Dalej": ["1. Wstęp.", "26. Dalej"], "...": ["..."], "": [], "  Jedno zdanie  ": ["Jedno zdanie"], "Było (tzw. cud). 12.": ["Było (tzw. cud). 12."], "W 1999. Rok był dobry.": ["W 1999.", "Rok był dobry."], "Dr. X. p.n.e. Y": ["Dr. X. p.n.e. Y"],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["s"] for r in df.select("t", T.careful_sentences(F.col("t")).alias("s")).collect()}
+    assert got == cases
+
+
+def test_query_keys_and_folding(spark):
+    from millrace.functions import text as T
+
+    df = spark.createDataFrame([("Łódź  ŻÓŁTA",), ("Straße ΑΣ",), (None,), ("&eacute;&#x3c;b> &amp;lt;",)], "t string")
+    rows = df.select(T.query_key("t").alias("k"), T.folded("t").alias("f"), T.unescaped("t").alias("u")).collect()
+    assert [r["k"] for r in rows[:3]] == ["lodz zolta", "strasse ασ", None] and rows[1]["f"] == "strasse ασ" and rows[3]["u"] == "é<b> &lt;"
+
+
+def test_cover_matches_a_plain_greedy(spark):
+    rng = random.Random(4)
+    rows = [(g, i, rng.randint(0, 3) / 4, rng.sample("abcdef", rng.randint(0, 4)), rng.choice(["x", "y", None])) for g in range(6) for i in range(rng.randint(1, 7))]
+    df = spark.createDataFrame(rows, "g int, i int, quality double, terms array<string>, form string")
+    w = {"diversity": 0.5, "terms": 0.125, "form": 0.25, "duplicate": 1.0}
+    got = {(r["g"], r["position"]): r["i"] for r in selection.greedy_cover(df, "g", "i", 3, **w).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for g in range(6):
+        left, chosen = [(i, q, set(t), f) for x, i, q, t, f in rows if x == g], []
+        while left and len(chosen) < 3:
+            def gain(c, chosen=chosen):
+                near = max((like(c[2], o[2]) for o in chosen), default=0.0)
+                new = len(c[2] - set().union(*(o[2] for o in chosen))) * w["terms"]
+                form = w["form"] * (c[3] is not None and all(c[3] != o[3] for o in chosen))
+                return c[1] - w["diversity"] * near + new + form - w["duplicate"] * any(c[2] == o[2] for o in chosen)
+            best = max(left, key=lambda c: (gain(c), c[1], c[0]))
+            left.remove(best)
+            chosen.append(best)
+            assert got[g, len(chosen)] == best[0], (g, len(chosen))
+
+
+def test_unique_cohort_is_one_pass(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(30), rng.choice([None, *range(25)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, a int, b int")
+    got = [r["i"] for r in selection.unique_cohort(df, "a", "b", "i", 1000, "s").collect()]
+    import hashlib
+
+    seen, want = (set(), set()), []
+    for i, a, b in sorted(rows, key=lambda r: (hashlib.sha256(f"s:{r[0]}".encode()).hexdigest(), str(r[0]))):
+        if a not in seen[0] and (b is None or b not in seen[1]):
+            want.append(i)
+            seen[0].add(a)
+            seen[1].add(b)
+    assert got == want
+
+
+def test_rule_search_matches_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [(rng.random() < 0.4, rng.randint(0, 9) / 1.0, rng.choice([None, 0.0, 1.0, 2.0])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "gold boolean, x double, y double")
+    got = selection.rule_search(df, "gold", ["x", "y"], 0.45, 0.1, 4).collect()
+    import numpy as np
+
+    cuts = {f: [float(np.quantile([r[k] for r in rows if r[k] is not None], p)) for p in (0.2, 0.4, 0.6, 0.8)] for k, f in ((1, "x"), (2, "y"))}
+    tests = sorted({(f, s, c) for f in cuts for c in cuts[f] for s in (">=", "<=")})
+    hit = lambda t, r: (v := r[1 if t[0] == "x" else 2]) is not None and (v >= t[2] if t[1] == ">=" else v <= t[2])
+    found = []
+    for i, a in enumerate(tests):
+        for b in tests[i:]:
+            m = [r[0] for r in rows if hit(a, r) and hit(b, r)]
+            if m and sum(m) / len(m) >= 0.45 and sum(m) / sum(r[0] for r in rows) >= 0.1:
+                name = lambda t: f"{t[0]} {t[1]} {t[2]!r}"
+                found.append((-sum(m) / sum(r[0] for r in rows), -sum(m) / len(m), name(a) if a == b else f"{name(a)} and {name(b)}"))
+    assert bool(found) == bool(got) and (not found or abs(min(found)[0] + got[0]["recall"]) < 1e-12 and abs(min(found)[1] + got[0]["precision"]) < 1e-12)
+
+
+def test_subsets_match_all(spark):
+    rng = random.Random(7)
+    rows = [(g, i, rng.random(), rng.sample("abcde", 2)) for g in range(4) for i in range(rng.randint(1, 5))]
+    df = spark.createDataFrame(rows, "g int, i long, s double, t array<string>")
+    anchor = spark.createDataFrame([(0, 0.4), (1, 2.0)], "g int, least double")
+    got = {r["g"]: (r["ids"], r["total"]) for r in selection.best_subset(df, "g", "i", "s", 2, "t", (1.0, 0.5), anchor).collect()}
+    for g in range(4):
+        least = {0: 0.4, 1: 2.0}.get(g, -1)
+        options = [(sum(x[2] for x in c) / 2 + 0.5 * len({t for x in c for t in x[3]}) / 2, [x[1] for x in c]) for c in itertools.combinations([r for r in rows if r[0] == g], 2) if sum(x[2] for x in c) / 2 >= least]
+        assert (g in got) == bool(options) and (not options or abs(max(o[0] for o in options) - got[g][1]) < 1e-12)
+
+
+def test_group_clusters_and_gates(spark):
+    from millrace.operators import pairs, splits
+
+    rows = [(1, 0, "Ala ma kota"), (1, 1, "ala  MA kota"), (1, 2, "zupełnie inne pytanie tutaj"), (1, 3, "kota ma ala"), (2, 0, "jedno"), (3, 0, "raz dwa trzy"), (3, 1, "cztery pięć sześć"), (3, 2, "siedem osiem dziewięć")]
+    df = spark.createDataFrame(rows, "g int, i int, t string").withColumn("p", F.lit("x"))
+    c = splits.group_clusters(df, "g", "i", "t", 0.9)
+    assert {(r["g"], r["i"]): r["cluster"] for r in c.collect()} == {(1, 0): 0, (1, 1): 0, (1, 2): 2, (1, 3): 0, (2, 0): 0, (3, 0): 0, (3, 1): 1, (3, 2): 2}
+    got = {r["g"]: r for r in pairs.diversity_gate(c, "g", "i", "t", "p", size=3, least=3).collect()}
+    assert got[3]["eligible"] and got[3]["effective"] == 3 and got[3]["min_jaccard"] == 0
+    assert got[1]["failures"] == ["too_few_effective", "unexpected_size"] and abs(got[1]["duplicate_rate"] - 0.25) < 1e-12
+    assert "self_bleu" in got[2]["failures"] and "no_pairable" in got[2]["failures"]
+
+
+def test_self_bleu(spark):
+    from millrace.operators import pairs
+
+    def want(lists):
+        import math
+
+        grams = lambda t, k: {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+        total = 0.0
+        for x, t in enumerate(lists):
+            others = [o for y, o in enumerate(lists) if y != x]
+            p = 1.0
+            for k in (1, 2, 3, 4):
+                p *= ((len(grams(t, k) & set().union(*(grams(o, k) for o in others))) + 1) / (len(grams(t, k)) + 1)) ** 0.25
+            total += min(1.0, math.exp(1 - max(map(len, others)) / max(1, len(t)))) * p
+        return total / len(lists)
+
+    rng = random.Random(8)
+    cases = [[[rng.choice("abc") for _ in range(rng.randint(0, 6))] for _ in range(n)] for n in (1, 2, 3, 4, 4)]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, l array<array<string>>")
+    got = {r["k"]: r["b"] for r in df.select("k", pairs.self_bleu(F.col("l")).alias("b")).collect()}
+    assert got[0] is None and all(abs(got[k] - want(c)) < 1e-12 for k, c in enumerate(cases) if k)
+
+
+def test_semantic_clusters(spark):
+    from millrace.operators import splits
+
+    rng = random.Random(9)
+    rows = [(g, [rng.gauss(0, 1) for _ in range(3)]) for g in range(5) for _ in range(6)] + [(0, None), (0, [0.0, 0.0, 0.0])]
+    got = {r["g"]: r for r in splits.semantic_clusters(spark.createDataFrame(rows, "g int, v array<double>"), "g", "v", 0.7).collect()}
+    norm = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    for g in range(5):
+        v = [norm(x) for k, x in rows if k == g and x and any(x)]
+        root = list(range(len(v)))
+        for _ in v:
+            for i, j in itertools.product(range(len(v)), repeat=2):
+                if sum(a * b for a, b in zip(v[i], v[j])) >= 0.7:
+                    root[i] = root[j] = min(root[i], root[j])
+        assert got[g]["n"] == len(v) and got[g]["clusters"] == len(set(root))
+
+
+def test_near_clusters_match_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(9001, None), (9002, None)], "doc_id long, text string"))
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    fp = {i: dedup.simhash64(t or "") for i, t in rows.items()}
+    root = {i: i for i in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(rows), 2):
+        if (fp[i] ^ fp[j]).bit_count() <= 3 or ((fp[i] ^ fp[j]) & (1 << 64) - 1).bit_count() <= 3:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    for r in dedup.near_clusters(docs, "doc_id", "text").collect():
+        i = r["doc_id"]
+        assert r["canonical"] == find(i)
+        assert r["match"] == ("canonical" if find(i) == i else "exact" if rows[i] == rows[find(i)] else "near")
+
+
+def test_seed_bootstrap_is_numpys(spark):
+    import numpy as np
+
+    rows = [("m", k, float(k % 5), float((k * 7) % 6)) for k in range(12)]
+    r = statistics.paired_bootstrap(spark.createDataFrame(rows, "metric string, id int, l double, r double"), "metric", "l", "r", "id", 300, 1, "pcg64", (0.95,)).first()
+    d, rng = np.array([x[3] - x[2] for x in rows]), np.random.default_rng(1)
+    means = np.concatenate([d[rng.integers(0, 12, size=(n, 12))].mean(axis=1) for n in (256, 44)])
+    assert abs(r["low_950"] - np.quantile(means, 0.025)) < 1e-12 and abs(r["difference"] - d.mean()) < 1e-12
+
+
+def test_components_stay_whole(spark, sf):
+    from millrace.operators import splits
+    from millrace.plans import everything
+
+    got = everything.queries()["component_splits"](spark, sf)
+    assert got.groupBy("component").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0 and got.count() > 10
+    assert splits.leakage(got.where("split = 'train'"), got.where("split <> 'train'"), ["component"]).first()["shared"] == 0
+
+
+def test_dense_search_takes_odd_vectors(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [1.0]), (4, None), (5, []), (6, [1.0, 0.0])], "id long, v array<float>")
+    got = {(r["query"], r["rank"]): r["doc"] for r in retrieval.dense_scores(v, v.where("id in (1, 3, 4, 5)"), 2, "id", "v").collect()}
+    assert got == {(1, 1): 1, (1, 2): 6, (3, 1): 3}
+    assert retrieval.dense_scores(v, v.limit(0), 2, "id", "v").count() == 0 == retrieval.dense_scores(v.limit(0), v, 2, "id", "v").count()
+
+
+def test_backfill_and_guards(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(i,) for i in range(9)], "doc long")
+    q = spark.createDataFrame([(1,), (2,)], "q int")
+    ranked = spark.createDataFrame([(1, 3, 2.0, 1), (1, 0, 1.0, 2)], "query int, doc long, score double, rank long")
+    got = sorted((r["query"], r["rank"], r["doc"]) for r in retrieval.with_backfill(ranked, q, "q", docs, 4).collect())
+    assert got == [(1, 1, 3), (1, 2, 0), (1, 3, 1), (1, 4, 2), (2, 1, 0), (2, 2, 1), (2, 3, 2), (2, 4, 3)]
+    with pytest.raises(ValueError):
+        retrieval.checked_cutoffs((1, 20), 10)
+    with pytest.raises(Exception, match="unknown document"):
+        retrieval.scores_of(ranked, spark.createDataFrame([(1, 99)], "query int, doc long"), docs).collect()
+    with pytest.raises(Exception, match="missing document"):
+        retrieval.texts_of(docs.withColumn("t", F.lit("x")), spark.createDataFrame([(99,)], "doc long"), "doc", "t").collect()
+
+
+def test_exact_groups_keep_nulls(spark):
+    df = spark.createDataFrame([(1, None), (2, "a"), (3, None), (4, "")], "i long, t string")
+    got = sorted((r["i"], r["canonical"], r["group_size"]) for r in dedup.exact_groups(df, F.col("t"), "i").collect())
+    assert got == [(1, 1, 2), (2, 2, 1), (3, 1, 2), (4, 4, 1)]

@@ -39,3 +39,42 @@ def test_stream_equals_table(spark, sf, tmp_path):
     got = {(r[0], r[1], r[2]) for r in spark.sql("select window_start, event_type, requests from usage_test").collect()}
     want = {(r[0], r[1], r[2]) for r in ledger.usage(table, "event_type", "ts", "value").select("window_start", "event_type", "requests").collect()}
     assert got == want
+
+
+def test_frozen_tables_journals_and_sinks(spark, tmp_path):
+    import json
+
+    import pytest
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "i int, t string")
+    R.freeze(df, f"{tmp_path}/frozen", ["i", "t"])
+    assert R.load_frozen(spark, f"{tmp_path}/frozen").count() == 2
+    with pytest.raises(Exception, match="(?i)exist"):
+        R.freeze(df, f"{tmp_path}/frozen", ["i", "t"])
+    df.union(df).write.mode("overwrite").parquet(f"{tmp_path}/frozen/rows")
+    with pytest.raises(ValueError):
+        R.load_frozen(spark, f"{tmp_path}/frozen")
+    R.write_json_lines(df, f"{tmp_path}/lines")
+    lines = [x["value"] for x in spark.read.text(f"{tmp_path}/lines").collect()]
+    assert sorted(lines) == ['{"i":1,"t":"a"}', '{"i":2,"t":null}'] and all(list(json.loads(x)) == ["i", "t"] for x in lines)
+    R.write_json_parquet(df.limit(0), f"{tmp_path}/packed.parquet")
+    assert R.read_records(spark, f"{tmp_path}/packed.parquet", "i int, t string").count() == 0
+    R.write_form(df, f"{tmp_path}/form", ["t", "i"])
+    assert R.read_table(spark, f"{tmp_path}/form", "t string, i int").count() == 2
+    checked = R.read_table_checked(spark, f"{tmp_path}/form", ["t", "i"], {"has_text": R.F.col("t").isNotNull(), "small": R.F.col("i").cast("int") < 2}, ",")
+    assert sorted(tuple(r["violations"]) for r in checked.collect()) == [(), ("has_text", "small")]
+    with pytest.raises(ValueError):
+        R.read_table_checked(spark, f"{tmp_path}/form", ["i", "t"], {}, ",")
+    assert [r["i"] for r in R.append_journal(df.where("i = 1"), df, "i").collect()] == [2]
+    with pytest.raises(ValueError):
+        R.append_journal(spark.createDataFrame([(9,)], "i int"), df, "i")
+
+
+def test_shards_must_be_contiguous(spark, tmp_path):
+    import pytest
+
+    df = spark.createDataFrame([(1, [1.0, 2.0])], "i int, v array<float>")
+    for k in (0, 1, 3):
+        df.write.parquet(f"{tmp_path}/e/shard-{k}")
+    with pytest.raises(ValueError, match="missing"):
+        R.embeddings(spark, f"{tmp_path}/e/*", "v")
