@@ -55,16 +55,19 @@ def with_features(docs: DataFrame, text_col: str = "text", digest=F.xxhash64) ->
     places = F.sequence(F.lit(0), F.size("__words") - 3)
     window = lambda i: [F.get("__words", i + k) for k in range(3)]
     out = out.withColumn("__windows", F.when(F.size("__words") >= 4, F.array_sort(F.transform(places, lambda i: F.struct(digest(*window(i)).alias("h"), i.alias("i"))))))
-    at = lambda i: F.get("__windows", i)
-    differ = lambda a, b: F.concat_ws(" ", *window(a["i"])) != F.concat_ws(" ", *window(b["i"]))
-    clash = F.exists(F.sequence(F.lit(1), F.size("__windows") - 1), lambda i: (at(i)["h"] == at(i - 1)["h"]) & differ(at(i), at(i - 1)))
 
-    def again(windows: Column) -> Column:
+    def twice(windows: Column) -> Column:
         same = lambda x, i: F.coalesce(x["h"] == F.get(windows, i)["h"], F.lit(False))
-        return F.array_sort(F.transform(F.filter(windows, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
+        return F.filter(windows, lambda x, i: same(x, i - 1) | same(x, i + 1))
 
-    out = out.withColumn("__spelled", F.when((F.size("__windows") >= 2) & clash, F.array_sort(F.transform(places, lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("h"), i.alias("i"))))))
-    out = out.withColumn("__again", F.when(F.col("__spelled").isNull(), again(F.col("__windows"))).otherwise(again(F.col("__spelled"))))
+    out = out.withColumn("__twice", twice(F.col("__windows")))
+    at = lambda i: F.get("__twice", i)
+    differ = lambda a, b: F.concat_ws(" ", *window(a["i"])) != F.concat_ws(" ", *window(b["i"]))
+    clash = F.exists(F.sequence(F.lit(1), F.size("__twice") - 1), lambda i: (at(i)["h"] == at(i - 1)["h"]) & differ(at(i), at(i - 1)))
+    spelled = F.array_sort(F.transform(places, lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("h"), i.alias("i"))))
+    order = lambda windows: F.array_sort(F.transform(windows, lambda x: x["i"]))
+    out = out.withColumn("__spelled", F.when((F.size("__twice") >= 2) & clash, spelled))
+    out = out.withColumn("__again", F.when(F.col("__spelled").isNull(), order(F.col("__twice"))).otherwise(order(twice(F.col("__spelled")))))
     covered = F.aggregate("__again", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     found = F.struct(
         F.size("__words").cast("long").alias("n_words"),
