@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,23 +52,68 @@ def band_keys(fp: Column, bands: int) -> Column:
     return F.array(*(F.shiftrightunsigned(fp, b * width).bitwiseAND(F.lit(mask)) for b in range(bands)))
 
 
-def near_pairs(fps: DataFrame, bands: int = 4, most: int = 3) -> DataFrame:
-    """fps(id, fp) with distinct fp -> (a, b): pairs at `most` or fewer differing bits. With most < bands none is missed."""
+def block_keys(fp: Column, blocks: int, most: int) -> Column:
+    """Of a 64-bit fingerprint: for each choice of blocks - most blocks its bits there. Two fingerprints at `most` or fewer differing
+    bits agree in one at least."""
+    ends = [64 * k // blocks for k in range(blocks + 1)]
+    masks = [sum(((1 << (ends[k + 1] - ends[k])) - 1) << ends[k] for k in chosen) for chosen in itertools.combinations(range(blocks), blocks - most)]
+    return F.array(*(fp.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks))
+
+
+#: Fingerprints up to which whole bands are keys; beyond, keys are combined blocks, which few fingerprints share by chance.
+FEW = 100_000
+
+
+def near_pairs(fps: DataFrame, bands: int = 4, most: int = 3, blocks: int | None = None) -> DataFrame:
+    """fps(id, fp) with distinct fp -> (a, b): pairs at `most` or fewer differing bits; none is missed. blocks: of the combined keys; if
+    not given, single bands are the keys of up to FEW fingerprints, and combinations of 2 * most blocks those of more."""
     if most >= bands or 64 % bands:
         raise ValueError("bands must divide 64 and exceed the distance")
-    placed = fps.select("id", "fp", F.posexplode(band_keys(F.col("fp"), bands)).alias("band", "key"))
+    if blocks is None and fps.count() > FEW:
+        blocks = 2 * most
+    keys = block_keys(F.col("fp"), blocks, most) if blocks else band_keys(F.col("fp"), bands)
+    placed = fps.select("id", "fp", F.posexplode(keys).alias("band", "key"))
     left, right = placed.select("band", "key", F.col("id").alias("a"), F.col("fp").alias("fa")), placed.select("band", "key", F.col("id").alias("b"), F.col("fp").alias("fb"))
-    # AQE splits a band that many fingerprints share; more bands than differing bits keep it complete
     hit = (left["band"] == right["band"]) & (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= most)
     return left.join(right, hit).select("a", "b").distinct()
 
 
+#: Edges that one task joins by itself.
+SMALL = 20_000
+
+
+def _roots_of_few(edges: DataFrame) -> DataFrame:
+    """(node, parent) of at most SMALL edges(a, b), in one task."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for pdf in parts:
+            for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        yield pd.DataFrame({"node": list(root), "parent": [find(x) for x in root]})
+
+    return edges.coalesce(1).mapInPandas(run, f"node {kind}, parent {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, root): the least node of each connected component. Rounds of hooking to the least neighbour and
-    pointer jumping; joined nodes are contracted, so that edges shrink by half at least."""
+    pointer jumping; joined nodes are contracted, so that edges shrink by half at least; what is left of at most SMALL edges is
+    joined in one task."""
     live = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")))
-    while not live.isEmpty():
+    while (left := live.limit(SMALL + 1).count()):
+        if left <= SMALL:
+            up = _roots_of_few(live).withColumnRenamed("node", "root")
+            return written(roots.join(up, "root", "left").select("node", F.coalesce("parent", "root").alias("root")))
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("parent"))
         for _ in range(2):

@@ -364,3 +364,34 @@ def test_exact_groups_keep_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, "a"), (3, None), (4, "")], "i long, t string")
     got = sorted((r["i"], r["canonical"], r["group_size"]) for r in dedup.exact_groups(df, F.col("t"), "i").collect())
     assert got == [(1, 1, 2), (2, 2, 1), (3, 1, 2), (4, 4, 1)]
+
+
+def test_near_pairs_by_combined_blocks(spark):
+    rng = random.Random(11)
+    base = [rng.getrandbits(64) for _ in range(5)]
+    fps = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) & ((1 << 64) - 1) for b in base for _ in range(12)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame(list(enumerate(signed)), "id long, fp long")
+    want = {(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    assert {(r["a"], r["b"]) for r in dedup.near_pairs(df, blocks=6).collect()} == want == {(r["a"], r["b"]) for r in dedup.near_pairs(df).collect()}
+
+
+def test_components_by_rounds_and_at_once(spark, monkeypatch):
+    rng = random.Random(12)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    at_once = {r["node"]: r["root"] for r in dedup.components(df).collect()}
+    monkeypatch.setattr(dedup, "SMALL", 3)
+    assert {r["node"]: r["root"] for r in dedup.components(df).collect()} == at_once
+
+
+def test_same_cohort(spark):
+    import pytest
+
+    from millrace.operators import reports
+
+    a, b = spark.range(3), spark.range(4)
+    reports.same_cohort(a, a, "id")
+    with pytest.raises(ValueError, match="missing on the left"):
+        reports.same_cohort(a, b, "id")
+    assert reports.fingerprint_drift({"x": a, "y": a.repartition(3), "z": b}, ["id"]) == ["z"]
