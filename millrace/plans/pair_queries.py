@@ -253,7 +253,7 @@ def request_spacing(spark, d):
     return R.budget_spacing(table(spark, d, "events"), "event_type", "ts", "event_id", 3).select("event_id", "wait_seconds")
 
 
-@query(f"WITH {_PAIRS_SQL} SELECT conv_id, turn, lower(trim(regexp_replace(query, '\s+', ' ', 'g'))) = {_FORM.format(c='query')} AS same, length(answer)::BIGINT AS n FROM pairs")
+@query(rf"WITH {_PAIRS_SQL} SELECT conv_id, turn, lower(trim(regexp_replace(query, '\s+', ' ', 'g'))) = {_FORM.format(c='query')} AS same, length(answer)::BIGINT AS n FROM pairs")
 def prompts(spark, d):
     """Prompts hold what is asked, the controls and the passage."""
     made = R.prompt(F.col("answer"), {"forma": F.lit("pytanie")}, F.array(F.col("query")))

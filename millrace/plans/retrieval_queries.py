@@ -19,11 +19,11 @@ def bm25_round_trip(spark, d):
     return found.select("query", *(c for c in found.columns if c.startswith("hit")), *(F.round(c, 6).alias(c) for c in ("best_positive", "best_other", "margin")))
 
 
-@query(f"""WITH {_BM25_SQL}, w AS (SELECT item_id AS query, doc_id AS doc FROM benchmark, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 40) d) SELECT w.query AS query, w.doc AS doc, round(coalesce(s.score, 0), 6)::DOUBLE AS score FROM w LEFT JOIN scores s ON w.query = s.query AND w.doc = s.doc""")
+@query(f"""WITH {_BM25_SQL}, w AS (SELECT item_id AS query, doc_id AS doc FROM documents JOIN benchmark ON item_id = doc_id % (SELECT count(*) FROM benchmark)) SELECT w.query AS query, w.doc AS doc, round(coalesce(s.score, 0), 6)::DOUBLE AS score FROM w LEFT JOIN scores s ON w.query = s.query AND w.doc = s.doc""")
 def bm25_given(spark, d):
-    """Scores of given documents: of every item the 40 first ones."""
-    few = table(spark, d, "documents").select(F.col("doc_id").alias("doc")).orderBy("doc").limit(40)
-    wanted = table(spark, d, "benchmark").select(F.col("item_id").alias("query")).join(F.broadcast(few.agg(F.collect_list("doc").alias("docs")))).select("query", F.explode("docs").alias("doc"))
+    """Scores of given pairs: every document with one item."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"))
+    wanted = table(spark, d, "documents").select(F.col("doc_id").alias("doc")).withColumn("query", F.col("doc") % items.count()).join(items, "query").select("query", "doc")
     return R.scores_of(bm25_scores(spark, d), wanted, bm25_index(spark, d).docs).select("query", "doc", F.round("score", 6).alias("score"))
 
 
