@@ -73,3 +73,29 @@ def test_odd_rows(spark, odd, docs):
     kept = L.keep_identified(odd, network)
     assert kept.columns == odd.columns and {3, 5, 6} <= {r["doc_id"] for r in kept.collect()} and not {1, 2, 4, 7} & {r["doc_id"] for r in kept.collect()}
     assert L.fit(odd.limit(0)) is None and L.identified(odd.limit(0), None).count() == 0 and L.identified(odd, None).where("lang_pred <> 'und'").count() == 0
+
+
+def test_query_by_plain_convolution(spark, sf, docs, texts):
+    """The registered query's languages and scores, window by window and filter by filter."""
+    from millrace.llm import registry
+
+    network = L.fit(docs)
+    rows = {r["doc_id"]: r for r in registry.queries()["op1_language_id"](spark, sf).collect()}
+    assert sorted(rows) == sorted(texts)
+    checked = 0
+    for i, t in texts.items():
+        if t and any(map(str.isalpha, t)) and len(t) < 1200:
+            cut, sizes = L.windows(t)
+            p = np.average([plain(network, row) for row in cut], axis=0, weights=sizes)
+            assert rows[i]["lang_pred"] == network.languages[int(p.argmax())] and abs(rows[i]["score"] - p.max()) < 1e-4
+            checked += 1
+    assert checked > 30
+
+
+def test_every_language_is_learned(spark):
+    """Many languages, some with one row."""
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 40, f"l{k}") for k in range(600)] + [(1000 + k, "ab cd " * 50, "l1") for k in range(40)]
+    network = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), epochs=1)
+    import zlib
+
+    assert len(network.languages) == len({x for i, _, x in rows if zlib.crc32(str(i).encode()) % 4 != 2}) > 400
