@@ -29,11 +29,11 @@ f AS (SELECT s.doc_id, s.lang, s.body, len(words)::BIGINT AS n_words, length(arr
     FROM split s LEFT JOIN covered c ON s.doc_id = c.doc_id)"""
 
 
-def quality_verdicts(table: str = "documents") -> str:
+def quality_verdicts(table: str = "documents", risk: float = RISK, delta: float = DELTA) -> str:
     """CTEs after quality_features(), the last of which is verdicts(doc_id, features, base_failed, kept)."""
     tests = [(rule, side, i, t) for rule, (side, cutoffs) in RULES.items() for i, t in enumerate(cutoffs)]
     grid = ", ".join(f"('{rule}', {i}, {t}::DOUBLE)" for rule, _, i, t in tests)
-    risk = RISK / len(RULES)
+    risk /= len(RULES)
     values = " ".join(f"WHEN '{rule}' THEN {rule}" for rule in RULES)
     return f"""{quality_features(table)},
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
@@ -50,14 +50,15 @@ tails AS (SELECT *, CASE WHEN k > n * {risk} THEN 1 ELSE list_sum(list_transform
     exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) END AS tail
     FROM counted WHERE bad > 0 AND n > 0),
 held AS (SELECT stratum, rule, arg_max(cutoff, (bad, -strictness)) AS cutoff FROM tails
-    WHERE tail <= {DELTA} / ((SELECT count(DISTINCT stratum) FROM labelled) * {len(tests)}) GROUP BY stratum, rule),
+    WHERE tail <= {delta} / ((SELECT count(DISTINCT stratum) FROM labelled) * {len(tests)}) GROUP BY stratum, rule),
 placed AS (SELECT *, coalesce('=' || lang, '') AS stratum FROM m),
 verdicts AS (SELECT p.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND NOT EXISTS (SELECT 1 FROM held h WHERE h.stratum = p.stratum AND CASE h.rule {values} END > h.cutoff) AS kept FROM placed p)"""
 
 
-def quality_rules() -> str:
-    return f"WITH {quality_verdicts()} SELECT * FROM verdicts"
+def quality_rules(risk: float = RISK, delta: float = DELTA) -> str:
+    return f"WITH {quality_verdicts(risk=risk, delta=delta)} SELECT * FROM verdicts"
+
 
 #: One record for each page; of equal payloads of at least 1000 bytes that with the largest id is the response.
 WARC = """
