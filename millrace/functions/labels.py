@@ -39,31 +39,41 @@ def holds(text: Column, what: tuple[str, ...]) -> Column:
     return _any([text.contains(w) for w in what])
 
 
+#: How sure each form is; marks and confidence of each intent, the first that shows counts; marks of the older styles.
+FORM_CONFIDENCE = {"full_question": 0.95, "keyword_query": 0.9, "unknown": 0.45}
+INTENTS = (("definition", "starts", DEFINITION, 0.98), ("procedure", "starts", PROCEDURE, 0.94), ("comparison", "holds", COMPARISON, 0.97), ("entity_lookup", "starts", ENTITY, 0.9))
+FACT_LOOKUP, KEYWORDS = 0.7, 6
+STYLES = (("how_to", "starts", ("jak ", "w jaki sposób")), ("definition", "starts", ("co to", "czym jest", "co oznacza")), ("comparison", "holds", (" czy ", " a ", "różnica", "porówn")))
+OLD_KEYWORDS = 5
+
+
+def _first(tests: list[tuple[Column, object]], otherwise) -> Column:
+    """The value of the first test that holds."""
+    return F.coalesce(*(F.when(t, F.lit(v)) for t, v in tests), F.lit(otherwise))
+
+
+def _shows(text: Column, how: str, marks: tuple[str, ...]) -> Column:
+    return {"starts": starts, "holds": holds}[how](text, marks)
+
+
 def query_labels(query: Column) -> dict[str, Column]:
     """form, form_confidence, intent, intent_confidence; unknown where no rule is sure."""
     text = T.normal_form(query)
     n = F.size(T.words(text))
-    question = text.endswith("?") | starts(text, OPENERS)
-    form = F.when(n == 0, "unknown").when(question, "full_question").when(n <= 6, "keyword_query").otherwise("unknown")
-    sure = F.when(n == 0, 0.0).when(question, 0.95).when(n <= 6, 0.9).otherwise(0.45)
-    rules = [(starts(text, DEFINITION), "definition", 0.98), (starts(text, PROCEDURE), "procedure", 0.94), (holds(text, COMPARISON), "comparison", 0.97), (starts(text, ENTITY), "entity_lookup", 0.9), (question | (n <= 6), "fact_lookup", 0.7)]
-    intent, intent_sure = F.when(n == 0, "unknown"), F.when(n == 0, 0.0)
-    for test, name, confidence in rules:
-        intent, intent_sure = intent.when(test, name), intent_sure.when(test, confidence)
-    return {"form": form, "form_confidence": sure, "intent": intent.otherwise("unknown"), "intent_confidence": intent_sure.otherwise(0.0)}
+    empty, question, short = n == 0, text.endswith("?") | starts(text, OPENERS), n <= KEYWORDS
+    form = [(empty, "unknown"), (question, "full_question"), (short, "keyword_query")]
+    intent = [(empty, ("unknown", 0.0)), *((_shows(text, how, marks), (name, sure)) for name, how, marks, sure in INTENTS), (question | short, ("fact_lookup", FACT_LOOKUP))]
+    return {
+        "form": _first(form, "unknown"), "form_confidence": _first([(empty, 0.0), *((t, FORM_CONFIDENCE[v]) for t, v in form[1:])], FORM_CONFIDENCE["unknown"]),
+        "intent": _first([(t, v[0]) for t, v in intent], "unknown"), "intent_confidence": _first([(t, v[1]) for t, v in intent], 0.0),
+    }
 
 
 def query_style(query: Column) -> Column:
     """The older combined label."""
     low = F.btrim(F.lower(query))
-    return (
-        F.when(starts(low, ("jak ", "w jaki sposób")), "how_to")
-        .when(starts(low, ("co to", "czym jest", "co oznacza")), "definition")
-        .when(holds(low, (" czy ", " a ", "różnica", "porówn")), "comparison")
-        .when(low.endswith("?"), "full_question")
-        .when(F.size(T.words(low)) <= 5, "keyword_query")
-        .otherwise("fact_lookup")
-    )
+    by_marks = [(_shows(low, how, marks), name) for name, how, marks in STYLES]
+    return _first([*by_marks, (low.endswith("?"), "full_question"), (F.size(T.words(low)) <= OLD_KEYWORDS, "keyword_query")], "fact_lookup")
 
 
 def intent_applicable(intent: Column, passage: Column) -> Column:

@@ -117,9 +117,12 @@ def preference_pairs(candidates: DataFrame, margin: float, likeness: float, most
     margin, rank): the best candidate that may be chosen against at most `most` worse and different enough ones."""
     group = ["split", "passage"]
     best = Window.partitionBy(*group).orderBy(F.desc("score"), "candidate")
-    chosen = candidates.where("chosen_ok").withColumn("__i", F.row_number().over(best)).where("__i = 1").select(*group, F.col("candidate").alias("chosen"), F.col("score").alias("top"), T.words(F.col("query")).alias("qa"))
-    others = candidates.where("rejected_ok").select(*group, F.col("candidate").alias("rejected"), "score", T.words(F.col("query")).alias("qb"))
-    pairs = others.join(chosen, group).where((F.col("rejected") != F.col("chosen")) & (F.col("top") - F.col("score") >= margin) & (T.jaccard(F.col("qa"), F.col("qb"), 1.0) <= likeness))
+    chosen = candidates.where("chosen_ok").withColumn("__i", F.row_number().over(best)).where("__i = 1").select(*group, F.col("candidate").alias("chosen"), F.col("score").alias("top"), F.array_distinct(T.words(F.col("query"))).alias("qa"))
+    others = candidates.where("rejected_ok").select(*group, F.col("candidate").alias("rejected"), "score", F.array_distinct(T.words(F.col("query"))).alias("qb"))
+    near = others.join(chosen, group).where((F.col("rejected") != F.col("chosen")) & (F.col("top") - F.col("score") >= margin))
+    common = F.size(F.array_intersect("qa", "qb"))
+    union = F.size("qa") + F.size("qb") - common  # both are sets
+    pairs = near.where(F.when(union > 0, common / union).otherwise(1.0) <= likeness)
     order = Window.partitionBy(*group).orderBy(F.desc("score") if near_miss else F.asc("score"), "rejected")
     return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select(*group, "chosen", "rejected", (F.col("top") - F.col("score")).alias("margin"), "rank")
 
