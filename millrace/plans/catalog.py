@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -345,15 +347,20 @@ def _terms() -> Column:
 _kept: dict[tuple, object] = {}
 
 
-def kept(spark: SparkSession, d: str, name: str, make):
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _kept:
+def kept(spark: SparkSession, d: str, name: str, make, rows_of=lambda x: x):
+    """make(), kept for as long as the documents' files are the same and what it wrote can be read."""
+    m = "_metadata.file_"
+    files = table(spark, d, "documents").agg(F.count(F.lit(1)), F.max(f"{m}modification_time"), F.max(f"{m}size"), F.max(f"{m}name")).first()
+    key = (spark.sparkContext.applicationId, d, name, *files)
+    try:
+        rows_of(_kept[key]).limit(1).collect()
+    except (KeyError, Py4JJavaError, PySparkException):
         _kept[key] = make()
     return _kept[key]
 
 
 def bm25_index(spark: SparkSession, d: str) -> retrieval.Index:
-    return kept(spark, d, "index", lambda: retrieval.Index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", _terms()))
+    return kept(spark, d, "index", lambda: retrieval.Index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", _terms()), lambda x: x.postings)
 
 
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
