@@ -46,6 +46,11 @@ SPELLINGS = [
     (r" https ", " http "),
 ]
 STEPS = [*LINES, *PUNCTUATION]
+#: For a pattern what a text must hold, one of it, for the pattern to occur at all: looked for first, as that is quicker.
+NEEDS = {
+    LINES[0][0]: ("copyright", "(c)", "©"), LINES[1][0]: ("all rights reserved",), SPELLINGS[1][0]: ("our",), SPELLINGS[2][0]: ("ogue",), SPELLINGS[3][0]: ("centre", "calibre"), SPELLINGS[4][0]: ("ll",),
+    SPELLINGS[5][0]: ("licenc", "offenc", "defenc", "practic"), SPELLINGS[6][0]: ("gement",), SPELLINGS[7][0]: ("fulfil",), SPELLINGS[8][0]: ("artefact",), SPELLINGS[9][0]: (" sub ", " non "), SPELLINGS[10][0]: (" per cent ",), SPELLINGS[11][0]: (" whilst ",), SPELLINGS[12][0]: (" https ",),
+}
 
 _GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n"
 _AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -98,13 +103,29 @@ def known_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(forms(), "license_id string, text string")
 
 
+def _step(text: Column, pattern: str, to: str) -> Column:
+    """The pattern replaced everywhere; a text is evaluated once and only searched if it holds what the pattern needs."""
+    replaced = lambda x: F.regexp_replace(x, pattern, to.replace("\\", "$"))
+    needs = NEEDS.get(pattern)
+    if not needs:
+        return replaced(text)
+
+    def one(x: Column) -> Column:
+        holds = F.lit(False)
+        for literal in needs:
+            holds = holds | x.contains(literal)
+        return F.when(holds, replaced(x)).otherwise(x)
+
+    return F.get(F.transform(F.array(text), one), 0)
+
+
 def canonical(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
     for pattern, to in STEPS:
-        out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
+        out = _step(out, pattern, to)
     out = F.concat(F.lit(" "), out, F.lit(" "))
     for pattern, to in SPELLINGS:
-        out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
+        out = _step(out, pattern, to)
     return F.btrim(out)
 
 
@@ -134,11 +155,11 @@ def _marked(text: Column) -> Column:
     """The canonical form with UNIT as a word between units (lines, and what ends with . ! or ? before white space)."""
     out = F.translate(F.lower(F.coalesce(text, F.lit(""))), UNIT, " ")
     for pattern, to in LINES:
-        out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
+        out = _step(out, pattern, to)
     out = F.regexp_replace(out, r"\n|[.!?][^\p{L}\p{N}\s]*\s", f" {UNIT} ")
     out = F.concat(F.lit(" "), F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}{UNIT}]+", " "), F.lit(" "))
     for pattern, to in SPELLINGS:
-        out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
+        out = _step(out, pattern, to)
     return out
 
 
@@ -147,7 +168,7 @@ def _unmarked(marked: Column) -> Column:
     out = F.regexp_replace(F.concat(F.lit(" "), F.translate(marked, UNIT, ""), F.lit(" ")), " +", " ")
     for pattern, to in SPELLINGS:
         if " " in pattern.strip():
-            out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
+            out = _step(out, pattern, to)
     return F.btrim(out)
 
 
