@@ -37,6 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def salt_of(*cols: Column) -> Column:
     """The part, 0 to SALTS - 1, into which a row goes, whatever its key."""
     return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")

@@ -125,9 +125,27 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_groups
+
+    return spelling_groups(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_license_scan, op3_license_notices, op3_license_variants, op4_exact_dedup, op5_quality_rules, op5_quality_certificates, op6_bpe, op7_token_counts, op8_warc, op9_html_extraction, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_license_scan, op3_license_notices, op3_license_variants, op4_exact_dedup, op5_quality_rules, op5_quality_certificates, op6_bpe, op7_token_counts, op8_warc, op9_html_extraction, op10_simhash_near_dedup, op11_embedding_near_dedup, op12_vector_codes, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": sql.licenses(), "op3_license_variants": sql.license_variants(), "op4_exact_dedup": sql.EXACT_DEDUP, "op5_quality_rules": sql.quality_rules(), "op5_quality_certificates": sql.quality_rules(*LENIENT), "op8_warc": sql.WARC}
+    return {"op3_license_scan": sql.licenses(), "op3_license_variants": sql.license_variants(), "op4_exact_dedup": sql.EXACT_DEDUP, "op5_quality_rules": sql.quality_rules(), "op5_quality_certificates": sql.quality_rules(*LENIENT), "op8_warc": sql.WARC, "op11_embedding_near_dedup": sql.EMBEDDING_DEDUP, "op12_vector_codes": sql.vector_codes(), "op13_spelling_variants": sql.SPELLING}

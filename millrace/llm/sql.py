@@ -96,3 +96,54 @@ def license_variants() -> str:
 
     rows = ", ".join(f"({i}, '{license_id}')" for i, license_id, _ in variants())
     return f"SELECT doc_id::BIGINT AS doc_id, license_id FROM (VALUES {rows}) AS v(doc_id, license_id) UNION ALL SELECT doc_id, NULL FROM documents WHERE length(text) > 0"
+
+
+#: All pairs of a label.
+EMBEDDING_DEDUP = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+ok AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = len(v) AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a),
+c AS (SELECT a, least(a, min(b)) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM e LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a
+"""
+
+
+def vector_codes(scale: int = 4096, parts: int = 8, entries: int = 16, rounds: int = 6, width: int = 8) -> str:
+    """Plain Lloyd, one step after the other."""
+    step = lambda k: f"""
+near{k} AS MATERIALIZED (SELECT vec_id, label, q.p, x, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {entries} + j)::BIGINT AS m
+    FROM q JOIN books{k} b ON q.p = b.p GROUP BY ALL),
+sums{k} AS (SELECT p, m % {entries} AS j, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM near{k}, range(1, {width + 1}) AS r(i) GROUP BY ALL),
+means{k} AS (SELECT p, j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM sums{k} GROUP BY p, j),
+books{k + 1} AS MATERIALIZED (SELECT b.p, b.j, coalesce(m.c, b.c) AS c FROM books{k} b LEFT JOIN means{k} m ON b.p = m.p AND b.j = m.j)"""
+    return f"""
+WITH v AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+q AS MATERIALIZED (SELECT vec_id, label, p, list_transform(v[p * {width} + 1 : p * {width} + {width}], lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS x FROM v, range({parts}) AS r(p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM v QUALIFY j < {entries}),
+books0 AS MATERIALIZED (SELECT p, j, x AS c FROM q JOIN first ON q.vec_id = first.vec_id),{",".join(step(k) for k in range(rounds + 1))},
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', m % {entries}), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM near{rounds} GROUP BY vec_id, label),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM books{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, digest"""
+
+
+#: Words with one place left open meet those that are the same there; words less a letter meet that word.
+SPELLING = """
+WITH RECURSIVE runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+lowered AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times FROM runs GROUP BY ALL),
+bits AS (SELECT run, times, flatten(list_transform(flatten(list_transform(string_split(id || ':' || run, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [192 + unicode(ch) // 64, 128 + unicode(ch) % 64] END)),
+    lambda b: list_transform(range(8), lambda k: (b // (1 << k)::BIGINT) % 2))) AS bits FROM lowered WHERE length(run) >= 5),
+digests AS (SELECT run, times, xor(list_reduce([4294967295] || bits, lambda c, m: CASE WHEN xor(c, m) % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) AS h FROM bits),
+lost AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substring(run, (h % length(run) + 2)::INT) ELSE run END AS word, times FROM digests),
+w AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM lost WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+gaps AS MATERIALIZED (SELECT word, i, left(word, i::INT - 1) AS head, substring(word, i::INT + 1) AS tail FROM w, unnest(range(1, length(word) + 1)) AS r(i)),
+near AS (SELECT a.word AS a, b.word AS b FROM gaps a JOIN gaps b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+    UNION SELECT g.word, w.word FROM gaps g JOIN w ON w.word = g.head || g.tail UNION SELECT w.word, g.word FROM gaps g JOIN w ON w.word = g.head || g.tail),
+best AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY w.n DESC, encode(b)) AS other, max(w.n) AS other_n FROM near JOIN w ON w.word = near.b GROUP BY a),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM w LEFT JOIN best ON w.word = best.word),
+path(word, stop, n) AS (SELECT word, word, n FROM f UNION ALL SELECT p.word, f.form, f.form_n FROM path p JOIN f ON p.stop = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(stop, n) AS root FROM path GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends ON f.word = ends.word
+"""
