@@ -79,28 +79,81 @@ def tentative_pairs(candidates: DataFrame, gap: float = 1.0, likeness: float = 0
     return out.select("group", shown(F.col("c.candidate")).alias("chosen"), shown(F.col("r.candidate")).alias("rejected"), shown(F.col("c.margin") - F.col("r.margin")).alias("margin_gap"), "reason")
 
 
-def defect_pairs(candidates: DataFrame, salt: str, low: float = 0.0556, high: float = 0.0857) -> DataFrame:
-    """candidates(group, candidate, margin, clean, verdict, missed, overlap) -> (group, axis, chosen, rejected), one row a group that has
-    a pair. Axis answer: a clean candidate against one whose verdict is no or that its round trip missed. Axis copy: a clean one of
-    overlap up to `low` against a clean one from `high` on. A group with both takes the axis that a digest says."""
-    top = lambda test: F.max_by(F.when(test, F.col("candidate")), F.when(test, F.struct(F.col("margin"), -F.col("candidate"))))
-    bad = F.coalesce(F.col("verdict") == "no", F.lit(False)) | F.col("missed")
-    good = F.col("clean") & ~bad
-    g = candidates.groupBy("group").agg(top(good).alias("a_chosen"), top(bad).alias("a_rejected"), top(good & (F.col("overlap") <= low)).alias("b_chosen"), top(good & (F.col("overlap") >= high)).alias("b_rejected"))
-    has = lambda x: F.col(f"{x}_chosen").isNotNull() & F.col(f"{x}_rejected").isNotNull()
-    first = F.conv(F.substring(hash_order(F.col("group"), salt), 1, 2), 16, 10).cast("int") < 128
-    axis = F.when(has("a") & (~has("b") | first), "answer").when(has("b"), "copy")
-    out = g.withColumn("axis", axis).where("axis is not null")
-    return out.select("group", "axis", F.when(F.col("axis") == "answer", F.col("a_chosen")).otherwise(F.col("b_chosen")).alias("chosen"), F.when(F.col("axis") == "answer", F.col("a_rejected")).otherwise(F.col("b_rejected")).alias("rejected"))
-
-
-def defect_supply(candidates: DataFrame, tests: dict[str, Column], group: str, clean: Column) -> DataFrame:
-    """(defect, candidates, groups, pairable_groups): how many candidates and groups have each defect, and how many of the groups
-    also have a clean candidate."""
-    names = labels(tests)
-    each = candidates.select(F.col(group).alias("g"), F.explode(names).alias("defect")).groupBy("defect", "g").agg(F.count(F.lit(1)).alias("c"))
-    has = candidates.where(clean).select(F.col(group).alias("g"), F.lit(1).alias("__clean")).distinct()
-    return each.join(has, "g", "left").groupBy("defect").agg(F.sum("c").alias("candidates"), F.count(F.lit(1)).alias("groups"), F.count("__clean").alias("pairable_groups"))
+#: Overlap up to which a query on axis B may be chosen and from which on it may be rejected, and the likeness of words
+#: beyond which two queries are near duplicates.
+OVERLAP, LIKENESS = (0.0556, 0.0857), 0.85
+
+
+def axis_order(group: Column, salt: str) -> Column:
+    """The axes in the order in which a group tries them, by the parity of a digest."""
+    last = F.conv(F.substring(F.sha2(F.concat(F.lit(salt), F.lit("\0"), group.cast("string")), 256), 16, 1), 16, 10).cast("int")
+    return F.when(last % 2 == 0, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("B"), F.lit("A")))
+
+
+def may_be(overlap: tuple[float, float] = OVERLAP) -> dict[str, tuple[Column, Column]]:
+    """Axis -> (may be chosen, may be rejected), of a candidate's columns verdict, clean, format_ok, round_trip and overlap. Only the
+    verdict yes opens the chosen role. Axis A rejects a verdict no or a missed round trip, axis B a certified copy; uncertain is no defect."""
+    yes, hit = F.coalesce(F.col("verdict") == "yes", F.lit(False)), F.coalesce(F.col("round_trip") >= 1, F.lit(False))
+    ok, good = F.coalesce(F.col("format_ok"), F.lit(False)), yes & F.coalesce(F.col("clean"), F.lit(False))
+    low, high = (F.coalesce(c, F.lit(False)) for c in (F.col("overlap") <= overlap[0], F.col("overlap") >= overlap[1]))
+    return {"A": (good, ok & (F.coalesce(F.col("verdict") == "no", F.lit(False)) | ~hit)), "B": (good & low, ok & yes & hit & high)}
+
+
+def defect_pairs(candidates: DataFrame, salt: str, overlap: tuple[float, float] = OVERLAP, likeness: float = LIKENESS) -> DataFrame:
+    """candidates(group, eligible, candidate, position, query, prompt, verdict, clean, format_ok, round_trip, overlap, margin, defects)
+    -> one row a group: (group, axis_order, attempts, axis, chosen, rejected, likeness, chosen_distinctness, rejected_typicality,
+    margin_delta, rejected_defects, failure_reasons).
+
+    A group tries its axes in order. On each, the chosen one is the admissible candidate whose words are least like those of the group's
+    others on the mean, the rejected one the admissible other that is most like them and yet not a near duplicate of the chosen; ties by
+    position, then candidate. attempts tells for each axis tried (axis, n_chosen, n_rejected, failure_reason): no_admissible_chosen,
+    no_axis_defect_rejected, near_duplicate_query_pair, or null where the pair was made. `defects`, an array of names, only goes along; margins
+    don't decide. A group that isn't eligible makes no attempt. In an eligible group a null verdict or a second prompt is an error.
+    Groups are a few candidates of one prompt and are one array each."""
+    sides = {f"{axis.lower()}_{side}": test for axis, pair in may_be(overlap).items() for side, test in zip(("chosen", "rejected"), pair)}
+    one = F.struct("position", "candidate", F.array_distinct(T.words(F.coalesce("query", F.lit("")))).alias("words"), "margin", F.coalesce("defects", F.array().cast("array<string>")).alias("defects"), *(c.alias(n) for n, c in sides.items()))
+    checked = F.when(F.coalesce(F.col("eligible"), F.lit(False)) & F.col("verdict").isNull(), F.raise_error(F.concat(F.lit("no verdict for "), F.col("candidate").cast("string")))).otherwise(F.lit(True))
+    listed = candidates.groupBy("group").agg(
+        F.bool_and(F.coalesce("eligible", F.lit(False))).alias("eligible"), F.count_distinct("prompt").alias("prompts"),
+        F.array_sort(F.collect_list(F.when(checked, one))).alias("rows"),
+    )
+    whole = listed.where(F.when(F.col("eligible") & (F.col("prompts") > 1), F.raise_error(F.concat(F.lit("more than one prompt in group "), F.col("group").cast("string")))).otherwise(F.lit(True)))
+    like = lambda a, b: T.jaccard(a["words"], b["words"], 1.0)
+    total = lambda r: F.aggregate("rows", F.lit(0.0), lambda s, o: s + F.when(o["candidate"] == r["candidate"], 0.0).otherwise(like(r, o)))
+    measured = whole.withColumn("rows", F.transform("rows", lambda r: r.withField("mean", F.when(F.size("rows") > 1, total(r) / (F.size("rows") - 1)).otherwise(0.0))))
+    out = measured
+    for axis in ("a", "b"):
+        fits = lambda side, axis=axis: F.filter("rows", lambda r: r[f"{axis}_{side}"])
+        first = lambda rows, sign: F.get(F.array_sort(F.transform(rows, lambda r: F.struct((sign * r["mean"]).alias("by"), r["position"].alias("position"), r["candidate"].alias("candidate"), r.alias("row")))), 0)["row"]
+        out = out.withColumns({"__chosen": fits("chosen"), "__rejected": fits("rejected")}).withColumn("__c", first(F.col("__chosen"), F.lit(1.0)))
+        out = out.withColumn("__others", F.filter("__rejected", lambda r: r["candidate"] != F.col("__c.candidate")))
+        out = out.withColumn("__r", first(F.filter("__others", lambda r: like(F.col("__c"), r) <= likeness), F.lit(-1.0)))
+        reason = F.when(F.size("__chosen") == 0, "no_admissible_chosen").when(F.size("__others") == 0, "no_axis_defect_rejected").when(F.col("__r").isNull(), "near_duplicate_query_pair")
+        tried = F.struct(F.lit(axis.upper()).alias("axis"), F.size("__chosen").alias("n_chosen"), F.size("__rejected").alias("n_rejected"), reason.alias("failure_reason"))
+        out = out.withColumn(f"__{axis}", F.struct(tried.alias("log"), F.col("__c").alias("chosen"), F.col("__r").alias("rejected"))).drop("__chosen", "__rejected", "__c", "__others", "__r")
+    order = axis_order(F.col("group"), salt)
+    tries = F.when(order[0] == "A", F.array("__a", "__b")).otherwise(F.array("__b", "__a"))
+    worked = lambda t: t["log"]["failure_reason"].isNull()
+    out = out.withColumn("__tries", F.when(F.col("eligible"), tries).otherwise(F.slice(tries, 1, 0))).withColumn("__done", F.get(F.filter("__tries", worked), 0))
+    logs = F.transform(F.filter("__tries", lambda t, i: (i == 0) | ~worked(F.get("__tries", 0))), lambda t: t["log"])
+    failed = F.when(~F.col("eligible"), F.array(F.lit("group_not_gate_eligible"))).when(F.col("__done").isNull(), F.array_sort(F.array_distinct(F.transform(logs, lambda x: x["failure_reason"])))).otherwise(F.array().cast("array<string>"))
+    chosen, rejected = F.col("__done.chosen"), F.col("__done.rejected")
+    return out.select(
+        "group", order.alias("axis_order"), logs.alias("attempts"), F.col("__done.log.axis").alias("axis"), chosen["candidate"].alias("chosen"), rejected["candidate"].alias("rejected"), F.when(F.col("__done").isNotNull(), like(chosen, rejected)).alias("likeness"),
+        chosen["mean"].alias("chosen_distinctness"), rejected["mean"].alias("rejected_typicality"), (chosen["margin"] - rejected["margin"]).alias("margin_delta"), rejected["defects"].alias("rejected_defects"), failed.alias("failure_reasons"),
+    )
+
+
+def defect_supply(candidates: DataFrame, tests: dict[str, Column], clean: Column, likeness: float = LIKENESS) -> DataFrame:
+    """candidates(group, candidate, query), tests on them by name -> (defect, candidates, groups, pairable_groups): how many candidates and
+    groups have each defect, and how many groups have a pair: a clean candidate and another with the defect, not near duplicates."""
+    each = candidates.select("group", "candidate", F.array_distinct(T.words(F.coalesce("query", F.lit("")))).alias("words"), labels(tests).alias("defects"), F.coalesce(clean, F.lit(False)).alias("clean"))
+    listed = each.groupBy("group").agg(F.collect_list(F.struct("candidate", "words", "defects", "clean")).alias("rows"))
+    good = F.filter("rows", lambda r: r["clean"])
+    found = listed.select("group", good.alias("good"), F.explode(F.array_distinct(F.flatten(F.transform("rows", lambda r: r["defects"])))).alias("defect"), "rows")
+    bad = F.filter("rows", lambda r: F.array_contains(r["defects"], F.col("defect")))
+    pair = F.exists("bad", lambda b: F.exists("good", lambda g: (g["candidate"] != b["candidate"]) & (T.jaccard(g["words"], b["words"], 1.0) <= likeness)))
+    return found.withColumn("bad", bad).groupBy("defect").agg(F.sum(F.size("bad")).alias("candidates"), F.count(F.lit(1)).alias("groups"), F.count_if(pair).alias("pairable_groups"))
 
 
 def verdict_id(version: str, query: Column, passage: Column) -> Column:

@@ -42,19 +42,50 @@ def tentative_pairs(spark, d):
     return P.tentative_pairs(line_candidates(spark, d)).withColumn("margin_gap", F.round("margin_gap", 6))
 
 
-@query(f"""WITH {_LINES_SQL}, f AS (SELECT "group", candidate, margin, chosen_ok AS clean, NOT rejected_ok AS bad, overlap FROM c WHERE margin IS NOT NULL),
-g AS (SELECT "group", arg_max(candidate, (margin, -candidate)) FILTER (clean AND NOT bad) AS ac, arg_max(candidate, (margin, -candidate)) FILTER (bad) AS ar, arg_max(candidate, (margin, -candidate)) FILTER (clean AND NOT bad AND overlap <= 0.03) AS bc, arg_max(candidate, (margin, -candidate)) FILTER (clean AND NOT bad AND overlap >= 0.06) AS br FROM f GROUP BY 1),
-x AS (SELECT *, CASE WHEN ac IS NOT NULL AND ar IS NOT NULL AND (bc IS NULL OR br IS NULL OR ('0x' || substr(sha256('axis:' || "group"::VARCHAR), 1, 2))::INT < 128) THEN 'answer' WHEN bc IS NOT NULL AND br IS NOT NULL THEN 'copy' END AS axis FROM g)
-SELECT "group", axis, CASE WHEN axis = 'answer' THEN ac ELSE bc END AS chosen, CASE WHEN axis = 'answer' THEN ar ELSE br END AS rejected FROM x WHERE axis IS NOT NULL""")
+#: The lines with what the pair policy asks: verdicts of all three kinds, gates, round trips and overlap.
+_POLICY_SQL = _LINES_SQL.replace("l_tax::DOUBLE AS overlap", "l_tax::DOUBLE AS overlap, l_orderkey % 5 <> 0 AS eligible, CASE WHEN l_quantity::INT % 4 = 0 THEN 'no' WHEN l_quantity::INT % 4 = 1 THEN 'uncertain' ELSE 'yes' END AS verdict, (l_discount::DOUBLE >= 0.02)::INT::DOUBLE AS round_trip, l_quantity::INT % 11 <> 0 AS format_ok, l_returnflag <> 'R' AS clean")
+_LIKE = _jaccard("a.ws", "b.ws", 1.0)
+
+
+def _axis_sql(axis: str, chosen: str, rejected: str) -> str:
+    return f"""{axis}c AS (SELECT g, count(*) AS n, arg_min(candidate, (m, position)) AS chosen FROM w WHERE {chosen} GROUP BY g),
+{axis}r AS (SELECT g, candidate, position, m FROM w WHERE {rejected}),
+{axis}o AS (SELECT r.g AS g, arg_min(r.candidate, (-r.m, r.position)) FILTER (j <= 0.85) AS rejected, count(*) FILTER (r.candidate <> c.chosen) AS others FROM {axis}r r JOIN {axis}c c ON c.g = r.g LEFT JOIN j ON j.a = c.chosen AND j.b = r.candidate GROUP BY r.g),
+{axis} AS (SELECT gs.g AS g, chosen, rejected, coalesce(c.n, 0) AS nc, coalesce(rn.n, 0) AS nr, CASE WHEN c.n IS NULL THEN 'no_admissible_chosen' WHEN coalesce(others, 0) = 0 THEN 'no_axis_defect_rejected' WHEN rejected IS NULL THEN 'near_duplicate_query_pair' END AS reason
+FROM gs LEFT JOIN {axis}c c ON c.g = gs.g LEFT JOIN {axis}o o ON o.g = gs.g LEFT JOIN (SELECT g, count(*) AS n FROM {axis}r GROUP BY g) rn ON rn.g = gs.g)"""
+
+
+@query(f"""WITH {_POLICY_SQL}, k AS (SELECT "group" AS g, *, list_distinct({_words("query")}) AS ws FROM c), j AS (SELECT a.g AS g, a.candidate AS a, b.candidate AS b, b.position AS bp, {_LIKE} AS j FROM k a JOIN k b ON a.g = b.g AND a.candidate <> b.candidate),
+m AS (SELECT a, list_reduce(list(j ORDER BY bp), lambda x, y: x + y) / count(*) AS m FROM j GROUP BY a), w AS (SELECT k.*, coalesce(m.m, 0) AS m FROM k LEFT JOIN m ON m.a = k.candidate), gs AS (SELECT DISTINCT g, eligible FROM w),
+{_axis_sql("A", "verdict = 'yes' AND clean AND true", "format_ok AND (verdict = 'no' OR round_trip < 1)")},
+{_axis_sql("B", "verdict = 'yes' AND clean AND overlap <= 0.03", "format_ok AND verdict = 'yes' AND round_trip >= 1 AND overlap >= 0.06")},
+t AS (SELECT gs.g AS g, eligible, ('0x' || substr(sha256('axis' || chr(0) || gs.g::VARCHAR), 16, 1))::INT % 2 = 0 AS af, A.chosen AS ac, A.rejected AS ar, A.reason AS ae, 'A/' || A.nc || '/' || A.nr || '/' || coalesce(A.reason, 'made') AS al, B.chosen AS bc, B.rejected AS br, B.reason AS be, 'B/' || B.nc || '/' || B.nr || '/' || coalesce(B.reason, 'made') AS bl FROM gs JOIN A ON A.g = gs.g JOIN B ON B.g = gs.g),
+u AS (SELECT *, CASE WHEN NOT eligible THEN NULL WHEN af AND ae IS NULL THEN 'A' WHEN NOT af AND be IS NULL THEN 'B' WHEN ae IS NULL THEN 'A' WHEN be IS NULL THEN 'B' END AS axis FROM t)
+SELECT u.g AS "group", CASE WHEN af THEN 'A,B' ELSE 'B,A' END AS axis_order, CASE WHEN NOT u.eligible THEN '' WHEN af THEN al || CASE WHEN ae IS NULL THEN '' ELSE ';' || bl END ELSE bl || CASE WHEN be IS NULL THEN '' ELSE ';' || al END END AS attempts, axis,
+CASE axis WHEN 'A' THEN ac WHEN 'B' THEN bc END AS chosen, CASE axis WHEN 'A' THEN ar WHEN 'B' THEN br END AS rejected, round(x.m, 9) AS chosen_distinctness, round(y.m, 9) AS rejected_typicality, round(x.margin - y.margin, 6) AS margin_delta,
+CASE WHEN NOT u.eligible THEN 'group_not_gate_eligible' WHEN axis IS NOT NULL THEN '' ELSE array_to_string(list_sort(list_distinct([ae, be])), ',') END AS failure_reasons
+FROM u LEFT JOIN w x ON x.candidate = CASE axis WHEN 'A' THEN ac WHEN 'B' THEN bc END LEFT JOIN w y ON y.candidate = CASE axis WHEN 'A' THEN ar WHEN 'B' THEN br END""")
 def defect_pairs(spark, d):
-    rows = line_candidates(spark, d).where("margin is not null").select("group", "candidate", "margin", F.coalesce("chosen_ok", F.lit(False)).alias("clean"), F.lit(None).cast("string").alias("verdict"), F.coalesce(~F.col("rejected_ok"), F.lit(False)).alias("missed"), "overlap")
-    return P.defect_pairs(rows, "axis", 0.03, 0.06)
+    """Groups try both axes in turn, with verdicts yes, no and uncertain, and log what failed."""
+    quantity = F.round(F.col("shadow_margin")).cast("int")
+    verdict = F.when(quantity % 4 == 0, "no").when(quantity % 4 == 1, "uncertain").otherwise("yes")
+    rows = line_candidates(spark, d).select(
+        "group", (F.col("group") % 5 != 0).alias("eligible"), "candidate", "position", "query", F.lit("p").alias("prompt"), verdict.alias("verdict"), F.col("chosen_ok").alias("clean"), (quantity % 11 != 0).alias("format_ok"),
+        (F.col("shadow_rank") >= 0.02).cast("double").alias("round_trip"), "overlap", "margin", F.array(F.lit("d")).alias("defects"),
+    )
+    found = P.defect_pairs(rows, "axis", (0.03, 0.06))
+    tried = F.transform("attempts", lambda a: F.concat_ws("/", a["axis"], a["n_chosen"].cast("string"), a["n_rejected"].cast("string"), F.coalesce(a["failure_reason"], F.lit("made"))))
+    return found.select(
+        "group", F.array_join("axis_order", ",").alias("axis_order"), F.array_join(tried, ";").alias("attempts"), "axis", "chosen", "rejected", F.round("chosen_distinctness", 9).alias("chosen_distinctness"), F.round("rejected_typicality", 9).alias("rejected_typicality"),
+        F.round("margin_delta", 6).alias("margin_delta"), F.array_join("failure_reasons", ",").alias("failure_reasons"),
+    )
 
 
-@query(f"""WITH {_LINES_SQL}, x AS (SELECT "group" AS g, unnest(list_filter([CASE WHEN NOT rejected_ok THEN 'small' END, CASE WHEN overlap >= 0.06 THEN 'taxed' END], lambda z: z IS NOT NULL)) AS defect FROM c), e AS (SELECT defect, g, count(*) AS n FROM x GROUP BY 1, 2), k AS (SELECT DISTINCT "group" AS g FROM c WHERE chosen_ok)
-SELECT defect, sum(n)::BIGINT AS candidates, count(*) AS groups, count(k.g) AS pairable_groups FROM e LEFT JOIN k ON k.g = e.g GROUP BY defect""")
+@query(f"""WITH {_LINES_SQL}, k AS (SELECT "group" AS g, candidate, coalesce(chosen_ok, false) AS clean, list_distinct({_words("query")}) AS ws, unnest(list_filter([CASE WHEN NOT rejected_ok THEN 'small' END, CASE WHEN overlap >= 0.06 THEN 'taxed' END, 'any'], lambda z: z IS NOT NULL)) AS defect FROM c),
+e AS (SELECT defect, g, count(*) AS n FROM k WHERE defect <> 'any' GROUP BY 1, 2), p AS (SELECT DISTINCT b.defect AS defect, b.g AS g FROM k b JOIN k a ON a.g = b.g AND a.defect = 'any' AND a.clean AND a.candidate <> b.candidate AND b.defect <> 'any' AND {_LIKE} <= 0.85)
+SELECT e.defect AS defect, sum(n)::BIGINT AS candidates, count(*) AS groups, count(p.g) AS pairable_groups FROM e LEFT JOIN p ON p.g = e.g AND p.defect = e.defect GROUP BY e.defect""")
 def defect_supply(spark, d):
-    return P.defect_supply(line_candidates(spark, d), {"small": ~F.col("rejected_ok"), "taxed": F.col("overlap") >= 0.06}, "group", F.col("chosen_ok"))
+    return P.defect_supply(line_candidates(spark, d), {"small": ~F.col("rejected_ok"), "taxed": F.col("overlap") >= 0.06}, F.col("chosen_ok"))
 
 
 @query()
