@@ -14,7 +14,8 @@ Files are written and read through pyarrow's file systems, so that the folder ma
 must be shared by all executors.
 
 Nulls: a null payload is empty, a null URL is written as about:blank, null ids order below any other. Repeated rows are records
-of their own; of ties for the largest id one row is the response. Extra columns don't matter."""
+of their own; of ties for the largest id one row is the response. URLs may hold any character; those that only differ in how white
+space or a control character is written have one key. Extra columns don't matter."""
 
 from __future__ import annotations
 
@@ -46,10 +47,16 @@ DATE = "1970-01-01T00:00:00Z"
 CAPTURES = "key string, url string, date string, kind string, file string, offset long, length long"
 
 
+def _header_value(text: str) -> str:
+    return "".join(c if " " < c and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in text)
+
+
 def reversed_host_key(url: str | None) -> str:
-    """com,example,www)/path?query of a URL: host labels reversed, without scheme, default port and fragment."""
+    """com,example,www)/path?query of a URL: host labels reversed, without scheme, default port and fragment. White space and control
+    characters are percent-encoded first, as in the record's header, so that a key has none; it is stored, sorted and searched so."""
     if not url:
         return ""
+    url = _header_value(url)
     try:
         parts = urlsplit(url)
         host, port = parts.hostname or "", parts.port
@@ -62,10 +69,6 @@ def reversed_host_key(url: str | None) -> str:
     return f"{host}{port}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
-def _header_value(text: str) -> str:
-    return "".join(c if " " < c and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in text)
-
-
 def record(page_id, url: str | None, payload: bytes, refers_to, date: str = DATE, revisit: bool = False, named: bool = False) -> bytes:
     """One WARC record, not compressed. named: its id is that by which revisits refer to it."""
     sha1 = hashlib.sha1(payload).hexdigest()
@@ -105,10 +108,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     largest = rows.where("large").groupBy("content", "order").agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("salt").alias("salt"))
     groups = written(keyed_summary(largest, ["content"], "salt", {"best": F.max(best), "n": F.max_by("n", best)}, {"best": F.max("best"), "n": F.max_by("n", "best")}), "payloads")
     dealt = rows.join(groups, ["content", "salt"], "left").withColumn("first", F.col("order").eqNullSafe(F.col("best.order")))
-    if not groups.where("n > 1").isEmpty():  # rows that repeat the largest id: one is the response
-        tied = F.col("large") & F.col("first") & (F.col("n") > 1)
-        numbered = dealt.where(tied).withColumn("nth", F.row_number().over(Window.partitionBy("content").orderBy("url")))
-        dealt = dealt.where(~tied).unionByName(numbered.withColumn("first", F.col("nth") == 1).drop("nth"))
+    if not groups.where("n > 1").isEmpty():  # rows that repeat the largest id: one is the response, numbered within parts and then across them
+        tied = F.coalesce(F.col("large") & F.col("first") & (F.col("n") > 1), F.lit(False))
+        parts = dealt.where(tied).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(256)))
+        numbered = parts.withColumn("nth", F.row_number().over(Window.partitionBy("content", "part").orderBy("url")))
+        across = numbered.withColumn("place", F.row_number().over(Window.partitionBy("content", "nth").orderBy("url", "part")))
+        dealt = dealt.where(~tied).unionByName(across.withColumn("first", (F.col("nth") == 1) & (F.col("place") == 1)).drop("part", "nth", "place"))
     dealt = dealt.select("id", "url", "payload", (F.col("large") & ~F.col("first")).alias("revisit"), F.col("best.id").alias("refers_to"), "large")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +148,7 @@ def build_index(captures: DataFrame, block: int = BLOCK) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(rows: list[tuple]) -> pa.RecordBatch:
             keys, entries = [r[0] for r in rows], ["\t".join(map(str, r[1:])) for r in rows]
-            data = zlib.compress("\n".join(x.replace("\n", "%0A").replace("\t", "%09") for x in keys).encode() + b"\0" + "\n".join(entries).encode(), 6)
+            data = zlib.compress("\n".join(keys).encode() + b"\0" + "\n".join(entries).encode(), 6)
             return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([keys[0]]), pa.array([keys[-1]]), pa.array([len(rows)], pa.int64()), pa.array([sum(r[5] for r in rows)], pa.int64()), pa.array([data], pa.binary())], ["block", "first_key", "last_key", "lines", "bytes", "data"])
 
         held: list[tuple] = []
@@ -222,8 +227,7 @@ def find(index: DataFrame, keys: DataFrame) -> DataFrame:
             for data, pairs in zip(b.column(0), b.column(1)):
                 keys, entries = block_lines(data.as_py())
                 for pair in pairs.as_py():
-                    key = pair["key"].replace("\n", "%0A").replace("\t", "%09")
-                    for _, _, file, offset, length in entries[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
+                    for _, _, file, offset, length in entries[bisect.bisect_left(keys, pair["key"]) : bisect.bisect_right(keys, pair["key"])]:
                         out.append((pair["url"], file, int(offset), int(length)))
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 2 else pa.int64()) for k, c in enumerate(columns)], ["url", "file", "offset", "length"])

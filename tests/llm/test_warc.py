@@ -81,6 +81,27 @@ def test_absent_and_hot_keys(spark):
     assert got == [("http://a7.example/", 1007)] + [("http://hot.example", k) for k in range(300)]
 
 
+def test_urls_with_any_character(spark):
+    """NUL, line ends, tabs, escapes and non-URLs: archives round-trip, and look-ups give each URL its own captures, over many blocks."""
+    urls = ["http://e.example/\0x", "a\0b", "\0", *(f"a\n{k}" for k in range(9)), "a b", "a c", "a\tb", "a\nb", "a%0Ab", "a%0A", "%0A", "a\x7f", "é\u2028ü", "::", "http://e.example/a\nb", "http://e.example/ab", " http://e.example/ab", "a" * 5000]
+    rows = [(k, u, f"<p>{k}") for k, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in W.round_trip(pages).collect()) == list(range(len(urls)))
+    folder = fresh_path(spark, "warc-urls")
+    index = W.build_index(W.write_archives(pages, folder), block=4)
+    got = sorted((r["url"], int(r["page_id"])) for r in W.look_up(index, folder, pages).collect())
+    assert len({W.reversed_host_key(u) for u in urls}) == len(urls) - 1 and W.reversed_host_key("a%0A") != W.reversed_host_key("a\n0")
+    assert got == sorted((u, k) for u in urls for k, v in enumerate(urls) if W.reversed_host_key(u) == W.reversed_host_key(v))
+
+
+def test_many_rows_with_the_largest_id(spark):
+    """Rows that repeat the largest id of a payload: one is the response, the others revisit it."""
+    rows = [(9, f"http://a.example/{k % 3}" if k % 2 else None, "x" * 2000) for k in range(400)] + [(1, "u", "x" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = W.round_trip(pages).collect()
+    assert len(got) == 401 and sum(r["record_type"] == "response" for r in got) == 1 and {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {9}
+
+
 def test_odd_rows(spark):
     big = "<p>" + "é" * 60_000
     rows = [(None, None, None), (1, None, ""), (2, "http://a.example/\t\n", "x"), (3, "http://a.example/", big), (3, "http://a.example/", big), (4, "", big), (None, "http://b.example", big), (5, "::", "<|>")]
