@@ -347,25 +347,36 @@ def _terms() -> Column:
 _kept: dict[tuple, object] = {}
 
 
-def kept(spark: SparkSession, d: str, name: str, make, rows_of=lambda x: x):
-    """make(), kept for as long as the documents' files are the same and what it wrote can be read."""
+def files_of(spark: SparkSession, d: str, name: str) -> tuple[int, str]:
+    """How many files a table has, and a digest of the names, sizes and times of all of them; summed up before they are listed."""
     m = "_metadata.file_"
-    files = table(spark, d, "documents").agg(F.count(F.lit(1)), F.max(f"{m}modification_time"), F.max(f"{m}size"), F.max(f"{m}name")).first()
-    key = (spark.sparkContext.applicationId, d, name, *files)
+    each = table(spark, d, name).select(f"{m}path", f"{m}size", f"{m}modification_time").distinct().select(F.sha2(F.concat_ws("/", "file_path", "file_size", F.unix_micros("file_modification_time")), 256).alias("h"))
+    found = each.groupBy(F.substring("h", 1, 3).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    row = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.array_join(F.array_sort(F.collect_list(F.concat("part", "h"))), "")).first()
+    return row[0], row[1]
+
+
+def kept(spark: SparkSession, d: str, name: str, tables: tuple[str, ...], make, rows_of=lambda x: x):
+    """make(), kept for as long as all files of the tables that went in are the same and what it wrote can be read."""
+    key = (spark.sparkContext.applicationId, d, name)
+    files = [files_of(spark, d, t) for t in tables]
     try:
-        rows_of(_kept[key]).limit(1).collect()
+        if _kept[key][0] == files:
+            rows_of(_kept[key][1]).limit(1).collect()
+            return _kept[key][1]
     except (KeyError, Py4JJavaError, PySparkException):
-        _kept[key] = make()
-    return _kept[key]
+        pass
+    _kept[key] = (files, make())
+    return _kept[key][1]
 
 
 def bm25_index(spark: SparkSession, d: str) -> retrieval.Index:
-    return kept(spark, d, "index", lambda: retrieval.Index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", _terms()), lambda x: x.postings)
+    return kept(spark, d, "index", ("documents",), lambda: retrieval.Index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", _terms()), lambda x: x.postings)
 
 
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
     """(query, doc, score) of benchmark items over all documents."""
-    return kept(spark, d, "scores", lambda: bm25_index(spark, d).scores(table(spark, d, "benchmark"), "item_id", _terms()))
+    return kept(spark, d, "scores", ("documents", "benchmark"), lambda: bm25_index(spark, d).scores(table(spark, d, "benchmark"), "item_id", _terms()))
 
 
 def bm25_ranked(spark: SparkSession, d: str) -> DataFrame:

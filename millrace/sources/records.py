@@ -36,13 +36,16 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The complete lines of a journal: a last line that a crash cut is left out, a broken line before it is an error.
+    """The complete lines of a journal: a last line that a crash cut, one without its line end, is left out; any other broken line is an
+    error, the last one too.
 
-    Lines are read in splits of the files; only each file's last line is compared, so that a journal may be of any length. A
-    last line that is valid counts as complete."""
+    Lines are read in splits of the files, so that a journal may be of any length. Where a file's lines, each with its end, have one byte
+    more than the file, the last one has no end."""
     lines = read_lines(spark, path, schema)
     last = lines.groupBy("file").agg(F.max("offset").alias("__last"))
-    kept = lines.join(last, "file").where(F.col("valid") | (F.col("offset") != F.col("__last")))
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), (F.octet_length("value") + 1).alias("n"))
+    cut = raw.groupBy("file").agg((F.sum("n") == F.max("size") + 1).alias("__cut"))
+    kept = lines.join(last.join(cut, "file"), "file").where(~F.col("__cut") | (F.col("offset") != F.col("__last")))
     return kept.select(F.when(F.col("valid"), F.col("record")).otherwise(F.raise_error(F.concat(F.lit("malformed line in "), F.col("file")))).alias("r")).select("r.*")
 
 

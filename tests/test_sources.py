@@ -14,6 +14,17 @@ def test_journal_drops_only_a_cut_tail(spark, tmp_path):
         R.read_journal(spark, str(path), "i int").collect()
 
 
+def test_journal_keeps_whole_lines_only(spark, tmp_path):
+    """A last line without its end goes, valid or not; a broken line that has one is an error, the last one too."""
+    path, read = tmp_path / "j.jsonl", lambda: sorted(r["i"] for r in R.read_journal(spark, str(path), "i int").collect())
+    for text, want in (('{"i": 1}\n{"i": 2}', [1]), ('{"i": 1}\r\n{"i": 2}\r\n', [1, 2]), ('{"i": 1}\n\n{"i": 2}\n\n', [1, 2]), ("", []), ('{"i": 7}', []), ('{"i": 1, "t": "é"}\n', [1])):
+        path.write_bytes(text.encode())
+        assert read() == want, text
+    path.write_text('{"i": 1}\n{"i": \n')
+    with pytest.raises(Exception, match="malformed"):
+        read()
+
+
 def test_records_strict_and_tolerant(spark, tmp_path):
     path = tmp_path / "r.jsonl"
     path.write_text('{"i": 1}\nbroken\n')
