@@ -235,6 +235,22 @@ def metrics_from_ranks(ranked: DataFrame, group: str, rank: str, cutoffs=(1, 5,
     return found
 
 
+def graded_metrics(ranked: DataFrame, group: str, rank: str, relevance: str, cutoff: int = 10) -> DataFrame:
+    """ranked(group, rank from 1, relevance: a whole grade, null as 0) -> (group, n, reciprocal_rank, dcg, ideal_dcg, ndcg,
+    average_precision) of each list: a grade gains 2^grade - 1, its discount is log2(rank + 1), the ideal order is that of the
+    list's own grades. reciprocal_rank, dcg and ndcg look at the first `cutoff` ranks; a list without relevant rows has 0 in all."""
+    rows = ranked.select(F.col(group).alias("g"), F.col(rank).alias("r"), F.greatest(F.coalesce(F.col(relevance), F.lit(0)), F.lit(0)).cast("double").alias("rel"))
+    best = Window.partitionBy("g").orderBy(F.desc("rel"), "r")
+    upto = Window.partitionBy("g").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumns({"ideal": F.row_number().over(best), "hits": F.sum((F.col("rel") > 0).cast("long")).over(upto)})
+    gain = lambda place: F.when(place <= cutoff, (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(place + 1)).otherwise(0.0)
+    found = placed.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.when((F.col("rel") > 0) & (F.col("r") <= cutoff), 1 / F.col("r"))), F.lit(0.0)).alias("reciprocal_rank"), F.sum(gain(F.col("r"))).alias("dcg"), F.sum(gain(F.col("ideal"))).alias("ideal_dcg"),
+        F.coalesce(F.avg(F.when(F.col("rel") > 0, F.col("hits") / F.col("r"))), F.lit(0.0)).alias("average_precision"),
+    )
+    return found.select(F.col("g").alias(group), "n", "reciprocal_rank", "dcg", "ideal_dcg", F.coalesce(F.try_divide("dcg", "ideal_dcg"), F.lit(0.0)).alias("ndcg"), "average_precision")
+
+
 def pool_metrics(positive: Column, negatives: Column, near: float = 0.1) -> dict[str, Column]:
     """Of one positive score against an array of negative scores; ties count against the positive."""
     rank = F.size(F.filter(negatives, lambda n: n >= positive)) + 1

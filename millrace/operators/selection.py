@@ -163,6 +163,58 @@ def best_subset(candidates: DataFrame, group: str, id_col: str, score: str, k: i
     return cols.groupBy(group).applyInPandas(run, f"{group} {candidates.schema[group].dataType.simpleString()}, ids array<{candidates.schema[id_col].dataType.simpleString()}>, total double")
 
 
+#: What a subset's parts weigh in its score.
+SUBSET_WEIGHTS = {"alignment": 0.3, "semantic_diversity": 0.25, "lexical_diversity": 0.2, "specificity": 0.15, "low_copy": 0.1}
+
+
+def feasible_subsets(candidates: DataFrame, group: str, id_col: str, metrics: Sequence[str], scale: float, weights: dict[str, float] | None = None, size: int = 8, k: int = 4) -> DataFrame:
+    """candidates(group, id, anchor boolean, copy_risk boolean, copy_density, margin_excess, n_effective, n_corpus, terms, vector, metrics...)
+    -> (group, ids, changed, score, alignment, semantic_diversity, lexical_diversity, specificity, low_copy, mean_cosine): of all subsets
+    of k of a group's `size` candidates the best feasible one, the first in order of ids where scores are within 1e-12.
+
+    Feasible: no more risky copies than the anchor, and no metric's mean below the anchor's. Score: weighted sum of the mean of
+    exp(-|margin_excess| / scale), 1 - mean pairwise cosine (within 0 and 1), 1 - mean pairwise Jaccard of terms, the mean of
+    1 - log1p(n_effective) / log1p(n_corpus), and 1 - mean copy_density. Vectors have length one. changed: it isn't the anchor. Another
+    number of candidates or anchors in a group is an error. Subsets are lists of places, all in expressions of the JVM."""
+    weigh = weights or SUBSET_WEIGHTS
+    number = lambda c: F.col(c).cast("double")
+    one = F.struct(
+        F.col(id_col).alias("id"), F.col("anchor").alias("anchor"), F.col("copy_risk").cast("int").cast("double").alias("risk"), number("copy_density").alias("density"), F.exp(-F.abs(number("margin_excess")) / scale).alias("near"),
+        (1 - F.log1p(number("n_effective")) / F.log1p(number("n_corpus"))).alias("specific"), F.array_distinct("terms").alias("terms"), F.col("vector").cast("array<double>").alias("v"), F.array(*map(number, metrics)).alias("metrics"),
+    )
+    listed = candidates.groupBy(F.col(group).alias("g")).agg(F.array_sort(F.collect_list(one), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("c"))
+    right = (F.size("c") == size) & (F.size(F.filter("c", lambda x: x["anchor"])) == k)
+    listed = listed.where(F.when(right, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"not {size} candidates with {k} anchors in group "), F.col("g").cast("string")))))
+    pairs = list(itertools.combinations(range(size), 2))
+    at = lambda i: F.get("c", i)
+    dot = lambda a, b: F.aggregate(F.zip_with(a["v"], b["v"], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    known = listed.withColumns({"cosine": F.array(*(dot(at(i), at(j)) for i, j in pairs)), "alike": F.array(*(T.jaccard(at(i)["terms"], at(j)["terms"], 1.0) for i, j in pairs)), "places": F.array_compact(F.transform("c", lambda x, i: F.when(x["anchor"], i)))})
+    subsets = F.array(*(F.struct(F.array(*map(F.lit, c)).alias("items"), F.array(*(F.lit(n) for n, p in enumerate(pairs) if set(p) <= set(c))).alias("pairs")) for c in itertools.combinations(range(size), k)))
+    total = lambda places, of: F.aggregate(places, F.lit(0.0), lambda s, i: s + of(i))
+    mean = lambda places, field: total(places, lambda i: F.get("c", i)[field]) / k
+    metric = lambda places, m: total(places, lambda i: F.get(F.get("c", i)["metrics"], m)) / k
+    bar = known.withColumn("bar", F.struct(total(F.col("places"), lambda i: F.get("c", i)["risk"]).alias("risk"), F.array(*(metric(F.col("places"), m) for m in range(len(metrics)))).alias("metrics")))
+
+    def scored(s: Column) -> Column:
+        feasible = total(s["items"], lambda i: F.get("c", i)["risk"]) <= F.col("bar.risk")
+        for m in range(len(metrics)):
+            feasible = feasible & (metric(s["items"], m) + 1e-12 >= F.get("bar.metrics", m))
+        cosine = total(s["pairs"], lambda p: F.get("cosine", p)) / (k * (k - 1) // 2)
+        parts = {
+            "alignment": mean(s["items"], "near"), "semantic_diversity": F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - cosine)), "lexical_diversity": 1 - total(s["pairs"], lambda p: F.get("alike", p)) / (k * (k - 1) // 2),
+            "specificity": mean(s["items"], "specific"), "low_copy": 1 - mean(s["items"], "density"),
+        }
+        return F.struct(s["items"].alias("items"), feasible.alias("feasible"), *(c.alias(n) for n, c in parts.items()), cosine.alias("mean_cosine"))
+
+    found = bar.withColumn("s", F.filter(F.transform(subsets, scored), lambda s: s["feasible"]))
+    whole = lambda s: sum((F.lit(float(w)) * s[n] for n, w in weigh.items()), F.lit(0.0))
+    ranked = found.withColumn("s", F.transform("s", lambda s: s.withField("score", whole(s))))
+    best = F.aggregate(F.slice("s", 2, 1 << 20), F.get("s", 0), lambda b, s: F.when(s["score"] > b["score"] + 1e-12, s).otherwise(b))
+    out = ranked.withColumn("b", best)
+    names = ("score", *SUBSET_WEIGHTS, "mean_cosine")
+    return out.select(F.col("g").alias(group), F.transform("b.items", lambda i: F.get("c", i)["id"]).alias("ids"), (F.col("b.items") != F.col("places")).alias("changed"), *(F.col(f"b.{n}").alias(n) for n in names))
+
+
 def unique_cohort(rows: DataFrame, first: str, second: str, id_col: str, n: int, seed: str, rounds: int = 50) -> DataFrame:
     """The n first rows in hash order of which no two share the value of `first` or of `second`, taking a row if no earlier taken one
     shares either: as one pass over the order would. Values that are null are shared with none.

@@ -174,11 +174,9 @@ def hashed_uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def poisson_bootstrap(pairs: DataFrame, metric: str, left: str, right: str, id_col: str, samples: int = 200, level: float = 0.95) -> DataFrame:
-    """(metric, n, difference, low, high, win_share) of right minus left, for any number of queries: each query counts Poisson(1)
-    times in each sample, by a digest of both. Sums combine before the shuffle, so that a metric makes `samples` rows. A sample
-    in which no query counts is left out, and so is a pair with a null."""
-    u, steps, cut, term = F.col("__u"), [], 0.0, 0.36787944117144233
+def poisson_weight(u: Column) -> Column:
+    """How often a row counts in a sample: Poisson(1) by a number in [0, 1)."""
+    steps, cut, term = [], 0.0, 0.36787944117144233
     for k in range(1, 9):
         cut += term
         steps.append((cut, k))
@@ -186,6 +184,14 @@ def poisson_bootstrap(pairs: DataFrame, metric: str, left: str, right: str, id_c
     weight = F.lit(0)
     for cut, k in steps:
         weight = F.when(u >= cut, k).otherwise(weight)
+    return weight
+
+
+def poisson_bootstrap(pairs: DataFrame, metric: str, left: str, right: str, id_col: str, samples: int = 200, level: float = 0.95) -> DataFrame:
+    """(metric, n, difference, low, high, win_share) of right minus left, for any number of queries: each query counts Poisson(1)
+    times in each sample, by a digest of both. Sums combine before the shuffle, so that a metric makes `samples` rows. A sample
+    in which no query counts is left out, and so is a pair with a null."""
+    weight = poisson_weight(F.col("__u"))
     diffs = pairs.select(F.col(metric).alias("metric"), F.col(id_col).alias("__id"), (F.col(right).cast("double") - F.col(left).cast("double")).alias("__d")).where("__d is not null")
     drawn = diffs.select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample")).withColumn("__u", hashed_uniform("__id", "sample"))
     means = drawn.groupBy("metric", "sample").agg(F.try_divide(F.sum(weight * F.col("__d")), F.sum(weight)).alias("mean")).where("mean is not null")
@@ -194,6 +200,53 @@ def poisson_bootstrap(pairs: DataFrame, metric: str, left: str, right: str, id_c
     return whole.join(ends, "metric", "left")
 
 
+def compare_all_arms(runs: DataFrame, arm: str, id_col: str, metrics: Sequence[str], comparisons: Sequence[tuple[str, str]], samples: int = 200, level: float = 0.95, contract: str | None = None) -> DataFrame:
+    """runs(arm, id, metrics...) -> (comparison, metric, n, difference, low, high, win_share, state) for each (control, variant) of
+    comparisons: variant minus control over ids that both have, by one bootstrap whose draws all comparisons and metrics share. state:
+    statistically_separated if the interval leaves out 0, else inconclusive. Several rows of an id are averaged first. contract: a
+    column that must be one value over the compared arms and never null; else it is an error.
+
+    A draw is made once for an id and sample; sums combine before the shuffle, so that what moves is a row a sample."""
+    arms = sorted({a for pair in comparisons for a in pair})
+    used = runs.where(F.col(arm).isin(arms))
+    if contract:
+        row = used.agg(F.count_distinct(contract).alias("n"), F.count_if(F.col(contract).isNull()).alias("none")).first()
+        if row["n"] > 1 or row["none"]:
+            raise ValueError(f"arms differ in {contract}: {row['n']} values, {row['none']} rows without one")
+    pick = lambda m, a: F.avg(F.when(F.col(arm) == a, F.col(m).cast("double")))
+    wide = used.groupBy(F.col(id_col).alias("__id")).agg(*(pick(m, a).alias(f"v_{i}_{j}") for i, m in enumerate(metrics) for j, a in enumerate(arms)))
+    place = {a: j for j, a in enumerate(arms)}
+    keys = [(i, k) for i in range(len(metrics)) for k in range(len(comparisons))]
+    diffs = wide.select("__id", *((F.col(f"v_{i}_{place[comparisons[k][1]]}") - F.col(f"v_{i}_{place[comparisons[k][0]]}")).alias(f"d_{i}_{k}") for i, k in keys))
+    drawn = diffs.select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample")).withColumn("w", poisson_weight(hashed_uniform("__id", "sample")))
+    of = lambda i, k: F.try_divide(F.sum(F.col("w") * F.col(f"d_{i}_{k}")), F.sum(F.when(F.col(f"d_{i}_{k}").isNotNull(), F.col("w"))))
+    means = drawn.groupBy("sample").agg(*(of(i, k).alias(f"d_{i}_{k}") for i, k in keys))
+    name = lambda k: f"{comparisons[k][1]}_minus_{comparisons[k][0]}"
+    long = lambda df, make: df.select(F.explode(F.array(*(make(i, k) for i, k in keys))).alias("x")).select("x.*")
+    head = lambda i, k: (F.lit(name(k)).alias("comparison"), F.lit(metrics[i]).alias("metric"))
+    each = long(means, lambda i, k: F.struct(*head(i, k), F.col(f"d_{i}_{k}").alias("mean"))).where("mean is not null")
+    ends = each.groupBy("comparison", "metric").agg(F.percentile("mean", (1 - level) / 2).alias("low"), F.percentile("mean", (1 + level) / 2).alias("high"), F.avg((F.col("mean") > 0).cast("double")).alias("win_share"))
+    totals = diffs.agg(*(F.count(f"d_{i}_{k}").alias(f"n_{i}_{k}") for i, k in keys), *(F.avg(f"d_{i}_{k}").alias(f"d_{i}_{k}") for i, k in keys))
+    whole = long(totals, lambda i, k: F.struct(*head(i, k), F.col(f"n_{i}_{k}").alias("n"), F.col(f"d_{i}_{k}").alias("difference")))
+    apart = F.coalesce((F.col("low") > 0) | (F.col("high") < 0), F.lit(False))
+    return whole.join(ends, ["comparison", "metric"], "left").withColumn("state", F.when(apart, "statistically_separated").otherwise("inconclusive"))
+
+
+def arm_verdicts(compared: DataFrame, primary: str, effect: float, margins: dict[str, float], least: int = 1) -> DataFrame:
+    """compared (of compare_all_arms) -> (comparison, status, outcome, missing, worse): status by decision(): eligible if the primary
+    metric's lower bound reaches `effect` and no guarded metric's falls below minus its margin. incomplete as well where a metric has
+    fewer than `least` common ids. missing, worse: the metrics at fault, sorted. outcome: whether any metric is separated."""
+    wanted = [primary, *margins]
+    bound = lambda m: F.max(F.when((F.col("metric") == m) & (F.col("n") >= least), F.col("low")))
+    g = compared.where(F.col("metric").isin(wanted)).groupBy("comparison").agg(*(bound(m).alias(f"low_{k}") for k, m in enumerate(wanted)), F.bool_or(F.col("state") == "statistically_separated").alias("any"))
+    low = {m: F.col(f"low_{k}") for k, m in enumerate(wanted)}
+    names = lambda tests: F.array_sort(F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), m) for m, t in tests.items()))))
+    return g.select(
+        "comparison", decision(low[primary], effect, {m: (low[m], d) for m, d in margins.items()}).alias("status"), F.when(F.col("any"), "statistically_separated").otherwise("inconclusive").alias("outcome"),
+        names({m: c.isNull() for m, c in low.items()}).alias("missing"), names({m: low[m] < -d for m, d in margins.items()}).alias("worse"),
+    )
+
+
 def sign_flip(pairs: DataFrame, metric: str, left: str, right: str, id_col: str, most: int = 20) -> DataFrame:
     """(metric, n, difference, p): exact one-sided test that right minus left is positive: the share of all 2^n choices of signs
     whose sum is at least the one seen. n is the number of paired runs, `most` at most: more are an error."""

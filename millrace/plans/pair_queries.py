@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import handoff as H
 from ..operators import pairs as P
 from ..operators import records as R
 from ..operators import selection as S
@@ -291,3 +292,100 @@ def prompts(spark, d):
     whole = F.contains(made, F.btrim("answer")) & F.contains(made, F.col("query")) & F.contains(made, F.lit("forma: pytanie")) & made.startswith(R.ASK)
     return conversation_pairs(spark, d).select("conv_id", "turn", whole.alias("same"), F.length("answer").cast("long").alias("n"))
 
+
+
+# export and hand-off
+
+#: Conversations as candidate sets: the longest answer is chosen, the others are rejected; some of them are odd on purpose.
+_SETS_SQL = """cand AS (SELECT conv_id * 100 + turn AS candidate_id, conv_id, turn, CASE WHEN conv_id % 10 < 8 THEN 'train' ELSE 'dev' END AS split, conv_id AS passage_id, text AS query FROM conversations WHERE role <> 'system' AND text IS NOT NULL),
+sets AS (SELECT conv_id AS set_id, CASE WHEN conv_id % 10 < 8 THEN 'train' ELSE 'dev' END AS split, conv_id + (conv_id % 13 = 0)::INT AS passage_id, arg_max(candidate_id, (length(query), -turn)) AS chosen_id, list(candidate_id ORDER BY turn) AS ids FROM cand GROUP BY conv_id),
+kept AS (SELECT * FROM cand WHERE candidate_id % 17 <> 0), r AS (SELECT set_id, split, passage_id, chosen_id, unnest(list_filter(ids, lambda x: x <> chosen_id)) AS rejected_id FROM sets),
+x AS (SELECT r.*, c.query AS cq, c.split AS cs, c.passage_id AS cp, j.query AS rq, j.split AS js, j.passage_id AS jp FROM r LEFT JOIN kept c ON c.candidate_id = r.chosen_id LEFT JOIN kept j ON j.candidate_id = r.rejected_id)"""
+
+
+def candidate_sets(spark, d):
+    """(candidates, sets): a seventeenth of the candidates is missing, a thirteenth of the sets is of another passage."""
+    split = F.when(F.col("conv_id") % 10 < 8, "train").otherwise("dev")
+    cand = table(spark, d, "conversations").where("role <> 'system' and text is not null").select((F.col("conv_id") * 100 + F.col("turn")).alias("candidate_id"), "conv_id", "turn", split.alias("split"), F.col("conv_id").alias("passage_id"), F.col("text").alias("query"))
+    g = cand.groupBy("conv_id").agg(F.max_by("candidate_id", F.struct(F.length("query"), -F.col("turn"))).alias("chosen_id"), F.transform(F.array_sort(F.collect_list(F.struct("turn", "candidate_id"))), lambda x: x["candidate_id"]).alias("ids"))
+    others = F.filter("ids", lambda x: x != F.col("chosen_id"))
+    sets = g.select(F.col("conv_id").alias("set_id"), split.alias("split"), (F.col("conv_id") + (F.col("conv_id") % 13 == 0).cast("int")).alias("passage_id"), F.lit("p").alias("prompt"), "chosen_id", others.alias("rejected_ids"), F.transform(others, lambda x: F.lit(1.0)).alias("margins"))
+    return cand.where("candidate_id % 17 <> 0").drop("conv_id", "turn"), sets
+
+
+@query(f"""WITH {_SETS_SQL} SELECT set_id, rejected_id, unnest(list_filter([CASE WHEN cq IS NULL THEN 'missing_chosen' END, CASE WHEN rq IS NULL THEN 'missing_rejected' END, CASE WHEN cq IS NOT NULL AND (cs <> split OR cp <> passage_id) THEN 'chosen_drift' END,
+CASE WHEN rq IS NOT NULL AND (js <> split OR jp <> passage_id) THEN 'rejected_drift' END, CASE WHEN lower(cq) = lower(rq) THEN 'identical_pair' END], lambda z: z IS NOT NULL)) AS fault FROM x""")
+def export_faults(spark, d):
+    return H.export_faults(*candidate_sets(spark, d))
+
+
+@query(f"""WITH {_SETS_SQL} SELECT set_id || '::' || rejected_id AS preference_id, split, chosen_id, rejected_id, md5(cq) AS chosen, md5(rq) AS rejected FROM x WHERE cq IS NOT NULL AND rq IS NOT NULL""")
+def preference_rows(spark, d):
+    found = H.preference_rows(*candidate_sets(spark, d)).where("chosen is not null and rejected is not null")
+    return found.select("preference_id", "split", "chosen_id", "rejected_id", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"))
+
+
+@query(f"""WITH {_SETS_SQL} SELECT s.split AS split, chosen_id AS candidate_id, s.passage_id AS passage_id, md5(query) AS completion FROM sets s JOIN kept ON candidate_id = chosen_id""")
+def continued_rows(spark, d):
+    return H.continued_rows(*candidate_sets(spark, d)).select("split", "candidate_id", "passage_id", F.md5("completion").alias("completion"))
+
+
+@query(f"""WITH {_SETS_SQL}, q AS (SELECT lower(cq) AS q, 1 AS c, 0 AS r FROM x WHERE cq IS NOT NULL AND rq IS NOT NULL UNION ALL SELECT lower(rq), 0, 1 FROM x WHERE cq IS NOT NULL AND rq IS NOT NULL), g AS (SELECT q, sum(c)::BIGINT AS c, sum(r)::BIGINT AS r FROM q GROUP BY q HAVING sum(c) = 0 OR sum(r) = 0)
+SELECT count(*) AS queries, sum(c)::BIGINT AS chosen, sum(r)::BIGINT AS rejected FROM g""")
+def one_sided_queries(spark, d):
+    found = H.one_sided(H.preference_rows(*candidate_sets(spark, d)).where("chosen is not null and rejected is not null"))
+    return found.agg(F.count(F.lit(1)).alias("queries"), F.sum("chosen").alias("chosen"), F.sum("rejected").alias("rejected"))
+
+
+def packages(spark, d):
+    """(preferences, controls, weights) of orders, with faults planted by order key."""
+    k = F.col("o_orderkey")
+    base = table(spark, d, "orders").where("o_orderkey is not null").select(
+        k.alias("preference_id"), k.alias("place"), F.when(k % 10 < 8, "train").otherwise("dev").alias("split"), F.concat(F.lit("p"), k.cast("string")).alias("prompt"), F.concat(F.lit("c"), k.cast("string")).alias("chosen"), k.alias("chosen_id"),
+        F.floor(k / 3).alias("passage_id"), F.floor(k / 9).alias("cluster_id"), F.when(k % 97 == 0, "v2").otherwise("v1").alias("provenance"),
+    )
+    controls = base.where("preference_id % 101 <> 0").withColumnsRenamed({"chosen": "completion", "chosen_id": "candidate_id"}).withColumn("completion", F.when(F.col("preference_id") % 89 == 0, "other").otherwise(F.col("completion")))
+    weights = base.select("preference_id", (F.col("place") + F.when(F.col("preference_id") % 83 == 0, 1000).otherwise(0)).alias("place"), "split", "provenance", F.when(F.col("preference_id") % 79 == 0, "w2").otherwise("w1").alias("weight_policy"), F.when(F.col("preference_id") % 73 == 0, F.lit(None)).otherwise(1.0).alias("sample_weight"))
+    return base, controls, weights
+
+
+@query("""WITH b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 < 8 THEN 'train' ELSE 'dev' END AS split, CASE WHEN o_orderkey % 97 = 0 THEN 'v2' ELSE 'v1' END AS provenance FROM orders WHERE o_orderkey IS NOT NULL),
+p AS (SELECT *, row_number() OVER (ORDER BY split = 'dev', k) AS i FROM b), c AS (SELECT k, row_number() OVER (ORDER BY split = 'dev', k) AS i FROM b WHERE k % 101 <> 0), w AS (SELECT k, row_number() OVER (ORDER BY split = 'dev', k + CASE WHEN k % 83 = 0 THEN 1000 ELSE 0 END, k) AS i FROM b),
+f AS (SELECT p.k AS k, unnest(list_filter([CASE WHEN provenance = 'v2' THEN 'provenance' END, CASE WHEN c.k IS NULL THEN 'missing_control' END, CASE WHEN p.i <> c.i THEN 'control_order' END, CASE WHEN p.i <> w.i THEN 'weight_order' END, CASE WHEN c.k % 89 = 0 THEN 'control_completion' END, CASE WHEN p.k % 79 = 0 THEN 'weight_policy' END, CASE WHEN p.k % 73 = 0 THEN 'bad_weight' END], lambda z: z IS NOT NULL)) AS fault FROM p LEFT JOIN c ON c.k = p.k LEFT JOIN w ON w.k = p.k)
+SELECT k::VARCHAR AS preference_id, fault FROM f WHERE fault NOT LIKE '%_order' UNION ALL SELECT (k // 3)::VARCHAR, 'passage_leak' FROM b GROUP BY k // 3 HAVING count(DISTINCT split) > 1 UNION ALL SELECT (k // 9)::VARCHAR, 'cluster_leak' FROM b GROUP BY k // 9 HAVING count(DISTINCT split) > 1
+UNION ALL SELECT count(*)::VARCHAR, fault FROM f WHERE fault = 'control_order' GROUP BY fault""")
+def handoff_faults(spark, d):
+    """What is wrong with a package of orders; moved controls as a count, for one missing row moves all after it. Moved weights tie by place,
+    so that the tests look at these."""
+    found = H.handoff_faults(*packages(spark, d), policy="w1")
+    moved = found.where("fault = 'control_order'").groupBy("fault").agg(F.count(F.lit(1)).cast("string").alias("preference_id"))
+    return found.where("fault not like '%_order'").unionByName(moved.select("preference_id", "fault"))
+
+
+_EVIDENCE = {"primary": 7, "shadow": 11, "corpus": 13, "lexical": 17, "focus": 19, "style": 23, "format": 29}
+
+
+@query(f"""WITH d AS (SELECT doc_id AS k, lang, source FROM documents WHERE doc_id IS NOT NULL), f AS ({" UNION ALL ".join(
+    f"SELECT k, '{n}' AS component, unnest(list_filter([CASE WHEN k % {m} = 0 THEN 'missing' END, CASE WHEN k % {m} = 1 THEN 'duplicate' END, CASE WHEN k % {m} = 2 AND lang IS DISTINCT FROM 'xx' THEN 'identity_lang' END" + (f", CASE WHEN k % {m} = 3 THEN 'judge_drift' END, CASE WHEN k % {m} = 4 THEN 'incorrect_margin' END" if n in ("primary", "shadow") else "") + (f", CASE WHEN k % {m} = 3 AND k % 2 = 0 THEN 'format_drift' END" if n == "format" else "") + "], lambda z: z IS NOT NULL)) AS fault FROM d" for n, m in _EVIDENCE.items())})
+SELECT * FROM f UNION ALL SELECT k, 'primary and shadow', 'mixed_scales' FROM d WHERE k % 7 <> 0 AND k % 11 = 5""")
+def evidence_faults(spark, d):
+    """Seven components of documents, each with rows that are missing, repeated or of another identity; two judges with drift."""
+    docs = table(spark, d, "documents").where("doc_id is not null").select(F.col("doc_id").alias("k"), "lang", (F.col("doc_id") % 2 == 0).alias("even"))
+    parts = {}
+    for n, m in _EVIDENCE.items():
+        k = F.col("k")
+        rows = docs.where(k % m != 0).withColumn("copy", F.explode(F.when(k % m == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select("k", F.when(k % m == 2, "xx").otherwise(F.col("lang")).alias("lang"), "even")
+        if n in ("primary", "shadow"):
+            scale = F.when(k % 11 == 5, "primary").otherwise("shadow") if n == "shadow" else F.lit("primary")
+            rows = rows.select("k", "lang", F.lit(n).alias("judge_id"), F.when(k % m == 3, "old").otherwise("r1").alias("judge_revision"), F.when(k % m == 4, 3.0).otherwise(1.0).alias("margin"), F.lit(2.0).alias("positive_score"), F.lit(1.0).alias("max_negative_score"), scale.alias("raw_score_scale_id"))
+        if n == "format":
+            rows = rows.select("k", "lang", F.when((k % m == 3) & F.col("even"), ~F.col("even")).otherwise(F.col("even")).alias("valid"))
+        parts[n] = rows.drop("even")
+    cand = docs.select("k", "lang", F.when(F.col("even"), F.lit(True)).alias("format_valid"))
+    return H.evidence_faults(cand, parts, "k", ["lang"], {"primary": ("primary", "r1"), "shadow": ("shadow", "r1")})
+
+
+@query("""SELECT 'quality' AS flag, coalesce(quality::VARCHAR, 'null') AS value, count(*) AS n FROM labels GROUP BY 2 UNION ALL SELECT 'toxic', coalesce(toxic::VARCHAR, 'null'), count(*) FROM labels GROUP BY 2 UNION ALL SELECT 'lang', coalesce(lang, 'null'), count(*) FROM documents GROUP BY 2""")
+def flag_histograms(spark, d):
+    labels, docs = table(spark, d, "labels"), table(spark, d, "documents")
+    return H.flag_histograms({"quality": (labels, F.col("quality")), "toxic": (labels, F.col("toxic")), "lang": (docs, F.col("lang"))})

@@ -139,3 +139,41 @@ SELECT count(*) AS groups, count(*) FILTER (n = 4 AND NOT exhausted) AS complete
 def arm_report(spark, d):
     _, accepted, groups, _, _ = arm(spark, d)
     return G.arm_report(accepted, groups, 4)
+
+
+#: Eight vectors with their documents as a group, half of them anchors.
+_EIGHT_SQL = r"""e AS (SELECT vec_id AS id, vec_id // 8 AS g, embedding::DOUBLE[] AS v, label FROM embeddings), full_ AS (SELECT g FROM e GROUP BY g HAVING count(*) = 8 AND count(DISTINCT id % 8) = 8),
+c AS (SELECT e.g AS g, id, id % 2 = 0 AS anchor, (id % 5 = 0)::INT::DOUBLE AS risk, (id % 7) / 10.0::DOUBLE AS density, exp(-abs((id % 11) - 5.0::DOUBLE) / 2.0::DOUBLE) AS near, 1 - ln(1 + (id % 13)::DOUBLE) / ln(1 + 1000.0::DOUBLE) AS specific,
+    list_distinct(['a' || id % 3, 'b' || id % 4, 'c' || label]) AS terms, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u, (id % 9)::DOUBLE AS m1, coalesce(label, 0)::DOUBLE AS m2, (row_number() OVER (PARTITION BY e.g ORDER BY id) - 1)::INT AS i FROM e JOIN full_ ON e.g = full_.g)"""
+
+
+def eights(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 8).alias("g"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    whole = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("id") % 8).alias("k")).where("n = 8 and k = 8").select("g")
+    norm = F.sqrt(F.aggregate(F.transform("v", lambda y: y * y), F.lit(0.0), lambda s, x: s + x))
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    terms = F.filter(F.array(text("a", F.col("id") % 3), text("b", F.col("id") % 4), text("c", F.col("label"))), lambda x: x.isNotNull())
+    return rows.join(whole, "g").select(
+        "g", "id", (F.col("id") % 2 == 0).alias("anchor"), (F.col("id") % 5 == 0).alias("copy_risk"), (F.col("id") % 7 / 10).alias("copy_density"), (F.col("id") % 11 - 5.0).alias("margin_excess"), (F.col("id") % 13).alias("n_effective"),
+        F.lit(1000).alias("n_corpus"), terms.alias("terms"), F.transform("v", lambda x: x / norm).alias("vector"), (F.col("id") % 9).alias("m1"), F.coalesce("label", F.lit(0)).alias("m2"),
+    )
+
+
+_MEAN4 = "list_sum(list_transform(items, lambda k: cs[k + 1].{f})) / 4"
+
+
+@query(f"""WITH {_EIGHT_SQL}, gs AS (SELECT g, list({{'id': id, 'anchor': anchor, 'risk': risk, 'density': density, 'near': near, 'specific': specific, 'terms': list_filter(terms, lambda t: t IS NOT NULL), 'u': u, 'm1': m1, 'm2': m2}} ORDER BY id) AS cs FROM c GROUP BY g),
+s AS (SELECT list_filter(range(8), lambda k: (m >> k) & 1 = 1) AS items FROM range(256) AS r(m) WHERE bit_count(m::BIGINT) = 4),
+x AS (SELECT g, items, cs, list_filter(range(8), lambda k: cs[k + 1].anchor) AS places, flatten(list_transform(items, lambda a: list_transform(list_filter(items, lambda b: b > a), lambda b: [a, b]))) AS ps FROM gs, s),
+y AS (SELECT g, items, cs, places, list_sum(list_transform(items, lambda k: cs[k + 1].risk)) AS risk, list_sum(list_transform(places, lambda k: cs[k + 1].risk)) AS arisk, {_MEAN4.format(f='m1')} AS m1, {_MEAN4.format(f='m2')} AS m2, list_sum(list_transform(places, lambda k: cs[k + 1].m1)) / 4 AS a1, list_sum(list_transform(places, lambda k: cs[k + 1].m2)) / 4 AS a2,
+    {_MEAN4.format(f='near')} AS alignment, {_MEAN4.format(f='specific')} AS specificity, 1 - {_MEAN4.format(f='density')} AS low_copy,
+    list_sum(list_transform(ps, lambda p: list_sum(list_transform(list_zip(cs[p[1] + 1].u, cs[p[2] + 1].u), lambda z: z[1] * z[2])))) / 6 AS cosine,
+    1 - list_sum(list_transform(ps, lambda p: len(list_intersect(cs[p[1] + 1].terms, cs[p[2] + 1].terms))::DOUBLE / len(list_distinct(list_concat(cs[p[1] + 1].terms, cs[p[2] + 1].terms))))) / 6 AS lexical FROM x),
+z AS (SELECT *, 0.3 * alignment + 0.25 * least(1, greatest(0, 1 - cosine)) + 0.2 * lexical + 0.15 * specificity + 0.1 * low_copy AS score FROM y WHERE risk <= arisk AND m1 + 1e-12 >= a1 AND m2 + 1e-12 >= a2)
+SELECT g, array_to_string(list_transform(items, lambda k: cs[k + 1].id), ',') AS ids, items <> places AS changed, round(score, 9) AS score, round(cosine, 9) AS mean_cosine, round(lexical, 9) AS lexical_diversity FROM z QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(score, 9) DESC, items) = 1""")
+def feasible_subsets(spark, d):
+    """The four of eight vectors that are as good as the anchor by each metric and score best."""
+    from ..operators import selection
+
+    found = selection.feasible_subsets(eights(spark, d), "g", "id", ["m1", "m2"], 2.0)
+    return found.select("g", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "changed", *(F.round(c, 9).alias(c) for c in ("score", "mean_cosine", "lexical_diversity")))

@@ -93,3 +93,42 @@ def candidate_profiles(spark, d):
     q, a = F.col("query"), F.col("answer")
     flags = P.profile_flags(~q.contains("\n"), F.btrim(q) == "", F.length(a) - F.length(q), F.length(q) > 2000, F.lit(None).cast("double"))
     return conversation_pairs(spark, d).select("conv_id", "turn", *(c.alias(n) for n, c in flags.items()))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS r, coalesce(l_quantity::INT % 4, 0) AS rel FROM lineitem),
+p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rel DESC, r) AS ideal, sum((rel > 0)::INT) OVER (PARTITION BY q ORDER BY r) AS hits FROM r)
+SELECT q, count(*) AS n, coalesce(max(1.0::DOUBLE / r) FILTER (rel > 0 AND r <= 5), 0) AS reciprocal_rank, round(coalesce(sum((2 ** rel - 1) / log2(r + 1)) FILTER (r <= 5) / nullif(sum((2 ** rel - 1) / log2(ideal + 1)) FILTER (ideal <= 5), 0), 0), 9) AS ndcg, round(coalesce(avg(hits::DOUBLE / r) FILTER (rel > 0), 0), 9) AS average_precision FROM p GROUP BY q""")
+def graded_metrics(spark, d):
+    """An order's lines by price, with grades from 0 to 3."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber", "l_partkey", "l_suppkey")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("q"), F.row_number().over(order).alias("r"), (F.round(F.col("l_quantity")).cast("int") % 4).alias("rel"))
+    found = retrieval.graded_metrics(rows, "q", "r", "rel", 5)
+    return found.select("q", "n", "reciprocal_rank", F.round("ndcg", 9).alias("ndcg"), F.round("average_precision", 9).alias("average_precision"))
+
+
+#: Lines of three states as three arms over suppliers.
+_ARMS = (("A", "N"), ("A", "R"), ("N", "R"))
+_ARM_ROWS = "a AS (SELECT l_suppkey AS id, l_returnflag AS arm, avg(l_quantity::DOUBLE) AS quantity, avg(l_discount::DOUBLE) AS discount FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1, 2)"
+_ARM_DIFFS = " UNION ALL ".join(f"SELECT '{v}_minus_{c}/{m}' AS metric, x.id AS id, y.{m} - x.{m} AS d FROM a x JOIN a y ON x.id = y.id AND x.arm = '{c}' AND y.arm = '{v}'" for m in ("quantity", "discount") for c, v in _ARMS)
+_COMPARED = "(WITH " + _ARM_ROWS + ", " + poisson_sql(_ARM_DIFFS, 100) + ")"
+
+
+def compared(spark, d):
+    rows = table(spark, d, "lineitem").where("l_suppkey is not null").select("l_suppkey", "l_returnflag", F.col("l_quantity").cast("double").alias("quantity"), F.col("l_discount").cast("double").alias("discount"), F.lit("one").alias("contract"))
+    return statistics.compare_all_arms(rows, "l_returnflag", "l_suppkey", ["quantity", "discount"], _ARMS, 100, contract="contract")
+
+
+@query(f"SELECT split_part(metric, '/', 1) AS comparison, split_part(metric, '/', 2) AS metric, n, difference, low, high, win_share, CASE WHEN low > 0 OR high < 0 THEN 'statistically_separated' ELSE 'inconclusive' END AS state FROM {_COMPARED}")
+def three_arms(spark, d):
+    """Three arms in all pairs, by one bootstrap."""
+    return compared(spark, d).select("comparison", "metric", "n", *(F.round(c, 9).alias(c) for c in ("difference", "low", "high")), "win_share", "state")
+
+
+@query(f"""WITH c AS (SELECT split_part(metric, '/', 1) AS comparison, max(low) FILTER (metric LIKE '%quantity') AS p, max(low) FILTER (metric LIKE '%discount') AS g, bool_or(low > 0 OR high < 0) AS apart FROM {_COMPARED} GROUP BY 1)
+SELECT comparison, CASE WHEN p IS NULL OR g IS NULL THEN 'incomplete' WHEN g < -0.002 THEN 'rejected' WHEN p >= -0.5 THEN 'eligible' ELSE 'non_inferior_only' END AS status, CASE WHEN apart THEN 'statistically_separated' ELSE 'inconclusive' END AS outcome, CASE WHEN g < -0.002 THEN 'discount' ELSE '' END AS worse FROM c""")
+def arm_verdicts(spark, d):
+    """What the three comparisons decide: quantity must not fall by half a piece, discount is guarded."""
+    found = statistics.arm_verdicts(compared(spark, d), "quantity", -0.5, {"discount": 0.002})
+    return found.select("comparison", "status", "outcome", F.array_join("worse", ",").alias("worse"))
