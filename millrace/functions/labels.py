@@ -181,10 +181,14 @@ def concepts(token_array: Column, entities: Column, most: int = 24) -> Column:
     """What a text is about: entities, numbers and units as they come, then content terms by falling count and by name; each
     once, `most` at most."""
 
+    def counted(terms: Column) -> Column:
+        """The different terms by falling count, then by name: of sorted terms each run's length is the way to the next run."""
+        starts = T.bound(terms, lambda s: F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i))))
+        runs = T.bound(starts, lambda at: F.transform(at, lambda i, k: F.struct((i - F.coalesce(F.get(at, k + 1), F.size(terms))).alias("k"), F.get(terms, i).alias("t"))))
+        return F.transform(F.array_sort(runs), lambda c: c["t"])
+
     def of(t: Column) -> Column:
-        terms = T.content(t)
-        counted = F.array_sort(F.transform(F.array_distinct(terms), lambda x: F.struct((-F.size(F.filter(terms, lambda y: y == x))).alias("k"), x.alias("t"))))
-        return F.slice(F.array_distinct(F.concat(entities, T.numbers(t), T.units(t), F.transform(counted, lambda c: c["t"]))), 1, most)
+        return F.slice(F.array_distinct(F.concat(entities, T.numbers(t), T.units(t), T.bound(F.array_sort(T.content(t)), counted))), 1, most)
 
     return T.bound(token_array, of)
 

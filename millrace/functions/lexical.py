@@ -129,3 +129,24 @@ def balanced_weights(rows: DataFrame, label: str, low: float = 0.5, high: float
     for k, r in raw.items():
         weight = F.when(F.col(label).eqNullSafe(F.lit(k)), F.lit(min(high, max(low, hi * r)))).otherwise(weight)
     return rows.withColumn("weight", weight)
+
+
+def preference_loss(chosen: Column, rejected: Column, reference_chosen: Column, reference_rejected: Column, beta: float) -> Column:
+    """-log sigmoid(beta * advantage) of log-probabilities, the advantage being how much more than the reference the policy prefers the
+    chosen side; computed so that neither end overflows. A log-probability that isn't finite is an error, null gives null."""
+    if not beta > 0 or beta == float("inf"):
+        raise ValueError(f"beta must be positive and finite: {beta}")
+    x = -beta * ((chosen - rejected) - (reference_chosen - reference_rejected)).cast("double")
+    finite = F.abs(x) < float("inf")
+    loss = F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+    return F.when(x.isNull(), F.lit(None).cast("double")).when(finite, loss).otherwise(F.raise_error(F.lit("log-probabilities must be finite")))
+
+
+def weighted_loss(rows: DataFrame, losses: str, mask: str, weight: str, by: Sequence[str] = ()) -> DataFrame:
+    """rows(losses: array of a loss a token, mask: array of whether it counts, weight) -> (by..., examples, weight, loss): the mean over an
+    example's counting tokens (0 without any), then the mean over examples by weight. Null weights count as 0."""
+    counted = F.filter(F.arrays_zip(F.col(losses).alias("l"), F.col(mask).alias("m")), lambda x: F.coalesce(x["m"].cast("boolean"), F.lit(False)))
+    mean = F.aggregate(counted, F.lit(0.0), lambda s, x: s + x["l"].cast("double")) / F.greatest(F.size(counted), F.lit(1))
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    found = rows.select(*by, mean.alias("__m"), w.alias("__w")).groupBy(*by).agg(F.count(F.lit(1)).alias("examples"), F.sum("__w").alias("weight"), F.sum(F.col("__m") * F.col("__w")).alias("__s"))
+    return found.select(*by, "examples", "weight", (F.col("__s") / F.greatest(F.col("weight"), F.lit(2.0**-23))).alias("loss"))

@@ -200,20 +200,25 @@ ABBREVIATIONS = (
 ).split()
 
 
+def _joined(parts: Column, starts: Column) -> Column:
+    """Neighbours joined by spaces: each part whose flag in `starts` is set begins a new one. In steps that grow with the parts."""
+    at = F.array_compact(F.transform(starts, lambda f, i: F.when(f, i)))
+    return bound(at, lambda a: F.transform(a, lambda i, k: F.array_join(F.slice(parts, i + 1, F.coalesce(F.get(a, k + 1), F.size(parts)) - i), " ")))
+
+
 def careful_sentences(text: Column) -> Column:
     """As sentences(), but a cut is undone after an abbreviation, a single letter or a number of up to three digits with a full
     stop and before a lower-case letter; what holds no letter joins the sentence before, at the front the one after."""
-    spaced = lambda a, b: F.concat_ws(" ", a, b)
-    last = lambda c: F.element_at(c, -1)
     token = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_extract(c, r"(?U)(\S+)$", 1), r"\.+$", ""), "^[(\\[\"'„”]+", "")
     stops = lambda c: c.endswith(".") & (F.lower(token(c)).isin(ABBREVIATIONS) | token(c).rlike(r"^(?:(?U)\w|\d{1,3})$"))
-    joins = lambda a, x: (F.size(a) > 0) & (stops(last(a)) | x.rlike(r"^\p{Ll}"))
-    replaced = lambda a, x: F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(spaced(last(a), x)))
-    none = F.array().cast("array<string>")
-    joined = F.aggregate(sentences(text), none, lambda a, x: F.when(joins(a, x), replaced(a, x)).otherwise(F.concat(a, F.array(x))))
-    # a front without letters waits as a first element until a sentence with letters comes
-    lettered = lambda x: x.rlike(r"\p{L}")
-    return F.aggregate(joined, none, lambda a, x: F.when((F.size(a) > 0) & (~lettered(x) | ~lettered(last(a))), replaced(a, x)).otherwise(F.concat(a, F.array(x))))
+    cut = lambda s: _joined(s, F.transform(s, lambda x, i: (i == 0) | ~(stops(F.get(s, i - 1)) | x.rlike(r"^\p{Ll}"))))
+
+    def lettered(s: Column) -> Column:
+        """A sentence begins at each letter-bearing part but the first one, which takes what stands before it along."""
+        flags = F.transform(s, lambda x: x.rlike(r"\p{L}"))
+        return bound(flags, lambda f: _joined(s, F.transform(f, lambda x, i: (i == 0) | (x & (F.array_position(f, F.lit(True)) - 1 < i)))))
+
+    return bound(bound(sentences(text), cut), lettered)
 
 
 # model output

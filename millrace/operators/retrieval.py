@@ -17,33 +17,6 @@ K1, B = 1.2, 0.75
 QUERY_BLOCK, CORPUS_PART = 2048, 50_000
 
 
-def postings(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
-    """(doc, term, tf, length): one row for each term of each document."""
-    listed = docs.select(F.col(id_col).alias("doc"), terms.alias("__terms"))
-    each = listed.select("doc", F.size("__terms").alias("length"), F.explode("__terms").alias("term"))
-    return each.groupBy("doc", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("doc", "term", "tf", "length")
-
-
-def bm25_scores(index: DataFrame, n_docs: DataFrame, queries: DataFrame, query_col: str, terms: Column, k1: float = K1, b: float = B) -> DataFrame:
-    """(query, doc, score) of documents that share a term with the query; log10 idf, each query term counts once.
-
-    index: postings(); n_docs: one row (n, avgdl). Only terms of some query are kept before counts and joins, so that what
-    moves grows with the queries' postings, not with the corpus."""
-    wanted = queries.select(F.col(query_col).alias("query"), F.explode(F.array_distinct(terms)).alias("term"))
-    hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(n_docs)  # one row
-    idf = df.join(stats).select("term", F.log10((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"), "avgdl")
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
-    return wanted.join(idf, "term").join(hits, "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
-
-
-def corpus_size(docs: DataFrame, terms: Column) -> DataFrame:
-    """One row (n, avgdl); documents without terms count."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(terms)).alias("avgdl"))
-
-
 def top_k(scores: DataFrame, k: int, by: str = "query") -> DataFrame:
     """(query, doc, score, rank) of the k best, ties by document."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), "doc")
@@ -142,17 +115,18 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     return wanted.select(id_col).distinct().join(known, id_col, "left").select(id_col, F.when(F.col("__known"), F.col("__t")).otherwise(F.raise_error(F.concat(F.lit("missing document "), F.col(id_col).cast("string")))).alias(text_col))
 
 
-def _meetings(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str, run, schema: str, more: Sequence[str] = ()) -> DataFrame:
+def _meetings(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str, run, schema: str, more: Sequence[str] = (), also: Sequence[str] = ()) -> DataFrame:
     """run(part of the corpus, block of queries) for every part and block of vectors of one length, as a grouped function.
 
-    Both sides are dealt by digest into blocks of bounded size; a query meets each vector of its own length once."""
+    Both sides are dealt by digest into blocks of bounded size; a query meets each vector of its own length once. more, also: further
+    columns of the queries and of the corpus."""
     present = lambda df, *cols: df.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"), *cols)
     n, m = corpus.count(), queries.count()
     cores = corpus.sparkSession.sparkContext.defaultParallelism
     parts, blocks = max(1, -(-n // CORPUS_PART), min(cores, n // 250)), max(1, -(-m // QUERY_BLOCK))
     deal = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = present(corpus).withColumns({"part": deal(parts), "size": F.size("v")}).withColumn("block", each(blocks))
+    left = present(corpus, *also).withColumns({"part": deal(parts), "size": F.size("v")}).withColumn("block", each(blocks))
     right = present(queries, *more).withColumns({"block": deal(blocks), "size": F.size("v")}).withColumn("part", each(parts))
     keys = ["part", "block", "size"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
@@ -163,13 +137,14 @@ def _products(corpus: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
     return stack(queries["v"]) @ stack(corpus["v"]).T
 
 
-def dense_scores(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, allowed: DataFrame | None = None) -> DataFrame:
+def dense_scores(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, allowed: DataFrame | None = None, apart: str | None = None) -> DataFrame:
     """(query, doc, score, rank): the exact k best by dot product for each query, ties by document.
 
     Blocks of queries meet parts of the corpus in tasks of bounded size; a meeting reports its k best, so that k rows a query and
     part are shuffled. Null and empty vectors are absent; a query meets only vectors of its own length. allowed: (id_col) of the
-    documents that may be found."""
+    documents that may be found. apart: a column of both sides in which a query and what it finds must differ and not be null."""
     corpus = corpus.join(allowed.select(id_col).distinct(), id_col, "left_semi") if allowed is not None else corpus
+    corpus, queries = (df.where(F.col(apart).isNotNull()).withColumn("__kind", F.col(apart).cast("string")) if apart else df for df in (corpus, queries))
     q_type, d_type = queries.schema[id_col].dataType.simpleString(), corpus.schema[id_col].dataType.simpleString()
 
     def best(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
@@ -177,32 +152,43 @@ def dense_scores(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vec
             return pd.DataFrame({"query": q["id"][:0], "doc": c["id"][:0], "score": np.zeros(0)})
         c = c.sort_values("id", kind="stable")
         products = _products(c, q)
+        if apart:
+            products[q["__kind"].to_numpy()[:, None] == c["__kind"].to_numpy()[None, :]] = -np.inf
         order = np.argsort(-products, axis=1, kind="stable")[:, :k]  # columns are in order of the id, so that ties are as well
-        docs = c["id"].to_numpy()
-        return pd.DataFrame({"query": np.repeat(q["id"].to_numpy(), order.shape[1]), "doc": docs[order.ravel()], "score": np.take_along_axis(products, order, axis=1).ravel()})
+        docs, scores = c["id"].to_numpy()[order.ravel()], np.take_along_axis(products, order, axis=1).ravel()
+        found = pd.DataFrame({"query": np.repeat(q["id"].to_numpy(), order.shape[1]), "doc": docs, "score": scores})
+        return found[found["score"] > -np.inf] if apart else found
 
-    return top_k(_meetings(corpus, queries, id_col, vector_col, best, f"query {q_type}, doc {d_type}, score double"), k)
+    kind = ("__kind",) if apart else ()
+    return top_k(_meetings(corpus, queries, id_col, vector_col, best, f"query {q_type}, doc {d_type}, score double", kind, kind), k)
 
 
 def dense_ranks(corpus: DataFrame, queries: DataFrame, positives: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """positives(query, doc) with their exact rank among all vectors of the corpus: one more than the vectors that score higher,
-    or the same with a smaller id. Nothing is sorted: meetings count, counts are summed up."""
+    or the same with a smaller id. Nothing is sorted but a meeting's scores: meetings count, counts are summed up."""
     vectors = corpus.select(F.col(id_col).alias("doc"), F.col(vector_col).alias("__d"))
     own = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("__q")).join(positives, "query").join(vectors, "doc")
     asked = own.groupBy("query").agg(F.collect_list(F.struct("doc", F.col("__d").cast("array<float>").alias("v"))).alias("own"))
     with_own = queries.join(asked, queries[id_col] == asked["query"]).drop("query")
     q_type, d_type = queries.schema[id_col].dataType.simpleString(), corpus.schema[id_col].dataType.simpleString()
+    stack = lambda vs: np.array([np.asarray(v, np.float64) for v in vs])
+    products = lambda a, b: np.einsum("qd,cd->qc", a, b)  # noqa: E731  one order of summing, wherever a vector is, so that equal vectors tie
 
     def count(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(c) and len(q):
-            docs, held = c["id"].to_numpy(), np.stack(c["v"].to_numpy()).astype(np.float64)
-            product = lambda m, v: (m * np.asarray(v, np.float64)).sum(axis=1)  # noqa: E731  one order of summing, wherever a vector is
-            for query, v, own in zip(q["id"], q["v"], q["own"]):
-                row = product(held, v)
-                for p in own:
-                    mine = product(np.asarray(p["v"], np.float64)[None], v)[0] if len(p["v"]) == len(v) else np.inf
-                    rows.append((query, p["doc"], int((row > mine).sum() + ((row == mine) & (docs < p["doc"])).sum())))
+            docs, held, asks = c["id"].to_numpy(), stack(c["v"]), stack(q["v"])
+            for at in range(0, len(q), 64):
+                scores = products(asks[at : at + 64], held)
+                for row, v, query, own in zip(scores, asks[at : at + 64], q["id"].iloc[at : at + 64], q["own"].iloc[at : at + 64]):
+                    fits = [p for p in own if len(p["v"]) == len(v)]
+                    mine = products(v[None], stack([p["v"] for p in fits]))[0] if fits else np.zeros(0)
+                    ordered = np.sort(row)
+                    left, right = np.searchsorted(ordered, mine, "left"), np.searchsorted(ordered, mine, "right")
+                    for p, m, lo, hi in zip(fits, mine, left, right):
+                        ties = int(((row == m) & (docs < p["doc"])).sum()) if hi > lo else 0
+                        rows.append((query, p["doc"], len(row) - int(hi) + ties))
+                    rows += [(query, p["doc"], 0) for p in own if len(p["v"]) != len(v)]
         return pd.DataFrame(rows, columns=["query", "doc", "above"])
 
     found = _meetings(corpus, with_own, id_col, vector_col, count, f"query {q_type}, doc {d_type}, above long", ("own",))

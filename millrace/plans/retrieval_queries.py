@@ -30,7 +30,8 @@ def bm25_given(spark, d):
 @query(f"""WITH {_BM25_SQL}, {_RELEVANT_SQL}, n AS (SELECT r.query AS query, r.doc AS doc, round(score, 6) AS score, row_number() OVER (PARTITION BY r.query ORDER BY rank) AS position FROM ranked r LEFT JOIN rel ON rel.query = r.query AND rel.doc = r.doc WHERE rel.doc IS NULL) SELECT * FROM n WHERE position <= 5""")
 def bm25_negatives(spark, d):
     rel = relevant(spark, d)
-    return R.mined_negatives(bm25_ranked(spark, d), rel, 5).select("query", "doc", F.round("score", 6).alias("score"), "position")
+    most = rel.groupBy("query").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return R.mined_negatives(bm25_ranked(spark, d).where(F.col("rank") <= 5 + most), rel, 5).select("query", "doc", F.round("score", 6).alias("score"), "position")
 
 
 _SCORED = f"s AS (SELECT q.vec_id AS query, q.label AS own, c.vec_id AS doc, c.label AS label, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0)"
@@ -48,14 +49,10 @@ def dense_ranks(spark, d):
 
 @query(f"""WITH {_SCORED}, r AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM s WHERE label <> own AND label < 5) SELECT query, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def dense_negatives(spark, d):
-    """The nearest vectors of other labels among the allowed ones; the query's own label is left out after the search."""
+    """The nearest vectors of other labels among the allowed ones."""
     v = table(spark, d, "embeddings")
-    labels = v.select(F.col("vec_id").alias("doc"), F.col("label").alias("theirs"))
-    own = v.select(F.col("vec_id").alias("query"), "label")
-    most = v.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    top = R.dense_scores(v, v.where("vec_id % 20 = 0"), 5 + most, "vec_id", "embedding", v.where("label < 5"))
-    same = top.select("query", "doc").join(labels, "doc").join(own, "query").where("label = theirs").select("query", "doc")
-    return R.mined_negatives(top, same, 5).select("query", "doc", F.round("score", 6).alias("score"), F.col("position").alias("rank"))
+    top = R.dense_scores(v, v.where("vec_id % 20 = 0"), 5, "vec_id", "embedding", v.where("label < 5"), apart="label")
+    return top.select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH {_POOL_SQL} SELECT query, avg((positive > n)::INT) AS rate FROM pools, unnest(negatives) AS u(n) WHERE positive IS NOT NULL AND n IS NOT NULL GROUP BY query""")

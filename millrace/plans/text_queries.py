@@ -8,7 +8,7 @@ from ..functions import labels as L
 from ..functions import lexical as X
 from ..functions import text as T
 from ..operators import records, validation
-from .catalog import _PAIRS_SQL, _content, _jaccard, _list, _starts, _tokens, _words, conversation_pairs, query, table
+from .catalog import _EARLY, _FORM, _LATE, _PAIRS_SQL, _RECORDS_SQL, _content, _jaccard, _list, _starts, _tokens, _words, conversation_pairs, conversation_records, query, table
 
 _LF, _TAB = "chr(10)", "chr(9)"
 #: Sentences in SQL, which has no look-behind: a mark after the cut, then a split.
@@ -166,74 +166,73 @@ def concept_coverage(spark, d):
     return rows.select("conv_id", "turn", F.size(F.filter(hit, lambda x: x)).cast("long").alias("covered"), F.size("terms").cast("long").alias("n"))
 
 
-#: Records that each break the rules named beside them, written out.
-_GOOD = "to jest dość długi tekst dokumentu numer"
-_NEGATIVES = [(f"n{i}", f"{_GOOD} przykład {i}") for i in range(10)]
-BROKEN = [
-    ("fine", "pytanie o coś", [("p", _GOOD)], _NEGATIVES, "pl", ""),
-    (" ", "pytanie o coś", [("p", _GOOD)], _NEGATIVES, "pl", "missing_id"),
-    ("no-query", " \t ", [("p", _GOOD)], _NEGATIVES, "pl", "empty_query"),
-    ("no-list", "pytanie o coś", None, _NEGATIVES, "pl", "invalid_documents"),
-    ("null-text", "pytanie o coś", [("p", None)], _NEGATIVES, "pl", "invalid_documents"),
-    ("no-positive", "pytanie o coś", [], _NEGATIVES, "pl", "too_few_positives"),
-    ("few", "pytanie o coś", [("p", _GOOD)], _NEGATIVES[:9], "pl", "too_few_negatives"),
-    ("twice", "pytanie o coś", [("p", _GOOD)], [*_NEGATIVES, _NEGATIVES[0]], "pl", "duplicate_doc_id"),
-    ("both-sides", "pytanie o coś", [("n3", _NEGATIVES[3][1])], _NEGATIVES, "pl", "duplicate_doc_id,positive_negative_overlap"),
-    ("same-text", "pytanie o coś", [("p", _GOOD)], [*_NEGATIVES, ("x", "To jest  DOŚĆ długi tekst dokumentu numer")], "pl", "same_text_different_ids"),
-    ("blank", "pytanie o coś", [("p", _GOOD)], [*_NEGATIVES, ("x", " ")], "pl", "empty_document,short_text"),
-    ("short", "pytanie o coś", [("p", _GOOD)], [*_NEGATIVES, ("x", "krótki")], "pl", "short_text"),
-    ("long", "pytanie o coś", [("p", _GOOD)], [*_NEGATIVES, ("x", "słowo i " * 2501)], "pl", "long_text"),
-    ("control", "pytanie o coś", [("p", _GOOD)], [*_NEGATIVES, ("x", _GOOD + " inny\x07")], "pl", "control_characters"),
-    ("tags", "pytanie o coś", [("p", _GOOD)], [*_NEGATIVES, ("x", _GOOD + " inny &lt;div>")], "pl", "html"),
-    ("tags-by-number", "pytanie <b&#x3e; &#60;p&gt;", [("p", _GOOD)], _NEGATIVES, "pl", "html,likely_non_polish"),
-    ("cookies", "pytanie o coś", [("p", _GOOD)], [*_NEGATIVES, ("x", _GOOD + " Polityka prywatności")], "pl", "boilerplate"),
-    ("damaged", "pytanie o coÅ› Ã³", [("p", _GOOD)], _NEGATIVES, "pl", "possible_mojibake"),
-    ("copied", "dość długi tekst dokumentu", [("p", _GOOD)], _NEGATIVES, "pl", "high_query_passage_overlap"),
-    ("english", "where does one find old maps", [("p", _GOOD)], _NEGATIVES, "pl", "likely_non_polish"),
-    ("again", "pytanie o coś", [("p", _GOOD)], _NEGATIVES, "pl", ""),
-    ("again", "pytanie o coś", [("p", _GOOD)], _NEGATIVES, "pl", "duplicate_example_id"),
-]
-
-
-def _broken(spark):
-    doc = "array<struct<doc_id:string,text:string>>"
-    rows = [(n, *r[:5]) for n, r in enumerate(BROKEN)]
-    return spark.createDataFrame(rows, f"n int, example_id string, query string, positives {doc}, hard_negatives {doc}, language string")
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({n}, '{r[5]}', '{'rejected' if any(x in validation.MODES for x in r[5].split(',')) else 'accepted'}')" for n, r in enumerate(BROKEN)) + ") AS v(n, issues, route)")
+#: Conversations as records with ten items of the benchmark as negatives, most of them damaged in one of fifteen ways.
+_DAMAGED_SQL = rf"""{_RECORDS_SQL}, ten AS (SELECT list({{'doc_id': 'b' || item_id, 'text': text}} ORDER BY item_id) AS negs FROM (SELECT item_id, text FROM benchmark WHERE item_id IS NOT NULL ORDER BY item_id LIMIT 10)),
+whole AS (SELECT example_id::BIGINT AS n, example_id::BIGINT % 16 AS kind, example_id, query, positives, negs, positives[1].text AS first FROM recs, ten),
+hurt AS (SELECT n, CASE WHEN kind = 1 THEN ' ' WHEN n % 32 = 16 THEN (n - 16)::VARCHAR ELSE example_id END AS example_id, CASE kind WHEN 2 THEN ' ' || chr(9) WHEN 14 THEN query || ' Ã³' WHEN 15 THEN first ELSE query END AS query,
+    CASE kind WHEN 3 THEN NULL WHEN 4 THEN list_append(positives, {{'doc_id': 'x', 'text': NULL::VARCHAR}}) WHEN 5 THEN positives[1:0] WHEN 8 THEN list_append(positives, negs[3]) ELSE positives END AS positives,
+    CASE WHEN kind = 6 THEN negs[1:9] WHEN kind = 7 THEN list_append(negs, negs[1]) WHEN kind BETWEEN 9 AND 13 THEN list_append(negs, {{'doc_id': 'x', 'text': CASE kind WHEN 9 THEN '  ' || first WHEN 10 THEN ' ' WHEN 11 THEN first || chr(7) WHEN 12 THEN first || ' &lt;div>' ELSE first || ' Polityka prywatności' END}}) ELSE negs END AS hard_negatives,
+    CASE WHEN kind = 15 THEN 'pl' ELSE 'xx' END AS language FROM whole),
+docs AS (SELECT *, list_concat(coalesce(positives, []), hard_negatives) AS docs, positives IS NULL OR len(list_filter(list_concat(positives, hard_negatives), lambda p: p.doc_id IS NULL OR trim(p.doc_id) = '' OR p.text IS NULL)) > 0 AS invalid, row_number() OVER (PARTITION BY example_id ORDER BY n) > 1 AS later FROM hurt)"""
+_FLAGS = ("empty_document", "short_text", "long_text", "control_characters", "html", "boilerplate", "possible_mojibake")
+_DAMAGE_RULES = {
+    "missing_id": "trim(coalesce(example_id, '')) = ''", "empty_query": _EARLY["empty_query"], "invalid_documents": "invalid", "too_few_positives": "NOT invalid AND len(positives) < 1", "too_few_negatives": "NOT invalid AND len(hard_negatives) < 10",
+    "duplicate_doc_id": "NOT invalid AND len(docs) > len(list_distinct(list_transform(docs, lambda p: p.doc_id)))", "positive_negative_overlap": "NOT invalid AND list_has_any(list_transform(positives, lambda p: p.doc_id), list_transform(hard_negatives, lambda p: p.doc_id))",
+    "same_text_different_ids": f"NOT invalid AND len(list_distinct(list_transform(docs, lambda p: {{'f': {_FORM.format(c='p.text')}, 'i': p.doc_id}}))) > len(list_distinct(list_transform(docs, lambda p: {_FORM.format(c='p.text')})))",
+    "high_query_passage_overlap": f"NOT invalid AND ({_LATE['high_query_passage_overlap']})", "likely_non_polish": f"NOT invalid AND language = 'pl' AND {_LATE['likely_non_polish']}", "duplicate_example_id": "later",
+    **{rule: f"NOT invalid AND ({_LATE[rule].replace('list_filter(positives', 'list_filter(docs')})" for rule in _FLAGS},
+}
+_DAMAGE_SQL = f"{_DAMAGED_SQL}, found AS (SELECT n, list_sort(list_filter([{', '.join(f'CASE WHEN {t} THEN {chr(39)}{r}{chr(39)} END' for r, t in _DAMAGE_RULES.items())}], lambda x: x IS NOT NULL)) AS issues FROM docs)"
+
+
+def damaged_records(spark, d):
+    doc = "struct<doc_id:string,text:string>"
+    ten = table(spark, d, "benchmark").where("item_id is not null").orderBy("item_id").limit(10).select("item_id", F.struct(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("doc_id"), "text").alias("d"))
+    negatives = F.broadcast(ten.agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "d"))), lambda x: x["d"]).alias("negs")))  # ten items
+    rows = conversation_records(spark, d).drop("hard_negatives", "language").join(negatives).withColumn("n", F.col("example_id").cast("long")).withColumn("kind", F.col("n") % 16).withColumn("first", F.get("positives", 0)["text"])
+    kind, with_ = F.col("kind"), lambda docs, i, t: F.array_append(docs, F.struct(F.lit(i).alias("doc_id"), t.alias("text")).cast(doc))
+    other = {9: F.concat(F.lit("  "), "first"), 10: F.lit(" "), 11: F.concat("first", F.lit("\x07")), 12: F.concat("first", F.lit(" &lt;div>")), 13: F.concat("first", F.lit(" Polityka prywatności"))}
+    negs = F.when(kind == 6, F.slice("negs", 1, 9)).when(kind == 7, F.array_append("negs", F.get("negs", 0)))
+    for k, text in other.items():
+        negs = negs.when(kind == k, with_(F.col("negs"), "x", text))
+    return rows.select(
+        "n", F.when(kind == 1, " ").when(F.col("n") % 32 == 16, (F.col("n") - 16).cast("string")).otherwise(F.col("example_id")).alias("example_id"),
+        F.when(kind == 2, " \t").when(kind == 14, F.concat("query", F.lit(" Ã³"))).when(kind == 15, F.col("first")).otherwise(F.col("query")).alias("query"),
+        F.when(kind == 3, F.lit(None)).when(kind == 4, with_(F.col("positives"), "x", F.lit(None).cast("string"))).when(kind == 5, F.slice("positives", 1, 0)).when(kind == 8, F.array_append("positives", F.get("negs", 2))).otherwise(F.col("positives")).alias("positives"),
+        negs.otherwise(F.col("negs")).alias("hard_negatives"), F.when(kind == 15, "pl").otherwise("xx").alias("language"),
+    )
+
+
+@query(f"WITH {_DAMAGE_SQL} SELECT n, array_to_string(issues, ',') AS issues, CASE WHEN list_has_any(issues, {_list(validation.MODES)}) THEN 'rejected' ELSE 'accepted' END AS route FROM found")
 def broken_records(spark, d):
-    """Every rule of the validator fires on a record made for it, and on no other."""
-    return validation.routed(_broken(spark), ordinal="n").select("n", F.array_join("issues", ",").alias("issues"), "route")
+    """Every rule of the validator on damaged conversations."""
+    return validation.routed(damaged_records(spark, d), ordinal="n").select("n", F.array_join("issues", ",").alias("issues"), "route")
 
 
-_MODE_ROWS = [("drop" if x in validation.MODES else "warn", n) for n, r in enumerate(BROKEN) for x in r[5].split(",") if x]
-
-
-@query("SELECT mode, count(DISTINCT n) AS records, count(*) AS issues FROM (VALUES " + ", ".join(f"('{m}', {n})" for m, n in _MODE_ROWS) + ") AS v(mode, n) GROUP BY mode")
+@query(f"WITH {_DAMAGE_SQL}, e AS (SELECT n, CASE WHEN list_contains({_list(validation.MODES)}, r) THEN 'drop' ELSE 'warn' END AS mode FROM (SELECT n, unnest(issues) AS r FROM found)) SELECT mode, count(DISTINCT n) AS records, count(*) AS issues FROM e GROUP BY mode")
 def broken_modes(spark, d):
-    rows = validation.routed(_broken(spark), ordinal="n").withColumn("example_id", F.col("n").cast("string"))
-    return validation.mode_counts(rows)
+    return validation.mode_counts(validation.routed(damaged_records(spark, d), ordinal="n").withColumn("example_id", F.col("n").cast("string")))
 
 
-OUTPUTS = [
-    ('{"queries":[{"text":"a b","form":"keyword_query","intent":"definition","focus_sentence_id":0}]}', 1, True, False), ('```json\n{"queries":[{"text":"a"},{"text":"b"}]}\n```', 2, True, True),
-    ('{"queries":[{"text":"a"}],}', 1, True, True), ('{"queries":[]}', None, False, False), ('{"queries":[{"text":" "}]}', None, False, False), ("no json", None, False, False), ("", None, False, False),
-]
+#: A turn's first three words as a completion in one of seven shapes; what must come of each.
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {'NULL' if n is None else n}::INT, {v}, {r})" for k, (_, n, v, r) in enumerate(OUTPUTS)) + ") AS v(k, n, valid, repaired)")
+@query(f"""WITH w AS (SELECT conv_id, turn, (conv_id * 7 + turn) % 7 AS kind, len({_words('text')}) AS n FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN kind IN (0, 1, 2) AND n > 0 THEN least(n, 3)::INT END AS n, kind IN (0, 1, 2) AND n > 0 AS valid, kind IN (1, 2) AS repaired FROM w""")
 def parsed_outputs(spark, d):
-    """Completions written out, with what must come of them."""
-    rows = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(OUTPUTS)], "k int, t string")
-    found = T.parsed_queries(F.col("t"))
-    return rows.select("k", F.when(found["valid"], F.size(found["queries"])).alias("n"), found["valid"].alias("valid"), found["repaired"].alias("repaired"))
+    """Completions made of turns: plain, fenced, with a comma too many, and broken ones."""
+    t = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", ((F.col("conv_id") * 7 + F.col("turn")) % 7).alias("kind"), F.slice(T.words(F.col("text")), 1, 3).alias("w"))
+    body = F.concat(F.lit('{"queries":'), F.to_json(F.transform("w", lambda x: F.struct(x.alias("text")))))
+    shapes = [F.concat(body, F.lit("}")), F.concat(F.lit("```json\n"), body, F.lit("}\n```")), F.concat(body, F.lit(",}")), F.lit('{"queries":[]}'), F.lit('{"queries":[{"text":" "}]}'), F.array_join("w", " "), F.lit("")]
+    found = T.parsed_queries(F.element_at(F.array(*shapes), (F.col("kind") + 1).cast("int")))
+    return t.select("conv_id", "turn", F.when(found["valid"], F.size(found["queries"])).alias("n"), found["valid"].alias("valid"), found["repaired"].alias("repaired"))
 
 
-@query("SELECT * FROM (VALUES (0, 'yes'), (1, 'no'), (2, NULL), (3, NULL)) AS v(k, verdict)")
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'uncertain' END AS verdict FROM labels WHERE doc_id IS NOT NULL")
 def parsed_verdicts(spark, d):
-    rows = spark.createDataFrame([(0, '{"verdict":" YES "}'), (1, '{"verdict":"no","x":1}'), (2, '{"verdict":"maybe"}'), (3, "yes")], "k int, t string")
-    return rows.select("k", T.parsed_verdict(F.col("t")).alias("verdict"))
+    shapes = ['{"verdict":" YES "}', '{"verdict":"no","x":1}', '{"reason":"r","verdict":"Uncertain"}', '{"verdict":"maybe"}', "yes"]
+    raw = F.element_at(F.array(*map(F.lit, shapes)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, d, "labels").where("doc_id is not null").select("doc_id", T.parsed_verdict(raw).alias("verdict"))
 
 
 @query(f"""WITH {_PAIRS_SQL}, t AS (SELECT conv_id, turn, {_tokens('query')} AS q FROM pairs)
@@ -247,3 +246,75 @@ r AS (SELECT conv_id, turn, CASE WHEN bare = '' THEN 'empty' WHEN several THEN '
 def training_rows(spark, d):
     rows = records.completions(conversation_pairs(spark, d), "query", "answer", records.prompt(F.col("answer"), {"forma": F.lit("dowolna")}))
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, -0.1::DOUBLE * ((-l_quantity::DOUBLE - -l_extendedprice::DOUBLE / 1000) - (-l_discount::DOUBLE * 100 - -l_tax::DOUBLE * 100)) AS x FROM lineitem) SELECT l_orderkey, l_linenumber, round(greatest(x, 0) + ln(1 + exp(-abs(x))), 9) AS loss FROM x""")
+def preference_losses(spark, d):
+    """Prices as made-up log-probabilities."""
+    n = lambda c, f=1.0: -F.col(c).cast("double") * f
+    loss = X.preference_loss(n("l_quantity"), -F.col("l_extendedprice").cast("double") / 1000, n("l_discount", 100), n("l_tax", 100), 0.1)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(loss, 9).alias("loss"))
+
+
+@query("""WITH o AS (SELECT l_orderkey, coalesce(avg(l_quantity::DOUBLE) FILTER (l_returnflag <> 'N'), 0) AS m FROM lineitem WHERE l_orderkey IS NOT NULL AND l_quantity IS NOT NULL GROUP BY 1), j AS (SELECT o_orderpriority, m, coalesce(o_totalprice::DOUBLE / 1000, 0) AS w FROM o JOIN orders ON o_orderkey = l_orderkey)
+SELECT o_orderpriority, count(*) AS examples, round(sum(w), 6) AS weight, round(sum(m * w) / greatest(sum(w), 1e-6), 9) AS loss FROM j GROUP BY 1""")
+def weighted_losses(spark, d):
+    """Quantities of an order's lines as token losses, of which returned and accepted ones count, weighted by the order's price."""
+    lines = table(spark, d, "lineitem").where("l_orderkey is not null and l_quantity is not null").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").cast("double").alias("l"), (F.col("l_returnflag") != "N").alias("m"))).alias("t"))
+    rows = lines.join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderpriority", F.col("t.l").alias("losses"), F.col("t.m").alias("mask"), (F.col("o_totalprice").cast("double") / 1000).alias("w"))
+    found = X.weighted_loss(rows, "losses", "mask", "w", ["o_orderpriority"])
+    return found.select("o_orderpriority", "examples", F.round("weight", 6).alias("weight"), F.round("loss", 9).alias("loss"))
+
+
+@query(f"""WITH {_PAIRS_SQL} SELECT conv_id, turn, replace(lower(query), 'ß', 'ss') AS folded, CASE WHEN length(answer) < 64 THEN 'short' WHEN length(answer) < 192 THEN 'medium' ELSE 'long' END AS size, round(length(query) / 100.0::DOUBLE + 0.5 * turn, 9) AS reward FROM pairs""")
+def folded_queries(spark, d):
+    """Folded queries, the size class of their answers, and a reward made of both lengths."""
+    reward = X.grounding_reward(F.length("query") / 100.0, F.col("turn"))
+    return conversation_pairs(spark, d).select("conv_id", "turn", T.folded(F.col("query")).alias("folded"), L.length_bucket(F.length("answer")).alias("size"), F.round(reward, 9).alias("reward"))
+
+
+@query(f"""WITH {_PAIRS_SQL}, c AS (SELECT conv_id, turn, unnest({_content('answer')}) AS t FROM pairs), n AS (SELECT conv_id, turn, t, count(*) AS n FROM c WHERE NOT list_contains({_list(T.UNITS)}, t) AND NOT regexp_matches(t, '{T.NUMBER}') GROUP BY ALL), o AS (SELECT conv_id, turn, t, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, t) AS i FROM n),
+g AS (SELECT conv_id, turn, list(t ORDER BY i) AS ts FROM o WHERE i <= 8 GROUP BY ALL) SELECT p.conv_id AS conv_id, p.turn AS turn, coalesce(array_to_string(ts, ' '), '') AS concepts FROM pairs p LEFT JOIN g ON g.conv_id = p.conv_id AND g.turn = p.turn""")
+def answer_concepts(spark, d):
+    """The terms an answer is about, without numbers and units: these come first and are tested on their own."""
+    rows = conversation_pairs(spark, d).select("conv_id", "turn", T.content(T.tokens(F.col("answer"))).alias("t"))
+    return rows.select("conv_id", "turn", F.array_join(L.concepts(F.filter("t", lambda x: ~x.isin(*T.UNITS) & ~x.rlike(T.NUMBER)), F.array().cast("array<string>"), 8), " ").alias("concepts"))
+
+
+@query(f"""WITH {_DAMAGED_SQL}, i AS (SELECT n, list_transform(coalesce(positives, []), lambda p: p.doc_id) AS a, list_transform(hard_negatives, lambda p: p.doc_id) AS b FROM hurt)
+SELECT n, array_to_string(list_sort(list_distinct(list_filter(b, lambda x: len(list_filter(b, lambda y: y = x)) > 1))), ',') AS repeated, array_to_string(list_sort(list_intersect(a, b)), ',') AS shared FROM i""")
+def id_faults(spark, d):
+    """Ids that stand twice among the negatives, and ids on both sides, of damaged conversations."""
+    rows = damaged_records(spark, d).withColumn("positives", F.coalesce("positives", F.slice("hard_negatives", 1, 0)))
+    return rows.select("n", F.array_join(records.repeated_ids(F.col("hard_negatives")), ",").alias("repeated"), F.array_join(records.shared_ids(F.col("positives"), F.col("hard_negatives")), ",").alias("shared"))
+
+
+@query(f"""WITH {_DAMAGED_SQL}, e AS (SELECT unnest(list_concat(positives, hard_negatives)) AS p FROM hurt WHERE positives IS NOT NULL) SELECT p.doc_id AS doc_id, md5(coalesce(min(p.text), '')) AS text, count(DISTINCT p.text) AS n_texts FROM e GROUP BY 1""")
+def union_documents(spark, d):
+    """All documents of damaged records, once each; an id with several texts is a conflict."""
+    found = records.document_union(damaged_records(spark, d).where("positives is not null"))
+    return found.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text"), "n_texts")
+
+
+@query(f"""WITH {_DAMAGED_SQL}, e AS (SELECT n, query, hard_negatives, generate_subscripts(positives, 1) - 1 AS i, unnest(positives) AS p FROM hurt WHERE positives IS NOT NULL) SELECT n, i::INT AS positive_index, p.doc_id AS doc_id, len(hard_negatives)::INT AS negatives FROM e""")
+def group_expansion(spark, d):
+    """A scoring group for each positive of a record, with all its negatives."""
+    rows = damaged_records(spark, d).where("positives is not null").withColumn("example_id", F.col("n"))
+    return records.scoring_groups(rows).select(F.col("example_id").alias("n"), "positive_index", F.col("positive.doc_id").alias("doc_id"), F.size("negatives").alias("negatives"))
+
+
+@query(f"""WITH {_DAMAGED_SQL} SELECT n, list_sort(list_transform(positives, lambda p: p.doc_id))[1] AS doc_id FROM hurt WHERE positives IS NOT NULL""")
+def first_sources(spark, d):
+    """The first positive of each record by id, as what is generated from."""
+    rows = damaged_records(spark, d).where("positives is not null").withColumn("example_id", F.col("n"))
+    return records.generator_sources(rows).select(F.col("example_id").alias("n"), "doc_id")
+
+
+@query("""WITH r AS (SELECT l_orderkey, count(*) FILTER (l_quantity > 23.5) AS kept, count(*) FILTER (l_quantity <= 23.5) AS dropped FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1) SELECT l_orderkey, kept, kept >= 1 AND dropped >= 2 AS usable FROM r""")
+def strict_scores(spark, d):
+    """Lines as scored documents: strictly better ones count, and an order is usable with one of them and two others."""
+    doc = F.struct(F.col("l_linenumber").cast("string").alias("doc_id"), F.col("l_quantity").cast("double").alias("score"))
+    rows = table(spark, d, "lineitem").where("l_orderkey is not null").groupBy("l_orderkey").agg(F.collect_list(doc).alias("docs"))
+    kept = records.score_filter(F.col("docs"), 23.5, strict=True)
+    low = F.filter("docs", lambda x: x["score"] <= 23.5)
+    return rows.select("l_orderkey", F.size(kept).cast("long").alias("kept"), ((F.size(kept) >= 1) & (F.size(low) >= 2)).alias("usable"))
