@@ -128,16 +128,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_clusters(docs: DataFrame, id_col: str, text_col: str, bands: int = 4, most: int = 3) -> DataFrame:
-    """(id, canonical, match, similarity) of each row: its cluster's least id, whether it is that row, an exact or a near copy."""
+    """(id, canonical, match, similarity) of each row: its cluster's least id, whether it is that row, an exact or a near copy.
+
+    Texts are read once, for fingerprints and digests; all else goes by distinct fingerprints, of which each knows its least row."""
     rows = written(docs.select(F.col(id_col).alias("id"), F.coalesce(F.sha2(text_col, 256), F.lit("null")).alias("hash"), simhash(F.col(text_col)).alias("fp")))
-    least = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    pairs = near_pairs(least.select(F.col("least").alias("id"), "fp"), bands, most)
-    roots = components(pairs)
+    least = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min_by("hash", F.struct("id", "hash")).alias("least_hash")), "fingerprints")
+    roots = components(near_pairs(least.select(F.col("least").alias("id"), "fp"), bands, most))
     linked = least.join(roots.withColumnRenamed("node", "least"), "least", "left").select("fp", F.coalesce("root", "least").alias("canonical"))
-    heads = least.select(F.col("least").alias("canonical"), F.col("fp").alias("head_fp"))
-    linked = linked.join(heads, "canonical")  # of fingerprints, not of rows: copies share one
-    head_hash = rows.join(linked.select("canonical").distinct(), F.col("id") == F.col("canonical"), "left_semi").groupBy(F.col("id").alias("canonical")).agg(F.min("hash").alias("head_hash"))
-    placed = rows.join(written(linked.join(head_hash, "canonical")), "fp")
+    heads = least.select(F.col("least").alias("canonical"), F.col("fp").alias("head_fp"), F.col("least_hash").alias("head_hash"))
+    placed = rows.join(linked.join(heads, "canonical"), "fp")  # of fingerprints, not of rows: copies share one
     bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp")))
     return placed.select(
         F.col("id").alias(id_col), "canonical",
@@ -170,39 +169,3 @@ def hash_split(id_: Column, shares: dict[str, float]) -> Column:
 def leaks(rows: DataFrame, key: str, split: str) -> DataFrame:
     """(key, n_splits): keys in more than one split."""
     return rows.groupBy(key).agg(F.count_distinct(split).alias("n_splits")).where("n_splits > 1")
-
-
-def greedy_split(sizes: DataFrame, shares: dict[str, float], component: str = "root", size: str = "n", classes: int = 100_000) -> DataFrame:
-    """(component, split): components in falling size go to the split that is furthest below its share.
-
-    Which of equal components goes where doesn't matter for balance, so the driver sees sizes with their counts (at most
-    `classes`), hands out numbers for each size and split, and components take them by the order of their ids."""
-    counted = sizes.groupBy(size).agg(F.count(F.lit(1)).alias("many")).orderBy(F.desc(size)).limit(classes + 1).collect()
-    if len(counted) > classes:
-        raise ValueError("more different component sizes than the driver takes")
-    total = sum(r[size] * r["many"] for r in counted) or 1
-    filled, given = {s: 0 for s in shares}, []
-    for r in counted:
-        for s in shares:  # proportional for many, one by one for the rest
-            take = int(r["many"] * shares[s])
-            given.append((r[size], s, take))
-            filled[s] += take * r[size]
-        for _ in range(r["many"] - sum(int(r["many"] * p) for p in shares.values())):
-            s = min(shares, key=lambda s: (filled[s] / total - shares[s], s))
-            given.append((r[size], s, 1))
-            filled[s] += r[size]
-    upto: dict[tuple, int] = {}
-    ranges, start = [], {}
-    for n, s, take in given:
-        upto[n, s] = upto.get((n, s), 0) + take
-    for (n, s), take in upto.items():
-        ranges.append((n, s, start.get(n, 0), start.get(n, 0) + take))
-        start[n] = start.get(n, 0) + take
-    spark = sizes.sparkSession
-    bounds = spark.createDataFrame(ranges or [(0, "", 0, 0)], f"{size} long, split string, lo long, hi long")
-    # components of a size are numbered within parts by their digests; a part's numbers begin after those of the parts before
-    dealt = written(sizes.withColumn("__part", F.pmod(F.xxhash64(component), F.lit(4 * SALTS)).cast("int")))
-    before = dealt.groupBy(size, "__part").agg(F.count(F.lit(1)).alias("c")).withColumn("__from", F.coalesce(F.sum("c").over(Window.partitionBy(size).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    nth = F.row_number().over(Window.partitionBy(size, "__part").orderBy(component)) - 1
-    placed = dealt.withColumn("__in", nth).join(before, [size, "__part"]).withColumn("__nth", F.col("__in") + F.col("__from")).drop("__in", "__from", "__part")
-    return placed.join(F.broadcast(bounds), [size]).where((F.col("__nth") >= F.col("lo")) & (F.col("__nth") < F.col("hi"))).select(component, "split")

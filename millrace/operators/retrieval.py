@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .statistics import running_sums
 from .tables import written
 
@@ -23,33 +24,68 @@ def top_k(scores: DataFrame, k: int, by: str = "query") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
+def term_counts(terms: Column) -> Column:
+    """Of an array of terms: (term, tf) of each different one. Of sorted terms a run's length is the way to the next run."""
+    starts = lambda s: F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)))
+    runs = lambda s: T.bound(starts(s), lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf"))))
+    return T.bound(F.array_sort(terms), runs)
+
+
 class Index:
-    """An inverted index of documents, written once: postings (doc, term, tf, length) in ranges of terms, and their size."""
+    """An inverted index of documents, written once: postings (doc, term, tf, length), and the documents with their lengths. A
+    document's terms are counted within its row, so that nothing is shuffled."""
 
     def __init__(self, docs: DataFrame, id_col: str, terms: Column) -> None:
         """Documents without terms count for the size; a null text has none, a null id is a document of its own."""
-        listed = docs.select(F.col(id_col).alias("doc"), terms.alias("__terms"))
-        each = listed.select("doc", F.size(F.coalesce("__terms", F.array().cast("array<string>"))).alias("length"), F.explode_outer("__terms").alias("term"))
-        counted = each.groupBy("doc", "length", "term").agg(F.count("term").cast("int").alias("tf")).select("doc", "term", "tf", "length")
-        rows = written(counted, "postings")
-        self.docs = written(rows.select("doc", "length").distinct(), "lengths")
-        self.postings = rows.where("term is not null")
+        listed = docs.select(F.col(id_col).alias("doc"), F.coalesce(terms, F.array().cast("array<string>")).alias("__terms"))
+        each = listed.select("doc", F.size("__terms").alias("length"), F.posexplode_outer(term_counts(F.col("__terms"))).alias("at", "p"))
+        rows = written(each.select("doc", "p.term", "p.tf", "length", (F.coalesce("at", F.lit(0)) == 0).alias("head")), "postings")
+        self.docs = rows.where("head").select("doc", "length")
+        self.postings = rows.where("term is not null").drop("head")
         found = self.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl")).first()
         self.n, self.avgdl = found["n"], found["avgdl"] or 0.0
 
-    def hits(self, queries: DataFrame, query_col: str, terms: Column) -> tuple[DataFrame, DataFrame]:
-        """(query, term) of the queries, and the postings of these terms, written."""
+    def hits(self, queries: DataFrame, query_col: str, terms: Column) -> Hits:
+        """The postings of the queries' terms, written."""
         wanted = queries.select(F.col(query_col).alias("query"), F.explode(F.array_distinct(terms)).alias("term"))
-        return wanted, written(self.postings.join(wanted.select("term").distinct(), "term", "left_semi"), "hits")
+        return Hits(self, wanted, written(self.postings.join(wanted.select("term").distinct(), "term", "left_semi"), "hits"))
 
     def scores(self, queries: DataFrame, query_col: str, terms: Column, k1: float = K1, b: float = B) -> DataFrame:
+        return self.hits(queries, query_col, terms).scores(k1, b)
+
+
+class Hits:
+    """What an index holds of the terms of some queries: wanted(query, term), postings, and how many documents have each term."""
+
+    def __init__(self, index: Index, wanted: DataFrame, postings: DataFrame) -> None:
+        self.index, self.wanted, self.postings = index, wanted, postings
+        self.df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def scores(self, k1: float = K1, b: float = B) -> DataFrame:
         """(query, doc, score), a written table of the documents that share a term with the query; log10 idf, each query term
         counts once. What moves grows with the queries' postings, not with the corpus."""
-        wanted, hits = self.hits(queries, query_col, terms)
-        df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        tf, n = F.col("tf"), float(self.n)
-        part = F.log10((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / max(self.avgdl, 1e-12)))
-        return written(wanted.join(df, "term").join(hits, "term").groupBy("query", "doc").agg(F.sum(part).alias("score")), "scores")
+        tf, n = F.col("tf"), float(self.index.n)
+        part = F.log10((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / max(self.index.avgdl, 1e-12)))
+        return written(self.wanted.join(self.df, "term").join(self.postings, "term").groupBy("query", "doc").agg(F.sum(part).alias("score")), "scores")
+
+    def with_rarest(self, inner: DataFrame, rarest: int = 3) -> DataFrame:
+        """inner(query, term), terms that a document must have whole -> (query, doc): documents with all of the `rarest` rarest of them."""
+        order = Window.partitionBy("query").orderBy("df", "term")
+        chosen = inner.distinct().join(self.df, "term", "left").withColumn("__i", F.row_number().over(order)).where(F.col("__i") <= rarest)  # of a query's few terms
+        held = chosen.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("query"))).join(self.postings.select("term", "doc"), "term")
+        return held.groupBy("query", "doc", "__n").agg(F.count_distinct("term").alias("__c")).where("__c = __n").select("query", "doc")
+
+
+def containing(hits: Hits, docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str, words: Column, terms: Column) -> DataFrame:
+    """(query, doc): documents whose text has an item's text in it, letter by letter. Candidates hold the item's rarest terms, its first
+    and last word apart, which may be cut there; then the text is looked for. words, terms: of an item, all and those that are
+    indexed. Items without a term inside are looked for in all documents. Null ids are not found."""
+    held = items.select(F.col(item_col).alias("query"), F.col(item_text).alias("passage"), F.array_intersect(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), terms).alias("inner"))
+    found = hits.with_rarest(held.select("query", F.explode("inner").alias("term")))
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    known = found.join(held.select("query", "passage"), "query").join(texts, "doc").where(F.contains("text", "passage")).select("query", "doc").distinct()
+    bare = held.where((F.size("inner") == 0) & F.col("passage").isNotNull()).select("query", "passage")
+    return known if bare.isEmpty() else known.unionByName(texts.join(bare, F.contains("text", "passage")).select("query", "doc"))
 
 
 def with_backfill(ranked: DataFrame, queries: DataFrame, query_col: str, docs: DataFrame, k: int) -> DataFrame:

@@ -215,24 +215,25 @@ def feasible_subsets(candidates: DataFrame, group: str, id_col: str, metrics: Se
     return out.select(F.col("g").alias(group), F.transform("b.items", lambda i: F.get("c", i)["id"]).alias("ids"), (F.col("b.items") != F.col("places")).alias("changed"), *(F.col(f"b.{n}").alias(n) for n in names))
 
 
-def unique_cohort(rows: DataFrame, first: str, second: str, id_col: str, n: int, seed: str, rounds: int = 50) -> DataFrame:
+def unique_cohort(rows: DataFrame, first: str, second: str, id_col: str, n: int, seed: str) -> DataFrame:
     """The n first rows in hash order of which no two share the value of `first` or of `second`, taking a row if no earlier taken one
     shares either: as one pass over the order would. Values that are null are shared with none.
 
     In rounds: a row that is first of both its values among those still open is taken, and rows that share a value with it are
-    closed. A round ends chains that wait for one another, so that there are few; rows that remain after `rounds` are an error."""
+    closed. The first open row is always taken, and hash order keeps chains of rows that wait for one another short. Rounds end when n
+    taken rows stand before every open one, or none is open."""
     order = F.struct(hash_order(F.col(id_col), seed).alias("h"), F.col(id_col).cast("string").alias("i"))
     keyed = written(rows.select(F.struct("*").alias("__row"), order.alias("__o"), *(F.coalesce(F.col(c).cast("string"), F.concat(F.lit("\0"), F.col(id_col).cast("string"))).alias(k) for c, k in ((first, "__a"), (second, "__b")))), "cohort")
     open_, taken = keyed, None
-    for _ in range(rounds):
+    while True:
         firsts = [open_.groupBy(k).agg(F.min("__o").alias(f"{k}_first")) for k in ("__a", "__b")]
         marked = open_.join(firsts[0], "__a").join(firsts[1], "__b")
-        mine = written(marked.where((F.col("__o") == F.col("__a_first")) & (F.col("__o") == F.col("__b_first"))).select(*open_.columns), "cohort")
-        taken = mine if taken is None else taken.unionByName(mine)
-        open_ = written(open_.join(mine.select("__a"), "__a", "left_anti").join(mine.select("__b"), "__b", "left_anti"), "cohort")
-        if open_.isEmpty():
+        mine = marked.where((F.col("__o") == F.col("__a_first")) & (F.col("__o") == F.col("__b_first"))).select(*open_.columns)
+        taken = written(mine if taken is None else taken.unionByName(mine), "cohort")
+        open_ = written(open_.join(taken.select("__a"), "__a", "left_anti").join(taken.select("__b"), "__b", "left_anti"), "cohort")
+        next_ = open_.agg(F.min("__o").alias("o")).first()["o"]
+        if next_ is None or taken.where(F.col("__o") < F.struct(F.lit(next_["h"]).alias("h"), F.lit(next_["i"]).alias("i"))).limit(n).count() == n:
             return taken.orderBy("__o").limit(n).select("__row.*")
-    raise ValueError(f"rows are still open after {rounds} rounds")
 
 
 def audit_strata(rows: DataFrame, id_col: str, score: str, margin: str, flagged: str, n: int, seed: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import dedup
+from .assignment import balanced_splits
 from .tables import written
 
 
@@ -146,8 +147,9 @@ def leakage(train: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFram
     return out
 
 
-def balanced_components(records: DataFrame, shares: dict[str, float], canonical: DataFrame | None = None) -> DataFrame:
-    """records -> (example_id, split): whole components go to the split that is furthest below its share."""
+def balanced_components(records: DataFrame, shares: dict[str, float], canonical: DataFrame | None = None, domain: str | None = None, seed: int = 42) -> DataFrame:
+    """records -> (example_id, component, split): whole components go where the pressure of all records and of each domain is least."""
     placed = written(record_components(records, canonical), "record-components")
-    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    return placed.join(dedup.greedy_split(sizes, shares, "component", "n"), "component").select("example_id", "component", "split")
+    kinds = records.select("example_id", (F.col(domain) if domain else F.lit("all")).alias("__domain"))
+    splits = balanced_splits(placed.join(kinds, "example_id"), "component", "__domain", shares, seed)
+    return placed.join(splits.select("component", "split"), "component").select("example_id", "component", "split")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
-from ..operators import dedup, records, retrieval, selection, statistics, validation
+from ..operators import assignment, dedup, records, retrieval, selection, statistics, validation
 from ..streaming import ledger
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -321,7 +321,7 @@ def split_leaks(spark, d):
 def balanced_split(spark, d):
     """Groups of equal texts go whole to one split, near the shares."""
     groups = normal_form_groups(spark, d).groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
-    return dedup.greedy_split(groups, _SPLIT, "canonical", "n")
+    return assignment.greedy_split(groups, _SPLIT, "canonical", "n")
 
 
 # retrieval
@@ -374,9 +374,13 @@ def bm25_index(spark: SparkSession, d: str) -> retrieval.Index:
     return kept(spark, d, "index", ("documents",), lambda: retrieval.Index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", _terms()), lambda x: x.postings)
 
 
+def bm25_hits(spark: SparkSession, d: str) -> retrieval.Hits:
+    return kept(spark, d, "hits", ("documents", "benchmark"), lambda: bm25_index(spark, d).hits(table(spark, d, "benchmark"), "item_id", _terms()), lambda x: x.postings)
+
+
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
     """(query, doc, score) of benchmark items over all documents."""
-    return kept(spark, d, "scores", ("documents", "benchmark"), lambda: bm25_index(spark, d).scores(table(spark, d, "benchmark"), "item_id", _terms()))
+    return kept(spark, d, "scores", ("documents", "benchmark"), lambda: bm25_hits(spark, d).scores())
 
 
 def bm25_ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -403,27 +407,9 @@ def bm25_effective(spark, d):
 _RELEVANT_SQL = "rel AS (SELECT item_id AS query, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text)), found AS (SELECT rel.query, rel.doc, CASE WHEN rank <= 100 THEN rank END AS rank FROM rel LEFT JOIN ranked USING (query, doc))"
 
 
-#: Items whose runs go along with the scan of the documents.
-_MOST_ITEMS = 50_000
-
-
 def relevant(spark: SparkSession, d: str) -> DataFrame:
-    """(query, doc): documents that contain the item's text. Candidates hold the item's second to sixth word in a row; then the
-    text is looked for. Digests of these runs are compared inside the row where there are few items, so that only documents that
-    hold one leave the scan. Items of fewer words are compared by their whole text."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage"), T.words(F.col("text")).alias("w"))
-    run = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(5)))
-    keyed = items.where(F.size("w") >= 7).select("query", "passage", run(F.col("w"), F.lit(1)).alias("run"))
-    wanted = [r["run"] for r in keyed.select("run").distinct().limit(_MOST_ITEMS + 1).collect()]
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
-    runs = T.bound(T.words(F.col("text")), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda i: run(w, i)))
-    if len(wanted) <= _MOST_ITEMS:
-        runs = F.filter(runs, lambda h: h.isin(wanted) if wanted else F.lit(False))
-    found = docs.select("doc", "text", F.explode(F.array_distinct(runs)).alias("run")).join(keyed, "run").where(F.contains("text", "passage")).select("query", "doc").distinct()
-    short = items.where(F.size("w") < 7).select("query", "passage")
-    if short.isEmpty():
-        return found
-    return found.unionByName(docs.join(short, F.contains("text", "passage")).select("query", "doc"))
+    """(query, doc): documents that contain the item's text."""
+    return retrieval.containing(bm25_hits(spark, d), table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", T.words(F.col("text")), _terms())
 
 
 @query(f"""WITH {_BM25_SQL}, {_RELEVANT_SQL}, nth AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank NULLS LAST) AS i FROM found)

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from millrace.operators import dedup, records, retrieval, selection, statistics, validation
+from millrace.operators import assignment, dedup, records, retrieval, selection, statistics, validation
 
 
 def test_ranks_give_worked_values(spark):
@@ -67,7 +67,7 @@ def test_components_of_a_long_path(spark):
 
 def test_greedy_split_covers_all_and_balances(spark):
     sizes = spark.createDataFrame([(i, 1 + i % 3) for i in range(300)], "root long, n long")
-    got = dedup.greedy_split(sizes, {"train": 0.8, "dev": 0.1, "test": 0.1}).join(sizes, "root")
+    got = assignment.greedy_split(sizes, {"train": 0.8, "dev": 0.1, "test": 0.1}).join(sizes, "root")
     per = {r["split"]: r["n"] for r in got.groupBy("split").agg(F.sum("n").alias("n")).collect()}
     assert got.count() == 300 and abs(per["train"] / 600 - 0.8) < 0.02 and abs(per["dev"] / 600 - 0.1) < 0.02
 
@@ -395,3 +395,39 @@ def test_same_cohort(spark):
     with pytest.raises(ValueError, match="missing on the left"):
         reports.same_cohort(a, b, "id")
     assert reports.fingerprint_drift({"x": a, "y": a.repartition(3), "z": b}, ["id"]) == ["z"]
+
+
+def test_kept_scores_follow_all_tables(spark, sf, tmp_path):
+    """After an item was rewritten its scores are new ones; without a change they are read again."""
+    from millrace.plans import catalog
+
+    docs = [(1, "red apples grow on old trees"), (2, "green pears hang in new gardens"), (3, "blue plums")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def put(item, text):
+        spark.createDataFrame([(item, text)], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        return sorted((r["query"], r["doc"]) for r in catalog.bm25_scores(spark, str(tmp_path)).collect())
+
+    assert put(1, "red apples") == [(1, 1)] and put(7, "green pears") == [(7, 2)] and put(7, "blue plums") == [(7, 3)]
+    again = catalog.bm25_scores(spark, str(tmp_path))
+    assert again is catalog.bm25_scores(spark, str(tmp_path))
+
+
+def test_containing_equals_looking_everywhere(spark):
+    """Cut first and last words, short items, items without terms, repeated documents, nulls."""
+    from millrace.functions import text as T
+
+    docs = [(1, "one two three four five six seven"), (2, "none two three fourth"), (3, "two three"), (4, None), (5, "a b c d"), (6, "one two three four five six seven"), (7, "two three two three two")]
+    items = [(1, "one two three"), (2, "two three four five six"), (3, "two"), (4, "b c"), (5, "missing words are here now"), (6, "three two three two"), (7, None)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    words = T.words(F.col("text"))
+    terms = F.filter(words, lambda w: F.length(w) > 1)
+    hits = retrieval.Index(d, "doc_id", terms).hits(q, "item_id", terms)
+    got = sorted(map(tuple, retrieval.containing(hits, d, "doc_id", "text", q, "item_id", "text", words, terms).collect()))
+    assert got == sorted((i, k) for i, t in items for k, x in docs if t is not None and x is not None and t in x)
+
+
+def test_apart_finds_other_kinds_only(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.9, 0.0], "a"), (3, [0.5, 0.5], "b"), (4, [0.1, 0.0], None)], "id long, v array<float>, kind string")
+    got = [(r["query"], r["doc"]) for r in retrieval.dense_scores(v, v, 3, "id", "v", apart="kind").orderBy("query").collect()]
+    assert got == [(1, 3), (2, 3), (3, 1), (3, 2)]
