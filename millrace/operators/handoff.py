@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .assignment import ranked
 from .pairs import labels
 
 #: What a set and each of its candidates must agree in.
 SET_IDENTITY = ("split", "passage_id")
+from .tables import ranked
 
 
 def _each_rejected(sets: DataFrame) -> DataFrame:

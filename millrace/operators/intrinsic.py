@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import lexical as X
 from ..functions import text as T
-from .assignment import ranked
 from .pairs import self_bleu
 from .retrieval import pool_metrics
 from .statistics import compare_arms, distribution
@@ -20,6 +19,7 @@ from .statistics import compare_arms, distribution
 OPTIONAL = {"shadow_positive": "double", "shadow_negatives": "array<double>", "requested_form": "string", "requested_intent": "string", "requested_focus": "string", "corpus_rank": "long", "mode": "string"}
 #: Ranks up to which a passage counts as found again.
 ROUND_TRIPS = (1, 5, 20, 100)
+from .tables import ranked
 
 
 def intrinsic_rows(rows: DataFrame, cutoffs: Sequence[int] = ROUND_TRIPS) -> DataFrame:

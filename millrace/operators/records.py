@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .tables import ranked_within
 
 
 def aligned(ids: str, texts: str, scores: str) -> Column:
@@ -192,6 +193,8 @@ def drift(requests: DataFrame, candidates: DataFrame, key: str, fields: list[str
 def budget_spacing(events: DataFrame, key: str, ts: str, order: str, requests: int, seconds: int = 60) -> DataFrame:
     """events with `wait_seconds`: how long a request must wait so that no more than `requests` fall into any window of so many
     seconds: until the one that many places before is older than the window."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    before = F.lag(at, requests).over(Window.partitionBy(key).orderBy(at, order))
-    return events.withColumn("wait_seconds", F.greatest(F.lit(0.0), F.coalesce((before + seconds * 1_000_000 - at) / 1e6, F.lit(0.0))))
+    placed = ranked_within(events.withColumn("__time", F.unix_micros(F.col(ts).cast("timestamp"))), [key], "__time", order, name="__i").drop("group_size")
+    earlier = placed.select(F.col(key).alias("__k"), (F.col("__i") + requests).alias("__j"), F.col("__time").alias("__before"))
+    met = placed.join(earlier, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__i") == F.col("__j")), "left")
+    wait = F.greatest(F.lit(0.0), F.coalesce((F.col("__before") + seconds * 1_000_000 - F.col("__time")) / 1e6, F.lit(0.0)))
+    return met.withColumn("wait_seconds", wait).select(*events.columns, "wait_seconds")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .tables import written
+from .tables import ranked_within, written
 
 
 def hash_order(id_: Column, seed: str) -> Column:
@@ -40,9 +40,9 @@ def largest_remainder(counts: DataFrame, stratum: str, n: str, total: int) -> Da
 
 
 def stratified_sample(rows: DataFrame, quotas: DataFrame, stratum: str, id_col: str, seed: str) -> DataFrame:
-    """Of each stratum its quota of rows, first in hash order."""
-    order = Window.partitionBy(stratum).orderBy(hash_order(F.col(id_col), seed), id_col)
-    return rows.join(quotas.select(stratum, "quota"), stratum).withColumn("__i", F.row_number().over(order)).where(F.col("__i") <= F.col("quota")).drop("__i", "quota")
+    """Of each stratum its quota of rows, first in hash order. A stratum of any size is ranked over many tasks."""
+    placed = ranked_within(rows.join(quotas.select(stratum, "quota"), stratum), [stratum], hash_order(F.col(id_col), seed), id_col, name="__i")
+    return placed.where(F.col("__i") < F.col("quota")).select(*rows.columns)
 
 
 def common_groups(rows: DataFrame, group: str, arm: str, item: str, k: int, arms: int) -> DataFrame:
@@ -277,8 +277,8 @@ def exemplars(rows: DataFrame, label: str, confidence: str, id_col: str, counts:
     """Of each label so many rows, in hash order, that are sure enough and not taken yet."""
     free = rows.where((F.col(confidence) >= least) & F.col(label).isin(*counts)).join(taken.select(id_col), id_col, "left_anti")
     want = F.create_map(*(F.lit(x) for kv in counts.items() for x in kv))
-    ordered = free.withColumn("__i", F.row_number().over(Window.partitionBy(label).orderBy(hash_order(F.col(id_col), seed), id_col)))
-    return ordered.where(F.col("__i") <= want[F.col(label)]).drop("__i")
+    placed = ranked_within(free, [label], hash_order(F.col(id_col), seed), id_col, name="__i")
+    return placed.where(F.col("__i") < want[F.col(label)]).select(*rows.columns)
 
 
 def control_matrix(passages: DataFrame, id_col: str, axes: dict[str, Sequence[str]], k: int) -> DataFrame:
@@ -290,13 +290,12 @@ def control_matrix(passages: DataFrame, id_col: str, axes: dict[str, Sequence[st
 def request_plan(supply: DataFrame, axes: Sequence[str], n: int) -> DataFrame:
     """supply(id, axes..., one row a possible request) -> the n that cover the axes' values most evenly: requests are ranked within each
     value of each axis by hash, and the sum of their ranks decides, ties by hash. No step waits for another."""
-    ranked = supply
     digest = F.sha2(F.concat_ws(":", F.lit("plan"), *(F.col(c).cast("string") for c in supply.columns)), 256)
-    ranked = ranked.withColumn("__h", digest)
+    placed = supply.withColumn("__h", digest)
     for a in axes:
-        ranked = ranked.withColumn(f"__r_{a}", F.row_number().over(Window.partitionBy(a).orderBy("__h")))
+        placed = ranked_within(placed, [a], "__h", name=f"__r_{a}").drop("group_size")
     total = sum((F.col(f"__r_{a}") for a in axes[1:]), F.col(f"__r_{axes[0]}"))
-    return ranked.orderBy(total, "__h").limit(n).select(*supply.columns)
+    return placed.orderBy(total, "__h").limit(n).select(*supply.columns)
 
 
 def measured_ranking(rows: DataFrame, id_col: str, by: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import ranked_within, written
 
 
 def running_sums(rows: DataFrame, key: str, n: str, out: str, parts: int | None = None) -> DataFrame:
@@ -116,10 +116,9 @@ def midrank(rows: DataFrame, value: str) -> DataFrame:
 
 
 def rank_buckets(rows: DataFrame, value: str, tie: str, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """rows with `bucket`: rank * k // n by value, ties by the tie column."""
-    order = Window.partitionBy(*by).orderBy(value, tie)
-    whole = Window.partitionBy(*by)
-    return rows.withColumn("bucket", F.floor((F.row_number().over(order) - 1) * k / F.count(F.lit(1)).over(whole)).cast("long"))
+    """rows with `bucket`: rank * k // n by value, ties by the tie column; a group of any size is ranked over many tasks."""
+    placed = ranked_within(rows, by, value, tie, name="__i")
+    return placed.withColumn("bucket", F.floor(F.col("__i") * k / F.col("group_size")).cast("long")).drop("__i", "group_size")
 
 
 def reliability(rows: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -25,3 +27,31 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ranked(rows: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+    """rows with their places from 0 in the given order; what it can't tell apart is in any order. A range shuffle: no task sees more than
+    its part, and the driver a number for each part."""
+    placed = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    before, starts = 0, []
+    for r in sizes:
+        starts.append((r["part"], before))
+        before += r["n"]
+    spread = rows.sparkSession.createDataFrame(starts or [(0, 0)], "__part long, __before long")
+    local = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("__part", part).join(F.broadcast(spread), "__part").withColumn(name, F.col("__before") + local).drop("__at", "__part", "__before")
+
+
+def ranked_within(rows: DataFrame, by: Sequence[str], *order: Column | str, name: str = "place") -> DataFrame:
+    """rows with their places from 0 in the order within their group, and `group_size`. All rows are ranked at once, and a group's places
+    begin where its first row stands, so that no group is one task's. Null is a group as any other."""
+    found = ranked(rows, *by, *order, name=name)
+    if not by:
+        return found.join(F.broadcast(found.agg(F.count(F.lit(1)).alias("group_size"))))
+    groups = found.groupBy(*(F.col(b).alias(f"__by_{k}") for k, b in enumerate(by))).agg(F.min(name).alias("__first"), F.count(F.lit(1)).alias("group_size"))
+    same = F.lit(True)
+    for k, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__by_{k}"))
+    return found.join(groups, same).withColumn(name, F.col(name) - F.col("__first")).drop("__first", *(f"__by_{k}" for k in range(len(by))))

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import assignment as A
 from ..operators import coverage as C
 from ..operators import generation as G
+from ..operators.tables import ranked
 from .catalog import query, table
 
 
@@ -99,7 +100,7 @@ r AS (SELECT n.g AS g, p, CASE WHEN supp % 41 = 0 THEN NULL ELSE n.g || '::candi
 
 def arm(spark, d):
     """(cohort, accepted, groups, summary, controls) of that arm."""
-    orders = A.ranked(table(spark, d, "orders").where("o_orderkey is not null").select(F.col("o_orderkey").alias("group"), F.col("o_orderstatus").alias("status")), "group").withColumnRenamed("rank", "place")
+    orders = ranked(table(spark, d, "orders").where("o_orderkey is not null").select(F.col("o_orderkey").alias("group"), F.col("o_orderstatus").alias("status")), "group").withColumnRenamed("rank", "place")
     part, supp = F.coalesce("l_partkey", F.lit(0)), F.coalesce("l_suppkey", F.lit(0))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     lines = table(spark, d, "lineitem").where("l_orderkey is not null").select(F.col("l_orderkey").alias("group"), (F.row_number().over(order) - 1).alias("position"), part.alias("part"), supp.alias("supp"))
