@@ -112,6 +112,27 @@ def translation_flags(query: Column) -> dict[str, Column]:
     return flags | {"risk_score": F.least(F.lit(1.0), score)}
 
 
+def translation_evidence(query: Column) -> dict[str, Column]:
+    """What the flags rest on: the sorted English words, and the phrases that look translated word by word."""
+    toks = F.regexp_extract_all(F.lower(query), F.lit(PLAIN_TOKEN), F.lit(0))
+    words = F.array_sort(F.array_intersect(toks, F.array(*map(F.lit, ENGLISH))))
+    phrases = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(T.squeezed(query)), F.lit(CALQUE), F.lit(0)), lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")))
+    return {"english_words": words, "calques": phrases}
+
+
+def json_format(text: Column) -> dict[str, Column]:
+    """format_metrics of a completion that should be JSON: json_valid, whether it is a list of queries or of non-blank strings, without repairs;
+    then it isn't several queries, whatever its lines. An invalid one isn't valid in format."""
+    plain, bare = format_metrics(text), F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\f"))
+    parsed = T.parsed_queries(bare)
+    strings = F.from_json(bare, "array<string>", {"mode": "PERMISSIVE"})
+    whole = F.try_parse_json(bare).isNotNull()  # from_json alone takes what begins well
+    listed = F.coalesce(whole & bare.startswith("[") & F.forall(strings, lambda x: F.coalesce((F.btrim(x) != "") & ~x.rlike(r"^[\[{]"), F.lit(False))), F.lit(False))
+    valid = (whole & parsed["valid"] & ~parsed["repaired"]) | listed
+    out = plain | {"json_valid": valid, "multiple_query": plain["multiple_query"] & ~valid}
+    return out | {"format_valid": valid & ~plain["empty"] & ~plain["has_prefix"] & ~plain["has_metacomment"] & (plain["invalid_character_count"] == 0)}
+
+
 def length_bucket(n: Column, short: int = 64, medium: int = 192) -> Column:
     return F.when(n < short, "short").when(n < medium, "medium").otherwise("long")
 
