@@ -126,7 +126,7 @@ def json_format(text: Column) -> dict[str, Column]:
     plain, bare = format_metrics(text), F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\f"))
     parsed = T.parsed_queries(bare)
     strings = F.from_json(bare, "array<string>", {"mode": "PERMISSIVE"})
-    whole = F.try_parse_json(bare).isNotNull()  # from_json alone takes what begins well
+    whole = F.coalesce(F.json_array_length(F.concat(F.lit("["), bare, F.lit("]"))) == 1, F.lit(False))  # one value and nothing after it; from_json alone takes what begins well
     listed = F.coalesce(whole & bare.startswith("[") & F.forall(strings, lambda x: F.coalesce((F.btrim(x) != "") & ~x.rlike(r"^[\[{]"), F.lit(False))), F.lit(False))
     valid = (whole & parsed["valid"] & ~parsed["repaired"]) | listed
     out = plain | {"json_valid": valid, "multiple_query": plain["multiple_query"] & ~valid}
