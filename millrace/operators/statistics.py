@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -134,14 +134,45 @@ def transitions(left: DataFrame, right: DataFrame, key: str, label: str) -> Data
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("before")))
 
 
+def _front(values: np.ndarray) -> np.ndarray:
+    """Which rows no other row is at least as good as everywhere and better somewhere, more being better."""
+    keep, left = np.zeros(len(values), bool), np.argsort(-values.sum(axis=1), kind="stable")
+    while len(left):  # what has the greatest sum is dominated by nothing that is left
+        best = values[left[0]]
+        same = (values[left] == best).all(axis=1)
+        keep[left[same]] = True
+        left = left[~(values[left] <= best).all(axis=1)]
+    return keep
+
+
 def pareto_front(rows: DataFrame, id_col: str, up: Sequence[str], down: Sequence[str] = ()) -> DataFrame:
-    """Rows that no other row is at least as good as everywhere and better somewhere. For small tables of arms: a theta anti-join."""
-    other = rows.select(*(F.col(c).alias(f"__{c}") for c in (id_col, *up, *down)))
+    """Rows that no other row is at least as good as everywhere and better somewhere. A row with a null measure is compared with none and
+    stays. Each task leaves the front of its rows; only these fronts are compared with one another."""
+    measures = [*up, *down]
+    known = F.lit(True)
+    for c in measures:
+        known = known & F.col(c).isNotNull()
+    signs = np.array([1.0] * len(up) + [-1.0] * len(down))
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            both = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            held = both[_front(both[list(measures)].to_numpy(np.float64) * signs)].reset_index(drop=True)
+        if held is not None:
+            yield held
+
+    fronts = written(rows.where(known).select(*(F.col(c).cast("double").alias(c) for c in measures)).mapInPandas(local, ", ".join(f"{c} double" for c in measures)), "fronts")
+    other = fronts.select(*(F.col(c).alias(f"__{c}") for c in measures))
     as_good, better = F.lit(True), F.lit(False)
-    for c in (*up, *down):
+    for c in measures:
         mine, theirs = (F.col(c), F.col(f"__{c}")) if c in up else (F.col(f"__{c}"), F.col(c))
         as_good, better = as_good & (theirs >= mine), better | (theirs > mine)
-    return rows.join(other, as_good & better, "left_anti")
+    best = fronts.join(other, as_good & better, "left_anti").select(*(F.col(c).alias(f"__{c}") for c in measures)).distinct()
+    same = F.lit(True)
+    for c in measures:
+        same = same & (F.col(c).cast("double") == F.col(f"__{c}"))
+    return rows.where(known).join(best, same, "left_semi").unionByName(rows.where(~known))
 
 
 def paired_bootstrap(pairs: DataFrame, metric: str, left: str, right: str, id_col: str, samples: int = 2000, seed: int = 42, generator: str = "mt19937", levels: Sequence[float] = (0.95,)) -> DataFrame:
@@ -280,12 +311,16 @@ def spread(value: str) -> list[Column]:
 
 def index_quantile(rows: DataFrame, by: Sequence[str], value: str, p: float, ceil: bool = False) -> DataFrame:
     """(by..., quantile): the value at place floor(p (n - 1)), or with ceil at place ceil(p n) - 1, of the sorted values of each
-    group. Equal values are counted together, so that a group's task holds distinct values."""
+    group. Equal values are counted together, and running counts go by ranges of groups and values, so that no task holds a group."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    whole, running = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("__n").over(whole)
-    at = F.greatest(F.ceil(n * p) - 1, F.lit(0)) if ceil else F.floor((n - 1) * p)
-    return counts.withColumns({"__upto": F.sum("__n").over(running), "__at": at}).where(F.col("__upto") > F.col("__at")).groupBy(*by).agg(F.min(value).alias("quantile"))
+    summed = running_sums(counts.withColumn("__key", F.struct(*by, value)), "__key", "__n", "__upto")
+    groups = summed.groupBy(*(F.col(b).alias(f"__by_{k}") for k, b in enumerate(by))).agg(F.min(F.col("__upto") - F.col("__n")).alias("__from"), F.sum("__n").alias("__total"))
+    n = F.col("__total")
+    groups = groups.withColumn("__at", F.greatest(F.ceil(n * p) - 1, F.lit(0)) if ceil else F.floor((n - 1) * p))
+    same = F.lit(True)
+    for k, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__by_{k}"))
+    return summed.join(groups, same).where(F.col("__upto") - F.col("__from") > F.col("__at")).groupBy(*by).agg(F.min(value).alias("quantile"))
 
 
 def rule_quality(gold: Column, predicted: Column) -> dict[str, Column]:

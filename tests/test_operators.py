@@ -431,3 +431,14 @@ def test_apart_finds_other_kinds_only(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.9, 0.0], "a"), (3, [0.5, 0.5], "b"), (4, [0.1, 0.0], None)], "id long, v array<float>, kind string")
     got = [(r["query"], r["doc"]) for r in retrieval.dense_scores(v, v, 3, "id", "v", apart="kind").orderBy("query").collect()]
     assert got == [(1, 3), (2, 3), (3, 1), (3, 2)]
+
+
+def test_pareto_front_equals_all_comparisons(spark):
+    rng = random.Random(4)
+    rows = [(k, float(rng.randrange(12)), float(rng.randrange(12)), float(rng.randrange(12)) if rng.random() < 0.95 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(6)
+    beats = lambda x, y: x[1] >= y[1] and x[2] >= y[2] and x[3] <= y[3] and x[1:] != y[1:]
+    whole = [r for r in rows if r[3] is not None]
+    want = sorted(r[0] for r in rows if r[3] is None or not any(beats(o, r) for o in whole))
+    got = statistics.pareto_front(df, "id", ["a", "b"], ["c"])
+    assert got.columns == df.columns and sorted(r["id"] for r in got.collect()) == want and statistics.pareto_front(df.limit(0), "id", ["a"]).count() == 0
