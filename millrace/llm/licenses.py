@@ -1,9 +1,10 @@
 """Licence scans by canonical digests of entire texts.
 
 A text and the known licences are brought to one form: lower case, lines that state a copyright and lines that only reserve
-rights dropped, every run of characters other than letters and numbers one space, equivalent spellings levelled. A line states a
-copyright if it begins with the word and a year or a sign, or with a sign and the word or a year; a line of the licence itself
-that a wrap happens to begin with "copyright" stays. The digest of that form is joined with the digests of the known licences.
+rights or name an SPDX identifier dropped, every run of characters other than letters and numbers one space, equivalent spellings
+levelled. A line states a copyright if it begins with the word, unless it goes on as licences do (a list of words), with the sign, or
+with "(c)" and the word or a year; where it ends with a comma, "&", "and" or "by" the next line belongs to it. A line of the licence
+itself that a wrap happens to begin with "copyright" stays. The digest of that form is joined with the digests of the known licences.
 A document is a licence if the whole text is one, however it is spaced, wrapped, cased, punctuated or spelled, and whoever holds
 the copyright. Known are the short licences in KNOWN with the titles they go under, and the long ones in license_texts.
 
@@ -24,8 +25,15 @@ from pyspark.sql import functions as F
 
 #: Steps after lower-casing: (pattern, replacement with \1 for groups). They hold for Java's and RE2's syntax alike.
 _GAP = r"[^\p{L}\p{N}\n]*"
+#: A statement goes on in the next line where a line ends with a comma, "&", "and" or "by".
+_REST = r"([^\n]*(,|&|[^\p{L}\n]and|[^\p{L}\n]by)[^\S\n]*\n)*[^\n]*"
+#: How licences go on after the word; a line that a wrap begins so is no statement.
+_BODY = "holders? notices? and laws? interests? owners? ownership line disclaimers? licen[cs]es? resulting on permissions? patents? statements? or of also like those treaty treaties are is if doctrines in to for with as protection".split()
 LINES = [
-    (rf"(^|\n){_GAP}(copyright{_GAP}(\(c\)|©|[0-9]{{4}}|19yy|yyyy|year)|(\(c\)|©){_GAP}(copyright|[0-9]{{4}}|yyyy|year))[^\n]*", r"\1"),
+    (rf"(^|\n){_GAP}(copyright{_GAP}(\(c\)|©|[0-9]{{4}}|19yy|yyyy|year)|(\(c\)|©){_GAP}(copyright|[0-9]{{4}}|yyyy|year)){_REST}", r"\1"),
+    (rf"\n[^\p{{L}}\p{{N}}]*copyright[^\p{{L}}\p{{N}}]+({'|'.join(_BODY)}|the[^\p{{L}}\p{{N}}]+(software|library))\b", r" copyright \1"),
+    (rf"(^|\n){_GAP}(copyright[^\p{{L}}\p{{N}}\n]|©){_REST}", r"\1"),
+    (rf"(^|\n){_GAP}spdx-[a-z]+-?[a-z]*:[^\n]*", r"\1"),
     (rf"(^|\n){_GAP}all rights reserved{_GAP}(\n|$)", r"\1\2"),
 ]
 PUNCTUATION = [(r"[^\p{L}\p{N}]+", " ")]
@@ -48,7 +56,7 @@ SPELLINGS = [
 STEPS = [*LINES, *PUNCTUATION]
 #: For a pattern what a text must hold, one of it, for the pattern to occur at all: looked for first, as that is quicker.
 NEEDS = {
-    LINES[0][0]: ("copyright", "(c)", "©"), LINES[1][0]: ("all rights reserved",), SPELLINGS[1][0]: ("our",), SPELLINGS[2][0]: ("ogue",), SPELLINGS[3][0]: ("centre", "calibre"), SPELLINGS[4][0]: ("ll",),
+    LINES[0][0]: ("copyright", "(c)", "©"), LINES[1][0]: ("copyright",), LINES[2][0]: ("copyright", "©"), LINES[3][0]: ("spdx-",), LINES[4][0]: ("all rights reserved",), SPELLINGS[1][0]: ("our",), SPELLINGS[2][0]: ("ogue",), SPELLINGS[3][0]: ("centre", "calibre"), SPELLINGS[4][0]: ("ll",),
     SPELLINGS[5][0]: ("licenc", "offenc", "defenc", "practic"), SPELLINGS[6][0]: ("gement",), SPELLINGS[7][0]: ("fulfil",), SPELLINGS[8][0]: ("artefact",), SPELLINGS[9][0]: (" sub ", " non "), SPELLINGS[10][0]: (" per cent ",), SPELLINGS[11][0]: (" whilst ",), SPELLINGS[12][0]: (" https ",),
 }
 

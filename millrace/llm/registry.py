@@ -43,7 +43,8 @@ def variants() -> list[tuple[int, str, str]]:
         wrapped = ["\n".join(textwrap.fill(line, n) if not line.lower().lstrip().startswith("copyright") else line for line in text.split("\n")) for n in (61, 80)]
         swapped = re.sub(r"\bLicense\b", "Licence", text).replace("permission", "Permission").replace("recognize", "recognise").replace('"', "''")
         held = f"Copyright (c) 1999-2020 Some Body <some@example.org>\nAll rights reserved.\n\n{text}"
-        out += [(license_id, t) for t in (*wrapped, text.upper(), swapped, held)]
+        stated = [f"{line}\n\n{text}" for line in ("Copyright The Foo Authors", "Copyright by Foo Inc., 2019", "© Foo Inc.", "Copyright 2019 Foo Inc.,\nBar Ltd. and\nothers", "SPDX-License-Identifier: Other-1.0")]
+        out += [(license_id, t) for t in (*wrapped, text.upper(), swapped, held, *stated)]
     return [(-k - 1, *x) for k, x in enumerate(out)]
 
 
@@ -51,7 +52,7 @@ def op3_license_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-text scans over documents and variants of the known licences: every variant is found, as nothing else."""
     from .licenses import scanned
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").where("length(text) > 0")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     more = spark.createDataFrame([(i, text) for i, _, text in variants()], "doc_id long, text string")
     return scanned(docs.union(more)).select("doc_id", "license_id")
 

@@ -95,7 +95,7 @@ def license_variants() -> str:
     from .registry import variants
 
     rows = ", ".join(f"({i}, '{license_id}')" for i, license_id, _ in variants())
-    return f"SELECT doc_id::BIGINT AS doc_id, license_id FROM (VALUES {rows}) AS v(doc_id, license_id) UNION ALL SELECT doc_id, NULL FROM documents WHERE length(text) > 0"
+    return f"SELECT doc_id::BIGINT AS doc_id, license_id FROM (VALUES {rows}) AS v(doc_id, license_id) UNION ALL SELECT doc_id, NULL FROM documents"
 
 
 #: All pairs of a label.

@@ -59,3 +59,14 @@ def test_lines_of_a_licence_stay(spark):
     one = lambda t: spark.createDataFrame([(1, t)], "i int, t string").select(licenses.canonical(licenses.F.col("t"))).first()[0]
     assert one("a\nCOPYRIGHT HOLDERS BE LIABLE\n(c) You must retain\ncopyright notice\nall rights reserved by x") == "a copyright holders be liable c you must retain copyright notice all rights reserved by x"
     assert one("© 2020 X\nCopyright (C) Y\n* copyright 1999 Z\n(c) Copyright W\nAll Rights Reserved.\nb") == "b"
+
+
+def test_statements_of_any_holder(spark):
+    """By the word or the sign alone, over lines that a comma ends, and beside an identifier."""
+    mit = licenses.KNOWN["MIT"]
+    heads = ["Copyright The Foo Authors", "Copyright by Foo Inc., 2019", "© Foo Inc.", "* Copyright: Someone\n* All rights reserved.", "Copyright (c) 2019 Foo,\n  Bar & Sons and\n  others", "SPDX-License-Identifier: MIT\nSPDX-FileCopyrightText: 2020 X", "copyright foo"]
+    rows = [(k, f"{h}\n{gap}{mit}") for k, (h, gap) in enumerate((h, g) for h in heads for g in ("", "\n"))]
+    assert [r["license_id"] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == ["MIT"] * len(rows)
+    one = lambda t: spark.createDataFrame([(1, t)], "i int, t string").select(licenses.canonical(licenses.F.col("t"))).first()[0]
+    assert one("we protect rights:\ncopyright the software\n\"copyright\" line\ncopyrights\ncopyright, or") == "we protect rights copyright the software copyright line copyrights copyright or"
+    assert one("copyright") == "copyright" and one("a\nspdx\nb") == "a spdx b"
