@@ -19,7 +19,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         context.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/millrace/{context.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes the tables that this application's operators have written so far. Results that aren't read yet can't be read after it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "t")).getParent()
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:

@@ -442,3 +442,16 @@ def test_pareto_front_equals_all_comparisons(spark):
     want = sorted(r[0] for r in rows if r[3] is None or not any(beats(o, r) for o in whole))
     got = statistics.pareto_front(df, "id", ["a", "b"], ["c"])
     assert got.columns == df.columns and sorted(r["id"] for r in got.collect()) == want and statistics.pareto_front(df.limit(0), "id", ["a"]).count() == 0
+
+
+def test_written_tables_can_be_cleared(spark):
+    from millrace.operators import tables
+
+    df = tables.written(spark.range(5))
+    assert df.count() == 5
+    tables.cleared(spark)
+    import pytest
+
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        df.agg(F.sum("id")).collect()
+    assert tables.written(spark.range(3)).count() == 3
