@@ -37,18 +37,18 @@ class Index:
 
     def __init__(self, docs: DataFrame, id_col: str, terms: Column) -> None:
         """Documents without terms count for the size; a null text has none, a null id is a document of its own."""
-        listed = docs.select(F.col(id_col).alias("doc"), F.coalesce(terms, F.array().cast("array<string>")).alias("__terms"))
-        each = listed.select("doc", F.size("__terms").alias("length"), F.posexplode_outer(term_counts(F.col("__terms"))).alias("at", "p"))
-        rows = written(each.select("doc", "p.term", "p.tf", "length", (F.coalesce("at", F.lit(0)) == 0).alias("head")), "postings")
+        whole = T.bound(F.coalesce(terms, F.array().cast("array<string>")), lambda w: F.struct(F.size(w).alias("length"), term_counts(w).alias("counts")))  # a text is cut once
+        each = docs.select(F.col(id_col).alias("doc"), whole.alias("x")).select("doc", "x", F.posexplode_outer("x.counts").alias("at", "p"))
+        rows = written(each.select("doc", "p.term", "p.tf", "x.length", (F.coalesce("at", F.lit(0)) == 0).alias("head")), "postings")
         self.docs = rows.where("head").select("doc", "length")
         self.postings = rows.where("term is not null").drop("head")
         found = self.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl")).first()
         self.n, self.avgdl = found["n"], found["avgdl"] or 0.0
 
     def hits(self, queries: DataFrame, query_col: str, terms: Column) -> Hits:
-        """The postings of the queries' terms, written."""
-        wanted = queries.select(F.col(query_col).alias("query"), F.explode(F.array_distinct(terms)).alias("term"))
-        return Hits(self, wanted, written(self.postings.join(wanted.select("term").distinct(), "term", "left_semi"), "hits"))
+        """The postings of the queries' terms."""
+        wanted = written(queries.select(F.col(query_col).alias("query"), F.explode(F.array_distinct(terms)).alias("term")), "wanted")
+        return Hits(self, wanted, self.postings.join(wanted.select("term").distinct(), "term", "left_semi"))
 
     def scores(self, queries: DataFrame, query_col: str, terms: Column, k1: float = K1, b: float = B) -> DataFrame:
         return self.hits(queries, query_col, terms).scores(k1, b)
@@ -59,7 +59,7 @@ class Hits:
 
     def __init__(self, index: Index, wanted: DataFrame, postings: DataFrame) -> None:
         self.index, self.wanted, self.postings = index, wanted, postings
-        self.df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        self.df = written(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
 
     def scores(self, k1: float = K1, b: float = B) -> DataFrame:
         """(query, doc, score), a written table of the documents that share a term with the query; log10 idf, each query term
