@@ -178,13 +178,17 @@ def lexical_focus(query: Column, passage: Column, least: float = 0.2, cut=T.sent
 
 def judge_focus(scores: Column, ambiguous: float = 0.1) -> Column:
     """Of an array of sentence scores: (sentence, score, margin to the next best, bucket, ambiguous, sentences); ties go to the
-    first, the margin of a single sentence is infinite, no sentence gives null."""
+    first, a score that isn't a number is the best and null the last, the margin of a single sentence is infinite, no sentence gives null."""
 
     def of(s: Column) -> Column:
-        ranked = F.array_sort(F.transform(s, lambda x, i: F.struct((-x).alias("down"), i.alias("i"))))
-        margin = F.when(F.size(s) > 1, F.get(ranked, 1)["down"] - F.get(ranked, 0)["down"]).otherwise(F.lit(float("inf")))
-        at = F.get(ranked, 0)["i"]
-        return F.when(F.size(s) > 0, F.struct(at.alias("sentence"), F.array_max(s).alias("score"), margin.alias("margin"), third(at, F.size(s)).alias("bucket"), (margin < ambiguous).alias("ambiguous"), F.size(s).alias("sentences")))
+        by_score = F.array_sort(F.transform(s, lambda x, i: F.struct(x.isNull().alias("none"), (~F.isnan(x)).alias("known"), (-x).alias("down"), i.alias("i"), x.alias("score"))))
+
+        def told(ranked: Column) -> Column:
+            best = F.get(ranked, 0)
+            margin = F.when(F.size(s) > 1, best["score"] - F.get(ranked, 1)["score"]).otherwise(F.lit(float("inf")))
+            return F.struct(best["i"].alias("sentence"), best["score"].alias("score"), margin.alias("margin"), third(best["i"], F.size(s)).alias("bucket"), (margin < ambiguous).alias("ambiguous"), F.size(s).alias("sentences"))
+
+        return F.when(F.size(s) > 0, T.bound(by_score, told))
 
     return T.bound(scores, of)
 

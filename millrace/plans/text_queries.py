@@ -79,7 +79,8 @@ e AS (SELECT id, len(s) AS n, i - 1 AS i, s[i] AS score FROM g, unnest(range(1,
 SELECT id, i::INT AS sentence, score, CASE WHEN n > 1 THEN score - after ELSE 'inf'::DOUBLE END AS margin, CASE WHEN (i + 0.5) / n <= 1 / 3 THEN 'beginning' WHEN (i + 0.5) / n <= 2 / 3 THEN 'middle' ELSE 'end' END AS bucket, n > 1 AND score - after < 0.1 AS ambiguous, n::INT AS sentences FROM r WHERE k = 1""")
 def judge_focus(spark, d):
     """Lines of an order as sentences, prices as their scores."""
-    scores = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_extendedprice").cast("double").alias("s")))), lambda x: x["s"])
+    last = lambda c: F.col(c).isNull().alias(f"no_{c}")
+    scores = F.transform(F.array_sort(F.collect_list(F.struct(last("l_linenumber"), "l_linenumber", last("l_extendedprice"), F.col("l_extendedprice").cast("double").alias("s")))), lambda x: x["s"])
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(scores.alias("s")).select("id", L.judge_focus(F.col("s")).alias("f")).select("id", "f.*")
 
 
