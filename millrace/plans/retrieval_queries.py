@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
 from ..operators import statistics as S
-from .catalog import _BM25_SQL, _DOT, _GRADED_SQL, _POOL_SQL, _RELEVANT_SQL, bm25_index, bm25_ranked, bm25_scores, poisson_sql, pools, query, relevant, rounded_interval, table
+from ..operators.tables import written
+from .catalog import _BM25_SQL, _DOT, _GRADED_SQL, _POOL_SQL, _RELEVANT_SQL, bm25_hits, bm25_index, bm25_ranked, poisson_sql, pools, query, relevant, rounded_interval, table
 
 _ROUND_TRIP = f"""{_BM25_SQL}, {_RELEVANT_SQL}, top AS (SELECT * FROM ranked WHERE rank <= 200), sides AS (SELECT t.query AS query, t.score AS score, t.rank AS rank, r.doc IS NOT NULL AS p FROM top t LEFT JOIN rel r ON t.query = r.query AND t.doc = r.doc),
 m AS (SELECT query, min(rank) FILTER (p) AS r, max(score) FILTER (p) AS best_positive, max(score) FILTER (NOT p) AS best_other FROM sides GROUP BY query)"""
@@ -24,14 +25,13 @@ def bm25_given(spark, d):
     """Scores of given pairs: every document with one item."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"))
     wanted = table(spark, d, "documents").select(F.col("doc_id").alias("doc")).withColumn("query", F.col("doc") % items.count()).join(items, "query").select("query", "doc")
-    return R.scores_of(bm25_scores(spark, d), wanted, bm25_index(spark, d).docs).select("query", "doc", F.round("score", 6).alias("score"))
+    return R.scores_of(bm25_hits(spark, d).given(wanted), wanted, bm25_index(spark, d).docs).select("query", "doc", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_BM25_SQL}, {_RELEVANT_SQL}, n AS (SELECT r.query AS query, r.doc AS doc, round(score, 6) AS score, row_number() OVER (PARTITION BY r.query ORDER BY rank) AS position FROM ranked r LEFT JOIN rel ON rel.query = r.query AND rel.doc = r.doc WHERE rel.doc IS NULL) SELECT * FROM n WHERE position <= 5""")
 def bm25_negatives(spark, d):
-    rel = relevant(spark, d)
-    most = rel.groupBy("query").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return R.mined_negatives(bm25_ranked(spark, d).where(F.col("rank") <= 5 + most), rel, 5).select("query", "doc", F.round("score", 6).alias("score"), "position")
+    rel = written(relevant(spark, d), "relevant")
+    return R.mined_negatives(bm25_hits(spark, d).best(5, rel), rel, 5).select("query", "doc", F.round("score", 6).alias("score"), "position")
 
 
 _SCORED = f"s AS (SELECT q.vec_id AS query, q.label AS own, c.vec_id AS doc, c.label AS label, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0)"
