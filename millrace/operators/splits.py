@@ -24,7 +24,7 @@ def record_components(records: DataFrame, canonical: DataFrame | None = None) ->
     edges = links.select(F.concat(F.lit("q:"), F.col("example_id").cast("string")).alias("a"), F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("b"))
     roots = dedup.components(edges).withColumnRenamed("node", "__node")
     own = records.select("example_id", F.concat(F.lit("q:"), F.col("example_id").cast("string")).alias("__node"))
-    return own.join(roots, "__node", "left").select("example_id", F.coalesce("root", "__node").alias("component"))
+    return own.join(roots.hint("merge"), "__node", "left").select("example_id", F.coalesce("root", "__node").alias("component"))
 
 
 def drop_crossing_negatives(records: DataFrame, splits: DataFrame, least: int = 10) -> DataFrame:
@@ -151,5 +151,5 @@ def balanced_components(records: DataFrame, shares: dict[str, float], canonical:
     """records -> (example_id, component, split): whole components go where the pressure of all records and of each domain is least."""
     placed = written(record_components(records, canonical), "record-components")
     kinds = records.select("example_id", (F.col(domain) if domain else F.lit("all")).alias("__domain"))
-    splits = balanced_splits(placed.join(kinds, "example_id"), "component", "__domain", shares, seed)
-    return placed.join(splits.select("component", "split"), "component").select("example_id", "component", "split")
+    splits = balanced_splits(placed.join(kinds.hint("merge"), "example_id"), "component", "__domain", shares, seed)
+    return placed.join(splits.select("component", "split").hint("merge"), "component").select("example_id", "component", "split")
