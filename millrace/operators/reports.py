@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .records import records_digest
-from .statistics import compare_arms
+from .statistics import compare_arms, running_sums
+from .tables import written
 
 
 def same_cohort(left: DataFrame, right: DataFrame, key: str) -> None:
@@ -67,10 +68,25 @@ def complete_scored_groups(rows: DataFrame, scores: DataFrame, group: str, item:
     return both.join(full, group, "left_semi")
 
 
-def margin_scale(value: str) -> Column:
-    """The distance of the quartiles, as a scale; null where they meet."""
-    iqr = F.percentile(value, 0.75) - F.percentile(value, 0.25)
-    return F.when(iqr > 0, iqr)
+def margin_scales(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, scale): the distance of the quartiles of each group's values, by linear interpolation; null where they meet or there are no values.
+
+    Different values are counted and ranked over ranges of (by, value), so that no group is one task's."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.struct(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    upto = written(running_sums(counted, "k", "n", "upto").select("k.g", "k.v", "upto", (F.col("upto") - F.col("n")).alias("from")), "upto")
+    groups = upto.groupBy("g").agg(F.min("from").alias("first"), F.max("upto").alias("end")).withColumnRenamed("g", "h")
+    placed = upto.join(groups, F.col("g").eqNullSafe(F.col("h")))
+    at = {p: p * (F.col("end") - F.col("first") - 1) for p in (0.25, 0.75)}
+    held = lambda place: F.max(F.when((F.col("first") + place >= F.col("from")) & (F.col("first") + place < F.col("upto")), F.col("v")))
+    found = placed.groupBy("h").agg(*(held(cut(x)).alias(f"{name}{int(100 * p)}") for p, x in at.items() for name, cut in (("low", F.floor), ("top", F.ceil))), *(F.max(x).alias(f"at{int(100 * p)}") for p, x in at.items()))
+
+    def quartile(p: int) -> Column:
+        low, top, x = F.col(f"low{p}"), F.col(f"top{p}"), F.col(f"at{p}")
+        return F.when(low == top, low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * top)
+
+    iqr = quartile(75) - quartile(25)
+    scales = found.select("h", F.when(iqr > 0, iqr).alias("scale"))
+    return rows.select(by).distinct().join(scales, F.col(by).eqNullSafe(F.col("h")), "left").select(by, "scale")
 
 
 def fingerprint_drift(frames: dict[str, DataFrame], columns: list[str]) -> list[str]:

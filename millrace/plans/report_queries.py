@@ -67,7 +67,7 @@ def complete_scored_groups(spark, d):
 @query("SELECT l_returnflag, nullif(round(quantile_cont(l_extendedprice::DOUBLE, 0.75) - quantile_cont(l_extendedprice::DOUBLE, 0.25), 6), 0) AS scale FROM lineitem GROUP BY 1")
 def margin_scales(spark, d):
     rows = table(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("v"))
-    return rows.groupBy("l_returnflag").agg(F.round(P.margin_scale("v"), 6).alias("scale"))
+    return P.margin_scales(rows, "l_returnflag", "v").select("l_returnflag", F.round("scale", 6).alias("scale"))
 
 
 @query(f"""WITH {_POOL_SQL}, r AS (SELECT o_orderpriority, o_orderstatus, len(list_filter(negatives, lambda n: n >= positive)) + 1 AS k FROM pools JOIN orders ON o_orderkey = query WHERE positive IS NOT NULL AND negatives IS NOT NULL), s AS (SELECT unnest([{{'field': 'o_orderpriority', 'value': coalesce(o_orderpriority, 'unknown')}}, {{'field': 'o_orderstatus', 'value': coalesce(o_orderstatus, 'unknown')}}]) AS s, 1.0 / k AS m FROM r) SELECT s.field AS field, s.value AS value, count(*) AS n, round(avg(m), 9) AS mean FROM s GROUP BY ALL""")
