@@ -59,7 +59,11 @@ def _shows(text: Column, how: str, marks: tuple[str, ...]) -> Column:
 def query_labels(query: Column) -> dict[str, Column]:
     """form, form_confidence, intent, intent_confidence; unknown where no rule is sure."""
     text = T.normal_form(query)
-    n = F.size(T.words(text))
+    return labels_of(text, F.size(T.words(text)))
+
+
+def labels_of(text: Column, n: Column) -> dict[str, Column]:
+    """As query_labels, of a query's normal form and its number of words; each rule looks at them anew, so that they had better be columns."""
     empty, question, short = n == 0, text.endswith("?") | starts(text, OPENERS), n <= KEYWORDS
     form = [(empty, "unknown"), (question, "full_question"), (short, "keyword_query")]
     intent = [(empty, ("unknown", 0.0)), *((_shows(text, how, marks), (name, sure)) for name, how, marks, sure in INTENTS), (question | short, ("fact_lookup", FACT_LOOKUP))]
