@@ -3,8 +3,8 @@
 A host's wrapper is a union-free regular expression over its pages' token streams, held as rules: for each element path the
 sequence of what its element contains (elements by tag, class and id; text slots by what stands before them), each item marked
 optional or repeated, with repeated groups. Pages are aligned one after another, rule by rule: what only some have becomes
-optional, runs of equal items or groups become repeated. This starts inside each task, goes on over parts of a host, and ends
-with one wrapper for the host, so that no task sees all pages of a host.
+optional, runs of equal items or groups become repeated. This starts inside each task and goes on by host and path or slot, so that
+no task sees all pages or all rules of a host.
 
 Each slot notes the different pages that have it, the texts that all of them have there, and how much text it holds. On every
 page of a host with at least LEAST_PAGES different pages the wrapper chooses the texts: those that a slot has on all pages are
@@ -21,9 +21,10 @@ paragraph, heading, quote, list item or table. Names of html, body and main mark
 that holds a main, or an article with more text than all unmarked text, holds main text, and so does, where there is no other
 text, one with more text than links. Scripts, icons, buttons and the like inside a block don't end it.
 
-Bounds: parsing is linear in the page, nothing recurses. Paths are digests; below DEEPEST levels a path ends there and with the
-element's own name. A rule longer than WIDEST items becomes any number of its items in any order, then of their tags. A host with
-more than MOST_RULES paths has rules for those of the least digests; a slot without a rule is no template.
+Parsing is linear in the page, nothing recurses; paths are digests, of any depth. Nothing is cut: every slot of a host is decided,
+whatever its rule, and a repeat of more than LONGEST_GROUP items stays written out. A rule that is aligned beyond WIDEST items becomes
+any number of its items in any order, then of their tags, and one beyond CELLS is aligned by next places; such a rule is loose, and the
+articles of its path are then told by what its elements held: two at once, or of two names.
 
 Nulls: null or empty html gives an empty text, a null URL belongs to the host ''. Repeated rows each get their text and
 count once for the wrapper. Extra columns don't matter."""
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import itertools
 import json
 import re
 from collections import Counter
@@ -48,10 +50,12 @@ from .common import SALTS, keyed_summary, salt_of, written
 LEAST_PAGES = 5
 #: Bytes of decisions up to which they are broadcast; beyond, pages are joined in parts.
 BROADCAST_BYTES = 32 << 20
-#: Hosts and rules that a task holds before it reports them; longest group that is sought as a repeat.
-HOSTS, HELD_RULES, LONGEST_GROUP = 2000, 200_000, 4
-#: Levels of a path, items of a rule, rules of a host; cells of an alignment's table, beyond which items meet at their next place.
-DEEPEST, WIDEST, MOST_RULES, CELLS = 64, 512, 4096, 40_000
+#: Texts of a host's template up to which its pages carry them all; of more, a page is told its own by a join.
+WHOLE_TEMPLATE = 4096
+#: Hosts, and rules and slots, that a task holds before it reports them; longest group that is sought as a repeat.
+HOSTS, HELD_PARTS, LONGEST_GROUP = 2000, 400_000, 4
+#: Items of a rule, and cells of an alignment's table, beyond which items meet at their next place.
+WIDEST, CELLS = 512, 40_000
 
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -187,12 +191,10 @@ def tokens(page: str) -> Iterator[tuple[str, bool, str, str]]:
 class Element:
     """An open block element; items are what it holds so far. home: the element itself, or for prose the one that holds it."""
 
-    __slots__ = ("article", "chrome", "deep", "depth", "hard", "held", "hidden", "home", "inner", "items", "path", "tag")
+    __slots__ = ("article", "chrome", "hard", "held", "hidden", "home", "inner", "items", "path", "tag")
 
     def __init__(self, tag: str, path: int, parent: Element | None, hidden: bool = False) -> None:
         self.tag, self.path, self.items = tag, path, []
-        self.depth = parent.depth + 1 if parent else 0
-        self.deep = path if self.depth <= DEEPEST or not parent else parent.deep
         self.article = tag in ARTICLE_TAGS or bool(parent and parent.article)
         self.hard = self.chrome = self.inner = False
         self.held = parent.held if parent else 0
@@ -211,8 +213,8 @@ class Run:
         self.slot, self.article, self.chrome, self.hard, self.held, self.inner, self.text, self.linked, self.home = slot, e.article, e.chrome, e.hard, e.held, e.inner, text, linked, e.home
 
 
-def parsed(page: str, rules: dict[int, list] | None = None) -> list[Run]:
-    """A page's text runs; into rules go the sequences that its elements hold."""
+def parsed(page: str, wrapper: Wrapper | None = None) -> list[Run]:
+    """A page's text runs; into the wrapper's rules go the sequences that its elements hold."""
     root = Element("", 0, None)
     stack, open_, out, run, n_held, linked = [root], Counter(), [], [], 0, 0
 
@@ -234,8 +236,8 @@ def parsed(page: str, rules: dict[int, list] | None = None) -> list[Run]:
     def close(depth: int) -> None:
         for e in stack[depth:]:
             open_[e.tag] -= 1
-            if rules is not None and e.items:
-                add_rule(rules, e.path, fold([[k, 0, 0, None] for k in e.items]))
+            if wrapper is not None and e.items:
+                wrapper.add_rule(e.path, fold([[k, 0, 0, None] for k in e.items]), articles=[_hash(k) for k in e.items if k.split(".")[0] == "article"])
         del stack[depth:]
 
     inline: Counter = Counter()
@@ -286,7 +288,7 @@ def parsed(page: str, rules: dict[int, list] | None = None) -> list[Run]:
         while stack[-1].tag in CLOSES_OWN.get(tag, ()):
             close(len(stack) - 1)
         top = stack[-1]
-        e = Element(tag, _path(top.deep, key), top)
+        e = Element(tag, _path(top.path, key), top)
         named = marked_inside if top.article else marked
         hard = tag in CHROME_TAGS or (tag == "header" and not top.article) or (named and (top.article or tag == "article"))
         e.hard = hard or top.hard
@@ -395,9 +397,9 @@ def coarse(items: list) -> list:
     return [[k, 1, 1, None] for k in keys]
 
 
-def add_rule(rules: dict[int, list], path: int, items: list) -> None:
-    old = rules.get(path)
-    rules[path] = items if old is None else align(old, items)
+def exact(a: list, b: list) -> bool:
+    """Whether align finds one rule for both within its bounds."""
+    return (len(a) == len(b) and all(map(_same, a, b))) or (len(a) * len(b) <= CELLS and len(a) + len(b) <= WIDEST)
 
 
 def _least(*digests: list[int]) -> list[int]:
@@ -437,27 +439,63 @@ def template_key(slot: int, digest: int) -> int:
 
 
 class Wrapper:
-    """rules: path -> items. slots: slot -> Slot. contents: the LEAST_PAGES least digests of different pages."""
+    """rules: path -> items. loose: paths whose rule was aligned beyond its bounds. articles: path -> the most articles that an element
+    held at once, the least and the greatest digest of their names. slots: slot -> Slot. contents: the LEAST_PAGES least digests of
+    different pages. A part is (kind, key, value as JSON) of one of these; parts of equal kind and key of any wrappers can be joined alone."""
 
     def __init__(self) -> None:
         self.rules: dict[int, list] = {}
+        self.loose: set[int] = set()
+        self.articles: dict[int, list[int]] = {}
         self.slots: dict[int, Slot] = {}
         self.contents: list[int] = []
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
-        out, held = cls(), json.loads(text)
-        out.rules, out.slots, out.contents = {int(k): v for k, v in held["rules"].items()}, {int(k): Slot(*v) for k, v in held["slots"].items()}, held["contents"]
+        out = cls()
+        for part in json.loads(text):
+            out.add_part(*part)
         return out
 
     def dump(self) -> str:
-        return json.dumps({"rules": self.rules, "slots": {k: s.dump() for k, s in self.slots.items()}, "contents": self.contents}, sort_keys=True)
+        return json.dumps(sorted(self.parts()))
+
+    def parts(self) -> Iterator[tuple[str, int, str]]:
+        yield "contents", 0, json.dumps(self.contents)
+        for slot, stats in self.slots.items():
+            yield "slot", slot, json.dumps(stats.dump())
+        for path, items in self.rules.items():
+            yield "rule", path, json.dumps([items, path in self.loose, self.articles.get(path)])
+
+    def add_part(self, kind: str, key: int, value: str) -> None:
+        held = json.loads(value)
+        if kind == "contents":
+            self.contents = _least(self.contents, held)
+        elif kind == "slot":
+            self._slot(key, Slot(*held))
+        else:
+            self.add_rule(key, held[0], held[1])
+            self._articles(key, held[2])
+
+    def add_rule(self, path: int, items: list, loose: bool = False, articles: list[int] = ()) -> None:
+        old = self.rules.get(path)
+        if loose or (old is not None and not exact(old, items)):
+            self.loose.add(path)
+        self.rules[path] = items if old is None else align(old, items)
+        if articles:
+            self._articles(path, [len(articles), min(articles), max(articles)])
+
+    def _articles(self, path: int, new: list[int] | None) -> None:
+        if new:
+            old = self.articles.get(path, new)
+            self.articles[path] = [max(old[0], new[0]), min(old[1], new[1]), max(old[2], new[2])]
 
     def add_page(self, page: str) -> None:
-        rules: dict[int, list] = {}
-        runs = [r for r in parsed(page, rules) if not r.chrome]
-        for path, items in rules.items():
-            add_rule(self.rules, path, items)
+        own = Wrapper()
+        runs = [r for r in parsed(page, own) if not r.chrome]
+        for path, items in own.rules.items():
+            self.add_rule(path, items, path in own.loose)
+            self._articles(path, own.articles.get(path))
         content = _hash("\n".join(r.text for r in runs))
         by_length = sorted({r.text for r in runs}, key=lambda t: (-len(t), t))
         longest, second = (_hash(by_length[k]) if len(by_length) > k else 0 for k in (0, 1))
@@ -470,21 +508,10 @@ class Wrapper:
             d = _hash("\n".join(sorted(found)))
             self._slot(slot, Slot([d, d], sorted(map(_hash, found)), [content], [longest], [second], chars, int(article)))
         self.contents = _least(self.contents, [content])
-        self.trim()
 
     def add(self, other: Wrapper) -> None:
-        for path, items in other.rules.items():
-            add_rule(self.rules, path, items)
-        for slot, stats in other.slots.items():
-            self._slot(slot, stats)
-        self.contents = _least(self.contents, other.contents)
-        self.trim()
-
-    def trim(self) -> None:
-        for held in (self.rules, self.slots):
-            if len(held) > 2 * MOST_RULES:
-                for k in sorted(held)[MOST_RULES:]:
-                    del held[k]
+        for part in other.parts():
+            self.add_part(*part)
 
     def _slot(self, slot: int, new: Slot) -> None:
         if slot in self.slots:
@@ -492,26 +519,25 @@ class Wrapper:
         else:
             self.slots[slot] = new
 
+    def several(self) -> bool:
+        """Whether articles are a repeated item."""
+        for path, (most, least, greatest) in self.articles.items():
+            held = [k[2] | x[2] for x in self.rules[path] for k in (x[3] or [x]) if k[0].split(".")[0] == "article"]
+            if most > 1 or least != greatest if path in self.loose else len(held) > 1 or any(held):
+                return True
+        return False
+
+    def told(self) -> tuple[list[int], int, bool, bool]:
+        """What the parts here add to the host's decision: keys of its template's texts, characters outside articles less those inside,
+        of slots that differ from page to page; whether articles repeat; whether there are pages enough."""
+        template = sorted({template_key(slot, d) for slot, found in self.slots.items() for d in found.template()})
+        more = sum(0 if s.constant() else -s.chars if s.article else s.chars for s in self.slots.values())
+        return template, more, self.several(), len(self.contents) >= LEAST_PAGES
+
     def decided(self) -> tuple[list[int], bool]:
         """The keys of the template's texts, and whether the main text is outside the articles."""
-        if len(self.contents) < LEAST_PAGES:
-            return [], False
-        template, inside, outside, several = [], 0, 0, False
-        for path in sorted(self.rules)[:MOST_RULES]:
-            items = [(k, k[2] | x[2]) for x in self.rules[path] for k in (x[3] or [x])]
-            articles = [repeated for k, repeated in items if k[0].split(".")[0] == "article"]
-            several |= len(articles) > 1 or any(articles)
-            for k, _ in items:
-                slot = _path(path, k[0]) if k[0][0] == "#" else None
-                if slot not in self.slots:
-                    continue
-                found = self.slots[slot]
-                template += [template_key(slot, d) for d in found.template()]
-                if found.article:
-                    inside += 0 if found.constant() else found.chars
-                else:
-                    outside += 0 if found.constant() else found.chars
-        return sorted(set(template)), several and outside > inside
+        template, more, several, enough = self.told()
+        return (template, several and more > 0) if enough else ([], False)
 
 
 def host_of(url: Column) -> Column:
@@ -519,45 +545,50 @@ def host_of(url: Column) -> Column:
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The hosts' wrappers, a written table (host, wrapper, template array<long>, outside boolean)."""
+    """What the hosts' wrappers decide, a written table (host, outside boolean, template long): a row for each text of a host's template,
+    one with null where the main text is outside and there is no template."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Wrapper] = {}
 
-        def report() -> pa.RecordBatch:
-            rows = [(h, w.dump()) for h, w in held.items()]
+        def report() -> Iterator[pa.RecordBatch]:
+            rows = ((h, *part) for h, w in held.items() for part in w.parts())
+            while some := list(itertools.islice(rows, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.string(), pa.int64(), pa.string()))], ["host", "kind", "key", "value"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["host", "wrapper"])
 
-        rules = 0
+        parts = 0
         for b in batches:
             for host, page in zip(b.column(0).to_pylist(), b.column(1)):
                 w = held.setdefault(host, Wrapper())
-                rules -= len(w.rules)
+                parts -= len(w.rules) + len(w.slots)
                 w.add_page(page.as_py() or "")
-                rules += len(w.rules)
-                if len(held) >= HOSTS or rules >= HELD_RULES:
-                    yield report()
-                    rules = 0
-        yield report()
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = Wrapper()
-        for text in sorted(pdf["wrapper"]):
-            whole.add(Wrapper.load(text))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [whole.dump()]})
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [Wrapper.load(t).decided() for t in b.column(1).to_pylist()]
-            columns = [pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["host", "wrapper", "template", "outside"])
-
-    parts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(partial, "host string, wrapper string")
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    schema = "host string, wrapper string"
-    whole = parts.groupBy("host", "part").applyInPandas(join, schema).groupBy("host").applyInPandas(join, schema)
-    return written(whole.mapInArrow(decide, "host string, wrapper string, template array<long>, outside boolean"), "wrappers")
+                parts += len(w.rules) + len(w.slots)
+                if len(held) >= HOSTS or parts >= HELD_PARTS:
+                    yield from report()
+                    parts = 0
+        yield from report()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+
+        def each() -> Iterator[tuple]:
+            for (host, _, _), same in itertools.groupby(rows, lambda r: r[:3]):
+                whole = Wrapper()
+                for _, kind, key, value in same:
+                    whole.add_part(kind, key, value)
+                yield host, *whole.told()
+
+        found = each()
+        while some := list(itertools.islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.list_(pa.int64()), pa.int64(), pa.bool_(), pa.bool_()))], ["host", "template", "more", "several", "enough"])
+
+    parts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(partial, "host string, kind string, key long, value string")
+    dealt = parts.repartition("host", "kind", "key").sortWithinPartitions("host", "kind", "key", "value")
+    told = written(dealt.mapInArrow(join, "host string, template array<long>, more long, several boolean, enough boolean"), "parts")
+    hosts = told.groupBy("host").agg((F.bool_or("several") & (F.sum("more") > 0)).alias("outside"), F.bool_or("enough").alias("enough")).where("enough").select("host", "outside")
+    texts = told.where("size(template) > 0").select("host", F.explode("template").alias("template"))
+    return written(hosts.join(texts, "host", "left").where("outside or template is not null").select("host", "outside", "template"), "wrappers")
 
 
 def _without_template(runs: list[Run], template: set[int]) -> list[Run]:
@@ -590,10 +621,28 @@ def main_text(page: str, template: set[int] = frozenset(), outside: bool = False
     return "\n\n".join(r.text for r in chosen)
 
 
+def _own_template(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows(host, html), texts(host, template) -> (host, digest of html, template array<long>): the template's texts that a page has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [sorted({template_key(r.slot, _hash(r.text)) for r in parsed(page.as_py() or "") if not r.chrome}) for page in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], ["host", "page", "keys"])
+
+    pages = rows.select("host", F.sha2("html", 256).alias("page"), "html").mapInArrow(run, "host string, page string, keys array<long>")
+    each = written(pages.select("host", "page", F.explode("keys").alias("template")).withColumn("salt", salt_of(F.col("page"))), "page-texts")
+    places = keyed_summary(each, ["host", "template"], "salt", {"n": F.count(F.lit(1))}, {"n": F.sum("n")})
+    known = places.join(texts, ["host", "template"]).select("host", "template", "salt")
+    return each.join(known, ["host", "template", "salt"]).groupBy("host", "page").agg(F.collect_set("template").alias("own"))
+
+
 def extracted(pages: DataFrame, wrappers: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url, text, n_chars) of each row."""
     wrappers = infer(pages, url_col, html_col) if wrappers is None else wrappers
-    decisions = wrappers.where("size(template) > 0 or outside").select("host", "template", "outside")
+    hosts = wrappers.groupBy("host").agg(F.first("outside").alias("outside"), F.count("template").alias("n"))
+    large = written(hosts.where(F.col("n") > WHOLE_TEMPLATE).select("host", F.lit(True).alias("large")), "large")
+    texts = wrappers.join(large, "host", "left_anti").groupBy("host").agg(F.collect_list("template").alias("template"))
+    decisions = written(hosts.join(texts, "host", "left").select("host", F.coalesce("template", F.array().cast("array<long>")).alias("template"), "outside"), "decisions")
     size = decisions.agg(F.sum(F.length("host") + 8 * F.size("template") + 16)).first()[0] or 0
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     if size <= BROADCAST_BYTES:
@@ -602,6 +651,9 @@ def extracted(pages: DataFrame, wrappers: DataFrame | None = None, id_col: str =
         dealt = rows.withColumn("salt", salt_of(F.col("html")))
         places = keyed_summary(dealt.select("host", "salt"), ["host"], "salt", {"n": F.count(F.lit(1))}, {"n": F.sum("n")})
         placed = dealt.join(places.join(decisions, "host").select("host", "salt", "template", "outside"), ["host", "salt"], "left")
+    if large.limit(1).count():
+        own = _own_template(rows.join(large, "host", "left_semi"), wrappers.join(large, "host", "left_semi").select("host", "template"))
+        placed = placed.withColumn("page", F.sha2("html", 256)).join(own, ["host", "page"], "left").withColumn("template", F.coalesce("own", "template"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

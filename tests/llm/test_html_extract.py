@@ -208,3 +208,36 @@ def test_a_constant_heading_in_the_varying_region_stays(spark):
     page = lambda k: f"<div class=top>Our site</div><div class=post><h1>T {k}</h1><p>first {k}</p><h2>Summary</h2><p>second {k}</p></div><div class=low><p>Contact us</p></div>"
     got = {r["page_id"]: r["text"] for r in H.extracted(spark.createDataFrame([(k, f"http://one.example/{k}", page(k)) for k in range(8)], "page_id long, url string, html string")).collect()}
     assert got == {k: f"T {k}\n\nfirst {k}\n\nSummary\n\nsecond {k}" for k in range(8)}
+
+
+def _letters(k):
+    return "".join(chr(97 + k // 26**i % 26) for i in range(3))
+
+
+@pytest.mark.parametrize("shape", ["deep", "wide", "many"])
+def test_no_bound_loses_template(spark, shape, monkeypatch):
+    """Template below 100 levels, between 700 differently named elements, and in 9,000 paths; once with texts that go with the pages, once by the join."""
+
+    def page(k):
+        own = f"<div><p>first {k} {'word ' * k}</p><p>second {k}</p></div>"
+        if shape == "deep":  # two places that differ in name only above the text, one of them on some pages
+            return "<div>" * 100 + ("<section class=a><p>Welcome</p></section>" if k % 2 else "") + f"<section class=b>{own}</section>"
+        if shape == "wide":
+            return "".join(f"<p class=k{_letters(j)}>" for j in range(k % 2, 700)) + f"<hr class=last>Welcome<div class=end>{own}</div>"
+        return own + "".join(f"<div class=k{_letters(j)}><b>Welcome</b></div>" for j in range(9000))
+
+    want = {k: "\n\n".join(" ".join(t.split()) for t in (f"first {k} {'word ' * k}", f"second {k}")) for k in range(12)}
+    rows = spark.createDataFrame([(k, f"http://one.example/{k}", page(k)) for k in range(12)], "page_id long, url string, html string").repartition(3)
+    for whole in (4096, 0):
+        monkeypatch.setattr(H, "WHOLE_TEMPLATE", whole, raising=False)
+        assert {r["page_id"]: r["text"] for r in H.extracted(rows).collect()} == want
+
+
+def test_articles_of_loose_rules(spark):
+    """Among more names than a rule holds, one article a page is no repeated item, several teasers are."""
+    names = lambda k: "".join(f"<p class=k{_letters(j)}></p>" for j in range(k % 2, 700))
+    one = lambda k: f"{names(k)}<article><p>Story {k}</p></article><div class=low><p>{'Other words ' * 9}{k}</p></div>"
+    two = lambda k: f"{names(k)}<article>teaser {k}</article><article>teaser {k + 1}</article><div class=low><p>{'Other words ' * 9}{k}</p></div>"
+    rows = [(k, f"http://one.example/{k}", one(k)) for k in range(9)] + [(100 + k, f"http://two.example/{k}", two(k)) for k in range(9)]
+    got = {r["page_id"]: r["text"] for r in H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
+    assert all(got[k] == f"Story {k}" and got[100 + k] == f"{'Other words ' * 9}{k}" for k in range(9))
