@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
+import itertools
 import json
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
@@ -99,24 +101,33 @@ def choice_tie(axes: Sequence[str], passage: str, seed: int) -> str:
     return hashlib.sha256(json.dumps({"axes": list(axes), "passage_id": passage, "plan_seed": seed}, sort_keys=True).encode()).hexdigest()
 
 
-def cover_choices(values: Sequence[Sequence[str]], n: int, tie) -> list[tuple[str, ...]]:
+def choice_ties(values: Sequence[Sequence[str]], passage: str, seed: int) -> list[bytes]:
+    """choice_tie's digests, as bytes, of all combinations of the axes' values, the last axis fastest."""
+    end = f'], "passage_id": {json.dumps(passage)}, "plan_seed": {json.dumps(seed)}}}'
+    return [hashlib.sha256(f'{{"axes": [{", ".join(c)}{end}'.encode()).digest() for c in itertools.product(*([json.dumps(x) for x in v] for v in values))]
+
+
+@functools.lru_cache(1024)
+def _bits(sizes: tuple[int, ...]) -> np.ndarray:
+    """A row an axis: of each combination, the bit of its value."""
+    return np.int64(1) << np.stack([x.ravel() for x in np.meshgrid(*(np.arange(k) for k in sizes), indexing="ij")])
+
+
+def cover_choices(values: Sequence[Sequence[str]], n: int, ties: Sequence[bytes]) -> list[tuple[str, ...]]:
     """n of all combinations of the axes' values (a list an axis), one after another: each time one with the most values that no chosen
-    one has, ties by `tie`. Seen values are bits; digests are made only for combinations that are as good as the best."""
-    sizes = [len(v) for v in values]
-    codes = np.stack([x.ravel() for x in np.meshgrid(*(np.arange(s) for s in sizes), indexing="ij")], axis=1)
-    bits = [np.int64(1) << codes[:, k] for k in range(len(sizes))]
-    seen, free, digests, out = [np.int64(0)] * len(sizes), np.ones(len(codes), bool), {}, []
-    while len(out) < n:
-        new = sum(((b & s) == 0).astype(np.int64) for b, s in zip(bits, seen))
-        best = np.flatnonzero(free & (new == new[free].max()))
-        for i in best.tolist():
-            if i not in digests:
-                digests[i] = tie([values[k][c] for k, c in enumerate(codes[i])])
-        i = min(best.tolist(), key=digests.__getitem__)
-        free[i] = False
-        seen = [s | b[i] for s, b in zip(seen, bits)]
-        out.append(tuple(values[k][c] for k, c in enumerate(codes[i])))
-    return out
+    one has, ties by `ties`, one a combination, the last axis fastest. Seen values are bits; in the order of ties the first best is taken."""
+    sizes = tuple(map(len, values))
+    order = np.array(sorted(range(len(ties)), key=ties.__getitem__))
+    bits = _bits(sizes)[:, order]
+    seen, taken = np.zeros((len(sizes), 1), np.int64), []
+    for _ in range(n):
+        new = ((bits & seen) == 0).sum(axis=0)
+        new[taken] = -1
+        i = int(new.argmax())
+        taken.append(i)
+        seen |= bits[:, i : i + 1]
+    codes = np.stack(np.unravel_index(order[taken], sizes), axis=1).tolist() if n else []
+    return [tuple(v[c] for v, c in zip(values, row)) for row in codes]
 
 
 def request_choices(passages: DataFrame, id_col: str, intents: str, sentences: str, forms: Sequence[str], modes: Sequence[str], temperatures: Sequence[float], seeds: Sequence[int], n: int, plan_seed: int) -> DataFrame:
@@ -134,7 +145,7 @@ def request_choices(passages: DataFrame, id_col: str, intents: str, sentences: s
                 values = [tuple(forms), tuple(may if may is not None else ()), tuple(dict.fromkeys(focus)), *fixed]
                 if np.prod([len(v) for v in values]) < n:
                     raise ValueError(f"passage {i} has fewer than {n} eligible choices")
-                chosen = cover_choices(values, n, lambda axes: choice_tie(axes, str(i), plan_seed))
+                chosen = cover_choices(values, n, choice_ties(values, str(i), plan_seed))
                 out += [(i, k + 1, *c) for k, c in enumerate(chosen)]
             yield pd.DataFrame(out, columns=[id_col, "position", *names])
 

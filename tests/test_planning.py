@@ -150,6 +150,20 @@ def test_request_choices_equal_a_plain_loop(spark):
         coverage.request_choices(df, "id", "may", "n", forms, modes, temps, seeds, 500, 7).collect()
 
 
+def test_ties_of_all_choices_at_once():
+    """The digests of single choices, odd characters too, and in far less time, as all are made for each passage."""
+    import time
+
+    values = [("question", 'a "b" \\ é\n'), ("fact", "x"), tuple(f"sentence:{k}" for k in range(40)), ("0.2", "1"), ("11", "12")]
+    began = time.process_time()
+    want = [coverage.choice_tie(c, 'p "1"', 7) for c in itertools.product(*values)]
+    middle = time.process_time()
+    got = coverage.choice_ties(values, 'p "1"', 7)
+    chosen = coverage.cover_choices(values, 8, got)
+    assert time.process_time() - middle < middle - began
+    assert [g.hex() for g in got] == want and len(set(chosen)) == 8
+
+
 def plain_sets(tries, slots, most, seed, preserve):
     """tries {(slot, attempt): (text, key)}"""
     seen, out, attempts, duplicates, invalid = set(), [], 0, 0, 0
