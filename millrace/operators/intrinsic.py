@@ -13,13 +13,13 @@ from ..functions import lexical as X
 from ..functions import text as T
 from .pairs import self_bleu
 from .retrieval import pool_metrics
-from .statistics import compare_arms, distribution
+from .statistics import compare_all_arms, distribution
 
 #: Columns that a row may lack; they then count as null.
 OPTIONAL = {"shadow_positive": "double", "shadow_negatives": "array<double>", "requested_form": "string", "requested_intent": "string", "requested_focus": "string", "corpus_rank": "long", "mode": "string"}
 #: Ranks up to which a passage counts as found again.
 ROUND_TRIPS = (1, 5, 20, 100)
-from .tables import ranked
+from .tables import ranked, written
 
 
 def intrinsic_rows(rows: DataFrame, cutoffs: Sequence[int] = ROUND_TRIPS) -> DataFrame:
@@ -120,20 +120,27 @@ def quality_gate(baseline: DataFrame, variant: DataFrame, natural_rate: float, g
     value, bound): natural tails of both arms (risk rate at most natural_rate + limits['tail']), variant against baseline (upper bound
     of the difference of risk at most limits['risk']), common clean groups (their share at least limits['clean']), clusters (lower
     bound of the difference over them at least -limits['clusters']), cosine (upper bound at most limits['cosine']), and `decision`:
-    continue if all passed, else stop. Arms must have the same ids in the same groups; else it is an error."""
-    key = lambda df: df.select(F.struct(F.col(id_col).cast("string").alias("i"), F.col(group).cast("string").alias("g")).alias("k"))
-    odd = key(baseline).exceptAll(key(variant)).unionAll(key(variant).exceptAll(key(baseline))).limit(1).collect()
-    if odd:
-        raise ValueError(f"the arms differ in {odd[0]['k']['i']} of {odd[0]['k']['g']}")
+    continue if all passed, else stop. Arms must have the same ids in the same groups; else it is an error. Both arms' rows move once by
+    id and group, all else goes by one row a group, and a group's draws are made once for all measures."""
     clusters, cosine = semantic
-    per = lambda df: df.groupBy(group).agg(F.avg(F.coalesce(F.col(risk), F.lit(True)).cast("double")).alias("risk"), F.max(clusters).cast("double").alias("clusters"), F.max(cosine).cast("double").alias("cosine"))
-    a, b = per(baseline), per(variant)
-    clean = a.where("risk = 0").select(group).join(b.where("risk = 0").select(group), group)
-    rates = {n: df.agg(F.avg(F.coalesce(F.col(risk), F.lit(True)).cast("double"))).first()[0] for n, df in (("baseline", baseline), ("variant", variant))}
-    n, n_clean = a.count(), clean.count()
-    risks = compare_arms(a, b, group, ["risk"], samples).first()
-    others = {r["metric"]: r for r in compare_arms(a.join(clean, group), b.join(clean, group), group, ["clusters", "cosine"], samples).collect()} if n_clean else {}
-    bound = lambda m, side: others[m][side] if m in others else None
+    number = lambda c, arm: F.max(F.when(F.col("arm") == arm, F.col(c)))
+    total = lambda c, arm: F.sum(F.when(F.col("arm") == arm, F.col(c)).otherwise(0))
+    rows = lambda df, arm: df.select(F.lit(arm).alias("arm"), F.col(group).alias("g"), F.col(id_col).cast("string").alias("i"), F.lit(1).alias("n"), F.coalesce(F.col(risk), F.lit(True)).cast("int").alias("r"), F.col(clusters).cast("double").alias("clusters"), F.col(cosine).cast("double").alias("cosine"))
+    fields = [(c, f, k) for c, f in (("n", total), ("r", total), ("clusters", number), ("cosine", number)) for k in (0, 1)]
+    ids = rows(baseline, 0).unionAll(rows(variant, 1)).groupBy("g", "i").agg(*(f(c, k).alias(f"{c}{k}") for c, f, k in fields))
+    odd = F.struct(F.coalesce("i", F.lit("null")).alias("i"), F.coalesce(F.col("g").cast("string"), F.lit("null")).alias("g"))
+    per = written(ids.groupBy("g").agg(*((F.sum if f is total else F.max)(f"{c}{k}").alias(f"{c}{k}") for c, f, k in fields), F.max(F.when(F.col("n0") != F.col("n1"), odd)).alias("odd")), "gate-groups")
+    clean = F.col("g").isNotNull() & (F.col("r0") == 0) & (F.col("r1") == 0)
+    sums = per.agg(F.max("odd").alias("odd"), F.count(F.lit(1)).alias("n"), F.count_if(clean).alias("clean"), *(F.sum(c).alias(c) for c in ("n0", "n1", "r0", "r1"))).first()
+    if sums["odd"]:
+        raise ValueError(f"the arms differ in {sums['odd']['i']} of {sums['odd']['g']}")
+    rates = {name: sums[f"r{k}"] / sums[f"n{k}"] if sums["n"] else None for k, name in enumerate(("baseline", "variant"))}
+    n, n_clean = sums["n"], sums["clean"]
+    measures = lambda k: F.struct(F.lit("ab"[k]).alias("arm"), (F.col(f"r{k}") / F.col(f"n{k}")).alias("risk"), *(F.when(clean, F.col(f"{c}{k}")).alias(c) for c in ("clusters", "cosine")))
+    arms = per.where("g is not null").select("g", F.explode(F.array(measures(0), measures(1))).alias("x")).select("g", "x.*")
+    others = {r["metric"]: r for r in compare_all_arms(arms, "arm", "g", ["risk", "clusters", "cosine"], [("a", "b")], samples).collect()} if n else {}
+    risks = others.get("risk")
+    bound = lambda m, side: others[m][side] if n_clean and m in others else None
     rate = n_clean / n if n else None
     checks = [
         ("baseline_natural_tail", rates["baseline"], natural_rate + limits["tail"], lambda v, x: v <= x), ("variant_natural_tail", rates["variant"], natural_rate + limits["tail"], lambda v, x: v <= x),

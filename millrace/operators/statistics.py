@@ -248,7 +248,7 @@ def compare_all_arms(runs: DataFrame, arm: str, id_col: str, metrics: Sequence[s
     place = {a: j for j, a in enumerate(arms)}
     keys = [(i, k) for i in range(len(metrics)) for k in range(len(comparisons))]
     diffs = wide.select("__id", *((F.col(f"v_{i}_{place[comparisons[k][1]]}") - F.col(f"v_{i}_{place[comparisons[k][0]]}")).alias(f"d_{i}_{k}") for i, k in keys))
-    drawn = diffs.select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample")).withColumn("w", poisson_weight(hashed_uniform("__id", "sample")))
+    drawn = diffs.select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample")).withColumn("__u", hashed_uniform("__id", "sample")).withColumn("w", poisson_weight(F.col("__u")))
     of = lambda i, k: F.try_divide(F.sum(F.col("w") * F.col(f"d_{i}_{k}")), F.sum(F.when(F.col(f"d_{i}_{k}").isNotNull(), F.col("w"))))
     means = drawn.groupBy("sample").agg(*(of(i, k).alias(f"d_{i}_{k}") for i, k in keys))
     name = lambda k: f"{comparisons[k][1]}_minus_{comparisons[k][0]}"

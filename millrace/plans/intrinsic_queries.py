@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import intrinsic as I
+from ..operators.tables import written
 from .catalog import _PAIRS_SQL, _content, _jaccard, conversation_pairs, query, table
 
 #: Conversations' questions as generated queries: the answer is the passage, made-up scores by digest.
@@ -77,6 +78,7 @@ def quality_gate(spark, d):
     """Rates of risk and clean groups; bounds by bootstrap are held against compare_arms in the tests."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     lines = table(spark, d, "lineitem").where("l_orderkey is not null").withColumn("i", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey"))).where("n >= 4 and i <= 4")
+    lines = written(lines.select("l_orderkey", "i", "l_discount", "l_tax"), "gate-lines")
     arm = lambda risk: lines.select(F.col("l_orderkey").alias("g"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("i").cast("string")).alias("id"), risk.alias("risk"), F.lit(2).alias("clusters"), F.lit(0.5).alias("cosine"))
     found = I.quality_gate(arm(F.col("l_discount").cast("double") > 0.08), arm(F.col("l_tax").cast("double") > 0.07), 0.15, "g", "id", "risk", ("clusters", "cosine"), {"tail": 0.05, "risk": 0.05, "clean": 0.1, "clusters": 0.1, "cosine": 0.1}, 50)
     return found.where("guardrail in ('baseline_natural_tail', 'variant_natural_tail', 'common_clean_groups')").select("guardrail", "status", F.round("value", 9).alias("value"))

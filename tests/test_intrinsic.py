@@ -102,3 +102,17 @@ def test_review_plan_refuses_leaks(spark):
             I.review_plan(bad, {"m": 0}, 5, 10, "v1")
     with pytest.raises(ValueError, match="13 blind pairs"):
         I.review_plan(df, {"m": 0}, 5, 10, "v1", 12)
+
+
+def test_quality_gate_reads_each_arm_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def risk(i):
+        seen.add(1)
+        return i % 7 == 0
+
+    arm = spark.range(40).select((F.col("id") % 10).alias("g"), F.col("id"), risk.asNondeterministic()("id").alias("risk"), F.lit(2).alias("clusters"), F.lit(0.5).alias("cosine"))
+    limits = {"tail": 0.05, "risk": 0.02, "clean": 0.1, "clusters": 0.2, "cosine": 0.05}
+    found = {r["guardrail"]: r["value"] for r in I.quality_gate(arm, arm, 0.1, "g", "id", "risk", ("clusters", "cosine"), limits, 20).collect()}
+    assert seen.value == 80 and found["baseline_natural_tail"] == found["variant_natural_tail"] == 6 / 40 and found["common_clean_groups"] == 0.4
