@@ -30,14 +30,14 @@ def record_components(records: DataFrame, canonical: DataFrame | None = None) ->
 def drop_crossing_negatives(records: DataFrame, splits: DataFrame, least: int = 10) -> DataFrame:
     """records(example_id, positives, hard_negatives), splits(example_id, split) -> records with split, hard_negatives without
     documents that are a positive of another split, in order, `removed`, and `below`: fewer than `least` are left."""
-    placed = records.join(splits, "example_id")
-    homes = placed.select("split", F.explode("positives.doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_set("split").alias("homes"))
-    each = placed.select("example_id", "split", F.posexplode("hard_negatives").alias("at", "d")).join(homes, F.col("d.doc_id") == homes["doc_id"], "left")
-    stays = F.coalesce(F.forall("homes", lambda h: h == F.col("split")), F.lit(True))
-    kept = each.groupBy("example_id").agg(F.array_sort(F.collect_list(F.when(stays, F.struct("at", "d")))).alias("k"), F.sum((~stays).cast("long")).alias("removed"))
-    out = placed.join(kept, "example_id", "left")
-    left = F.transform(F.coalesce("k", F.slice(F.transform("hard_negatives", lambda d: F.struct(F.lit(0).alias("at"), d.alias("d"))), 1, 0)), lambda x: x["d"])
-    return out.select(*(c for c in placed.columns if c != "hard_negatives"), left.alias("hard_negatives"), F.coalesce("removed", F.lit(0)).alias("removed"), (F.size(left) < least).alias("below"))
+    placed = written(records.join(splits, "example_id"), "placed")
+    homes = placed.select("split", F.explode("positives.doc_id").alias("doc_id")).groupBy("doc_id").agg(F.min("split").alias("least"), F.max("split").alias("most"))
+    each = placed.select("example_id", "split", F.posexplode("hard_negatives.doc_id").alias("at", "doc_id")).join(homes, "doc_id")
+    crossing = each.where((F.col("least") != F.col("split")) | (F.col("most") != F.col("split"))).groupBy("example_id").agg(F.collect_set("at").alias("__ats"))
+    out = placed.join(crossing, "example_id", "left")
+    left = F.when(F.col("__ats").isNull(), F.col("hard_negatives")).otherwise(F.filter("hard_negatives", lambda d, i: ~F.array_contains(F.col("__ats"), i)))
+    out = out.select(*(c for c in placed.columns if c != "hard_negatives"), left.alias("hard_negatives"), F.coalesce(F.size("__ats"), F.lit(0)).cast("long").alias("removed"))
+    return out.withColumn("below", F.size("hard_negatives") < least)
 
 
 def split_manifest(rows: DataFrame, id_col: str, split: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import splits as P
+from ..operators.tables import written
 from .catalog import _FORM, _PLACE, _words, conversation_records, dedup, normal_form_groups, query, table
 
 #: Orders as records, their parts as positives, the parts of the next order key as negatives.
@@ -33,7 +34,7 @@ def record_components(spark, d):
 e AS (SELECT k, split, unnest(negatives) AS n FROM s), x AS (SELECT k, count(*) FILTER (homes IS NOT NULL AND len(list_filter(homes, lambda z: z <> split)) > 0) AS removed, count(*) AS n FROM e LEFT JOIN h ON h.p = e.n GROUP BY k)
 SELECT s.k AS example_id, split, coalesce(removed, 0) AS removed, (len(negatives) - coalesce(removed, 0))::BIGINT AS n_left, len(negatives) - coalesce(removed, 0) < 3 AS below FROM s LEFT JOIN x ON s.k = x.k""")
 def crossing_negatives(spark, d):
-    rows = shop_records(spark, d)
+    rows = written(shop_records(spark, d), "records")
     placed = rows.select("example_id", dedup.hash_split(F.col("example_id"), {"train": 0.8, "dev": 0.1, "test": 0.1}).alias("split"))
     return P.drop_crossing_negatives(rows, placed, 3).select("example_id", "split", "removed", F.size("hard_negatives").cast("long").alias("n_left"), "below")
 

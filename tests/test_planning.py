@@ -250,3 +250,23 @@ def test_defect_pairs_need_certified_chosen_ones(spark):
     for bad in ([row(1, 1, "x", None)], [row(1, 1, "x", "yes"), row(1, 2, "y", "no", prompt="q")]):
         with pytest.raises(Exception, match="no verdict|more than one prompt"):
             pairs.defect_pairs(spark.createDataFrame(bad, schema), "salt").collect()
+
+
+def test_crossing_negatives_read_records_once(spark):
+    from millrace.operators import splits
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def once(i):
+        seen.add(1)
+        return i
+
+    doc = "array<struct<doc_id:string,text:string>>"
+    d = lambda *ids: [(i, i) for i in ids]
+    rows = [(1, d("a"), d("b", "c", "z")), (2, d("b"), d("a", "z")), (3, d("c"), None), (4, None, []), (5, d("a", "c"), [("c", "c"), None, ("b", "b"), ("c", "c")])]
+    records = spark.createDataFrame(rows, f"example_id long, positives {doc}, hard_negatives {doc}").withColumn("example_id", once.asNondeterministic()("example_id"))
+    homes = spark.createDataFrame([(1, "train"), (2, "dev"), (3, "train"), (4, "dev"), (5, "train")], "example_id long, split string")
+    got = {r["example_id"]: (r["hard_negatives"] and [x and x["doc_id"] for x in r["hard_negatives"]], r["removed"], r["below"]) for r in splits.drop_crossing_negatives(records, homes, 2).collect()}
+    assert got == {1: (["c", "z"], 1, False), 2: (["z"], 1, True), 3: (None, 0, None), 4: ([], 0, True), 5: (["c", None, "c"], 1, False)}
+    assert seen.value == 5
