@@ -270,3 +270,22 @@ def test_crossing_negatives_read_records_once(spark):
     got = {r["example_id"]: (r["hard_negatives"] and [x and x["doc_id"] for x in r["hard_negatives"]], r["removed"], r["below"]) for r in splits.drop_crossing_negatives(records, homes, 2).collect()}
     assert got == {1: (["c", "z"], 1, False), 2: (["z"], 1, True), 3: (None, 0, None), 4: ([], 0, True), 5: (["c", None, "c"], 1, False)}
     assert seen.value == 5
+
+
+@pytest.mark.parametrize("swapped", [False, True])
+def test_shingles_of_the_larger_side_do_not_move(spark, monkeypatch, swapped):
+    from millrace.operators import dedup
+
+    monkeypatch.setattr(dedup, "FEW", 6)
+    many = spark.createDataFrame([(k, [f"s{j}" for j in range(k % 5)]) for k in range(40)], "id long, shingles array<string>")
+    few = spark.createDataFrame([(1, ["s0", "s1"]), (2, ["s3", "x"])], "ref long, shingles array<string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = dedup.shingle_overlap(few, many, "ref", "id", 0.5) if swapped else dedup.shingle_overlap(many, few, "id", "ref", 0.5)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["id"], r["ref"], round(r["similarity"], 6)) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {(k, 1, round(2 / (k % 5), 6) if k % 5 > 1 else 0.5) for k in range(40) if k % 5}
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
