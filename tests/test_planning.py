@@ -289,3 +289,14 @@ def test_shingles_of_the_larger_side_do_not_move(spark, monkeypatch, swapped):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {(k, 1, round(2 / (k % 5), 6) if k % 5 > 1 else 0.5) for k in range(40) if k % 5}
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_simhash_takes_arrow_batches(spark):
+    """A batch's texts are not all Python strings at once; null is the empty text."""
+    from pyspark.util import PythonEvalType
+
+    from millrace.operators import dedup
+
+    assert dedup.simhash.evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
+    df = spark.createDataFrame([(k, t) for k, t in enumerate((None, "", "a b c d", "é \U0001f600"))], "id long, text string")
+    assert {r["id"]: r["h"] for r in df.select("id", dedup.simhash("text").alias("h")).collect()} == {k: dedup.simhash64(t) for k, t in enumerate(("", "", "a b c d", "é \U0001f600"))}
