@@ -113,34 +113,43 @@ def defect_pairs(candidates: DataFrame, salt: str, overlap: tuple[float, float]
     sides = {f"{axis.lower()}_{side}": test for axis, pair in may_be(overlap).items() for side, test in zip(("chosen", "rejected"), pair)}
     one = F.struct("position", "candidate", F.array_distinct(T.words(F.coalesce("query", F.lit("")))).alias("words"), "margin", F.coalesce("defects", F.array().cast("array<string>")).alias("defects"), *(c.alias(n) for n, c in sides.items()))
     checked = F.when(F.coalesce(F.col("eligible"), F.lit(False)) & F.col("verdict").isNull(), F.raise_error(F.concat(F.lit("no verdict for "), F.col("candidate").cast("string")))).otherwise(F.lit(True))
-    listed = candidates.groupBy("group").agg(
-        F.bool_and(F.coalesce("eligible", F.lit(False))).alias("eligible"), F.count_distinct("prompt").alias("prompts"),
-        F.array_sort(F.collect_list(F.when(checked, one))).alias("rows"),
+    each = candidates.select("group", F.coalesce("eligible", F.lit(False)).alias("eligible"), "prompt", F.when(checked, one).alias("one"))
+    listed = each.groupBy("group").agg(
+        F.bool_and("eligible").alias("eligible"), (F.min("prompt") != F.max("prompt")).alias("prompts"), F.bool_or(F.col("one.a_chosen") | F.col("one.b_chosen")).alias("__any"),
+        F.sort_array(F.collect_list("one")).alias("rows"),
     )
-    whole = listed.where(F.when(F.col("eligible") & (F.col("prompts") > 1), F.raise_error(F.concat(F.lit("more than one prompt in group "), F.col("group").cast("string")))).otherwise(F.lit(True)))
-    like = lambda a, b: T.jaccard(a["words"], b["words"], 1.0)
+    whole = listed.where(F.when(F.col("eligible") & F.col("prompts"), F.raise_error(F.concat(F.lit("more than one prompt in group "), F.col("group").cast("string")))).otherwise(F.lit(True)))
+    like = lambda a, b: T.set_jaccard(a["words"], b["words"], 1.0)
     total = lambda r: F.aggregate("rows", F.lit(0.0), lambda s, o: s + F.when(o["candidate"] == r["candidate"], 0.0).otherwise(like(r, o)))
-    measured = whole.withColumn("rows", F.transform("rows", lambda r: r.withField("mean", F.when(F.size("rows") > 1, total(r) / (F.size("rows") - 1)).otherwise(0.0))))
-    out = measured
-    for axis in ("a", "b"):
-        fits = lambda side, axis=axis: F.filter("rows", lambda r: r[f"{axis}_{side}"])
-        first = lambda rows, sign: F.get(F.array_sort(F.transform(rows, lambda r: F.struct((sign * r["mean"]).alias("by"), r["position"].alias("position"), r["candidate"].alias("candidate"), r.alias("row")))), 0)["row"]
-        out = out.withColumns({"__chosen": fits("chosen"), "__rejected": fits("rejected")}).withColumn("__c", first(F.col("__chosen"), F.lit(1.0)))
-        out = out.withColumn("__others", F.filter("__rejected", lambda r: r["candidate"] != F.col("__c.candidate")))
-        out = out.withColumn("__r", first(F.filter("__others", lambda r: like(F.col("__c"), r) <= likeness), F.lit(-1.0)))
-        reason = F.when(F.size("__chosen") == 0, "no_admissible_chosen").when(F.size("__others") == 0, "no_axis_defect_rejected").when(F.col("__r").isNull(), "near_duplicate_query_pair")
-        tried = F.struct(F.lit(axis.upper()).alias("axis"), F.size("__chosen").alias("n_chosen"), F.size("__rejected").alias("n_rejected"), reason.alias("failure_reason"))
-        out = out.withColumn(f"__{axis}", F.struct(tried.alias("log"), F.col("__c").alias("chosen"), F.col("__r").alias("rejected"))).drop("__chosen", "__rejected", "__c", "__others", "__r")
-    order = axis_order(F.col("group"), salt)
-    tries = F.when(order[0] == "A", F.array("__a", "__b")).otherwise(F.array("__b", "__a"))
-    worked = lambda t: t["log"]["failure_reason"].isNull()
-    out = out.withColumn("__tries", F.when(F.col("eligible"), tries).otherwise(F.slice(tries, 1, 0))).withColumn("__done", F.get(F.filter("__tries", worked), 0))
-    logs = F.transform(F.filter("__tries", lambda t, i: (i == 0) | ~worked(F.get("__tries", 0))), lambda t: t["log"])
-    failed = F.when(~F.col("eligible"), F.array(F.lit("group_not_gate_eligible"))).when(F.col("__done").isNull(), F.array_sort(F.array_distinct(F.transform(logs, lambda x: x["failure_reason"])))).otherwise(F.array().cast("array<string>"))
-    chosen, rejected = F.col("__done.chosen"), F.col("__done.rejected")
+    # a mean decides only in a group that has someone to choose, and only of those that have a role
+    asked = lambda r: F.col("eligible") & F.col("__any") & (r["a_chosen"] | r["a_rejected"] | r["b_chosen"] | r["b_rejected"])
+    mean = lambda r: F.when(F.size("rows") > 1, total(r) / (F.size("rows") - 1)).otherwise(0.0)
+    measured = whole.withColumn("rows", F.transform("rows", lambda r: r.withField("mean", F.when(asked(r), mean(r)))))
+    first = lambda rows, sign: F.array_min(F.transform(rows, lambda r: F.struct((sign * r["mean"]).alias("by"), r["position"].alias("position"), r["candidate"].alias("candidate"), r.alias("row"))))["row"]
+
+    def made(on_a: Column) -> Column:
+        role = lambda r, side: F.when(on_a, r[f"a_{side}"]).otherwise(r[f"b_{side}"])
+
+        def of(p: Column, c: Column, others: Column, r: Column) -> Column:
+            reason = F.when(F.size(p["chosen"]) == 0, "no_admissible_chosen").when(F.size(others) == 0, "no_axis_defect_rejected").when(r.isNull(), "near_duplicate_query_pair")
+            log = F.struct(F.when(on_a, "A").otherwise("B").alias("axis"), F.size(p["chosen"]).alias("n_chosen"), F.size(p["rejected"]).alias("n_rejected"), reason.alias("failure_reason"))
+            shown = lambda x, *more: F.struct(*(x[n].alias(n) for n in ("candidate", "mean", "margin", *more)))
+            return F.struct(log.alias("log"), shown(c).alias("chosen"), shown(r, "defects").alias("rejected"), F.when(reason.isNull(), like(c, r)).alias("likeness"))
+
+        parts = F.struct(F.filter("rows", lambda r: role(r, "chosen")).alias("chosen"), F.filter("rows", lambda r: role(r, "rejected")).alias("rejected"))
+        fit = lambda c, others: first(F.filter(others, lambda r: like(c, r) <= likeness), F.lit(-1.0))
+        rest = lambda p, c: F.filter(p["rejected"], lambda r: r["candidate"] != c["candidate"])
+        return T.bound(parts, lambda p: T.bound(first(p["chosen"], F.lit(1.0)), lambda c: T.bound(rest(p, c), lambda others: T.bound(fit(c, others), lambda r: of(p, c, others, r)))))
+
+    failure = lambda t: F.col(f"{t}.log.failure_reason")
+    out = measured.withColumn("axis_order", axis_order(F.col("group"), salt)).withColumn("__on_a", F.col("axis_order")[0] == "A")
+    out = out.withColumn("__1", F.when(F.col("eligible"), made(F.col("__on_a"))))
+    out = out.withColumn("__2", F.when(F.col("eligible") & failure("__1").isNotNull(), made(~F.col("__on_a")))).drop("rows")
+    out = out.withColumn("__done", F.when(failure("__1").isNull(), F.col("__1")).when(failure("__2").isNull(), F.col("__2")))
+    failed = F.when(~F.col("eligible"), F.array(F.lit("group_not_gate_eligible"))).when(F.col("__done").isNull(), F.array_sort(F.array_distinct(F.array(failure("__1"), failure("__2"))))).otherwise(F.array().cast("array<string>"))
     return out.select(
-        "group", order.alias("axis_order"), logs.alias("attempts"), F.col("__done.log.axis").alias("axis"), chosen["candidate"].alias("chosen"), rejected["candidate"].alias("rejected"), F.when(F.col("__done").isNotNull(), like(chosen, rejected)).alias("likeness"),
-        chosen["mean"].alias("chosen_distinctness"), rejected["mean"].alias("rejected_typicality"), (chosen["margin"] - rejected["margin"]).alias("margin_delta"), rejected["defects"].alias("rejected_defects"), failed.alias("failure_reasons"),
+        "group", "axis_order", F.array_compact(F.array("__1.log", "__2.log")).alias("attempts"), F.col("__done.log.axis").alias("axis"), F.col("__done.chosen.candidate").alias("chosen"), F.col("__done.rejected.candidate").alias("rejected"), F.col("__done.likeness").alias("likeness"),
+        F.col("__done.chosen.mean").alias("chosen_distinctness"), F.col("__done.rejected.mean").alias("rejected_typicality"), (F.col("__done.chosen.margin") - F.col("__done.rejected.margin")).alias("margin_delta"), F.col("__done.rejected.defects").alias("rejected_defects"), failed.alias("failure_reasons"),
     )
 
 

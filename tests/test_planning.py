@@ -252,6 +252,27 @@ def test_defect_pairs_need_certified_chosen_ones(spark):
             pairs.defect_pairs(spark.createDataFrame(bad, schema), "salt").collect()
 
 
+def test_defect_pairs_are_made_in_one_pass_over_a_group(spark):
+    """Rows of a group are collected once, prompts aren't told apart by a further aggregation, and few projections carry the rows on."""
+    schema = "group long, eligible boolean, candidate long, position long, query string, prompt string, verdict string, clean boolean, format_ok boolean, round_trip double, overlap double, margin double, defects array<string>"
+    rows = [(1, True, 10, 1, "one two", "p", "yes", True, True, 1.0, 0.0, 1.0, None), (1, True, 11, 2, "three", "p", "no", True, True, 1.0, 0.0, 0.5, ["d"]), (2, True, 20, 1, "x", None, "yes", True, True, 1.0, 0.0, None, None)]
+    out = pairs.defect_pairs(spark.createDataFrame(rows, schema), "salt")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "array_union" not in plan and plan.count("Project [") <= 8
+    got = {r["group"]: r for r in out.collect()}
+    assert (got[1]["chosen"], got[1]["rejected"], got[1]["likeness"], got[1]["margin_delta"], got[1]["rejected_defects"]) == (10, 11, 0.0, 0.5, ["d"])
+    assert (got[2]["chosen"], got[2]["failure_reasons"], len(got[2]["attempts"])) == (None, ["no_axis_defect_rejected"], 2)
+
+
+def test_likeness_of_sets_is_that_of_arrays(spark):
+    from millrace.functions import text as T
+
+    sets = [[], ["a"], ["b", "a"], [f"w{k}" for k in range(40)], [f"w{k}" for k in range(30, 60)]]
+    df = spark.createDataFrame([(a, b) for a in sets for b in sets], "a array<string>, b array<string>")
+    a, b = F.col("a"), F.col("b")
+    assert df.where(T.jaccard(a, b, 1.0) != T.set_jaccard(a, b, 1.0)).count() == 0
+
+
 def test_crossing_negatives_read_records_once(spark):
     from millrace.operators import splits
 
