@@ -273,6 +273,29 @@ def test_likeness_of_sets_is_that_of_arrays(spark):
     assert df.where(T.jaccard(a, b, 1.0) != T.set_jaccard(a, b, 1.0)).count() == 0
 
 
+def test_arm_faults_read_rows_once_and_send_no_null_ids(spark):
+    """Accepted rows are made once; rows without an id, which may be many, aren't brought together to look their ids up."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(x):
+        seen.add(1)
+        return x
+
+    frame = spark.createDataFrame
+    rows = [("g", p, "g::candidate::0" if p < 2 else None, p, f"c{p}", 1, 50 + p * 2, f"k{p}", False) for p in range(3)]
+    accepted = frame(rows, "group string, position int, evaluation_id string, slot int, control string, attempt int, seed long, key string, duplicate boolean").repartition(2).withColumn("key", noted("key"))
+    out = generation.arm_faults(
+        frame([("g", 0)], "group string, place long"), accepted, frame([("g", 0, 3, 0, 0, False)], "group string, place long, attempts long, duplicates long, invalid long, exhausted boolean"),
+        frame([(3, 3, 0, 0, 0)], "accepted long, attempts long, duplicates long, invalid long, exhausted long"), frame([(p, f"c{p}") for p in range(3)], "slot int, control string"), 2, 50,
+    )
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x and "evaluation_id" in x]
+    assert len(joins) == 1 and "Join Inner" in joins[0]
+    found = sorted((r["position"], r["fault"]) for r in out.collect())
+    assert found == [(0, "repeated_evaluation_id"), (1, "evaluation_id"), (1, "repeated_evaluation_id"), (2, "evaluation_id")]
+    assert seen.value == 3
+
+
 def test_crossing_negatives_read_records_once(spark):
     from millrace.operators import splits
 
